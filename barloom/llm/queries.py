@@ -7,10 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, media, urls
+from barloom.llm import chat, decontaminate, media, mixing, tokens, urls
 from barloom.llm.common import ship, table
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(decontaminate.flag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokens.count_tokens(table(ship(spark), sf_dir, "documents"))
+    listed = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
+    return counted.select(
+        "doc_id", "n_tokens", "n_sections", "n_crossing", F.coalesce(F.array_max("section_tokens"), F.lit(0)).alias("max_tokens"),
+        listed("section_starts").alias("starts_md5"), listed("section_tokens").alias("tokens_md5"),
+    )
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.audio_features(table(ship(spark), sf_dir, "documents"), keep_media=False))
 
@@ -31,10 +48,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_audio_features, op7_chat_formatting, op8_url_filter)
+    f.__name__: f for f in (op2_decontamination, op3_token_counts, op4_mixing, op6_audio_features, op7_chat_formatting, op8_url_filter)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": decontaminate.ORACLE,
+    "op4_mixing": mixing.oracle(),
     # marks: 8 + 8 + 7 characters a turn, 9 before them; no content of the tables holds a mark
     "op7_chat_formatting": r"""
         WITH rows AS (
