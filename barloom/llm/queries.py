@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, decontaminate, media, mixing, tokens, urls
+from barloom.llm import chat, decontaminate, language, media, mixing, tokens, urls
 from barloom.llm.common import ship, table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents").select("doc_id", "text", "lang")
+    said = language.identify(docs.select("doc_id", "text"), language.fit(docs))
+    return said.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.flag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -48,7 +54,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontamination, op3_token_counts, op4_mixing, op6_audio_features, op7_chat_formatting, op8_url_filter)
+    f.__name__: f for f in (op1_language_id, op2_decontamination, op3_token_counts, op4_mixing, op6_audio_features, op7_chat_formatting, op8_url_filter)
 }
 
 ORACLE_SQL: dict[str, str] = {
