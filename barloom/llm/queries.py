@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, decontaminate, language, media, mixing, tokens, urls
+from barloom.llm import chat, decontaminate, language, media, mixing, phrases, suffix, tokens, urls
 from barloom.llm.common import ship, table
 
 
@@ -34,6 +34,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents")
+    return suffix.digests(docs, suffix.dedup(docs))
+
+
 def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.audio_features(table(ship(spark), sf_dir, "documents"), keep_media=False))
 
@@ -53,8 +58,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op9_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents")
+    return phrases.digests(docs, phrases.dedup(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_decontamination, op3_token_counts, op4_mixing, op6_audio_features, op7_chat_formatting, op8_url_filter)
+    f.__name__: f for f in (op1_language_id, op2_decontamination, op3_token_counts, op4_mixing, op5_suffix_dedup, op6_audio_features, op7_chat_formatting, op8_url_filter, op9_phrase_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
