@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, decontaminate, language, media, mixing, phrases, suffix, tokens, urls
+from barloom.llm import chat, decontaminate, jaccard, language, media, mixing, phrases, suffix, tokens, urls
 from barloom.llm.common import ship, table
 
 
@@ -63,8 +63,12 @@ def op9_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.digests(docs, phrases.dedup(docs))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_documents(table(ship(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_decontamination, op3_token_counts, op4_mixing, op5_suffix_dedup, op6_audio_features, op7_chat_formatting, op8_url_filter, op9_phrase_dedup)
+    f.__name__: f for f in (op1_language_id, op2_decontamination, op3_token_counts, op4_mixing, op5_suffix_dedup, op6_audio_features, op7_chat_formatting, op8_url_filter, op9_phrase_dedup, op10_jaccard_join)
 }
 
 ORACLE_SQL: dict[str, str] = {
