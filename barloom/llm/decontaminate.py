@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import ALNUM_WORD, ascii_lower
+from barloom.llm.common import ALNUM_WORD, ascii_lower, saved
 
 SPAN = 10
 MAX_BROADCAST = 2_000_000
@@ -66,7 +66,7 @@ def flag(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
 
     ``spans`` are the maximal runs of hit words, as (start, end) word numbers from 0.
     """
-    hits = find_hits(docs, benchmark, span).distinct()
+    hits = saved(find_hits(docs, benchmark, span).distinct())  # used twice, and far smaller than the scan
     of_doc = Window.partitionBy("doc_id", "_h")
     runs = hits.groupBy("doc_id", "_h", "start").agg(F.max("n").alias("n"))
     reach = F.max(F.col("start") + F.col("n")).over(of_doc.orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
