@@ -1,0 +1 @@
+"""Bars and incremental folds over streams."""
