@@ -367,7 +367,7 @@ def remove_repeats(docs: DataFrame, kind: Kind, resolve: Resolver, keep_text: bo
     repeated = anchors.groupBy("key").agg(F.min(who).alias("a"), F.max(who).alias("b"), F.count("*").alias("n")).where("a < b").select("key", (F.col("n") >= HOT).alias("hot"))
     of_class = anchors.join(repeated, "key").groupBy("_h1", "_h2").agg(F.collect_set(F.struct("at", "key", "hot")).alias("chunks"))
     texts = keyed.groupBy("_h1", "_h2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    wanted = texts.select("_h1", "_h2", "text", "copies").join(of_class, ["_h1", "_h2"]).select("_h1", "_h2", "text", "chunks")
+    wanted = texts.select("_h1", "_h2", "text", "copies").join(of_class, ["_h1", "_h2"]).select("_h1", "_h2", "text", "chunks", "copies")  # as below: one exchange of texts serves all
     contents = wanted.mapInArrow(_contents(kind), "key long, place int, content binary, n long")
     contents = contents.groupBy("key", "place", "content").agg(F.sum("n").alias("n"))
     contents = contents.repartition(partitions(spark), "key").sortWithinPartitions("key", "place", "content")
