@@ -364,7 +364,8 @@ def remove_repeats(docs: DataFrame, kind: Kind, resolve: Resolver, keep_text: bo
     keyed = docs.select(*text_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
     anchors = saved(keyed.mapInArrow(_anchor_rows(kind), "key long, _h1 long, _h2 long, at long"))
     who = F.xxhash64("_h1", "_h2", "at")
-    repeated = anchors.groupBy("key").agg(F.min(who).alias("a"), F.max(who).alias("b"), F.count("*").alias("n")).where("a < b").select("key", (F.col("n") >= HOT).alias("hot"))
+    # written, so that the join below is between two exchanges and a hot key's rows can be split
+    repeated = saved(anchors.groupBy("key").agg(F.min(who).alias("a"), F.max(who).alias("b"), F.count("*").alias("n")).where("a < b").select("key", (F.col("n") >= HOT).alias("hot")))
     of_class = anchors.join(repeated, "key").groupBy("_h1", "_h2").agg(F.collect_set(F.struct("at", "key", "hot")).alias("chunks"))
     texts = keyed.groupBy("_h1", "_h2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     wanted = texts.select("_h1", "_h2", "text", "copies").join(of_class, ["_h1", "_h2"]).select("_h1", "_h2", "text", "chunks", "copies")  # as below: one exchange of texts serves all
