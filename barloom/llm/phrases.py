@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.repeats import Kind, per_document, remove_repeats, text_key
 
-PHRASE = Kind(words=True, width=35, gram=10, chunk=24, sub=4)
+PHRASE = Kind(words=True, width=35, gram=8, chunk=28, sub=4)
 _FIRST, _SURROGATES = 0x100, 0xD800
 
 

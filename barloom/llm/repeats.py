@@ -10,17 +10,19 @@ comparing contents; hashes only bring together what must be compared.
    on the window's content alone, so equal windows pick the same relative place. Neighbouring
    windows of one anchor form a *chunk* of at most ``chunk`` starts, keyed by the hash of the
    units which all of the chunk's possible windows share. There is about one chunk for every
-   80 bytes or 15 words, not one row for each position.
-3. Only chunks whose key occurs at two places go on. Their contents (the chunk's windows,
-   overlapping as one string) are pre-aggregated, so copies travel once, and all with one key
-   meet in one task. A key that occurs ``HOT`` times or more is dealt out anew by shorter
-   chunks (``sub`` starts), whose keys cover nearly the whole window: a group holding a third
-   of all rows then splits by its contents.
-4. There ``resolve`` (suffix sorting or automata) says which windows repeat; the verdicts go
-   back to the classes, which mark covered units.
-
-Nothing is collected to the driver or broadcast. The anchors, the one intermediate that would
-be costly to compute again, are written to the shared folder.
+   80 bytes or 14 words, not one row for each position.
+3. Chunks are dealt by key as sorted blocks of numbers, to find keys that occur at two places.
+   A key that repeats already within a task's block sends one entry, so a key that holds a
+   third of all rows is not one task's load.
+4. Chunks whose key repeats are cut out of their texts (the chunk's windows, overlapping as one
+   string), equal ones are counted before and after the shuffle, and all with one key meet in
+   one task, where ``resolve`` (suffix sorting or automata) says which windows repeat. A key
+   with more than ``HOT`` different contents is dealt out anew by shorter chunks (``sub``
+   starts), whose keys cover nearly the whole window, so it splits by contents.
+5. The verdicts go back to the classes, which mark covered units.
+
+Nothing is collected to the driver or broadcast. The chunks with repeated keys are written to
+the shared folder; later work starts from there.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import partitions, saved, text_key
 
+#: Different contents of one key that are resolved together.
 HOT = 4096
 #: Bytes of text that a task works on at once, unless one text is longer.
 SLICE = 2_000_000
@@ -190,18 +193,80 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         a = b
 
 
-def _anchor_rows(kind: Kind) -> Callable:
+#: Entries that a task holds before it sends them on.
+BLOCK = 1_000_000
+_KNOWN = 1 << 62
+_ENTRY = np.dtype([("key", "<i8"), ("h1", "<i8"), ("at", "<i8")])
+
+
+def _anchor_blocks(kind: Kind, shards: int) -> Callable:
+    """(_h1, text) -> blocks of entries by shard of their key; entries of keys that repeat within
+    a block go to shards from ``shards`` on, and one entry of each, marked, to the key's shard."""
+
+    def blocks(parts: list[np.ndarray]) -> pa.RecordBatch:
+        e = np.unique(np.concatenate(parts)) if parts else np.empty(0, _ENTRY)  # by key, then place
+        first = np.concatenate([[True], e["key"][1:] != e["key"][:-1]]) if len(e) else np.empty(0, bool)
+        run = np.cumsum(first) - 1
+        known = np.bincount(run, minlength=1)[run] > 1 if len(e) else first
+        sent = e[first].copy()
+        sent["at"] |= np.where(known[first], _KNOWN, 0)
+        where = np.concatenate([sent["key"] % shards, shards + e["h1"][known] % shards])
+        e = np.concatenate([sent, e[known]])
+        order = np.argsort(where, kind="stable")
+        e, where = e[order], where[order]
+        cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1], [True]])) if len(e) else np.zeros(1, int)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(where[cut[:-1]], pa.int32()), pa.array([e[x:y].tobytes() for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())], names=["shard", "data"]
+        )
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []
         for batch in batches:
-            h1, h2 = (np.asarray(batch.column(i)) for i in (0, 1))
-            for a, b, data, offsets in slices(batch.column(2)):
+            h1 = np.asarray(batch.column(0))
+            for a, b, data, offsets in slices(batch.column(1)):
                 p = prepare(kind, data, offsets)
                 key, at, n, place = chunks(kind, p)
                 doc = np.searchsorted(p.offsets, at, "right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(h1[a:b][doc]), pa.array(h2[a:b][doc]), pa.array(pack(at - p.offsets[doc], n, place))],
-                    names=["key", "_h1", "_h2", "at"],
-                )
+                e = np.empty(len(key), _ENTRY)
+                e["key"], e["h1"], e["at"] = key.view(np.int64), h1[a:b][doc], pack(at - p.offsets[doc], n, place)
+                parts.append(e)
+                if sum(map(len, parts)) >= BLOCK:
+                    yield blocks(parts)
+                    parts = []
+        yield blocks(parts)
+
+    return work
+
+
+def _repeated(shards: int) -> Callable:
+    """Blocks in order of shard -> entries (_h1, at, key) of repeated keys."""
+
+    def rows(e: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(e["h1"]), pa.array(e["at"]), pa.array(e["key"])], names=["_h1", "at", "key"])
+
+    def of_shard(parts: list[np.ndarray]) -> pa.RecordBatch:
+        e = np.concatenate(parts)
+        known = np.unique(e["key"][(e["at"] & _KNOWN) != 0])
+        e["at"] &= ~_KNOWN
+        e = np.unique(e)
+        run = np.cumsum(np.concatenate([[True], e["key"][1:] != e["key"][:-1]])) - 1
+        return rows(e[(np.bincount(run)[run] > 1) | np.isin(e["key"], known)])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                e = np.frombuffer(data.as_py(), _ENTRY)
+                if shard >= shards:
+                    yield rows(e)
+                    continue
+                if shard != now and parts:
+                    yield of_shard(parts)
+                    parts = []
+                now = shard
+                parts.append(e)
+        if parts:
+            yield of_shard(parts)
 
     return work
 
@@ -211,33 +276,19 @@ def _digest(*parts: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _pieces(kind: Kind, p: Prepared, first: int, ats: np.ndarray, keys: np.ndarray, hot: np.ndarray) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(key, first window within the document, windows, place, content); hot chunks in sub-chunks."""
-    w, s = kind.width, kind.sub
-    for at, n, place, key, h in zip(*(x.tolist() for x in (*unpack(ats), keys, hot)), strict=True):
-        if not h:
-            yield key, at, n, place, p.cut(first + at, first + at + n + w - 1)
-            continue
-        o = place
-        while o < place + n:
-            stop = min(place + n, (o // s + 1) * s)
-            a, zero = at + o - place, at + (o // s) * s - place  # zero: where the sub-chunk's first place would be
-            core = p.cut(first + zero + s - 1, first + zero + w)
-            yield _digest(key.to_bytes(8, "little", signed=True), (o // s).to_bytes(2, "little"), core)[0], a, stop - o, o, p.cut(first + a, first + a + stop - o + w - 1)
-            o = stop
-
-
-def _each_piece(kind: Kind, batch: pa.RecordBatch) -> Iterator[tuple[int, tuple]]:
-    """(row, piece) for a batch of (_h1, _h2, text, chunks)."""
+def _each_piece(kind: Kind, batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(row, key, first window within the document, place, content) for a batch of (_h1, _h2, text, chunks)."""
     lists = batch.column(3)
     starts = np.asarray(lists.offsets)
-    at, key, hot = (np.asarray(lists.values.field(i)) if i < 2 else lists.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    ats, keys = (np.asarray(lists.values.field(i)) for i in (0, 1))
     for a, b, data, offsets in slices(batch.column(2)):
         p = prepare(kind, data, offsets)
         for r in range(a, b):
+            first, end = p.offsets[r - a], p.offsets[r - a + 1]
             mine = slice(starts[r], starts[r + 1])
-            for piece in _pieces(kind, p, p.offsets[r - a], at[mine], key[mine], hot[mine]):
-                yield r, piece
+            for at, n, place, key in zip(*(x.tolist() for x in (*unpack(ats[mine]), keys[mine])), strict=True):
+                if first + at + n + kind.width - 1 <= end:  # entries know 64 bits of their class; a namesake's don't fit or don't match
+                    yield r, key, at, place, p.cut(first + at, first + at + n + kind.width - 1)
 
 
 def _contents(kind: Kind) -> Callable:
@@ -251,7 +302,7 @@ def _contents(kind: Kind) -> Callable:
         for batch in batches:
             seen: dict[tuple[int, int, bytes], int] = {}
             size = 0
-            for _, (key, _, _, place, content) in _each_piece(kind, batch):
+            for _, key, _, place, content in _each_piece(kind, batch):
                 size += (key, place, content) not in seen and len(content)
                 seen[key, place, content] = seen.get((key, place, content), 0) + 1
                 if size > SLICE * 4:
@@ -272,7 +323,7 @@ def _places(kind: Kind) -> Callable:
                 names = ["_h1", "_h2", "at", "c1", "c2"]
                 return pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column(i))[r]) for i in (0, 1)] + [pa.array(x) for x in (at, c1, c2)], names=names)
 
-            for r, (key, at, _, place, content) in _each_piece(kind, batch):
+            for r, key, at, place, content in _each_piece(kind, batch):
                 rows.append((r, at, *content_id(key, place, content)))
                 if len(rows) >= 50_000:
                     yield out()
@@ -292,34 +343,80 @@ Resolver = Callable[[Kind, list[list[tuple[int, bytes, int]]]], list[list[np.nda
 BATCH = 60_000
 
 
-def _resolved(kind: Kind, resolve: Resolver) -> Callable:
+def _groups(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple[int, list[tuple[int, bytes, int]], bool]]:
+    """(key, contents, whether there are more than ``most``) of rows in order of key; of larger keys, parts."""
+    now, group, large = None, [], False
+    for batch in batches:
+        for key, place, content, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if key != now:
+                if group:
+                    yield now, group, large
+                now, group, large = key, [], False
+            group.append((place, content, n))
+            if most is not None and len(group) > most:
+                yield now, group, True
+                group, large = [], True
+    if group:
+        yield now, group, large
+
+
+def _windows(kind: Kind, content: bytes) -> int:
+    return (content.count(b" ") + 1 if kind.words else len(content)) - kind.width + 1
+
+
+def _resolved(kind: Kind, resolve: Resolver, most: int | None) -> Callable:
+    """Contents in order of key -> (c1, c2, ranges of windows that repeat); keys over ``most`` are left out."""
+
+    def out(keys: list[int], groups: list[list[tuple[int, bytes, int]]]) -> pa.RecordBatch:
+        ids, ranges = [], []
+        for key, group, flags in zip(keys, groups, resolve(kind, groups), strict=True):
+            for (place, content, _), f in zip(group, flags, strict=True):
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], f.astype(np.int8), [0]])))
+                if len(edge):
+                    ids.append(content_id(key, place, content))
+                    ranges.append(edge)
+        c1, c2 = zip(*ids, strict=True) if ids else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(ranges, pa.list_(pa.int32()))], names=["c1", "c2", "ranges"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[int] = []
-        groups: list[list[tuple[int, bytes, int]]] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            ids, ranges = [], []
-            for key, group, flags in zip(keys, groups, resolve(kind, groups), strict=True):
-                for (place, content, _), f in zip(group, flags, strict=True):
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], f.astype(np.int8), [0]])))
-                    if len(edge):
-                        ids.append(content_id(key, place, content))
-                        ranges.append(edge)
-            c1, c2 = zip(*ids, strict=True) if ids else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(ranges, pa.list_(pa.int32()))], names=["c1", "c2", "ranges"])
+        keys, groups, size = [], [], 0
+        for key, group, large in _groups(batches, most):
+            if large:
+                continue
+            keys.append(key)
+            groups.append(group)
+            size += sum(_windows(kind, content) for _, content, _ in group)
+            if size > BATCH:
+                yield out(keys, groups)
+                keys, groups, size = [], [], 0
+        yield out(keys, groups)
 
-        for batch in batches:
-            for key, place, content, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if not keys or keys[-1] != key:
-                    if size > BATCH:
-                        yield out()
-                        keys, groups, size = [], [], 0
-                    keys.append(key)
-                    groups.append([])
-                groups[-1].append((place, content, n))
-                size += len(content) - kind.width + 1 if not kind.words else content.count(b" ") + 2 - kind.width
-        yield out()
+    return work
+
+
+def _shorter(kind: Kind, most: int) -> Callable:
+    """Contents of keys over ``most``, by sub-chunks: (key, place, content, n, s1, s2, c1, c2, shift)."""
+    fields = pa.schema([("key", pa.int64()), ("place", pa.int32()), ("content", pa.binary()), ("n", pa.int64()), *((c, pa.int64()) for c in ("s1", "s2", "c1", "c2")), ("shift", pa.int32())])
+
+    def pieces(key: int, place: int, content: bytes, n: int) -> Iterator[tuple]:
+        words = content.split(b" ") if kind.words else None
+        cut = (lambda a, b: b" ".join(words[a:b])) if kind.words else (lambda a, b: content[a:b])
+        count, w, s = _windows(kind, content), kind.width, kind.sub
+        o = place
+        while o < place + count:
+            stop = min(place + count, (o // s + 1) * s)
+            a, zero = o - place, (o // s) * s - place  # zero: the sub-chunk's first possible window
+            sub = _digest(key.to_bytes(8, "little", signed=True), (o // s).to_bytes(2, "little"), cut(zero + s - 1, zero + w))[0]
+            part = cut(a, a + stop - o + w - 1)
+            yield (sub, o, part, n, *content_id(sub, o, part), *content_id(key, place, content), a)
+            o = stop
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, group, large in _groups(batches, most):
+            if large:
+                for x in range(0, len(group), 256):
+                    rows = [r for g in group[x : x + 256] for r in pieces(key, *g)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
 
     return work
 
@@ -361,18 +458,29 @@ def _marked(kind: Kind, keep_text: bool) -> Callable:
 def remove_repeats(docs: DataFrame, kind: Kind, resolve: Resolver, keep_text: bool = False) -> DataFrame:
     """One row per distinct text: _h1, _h2 (``text_key``), n_units, n_removed, n_spans, kept_sha256, kept."""
     spark = docs.sparkSession
+    n = partitions(spark)
     keyed = docs.select(*text_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
-    anchors = saved(keyed.mapInArrow(_anchor_rows(kind), "key long, _h1 long, _h2 long, at long"))
-    who = F.xxhash64("_h1", "_h2", "at")
-    # written, so that the join below is between two exchanges and a hot key's rows can be split
-    repeated = saved(anchors.groupBy("key").agg(F.min(who).alias("a"), F.max(who).alias("b"), F.count("*").alias("n")).where("a < b").select("key", (F.col("n") >= HOT).alias("hot")))
-    of_class = anchors.join(repeated, "key").groupBy("_h1", "_h2").agg(F.collect_set(F.struct("at", "key", "hot")).alias("chunks"))
+    blocks = keyed.select("_h1", "text").mapInArrow(_anchor_blocks(kind, n), "shard int, data binary")
+    found = blocks.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_repeated(n), "_h1 long, at long, key long")
+    found = saved(found)
+    classes = keyed.select("_h1", "_h2").distinct()
+    of_class = found.join(classes, "_h1").groupBy("_h1", "_h2").agg(F.collect_set(F.struct("at", "key")).alias("chunks"))
     texts = keyed.groupBy("_h1", "_h2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    wanted = texts.select("_h1", "_h2", "text", "copies").join(of_class, ["_h1", "_h2"]).select("_h1", "_h2", "text", "chunks", "copies")  # as below: one exchange of texts serves all
-    contents = wanted.mapInArrow(_contents(kind), "key long, place int, content binary, n long")
-    contents = contents.groupBy("key", "place", "content").agg(F.sum("n").alias("n"))
-    contents = contents.repartition(partitions(spark), "key").sortWithinPartitions("key", "place", "content")
-    verdicts = contents.mapInArrow(_resolved(kind, resolve), "c1 long, c2 long, ranges array<int>")
+    # all uses of the texts have the same columns, so that one exchange of texts serves all
+    wanted = texts.join(of_class, ["_h1", "_h2"]).select("_h1", "_h2", "text", "chunks", "copies")
+    fields = "key long, place int, content binary, n long"
+
+    def by_key(contents: DataFrame) -> DataFrame:
+        counted = contents.groupBy("key", "place", "content").agg(F.sum("n").alias("n"))
+        return counted.repartition(n, "key").sortWithinPartitions("key", "place", "content")
+
+    contents = by_key(wanted.mapInArrow(_contents(kind), fields))
+    answer = "c1 long, c2 long, ranges array<int>"
+    verdicts = contents.mapInArrow(_resolved(kind, resolve, HOT), answer)
+    parts = contents.mapInArrow(_shorter(kind, HOT), f"{fields}, s1 long, s2 long, c1 long, c2 long, shift int")
+    said = by_key(parts.select("key", "place", "content", "n")).mapInArrow(_resolved(kind, resolve, None), answer)
+    of_parts = parts.select("s1", "s2", "c1", "c2", "shift").join(said.withColumnsRenamed({"c1": "s1", "c2": "s2"}), ["s1", "s2"])
+    verdicts = verdicts.unionByName(of_parts.select("c1", "c2", F.transform("ranges", lambda r: r + F.col("shift")).alias("ranges")))
     places = wanted.mapInArrow(_places(kind), "_h1 long, _h2 long, at long, c1 long, c2 long")
     marks = places.join(verdicts, ["c1", "c2"]).groupBy("_h1", "_h2").agg(F.collect_list(F.struct("at", "ranges")).alias("marks"))
     marked = texts.join(marks, ["_h1", "_h2"], "left").select("_h1", "_h2", "text", "copies", "marks")
