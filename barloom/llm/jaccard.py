@@ -6,17 +6,20 @@ whole sequence is the one shingle). Two documents link when 100 * |A and B| >= 7
 1. Documents with one set are one *class* (128-bit key), compared once.
 2. A count sketch of fixed size over all documents orders shingles from rare to frequent.
    Only the order comes from it: any order gives the same links.
-3. Two sets that link share a shingle among the first |s| - ceil(0.75 |s|) + 1 of each in that
-   order. These postings are dealt to shards by hash, as sorted blocks; a shard reads off its
-   inverted lists of two classes or more.
-4. Lists of up to ``PAIRS`` classes give all their pairs. A longer one gives a star: its most
-   connected class against the others. The list itself is kept for step 6.
+3. A set's prefix are its first |s| - ceil(0.75 |s|) + 1 shingles in that order. Sets that link
+   have ``shared_least`` shingles or more in both prefixes, which is at least one. Prefixes are
+   dealt to shards by hash, as sorted blocks; a shard reads off its inverted lists of two
+   classes or more. A class's *shared* count is the number of its prefix shingles in any list.
+4. Lists of up to ``PAIRS`` classes give all their pairs, a longer one gives stars: each class
+   against the first of the most connected ones that its size can link with. Pairs whose shared
+   counts can't reach ``shared_least`` are left out.
 5. The sets of each query class and of its candidates (at most about ``BLOCK``) meet in a task;
    there DivideSkip finds the candidates with the required overlap: the short inverted lists are
    heap-merged, the long ones probed by binary search, and the exact Jaccard test follows.
-6. Long lists whose classes are in several components after that are searched again, in blocks
-   of queries against blocks of candidates: every class outside the list's largest component
-   against all. So no link is lost, and hot groups cost a star instead of all pairs.
+6. Long lists whose classes are in several components after that are gone through once more,
+   block by block: classes outside the list's largest component against all that are in other
+   components. Their common lists are counted, and pairs that reach ``shared_least`` go through
+   step 5. So no link is lost, and a hot group costs stars instead of all pairs.
 7. Components: alternating large-star and small-star steps on the links.
 
 Only the sketch (4 MB whatever the input) goes through the driver.
@@ -60,6 +63,15 @@ def overlap(a: int, b: int) -> int:
     return -(-PERCENT * (a + b) // (100 + PERCENT))
 
 
+def shared_least(a, b):
+    """Least number of shingles that two linked sets of these sizes share in both prefixes.
+
+    What they have in common beyond the shorter-reaching prefix fits in that set's rest, which
+    has ceil(0.75 size) - 1 shingles. Works on numbers and arrays.
+    """
+    return -(-PERCENT * (a + b) // (100 + PERCENT)) - np.maximum(-(-PERCENT * a // 100), -(-PERCENT * b // 100)) + 1
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of every document."""
     data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
@@ -167,8 +179,8 @@ def _read_block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return classes, np.frombuffer(data, U, m, 8 + 24 * k), np.frombuffer(data, np.uint32, m, 8 + 24 * k + 8 * m)
 
 
-def _lists_of(blocks: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(classes, the inverted lists of two or more as sorted class numbers), each list once."""
+def _lists_of(blocks: list[bytes]) -> tuple[np.ndarray, dict[bytes, int]]:
+    """(classes, inverted lists of two or more as bytes of sorted class numbers: how many shingles have each)."""
     parts = [_read_block(x) for x in blocks]
     table = np.concatenate([p[0] for p in parts])
     base = np.cumsum([0, *(len(p[0]) for p in parts)])
@@ -180,58 +192,105 @@ def _lists_of(blocks: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
     fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])
     h, of = h[fresh], of[fresh]
     cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
-    several = np.flatnonzero(np.diff(cuts) > 1)
-    lists = {of[cuts[i] : cuts[i + 1]].tobytes() for i in several.tolist()}
-    return classes, [np.frombuffer(x, of.dtype) for x in sorted(lists)]
+    lists: dict[bytes, int] = defaultdict(int)
+    for i in np.flatnonzero(np.diff(cuts) > 1).tolist():
+        lists[of[cuts[i] : cuts[i + 1]].tobytes()] += 1
+    return classes, lists
 
 
-def _close(a: int, b: int) -> bool:
-    return 100 * min(a, b) >= PERCENT * max(a, b)
+def _close(a, b):
+    return 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards -> pairs (query x, candidate y; list null) and the members of long lists (x, sizes in n; list set)."""
-    names = ["x1", "x2", "y1", "y2", "n", "list"]
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks in order of shard -> members of inverted lists (list, c1, c2, n, times)."""
 
-    def out(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def out(blocks: list[bytes]) -> pa.RecordBatch:
         classes, lists = _lists_of(blocks)
-        sizes = classes[:, 2].tolist()
-        weight = np.bincount(np.concatenate(lists), minlength=len(classes)) if lists else None
-        pairs: set[tuple[int, int]] = set()
-        for members in lists:
-            if len(members) <= PAIRS:
-                ms = members.tolist()
-                pairs.update((a, b) for i, a in enumerate(ms) for b in ms[i + 1 :] if _close(sizes[a], sizes[b]))
-                continue
-            # stars that cover the list: sizes that can link to the heaviest class left
-            left = members[np.lexsort((members, -weight[members]))].tolist()
-            while len(left) > 1:
-                hub = left[0]
-                near = [b for b in left[1:] if _close(sizes[hub], sizes[b])]
-                pairs.update((hub, b) for b in near)
-                done = {hub, *near}
-                left = [b for b in left if b not in done]
-        if pairs:
-            p = np.array(sorted(pairs))
-            x, y = classes[p[:, 0]], classes[p[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x[:, 0], x[:, 1], y[:, 0], y[:, 1])] + [pa.nulls(len(p), pa.int64()), pa.nulls(len(p), pa.string())], names=names)
-        for members in lists:
-            if len(members) > PAIRS:
-                c = classes[members]
-                name = hashlib.blake2b(c.tobytes(), digest_size=16).hexdigest()
-                none = pa.nulls(len(c), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c[:, 0]), pa.array(c[:, 1]), none, none, pa.array(c[:, 2]), pa.array([name] * len(c))], names=names)
+        members = [np.frombuffer(x, np.int64) for x in lists]
+        sizes = [len(m) for m in members]
+        c = classes[np.concatenate(members)] if members else np.empty((0, 3), np.int64)
+        names = [hashlib.blake2b(classes[m].tobytes(), digest_size=16).hexdigest() for m in members]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.array(names, object), sizes), pa.string()), *(pa.array(c[:, i]) for i in range(3)), pa.array(np.repeat(np.array(list(lists.values()), np.int64), sizes))],
+            names=["list", "c1", "c2", "n", "times"],
+        )
 
     now, blocks = None, []
     for batch in batches:
         for shard, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if shard != now and blocks:
-                yield from out(blocks)
+                yield out(blocks)
                 blocks = []
             now = shard
             blocks.append(data.as_py())
     if blocks:
-        yield from out(blocks)
+        yield out(blocks)
+
+
+def _possible(x: tuple, y: tuple) -> bool:
+    """Of members (c1, c2, n, shared)."""
+    return bool(_close(x[2], y[2])) and shared_least(x[2], y[2]) <= min(x[3], y[3])
+
+
+def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members (list, c1, c2, n, shared) in order of list and falling shared -> pairs (x, y)."""
+    pairs: set[tuple] = set()
+
+    def out() -> pa.RecordBatch:
+        rows = sorted(pairs)
+        pairs.clear()
+        columns = zip(*rows, strict=True) if rows else ((),) * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["x1", "x2", "y1", "y2"])
+
+    now, start, hubs = None, [], []
+    for batch in batches:
+        for name, *member in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if name != now:
+                now, start, hubs = name, [], []
+            if len(start) < PAIRS:  # all pairs of the first ones
+                pairs.update((x[0], x[1], member[0], member[1]) for x in start if _possible(x, member))
+                start.append(member)
+                hubs += [] if any(_close(h[2], member[2]) for h in hubs) else [member]
+                continue
+            hub = next((h for h in hubs if _close(h[2], member[2])), None)
+            if hub is None:
+                hubs.append(member)
+            elif _possible(hub, member):
+                pairs.add((hub[0], hub[1], member[0], member[1]))
+        if len(pairs) > 200_000:
+            yield out()
+    yield out()
+
+
+def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells (list, cell, c1, c2, n, shared, component, times, asked, given, query) -> pairs in different components, with times."""
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        c1, c2, n, shared, component, times = (np.array(x, np.int64) for x in list(zip(*rows, strict=True))[:6])
+        asked, given, query = (np.array(x, bool) for x in list(zip(*rows, strict=True))[6:])
+        found: list[list[np.ndarray]] = [[], []]
+        to = np.flatnonzero(given)
+        for q in np.flatnonzero(asked).tolist():
+            fit = to[_close(n[to], n[q]) & (component[to] != component[q])]
+            fit = fit[shared_least(n[fit], n[q]) <= np.minimum(shared[fit], shared[q])]
+            # where both are asked about, once
+            fit = fit[~query[fit] | (c1[fit] > c1[q]) | ((c1[fit] == c1[q]) & (c2[fit] > c2[q]))]
+            found[0].append(np.full(len(fit), q))
+            found[1].append(fit)
+        x, y = (np.concatenate(f) if f else np.empty(0, np.int64) for f in found)
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (c1[x], c2[x], c1[y], c2[y], n[x], n[y], times[x])], names=["x1", "x2", "y1", "y2", "nx", "ny", "times"])
+
+    now, rows = None, []
+    for batch in batches:
+        for name, cell, *row in zip(*(batch.column(i).to_pylist() for i in range(11)), strict=True):
+            if (name, cell) != now and rows:
+                yield out(rows)
+                rows = []
+            now = (name, cell)
+            rows.append(tuple(row))
+    if rows:
+        yield out(rows)
 
 
 def divide_skip(query: np.ndarray, index: dict[int, list[int]], sets: list[np.ndarray]) -> list[int]:
@@ -321,19 +380,25 @@ def _pair_blocks(pairs: DataFrame) -> DataFrame:
     return dealt.select(*names("y1", "y2", False)).unionByName(asked.select(*names("x1", "x2", True)))
 
 
-def _list_blocks(lists: DataFrame, node_of: DataFrame) -> DataFrame:
-    """What is open in long lists: classes outside a list's largest component against all, block by block."""
-    named = lists.join(node_of, ["c1", "c2"]).select("list", "c1", "c2", "component")
+def _rest(members: DataFrame, node_of: DataFrame) -> DataFrame:
+    """Pairs (x, y) that are still open: see step 6."""
+    spark = members.sparkSession
+    named = members.join(node_of, ["c1", "c2"])
     per = named.groupBy("list", "component").agg(F.count("*").alias("m"))
-    largest = per.groupBy("list").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"), F.count("*").alias("k")).where("k > 1")
-    open_ = named.join(largest, "list").withColumn("q", ~F.col("component").eqNullSafe(F.col("top.component")))
-    cut = open_.select("list", "c1", "c2", "q", F.ceil(F.col("all") / (4 * BLOCK)).cast("int").alias("parts"))
-    cut = cut.withColumn("mine", F.pmod(F.hash("c1", "c2"), "parts"))
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    asked = cut.where("q").withColumn("other", every).select("list", "c1", "c2", F.concat_ws("/", "mine", "other").alias("cell"), F.lit(True).alias("q"), F.lit(False).alias("c"))
-    given = cut.withColumn("other", every).select("list", "c1", "c2", F.concat_ws("/", "other", "mine").alias("cell"), F.lit(False).alias("q"), F.lit(True).alias("c"))
-    rows = asked.unionByName(given).groupBy("list", "cell", "c1", "c2").agg(F.max("q").alias("q"), F.max("c").alias("c"))
-    return rows.select(F.xxhash64("list", "cell").alias("g1"), F.xxhash64("cell", "list").alias("g2"), F.lit(0).alias("part"), "c1", "c2", "q", "c")
+    largest = per.groupBy("list").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"), F.count("*").alias("k")).where(f"k > 1 AND all > {PAIRS}")
+    open_ = named.join(largest, "list").withColumn("q", F.col("component") != F.col("top.component"))
+    cut = open_.withColumn("parts", F.ceil(F.col("all") / (8 * BLOCK)).cast("int")).withColumn("mine", F.pmod(F.hash("c1", "c2"), "parts"))
+    cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    plain = ["c1", "c2", "n", "shared", "component", "times", "q"]
+    asked = cells.where("q").select("list", F.concat_ws("/", "mine", "other").alias("cell"), *plain, F.lit(True).alias("a"), F.lit(False).alias("g"))
+    given = cells.select("list", F.concat_ws("/", "other", "mine").alias("cell"), *plain, F.lit(False).alias("a"), F.lit(True).alias("g"))
+    both = asked.unionByName(given).groupBy("list", "cell", "c1", "c2", "n", "shared", "component", "times", "q").agg(F.max("a").alias("a"), F.max("g").alias("g"))
+    dealt = both.select("list", "cell", "c1", "c2", "n", "shared", "component", "times", "a", "g", "q")
+    dealt = dealt.repartition(partitions(spark), "list", "cell").sortWithinPartitions("list", "cell")
+    pairs = dealt.mapInArrow(_open_pairs, "x1 long, x2 long, y1 long, y2 long, nx long, ny long, times long")
+    counted = pairs.groupBy("x1", "x2", "y1", "y2", "nx", "ny").agg(F.sum("times").alias("times"))
+    least = F.ceil(PERCENT * (F.col("nx") + F.col("ny")) / (100 + PERCENT)) - F.greatest(F.ceil(PERCENT * F.col("nx") / 100), F.ceil(PERCENT * F.col("ny") / 100)) + 1
+    return counted.where(F.col("times") >= least).select("x1", "x2", "y1", "y2")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -368,9 +433,12 @@ def link_documents(docs: DataFrame) -> DataFrame:
     shards = partitions(spark)
     postings = docs.select("text").mapInArrow(_postings(sketch, shards), "shard int, data binary")
     postings = postings.repartition(shards, "shard").sortWithinPartitions("shard")
-    found = saved(postings.mapInArrow(_candidates, "x1 long, x2 long, y1 long, y2 long, n long, list string"))
-    pairs = found.where("list IS NULL").select("x1", "x2", "y1", "y2").distinct()
-    lists = found.where("list IS NOT NULL").select("list", F.col("x1").alias("c1"), F.col("x2").alias("c2")).distinct()
+    lists = saved(postings.mapInArrow(_members, "list string, c1 long, c2 long, n long, times long"))
+    # shards that have the same list count together
+    members = lists.groupBy("list", "c1", "c2", "n").agg(F.sum("times").alias("times"))
+    members = saved(members.join(lists.groupBy("c1", "c2").agg(F.sum("times").alias("shared")), ["c1", "c2"]))
+    dealt = members.select("list", "c1", "c2", "n", "shared").repartition(shards, "list").sortWithinPartitions("list", F.desc("shared"), "c1", "c2")
+    pairs = dealt.mapInArrow(_first_pairs, "x1 long, x2 long, y1 long, y2 long").distinct()
     # a class is the node of its least doc_id
     nodes = rows.where("n > 0").groupBy("c1", "c2").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("node"))
     named = lambda e: (
@@ -380,11 +448,11 @@ def link_documents(docs: DataFrame) -> DataFrame:
     )
     edges = saved(named(_links(_pair_blocks(pairs), docs)))
     linked = components(edges)
-    in_lists = lists.select("c1", "c2").distinct().join(nodes, ["c1", "c2"])
+    in_lists = members.select("c1", "c2").distinct().join(nodes, ["c1", "c2"])
     node_of = in_lists.join(linked, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component"))
-    rest = saved(_list_blocks(lists, node_of))
+    rest = saved(_rest(members, node_of))
     if not rest.isEmpty():
-        more = saved(named(_links(rest, docs)))
+        more = saved(named(_links(_pair_blocks(rest), docs)))
         linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     of_class = nodes.join(linked, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component"))
     out = rows.join(of_class, ["c1", "c2"], "left")
