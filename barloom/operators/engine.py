@@ -186,6 +186,8 @@ def _events(frame: pd.DataFrame, params: Mapping[int, Mapping[str, Any]], costs:
     for c in ("trade_no", "entry_idx", "exit_idx", "bars_held", "bar"):
         out[c] = out[c].astype("Int32")
     out["in_position"] = out["in_position"].astype("boolean")
+    for c in ("direction", "exit_reason"):  # all null without trades
+        out[c] = out[c].astype(object).where(out[c].notna(), None)
     for c in ("entry_ts", "exit_ts", "ts"):
         out[c] = pd.to_datetime(out[c])
     return out

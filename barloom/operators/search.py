@@ -244,15 +244,16 @@ def study(bars: DataFrame, base: Params, filters: Mapping[str, bool], metric: st
     flags = {s.flag: (s.params[0].default if compat_flags else bool(filters.get(s.flag, False))) for s in specs.all_specs()}
     fixed = {**base, **flags, **(pinned or {})}
     sampler = Sampler(dimensions(filters, pinned, base["trade_direction"], compat_flags), seed)
-    done = 0
+    done = lost = 0
     while done < trials:
         asked = sampler.batch(min(batch, trials - done))
         sets = {i: P.make(**{k: v for k, v in {**fixed, **t}.items() if k in P.defaults()}) for i, t in enumerate(asked)}
         found = {r["param_id"]: r["value"] for r in objective(evaluate(bars, sets, **costs), metric, min_trades).collect()}
+        lost += len(set(sets) - set(found))
         sampler.tell(asked, [found.get(i, FAILED) for i in sets])
         done += len(asked)
     ranked = [t for t in sampler.seen if math.isfinite(t[1])]
-    failed = 1 - len(ranked) / max(1, len(sampler.seen))
+    failed = lost / max(1, done)
     if not ranked:
         return Study(None, FAILED, failed, sampler.seen)
     top = max(ranked, key=lambda t: t[1])  # the first of equals
@@ -371,6 +372,6 @@ def permutation_test(bars: DataFrame, base: Params, filters: Mapping[str, bool],
     flags = {s.flag: bool(filters.get(s.flag, False)) for s in specs.all_specs()}
     sets = {i: P.make(**{k: v for k, v in {**base, **flags, **t}.items() if k in P.defaults()}) for i, t in enumerate(sampler.batch(trials))}
     values = best(objective(evaluate(train.select(*many.columns).unionByName(many), sets), metric, min_trades))
-    scored = values.select(F.split("symbol", "#")[0].alias("symbol"), F.split("symbol", "#")[1].alias("_k"), F.when(F.col("value") > FAILED, F.col("value")).otherwise(0.0).alias("value"))
+    scored = values.select(F.get(F.split("symbol", "#"), F.lit(0)).alias("symbol"), F.get(F.split("symbol", "#"), F.lit(1)).alias("_k"), F.when(F.col("value") > FAILED, F.col("value")).otherwise(0.0).alias("value"))
     real = scored.where("_k IS NULL").select("symbol", F.col("value").alias("real"))
     return scored.where("_k IS NOT NULL").select("symbol", F.col("_k").cast("int").alias("perm_id"), F.col("value").alias("permuted")).join(real, "symbol")

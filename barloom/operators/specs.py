@@ -126,7 +126,7 @@ SPECS: list[Spec] = [
          _int("bbwp_threshold_long", 50, 1, 99, "long"), _int("bbwp_threshold_short", 50, 1, 99, "short"),
          _pick("bbwp_ma_filter", "disabled", ("disabled", "decreasing", "increasing")), _mode("bbwp_signal_mode")),
         lambda g, p: (b := g.bbwp(p["bbwp_length"], p["bbwp_lookback"]), g.sma(b, p["bbwp_sma_length"])),
-        lambda p, c: _below("bbwp_threshold_long")(p, c) & _slope(p, c), lambda p, c: _below("bbwp_threshold_short")(p, c) & _slope(p, c), "bbwp_signal_mode",
+        lambda p, c: _below("bbwp_threshold_long")(p, c) & _slope(p, c), lambda p, c: _above("bbwp_threshold_short")(p, c) & _slope(p, c), "bbwp_signal_mode",
     ),
     Spec(
         "adx_entry", "entry", "adx_enabled",
