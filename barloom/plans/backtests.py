@@ -136,13 +136,13 @@ def engine_sql(p: dict[str, Any], capital: float = engine.CAPITAL, commission: f
         FROM run LEFT JOIN fin f ON f.symbol = run.symbol AND f.bar = run.bar LEFT JOIN fills t ON t.symbol = run.symbol AND t.exit_idx = run.bar AND t.part = 3)"""
 
 
-TRADE_SHOW = shown("log", "entry_price, exit_price, pnl_pct, mae, mfe", 6, "symbol, direction, exit_reason", "entry_ts", "trade_no, entry_idx, exit_idx, bars_held")
+TRADE_SHOW = shown("log", "entry_price, exit_price, pnl_pct, mae, mfe", 8, "symbol, direction, exit_reason", "entry_ts", "trade_no, entry_idx, exit_idx, bars_held")
 
 
 def _trades(p: dict[str, Any], bars: Callable[[SparkSession, str], DataFrame] = B.daily, **costs: float) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = engine.trades_of(engine.backtest(bars(spark, sf_dir), p, **costs))
-        return rounded(t.select("symbol", "direction", "exit_reason", "entry_ts", "trade_no", "entry_idx", "exit_idx", "bars_held", "entry_price", "exit_price", "pnl_pct", "mae", "mfe"), 6)
+        return rounded(t.select("symbol", "direction", "exit_reason", "entry_ts", "trade_no", "entry_idx", "exit_idx", "bars_held", "entry_price", "exit_price", "pnl_pct", "mae", "mfe"), 8)  # prices with costs have up to eight digits: none is a tie
 
     return run
 
@@ -317,12 +317,12 @@ _GRID = [(x, y) for x in (10.0, 30.0) for y in (20.0, 40.0)]
 _GRID_BASE = P.make(**{**BASE, "stop_loss_enabled": True, "take_profit_enabled": True})
 
 
-@query(_sweep_sql([(f"{x} AS x, {y} AS y", engine_sql({**_GRID_BASE, "stop_loss_pct_long": x, "take_profit_pct_long": y})) for x, y in _GRID], "profit_factor"))
+@query(_sweep_sql([(f"CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y", engine_sql({**_GRID_BASE, "stop_loss_pct_long": x, "take_profit_pct_long": y})) for x, y in _GRID], "profit_factor"))
 def grid_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.heatmap(B.daily(spark, sf_dir), _GRID_BASE, ("stop_loss_pct_long", (10.0, 30.0)), ("take_profit_pct_long", (20.0, 40.0)), "profit_factor"), 4)
 
 
-@query(_sweep_sql([(f"{rt} AS round_trip_pct", engine_sql(_STOPPED, commission=rt / 4, slippage=rt / 4)) for rt in (0.3, 1.0, 3.0)], "profit_factor"))
+@query(_sweep_sql([(f"CAST({rt} AS DOUBLE) AS round_trip_pct", engine_sql(_STOPPED, commission=rt / 4, slippage=rt / 4)) for rt in (0.3, 1.0, 3.0)], "profit_factor"))
 def cost_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.cost_sweep(B.daily(spark, sf_dir), _STOPPED, (0.3, 1.0, 3.0)).select("symbol", "round_trip_pct", F.col("profit_factor").alias("value")), 4)
 

@@ -197,7 +197,7 @@ def param_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCORES = [("A", 1, 2.0, 1.0), ("A", 2, 1.0, float("-inf")), ("B", 1, -1.0, 0.5), ("C", 1, 0.0, 1.0)]
 
 
-@query("SELECT * FROM (VALUES ('A', 0.666667), ('B', -0.5), ('C', 0.0)) AS t(symbol, efficiency)")
+@query("SELECT * FROM (VALUES ('A', 0.666667::DOUBLE), ('B', -0.5), ('C', 0.0)) AS t(symbol, efficiency)")
 def efficiency_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.efficiency(spark.createDataFrame(_SCORES, "symbol string, fold int, train_value double, test_value double")))
 
@@ -268,9 +268,11 @@ def mc_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {B.DAILY_SQL}, r AS (SELECT symbol, bar, close / nullif({lag('close')}, 0) - 1 AS r FROM bars), p AS (SELECT unnest(range(3)) AS perm_id), sh AS (SELECT symbol, perm_id, row_number() OVER (PARTITION BY symbol, perm_id ORDER BY md5('42:' || perm_id || ':' || bar), bar) AS k, r FROM r, p WHERE r IS NOT NULL),
     j AS (SELECT b.*, p.perm_id, coalesce(sh.r, 0.0) AS r FROM bars b CROSS JOIN p LEFT JOIN sh ON sh.symbol = b.symbol AND sh.perm_id = p.perm_id AND sh.k = b.bar),
     n AS (SELECT *, first(close) OVER (PARTITION BY perm_id ORDER BY bar) * exp(sum(ln(1 + r)) OVER (PARTITION BY perm_id ORDER BY bar ROWS UNBOUNDED PRECEDING)) AS nc FROM j)
-    SELECT perm_id, bar, round(nc, 2) AS close, round(open * nc / close, 2) AS open, round(greatest(high * nc / close, open * nc / close, nc), 2) AS high, round(least(low * nc / close, open * nc / close, nc), 2) AS low, round(volume, 2) AS volume FROM n""")
+    SELECT perm_id, bar, round(ln(nc), 8) AS close, round(ln(open * nc / close), 8) AS open, round(ln(greatest(high * nc / close, open * nc / close, nc)), 8) AS high, round(ln(least(low * nc / close, open * nc / close, nc)), 8) AS low, round(volume, 2) AS volume FROM n""")
 def permute_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(M.permute_prices(B.daily(spark, sf_dir), 3).select("perm_id", "bar", "close", "open", "high", "low", "volume"), 2)
+    # logarithms: prices grow to 1e11, where cents are beyond a double's digits
+    logs = [F.ln(c).alias(c) for c in ("close", "open", "high", "low")]
+    return rounded(M.permute_prices(B.daily(spark, sf_dir), 3).select("perm_id", "bar", *logs, "volume"), 8)
 
 
 _RISK_ONLY = P.make(**{**BASE, "stop_loss_enabled": True, "stop_loss_pct_long": 20.0, "stop_loss_pct_short": 20.0})

@@ -146,7 +146,7 @@ _SUPER = RANGE_SQL + ", " + ewm("f", "rng", {"a": ("tr", 1 / 10)}) + """, band A
         UNION ALL SELECT symbol, bar, CASE WHEN now > 0 THEN CASE WHEN was > 0 AND dn < line THEN line ELSE dn END ELSE CASE WHEN was < 0 AND up > line THEN line ELSE up END END, now
         FROM (SELECT s.symbol, s.bar, s.up, s.dn, p.line, p.dir AS was, CASE WHEN s.close > p.line THEN 1.0 WHEN s.close < p.line THEN -1.0 ELSE p.dir END AS now
               FROM turn p JOIN band s ON s.symbol = p.symbol AND s.bar = p.bar + 1))"""
-_plan("supertrend", lambda g: dict(zip(("line", "dir"), g.supertrend(10, 3.0), strict=True)), _SUPER, "SELECT * FROM turn", "line, dir")
+_plan("supertrend", lambda g: dict(zip(("line", "dir"), g.supertrend(10, 3.0), strict=True)), _SUPER, "SELECT symbol, bar, line, CAST(dir AS DOUBLE) AS dir FROM turn", "line, dir")
 
 
 @query(f"WITH RECURSIVE {B.DAILY_SQL}, {_SUPER} SELECT symbol, bar, CASE WHEN dir > 0 THEN round(line, 4) END AS rising, CASE WHEN dir < 0 THEN round(line, 4) END AS falling FROM turn")
