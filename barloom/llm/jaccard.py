@@ -18,8 +18,8 @@ whole sequence is the one shingle). Two documents link when 100 * |A and B| >= 7
    heap-merged, the long ones probed by binary search, and the exact Jaccard test follows.
 6. Long lists whose classes are in several components after that are gone through once more,
    block by block: classes outside the list's largest component against all that are in other
-   components. Their common lists are counted, and pairs that reach ``shared_least`` go through
-   step 5. So no link is lost, and a hot group costs stars instead of all pairs.
+   components. Rows carry their class's lists (up to ``MANY``), so a pair is counted where it
+   first meets, and only pairs that reach ``shared_least`` leave the task and go through step 5. So no link is lost, and a hot group costs stars instead of all pairs.
 7. Components: alternating large-star and small-star steps on the links.
 
 Only the sketch (4 MB whatever the input) goes through the driver.
@@ -54,6 +54,8 @@ from barloom.llm.repeats import Rolling, mix, slices, split_words
 N, PERCENT = 5, 75
 SKETCH_BITS, SKETCH_BLOCKS = 20, 16
 PAIRS, BLOCK, POSTINGS = 4, 256, 1_000_000
+#: Lists of a class up to which its rows carry them all.
+MANY = 512
 U = np.uint64
 NO_ID = 2**63 - 1
 
@@ -264,33 +266,59 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells (list, cell, c1, c2, n, shared, component, times, asked, given, query) -> pairs in different components, with times."""
+    """Cells (list, cell, id, c1, c2, n, shared, component, times, asked, query, ids, weights) -> pairs in different components.
 
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        c1, c2, n, shared, component, times = (np.array(x, np.int64) for x in list(zip(*rows, strict=True))[:6])
-        asked, given, query = (np.array(x, bool) for x in list(zip(*rows, strict=True))[6:])
-        found: list[list[np.ndarray]] = [[], []]
-        to = np.flatnonzero(given)
+    Where both know all their lists, a pair is counted at the first list that they have in common
+    and only sent with as many as it needs; else it is sent from every list, with its times.
+    """
+
+    def out(here: int, rows: list[tuple]) -> pa.RecordBatch:
+        *numbers, asked, query, ids, weights = zip(*rows, strict=True)
+        c1, c2, n, shared, component, times = (np.array(x, np.int64) for x in numbers)
+        asked, query, knows = np.array(asked, bool), np.array(query, bool), np.array([x is not None for x in ids])
+        to = np.flatnonzero(~asked)
+        # who is in which list, of the lists that are known here
+        whose = np.repeat(to, [len(ids[i] or ()) for i in to.tolist()])
+        listed = np.array([x for i in to.tolist() for x in ids[i] or ()], np.int64)
+        order = np.argsort(listed, kind="stable")
+        listed, whose = listed[order], whose[order]
+        found: list[list[np.ndarray]] = [[], [], []]
         for q in np.flatnonzero(asked).tolist():
             fit = to[_close(n[to], n[q]) & (component[to] != component[q])]
-            fit = fit[shared_least(n[fit], n[q]) <= np.minimum(shared[fit], shared[q])]
+            need = shared_least(n[fit], n[q])
+            fit = fit[need <= np.minimum(shared[fit], shared[q])]
             # where both are asked about, once
             fit = fit[~query[fit] | (c1[fit] > c1[q]) | ((c1[fit] == c1[q]) & (c2[fit] > c2[q]))]
-            found[0].append(np.full(len(fit), q))
-            found[1].append(fit)
-        x, y = (np.concatenate(f) if f else np.empty(0, np.int64) for f in found)
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in (c1[x], c2[x], c1[y], c2[y], n[x], n[y], times[x])], names=["x1", "x2", "y1", "y2", "nx", "ny", "times"])
+            often = times[fit]
+            if knows[q] and len(fit):
+                mine, w = np.array(ids[q], np.int64), np.array(weights[q], np.int64)
+                lo, hi = np.searchsorted(listed, mine), np.searchsorted(listed, mine, "right")
+                first = mine.tolist().index(here)
+                common, earlier = np.zeros(len(n), np.int64), np.zeros(len(n), bool)
+                for i, (x, y) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
+                    common[whose[x:y]] += w[i]  # a class is in a list once
+                    if i < first:
+                        earlier[whose[x:y]] = True
+                sure = ~knows[fit] | (~earlier[fit] & (common[fit] >= shared_least(n[fit], n[q])))
+                often = np.where(knows[fit], common[fit], often)[sure]
+                fit = fit[sure]
+            for part, x in zip(found, (np.full(len(fit), q), fit, often), strict=True):
+                part.append(x)
+        x, y, often = (np.concatenate(f) if f else np.empty(0, np.int64) for f in found)
+        turn = (c1[x] > c1[y]) | ((c1[x] == c1[y]) & (c2[x] > c2[y]))  # who asks may differ from list to list
+        x, y = np.where(turn, y, x), np.where(turn, x, y)
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (c1[x], c2[x], c1[y], c2[y], n[x], n[y], often)], names=["x1", "x2", "y1", "y2", "nx", "ny", "times"])
 
     now, rows = None, []
     for batch in batches:
-        for name, cell, *row in zip(*(batch.column(i).to_pylist() for i in range(11)), strict=True):
-            if (name, cell) != now and rows:
-                yield out(rows)
+        for name, cell, here, *row in zip(*(batch.column(i).to_pylist() for i in range(13)), strict=True):
+            if (name, cell, here) != now and rows:
+                yield out(now[2], rows)
                 rows = []
-            now = (name, cell)
+            now = (name, cell, here)
             rows.append(tuple(row))
     if rows:
-        yield out(rows)
+        yield out(now[2], rows)
 
 
 def divide_skip(query: np.ndarray, index: dict[int, list[int]], sets: list[np.ndarray]) -> list[int]:
@@ -386,15 +414,16 @@ def _rest(members: DataFrame, node_of: DataFrame) -> DataFrame:
     named = members.join(node_of, ["c1", "c2"])
     per = named.groupBy("list", "component").agg(F.count("*").alias("m"))
     largest = per.groupBy("list").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"), F.count("*").alias("k")).where(f"k > 1 AND all > {PAIRS}")
-    open_ = named.join(largest, "list").withColumn("q", F.col("component") != F.col("top.component"))
-    cut = open_.withColumn("parts", F.ceil(F.col("all") / (8 * BLOCK)).cast("int")).withColumn("mine", F.pmod(F.hash("c1", "c2"), "parts"))
+    open_ = named.join(largest, "list").withColumn("q", F.col("component") != F.col("top.component")).withColumn("id", F.xxhash64("list"))
+    # a class's lists, the longest first: pairs in several are then counted where they first meet
+    lists = open_.groupBy("c1", "c2").agg(F.sort_array(F.collect_list(F.struct((-F.col("all")).alias("o"), "id", "times"))).alias("l")).where(F.size("l") <= MANY)
+    cut = open_.join(lists, ["c1", "c2"], "left").withColumn("parts", F.ceil(F.col("all") / (8 * BLOCK)).cast("int")).withColumn("mine", F.pmod(F.hash("c1", "c2"), "parts"))
     cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    plain = ["c1", "c2", "n", "shared", "component", "times", "q"]
-    asked = cells.where("q").select("list", F.concat_ws("/", "mine", "other").alias("cell"), *plain, F.lit(True).alias("a"), F.lit(False).alias("g"))
-    given = cells.select("list", F.concat_ws("/", "other", "mine").alias("cell"), *plain, F.lit(False).alias("a"), F.lit(True).alias("g"))
-    both = asked.unionByName(given).groupBy("list", "cell", "c1", "c2", "n", "shared", "component", "times", "q").agg(F.max("a").alias("a"), F.max("g").alias("g"))
-    dealt = both.select("list", "cell", "c1", "c2", "n", "shared", "component", "times", "a", "g", "q")
-    dealt = dealt.repartition(partitions(spark), "list", "cell").sortWithinPartitions("list", "cell")
+    plain = ["id", "c1", "c2", "n", "shared", "component", "times"]
+    knows = [F.col("l.id").alias("ids"), F.col("l.times").alias("weights")]
+    asked = cells.where("q").select("list", F.concat_ws("/", "mine", "other").alias("cell"), *plain, F.lit(True).alias("a"), "q", *knows)
+    given = cells.select("list", F.concat_ws("/", "other", "mine").alias("cell"), *plain, F.lit(False).alias("a"), "q", *knows)
+    dealt = asked.unionByName(given).repartition(partitions(spark), "list", "cell").sortWithinPartitions("list", "cell")
     pairs = dealt.mapInArrow(_open_pairs, "x1 long, x2 long, y1 long, y2 long, nx long, ny long, times long")
     counted = pairs.groupBy("x1", "x2", "y1", "y2", "nx", "ny").agg(F.sum("times").alias("times"))
     least = F.ceil(PERCENT * (F.col("nx") + F.col("ny")) / (100 + PERCENT)) - F.greatest(F.ceil(PERCENT * F.col("nx") / 100), F.ceil(PERCENT * F.col("ny") / 100)) + 1
