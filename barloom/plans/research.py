@@ -242,7 +242,7 @@ _BOOT = f"""WITH RECURSIVE {engine_sql(_STOPPED)}, sims AS (SELECT unnest(range(
     sz AS (SELECT symbol, count(*) AS n, CASE WHEN count(*) < 10 THEN 1 ELSE 5 END AS b FROM r GROUP BY symbol), bl AS (SELECT symbol, n, b, sim_id, unnest(range((n - 1) // b + 1)) AS block FROM sz, sims),
     s0 AS (SELECT *, CAST(floor({_U.format(key="'42:' || sim_id || ':' || block")} * (n - b + 1)) AS BIGINT) AS start FROM bl), s1 AS (SELECT symbol, n, b, sim_id, block, start, unnest(range(b)) AS k FROM s0),
     st AS (SELECT symbol, sim_id, block * b + k + 1 AS step, start + k AS i FROM s1 WHERE block * b + k + 1 <= n),
-    f AS (SELECT s.symbol, sim_id, exp(sum(ln(1 + r))) AS g, stddev_pop(r) AS sd, avg(r) AS m FROM st s JOIN r USING (symbol, i) GROUP BY ALL)"""
+    f AS (SELECT s.symbol, sim_id, product(1 + r) AS g, stddev_pop(r) AS sd, avg(r) AS m FROM st s JOIN r USING (symbol, i) GROUP BY ALL)"""
 
 
 @query(f"{_BOOT} SELECT symbol, sim_id, round(g, 6) AS growth, round(m / sd * sqrt(252), 4) AS sharpe FROM f")

@@ -19,7 +19,7 @@ BAR_DOUBLES = "open, high, low, close, volume"
 
 
 def _bars(name: str, make: Callable[[SparkSession, str], DataFrame], sql: str) -> None:
-    register(name, lambda s, d: rounded(make(s, d), 6), f"WITH {sql} {shown('bars', BAR_DOUBLES, 6, 'symbol, bar', 'ts')}")
+    register(name, lambda s, d: rounded(make(s, d), 8), f"WITH {sql} {shown('bars', BAR_DOUBLES, 8, 'symbol, bar', 'ts')}")
 
 
 _bars("bars_daily", B.daily, B.DAILY_SQL)
