@@ -2,9 +2,10 @@
 
 Host labels are split by unigram Viterbi with word frequencies counted over the texts of all
 pages; the classifier is multinomial naive Bayes over the words of host and path, with the
-rules' own verdicts as labels (distant supervision). Both models are tables counted by Spark;
-their sizes are bounded by ``MAX_WORDS`` entries, a parameter of the model, before they are
-sent to the executors. Every URL is judged.
+rules' own verdicts as labels (distant supervision). Both models are whole tables counted by
+Spark: the substrings of the distinct runs of letters, and the tokens of the distinct names
+(host, path), are joined to them, by broadcast only where Spark finds a side small. Every URL
+is judged.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, no rule and is
 judged by the prior alone; repeated rows and null page ids pass through; equal scores allow;
@@ -20,10 +21,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import ascii_lower
+from barloom.llm.common import ascii_lower, saved, text_key
 
 #: (verdict, rule): fixed values of the contract.
 RULES = (
@@ -33,7 +35,8 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-MAX_WORDS, MAX_TOKENS, LONGEST = 20_000, 50_000, 24
+#: Letters of the longest word; start places or pieces a batch.
+LONGEST, STEP = 24, 20_000
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -53,21 +56,22 @@ def match_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...] =
     return rule, verdict
 
 
-def word_model(pages: DataFrame, max_words: int = MAX_WORDS) -> dict[str, float]:
-    """log-probabilities of the most frequent words of all pages' texts (tags stripped)."""
+def word_counts(pages: DataFrame) -> DataFrame:
+    """(w, n) of every word of all pages' texts (tags stripped)."""
     plain = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?s)<[^>]*>", " ")
     words = pages.select(F.explode(F.regexp_extract_all(F.lower(plain), F.lit(f"[a-z]{{2,{LONGEST}}}"), 0)).alias("w"))
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(max_words).collect()
-    total = sum(r["count"] for r in top)
-    return {r["w"]: math.log(r["count"] / total) for r in top}
+    return words.groupBy("w").agg(F.count("*").alias("n"))
 
 
 class Segmenter:
-    """Unigram Viterbi: the most probable split; an unknown letter costs ``miss``."""
+    """Unigram Viterbi: the most probable split; an unknown letter costs ``miss``.
 
-    def __init__(self, words: dict[str, float]):
-        self.words, self.longest = words, max(map(len, words), default=1)
-        self.miss = min(words.values(), default=0.0) - 10.0
+    ``words`` may be only those that occur in the names to split, if ``longest`` and ``miss`` are those of all words.
+    """
+
+    def __init__(self, words: dict[str, float], longest: int | None = None, miss: float | None = None):
+        self.words, self.longest = words, longest or max(map(len, words), default=1)
+        self.miss = min(words.values(), default=0.0) - 10.0 if miss is None else miss
         self.cached = lru_cache(maxsize=100_000)(self._split)
 
     def _split(self, name: str) -> tuple[str, ...]:
@@ -89,43 +93,74 @@ class Segmenter:
         return out
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every substring of 2 to ``LONGEST`` letters of the runs (run, _h1, _h2)."""
+    for batch in batches:
+        h1, h2, w = [], [], []
+        for run, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i in range(0, len(run), STEP):
+                found = {run[k:end] for k in range(i, min(i + STEP, len(run))) for end in range(k + 2, min(k + LONGEST, len(run)) + 1)}
+                h1 += [a] * len(found)
+                h2 += [b] * len(found)
+                w += found
+                if len(w) >= STEP:
+                    yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(w, pa.string())], names=["_h1", "_h2", "w"])
+                    h1, h2, w = [], [], []
+        yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(w, pa.string())], names=["_h1", "_h2", "w"])
+
+
+def split_runs(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(run, parts) of distinct runs of letters: each meets the counts of its own substrings."""
+    size = counts.agg(F.sum("n").alias("total"), F.min("n").alias("least"), F.max(F.length("w")).alias("longest")).first()
+    total, longest = size["total"] or 1, size["longest"] or 1
+    miss = (math.log(size["least"] / total) if size["least"] else 0.0) - 10.0
+    runs = runs.select("run", *text_key(F.col("run")))
+    found = runs.mapInArrow(_pieces, "_h1 long, _h2 long, w string").join(counts, "w")
+    found = found.groupBy("_h1", "_h2").agg(F.map_from_entries(F.collect_set(F.struct("w", "n"))).alias("n"))
+
+    @F.pandas_udf("array<string>")
+    def segment(names: pd.Series, known: pd.Series) -> pd.Series:
+        logs = [{w: math.log(n / total) for w, n in (k or {}).items()} for k in known]
+        return pd.Series([list(Segmenter(words, longest, miss).cached(r)) for r, words in zip(names, logs, strict=True)])
+
+    return runs.join(found, ["_h1", "_h2"], "left").select("run", segment("run", "n").alias("parts"))
+
+
 def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, words (of host and path), score (log-odds of block)."""
     host, path = split_url(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
-    split = split.select("*", rule.alias("rule"), verdict.alias("_rule_says"))
-    send = pages.sparkSession.sparkContext.broadcast
-    words = send(word_model(pages))
-
-    def segment(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        model = Segmenter(words.value)
-        for hosts, paths in batches:
-            yield pd.Series([model.tokens(h, p) for h, p in zip(hosts, paths, strict=True)])
-
-    split = split.withColumn("words", F.pandas_udf(segment, "array<string>")("host", "path"))
-    labelled = split.where("_rule_says IS NOT NULL")
-    docs = {r["_rule_says"]: r["count"] for r in labelled.groupBy("_rule_says").count().collect()}
-    counts = (
-        labelled.select((F.col("_rule_says") == "block").cast("int").alias("b"), F.explode("words").alias("w"))
-        .groupBy("w")
-        .agg(F.sum("b").alias("block"), F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "w")
-        .limit(MAX_TOKENS)
-        .collect()
-    )
+    # all that follows depends on the name only: host and path, or their 128-bit key (a host has no slash)
+    named = split.groupBy("host", "path").agg(F.count("*").alias("pages")).select("*", rule.alias("rule"), verdict.alias("_rule_says"), *text_key(F.concat("host", "path")))
+    named = saved(named)
+    cut = lambda kind, c: F.transform(F.regexp_extract_all(c, F.lit("[a-z]+|[0-9]+"), 0), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("run")))
+    runs = named.select("_h1", "_h2", F.posexplode(F.concat(cut("h:", F.col("host")), cut("p:", F.lower("path")))).alias("pos", "_r")).select("_h1", "_h2", "pos", "_r.*")
+    parts = split_runs(runs.where("run >= 'a'").select("run").distinct(), saved(word_counts(pages)))
+    own = F.coalesce("parts", F.array(F.concat(F.lit("#"), F.length("run"))))
+    placed = runs.join(parts, "run", "left").select("_h1", "_h2", "pos", F.transform(own, lambda w: F.concat("kind", w)).alias("own"))
+    words = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "own"))), lambda x: x["own"]))
+    words = saved(placed.groupBy("_h1", "_h2").agg(words.alias("words")))
+    docs = {r["_rule_says"]: r["n"] for r in named.where("_rule_says IS NOT NULL").groupBy("_rule_says").agg(F.sum("pages").alias("n")).collect()}
+    scored = named.join(words, ["_h1", "_h2"], "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
     if len(docs) < 2:
-        return split.select("page_id", "host", "path", "rule", F.coalesce("_rule_says", F.lit("allow")).alias("verdict"), "words", F.lit(0.0).alias("score"))
-    block, allow = sum(r["block"] for r in counts), sum(r["n"] - r["block"] for r in counts)
-    v = len(counts)
-    odds = send({r["w"]: math.log((r["block"] + 1) / (block + v)) - math.log((r["n"] - r["block"] + 1) / (allow + v)) for r in counts})
-    prior = math.log(docs["block"] / docs["allow"])
-
-    @F.pandas_udf("double")
-    def bayes(words: pd.Series) -> pd.Series:
-        table = odds.value
-        return words.map(lambda ws: prior + math.fsum(table.get(w, 0.0) for w in ws))
-
-    judged = split.withColumn("score", bayes("words"))
+        scored = scored.withColumn("score", F.lit(0.0))
+    else:
+        block = F.when(F.col("_rule_says") == "block", F.col("pages")).otherwise(0)
+        labelled = named.where("_rule_says IS NOT NULL").select("_h1", "_h2", "pages", block.alias("b")).join(words, ["_h1", "_h2"])
+        counts = saved(labelled.select("pages", "b", F.explode("words").alias("w")).groupBy("w").agg(F.sum("b").alias("block"), F.sum("pages").alias("n")))
+        every = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("block"), F.lit(0)).alias("block"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+        blocked, allowed = max(1, every["block"] + every["v"]), max(1, every["n"] - every["block"] + every["v"])
+        odds = F.log((F.col("block") + 1) / F.lit(float(blocked))) - F.log((F.col("n") - F.col("block") + 1) / F.lit(float(allowed)))
+        prior = math.log(docs["block"] / docs["allow"])
+
+        @F.pandas_udf("double")
+        def bayes(odds: pd.Series) -> pd.Series:
+            return odds.map(lambda x: prior + math.fsum(x))  # exact, so in any order
+
+        met = words.select("_h1", "_h2", F.explode("words").alias("w")).join(counts.select("w", odds.alias("odds")), "w")
+        sums = met.groupBy("_h1", "_h2").agg(F.collect_list("odds").alias("odds")).select("_h1", "_h2", bayes("odds").alias("score"))
+        scored = scored.join(sums, ["_h1", "_h2"], "left").withColumn("score", F.coalesce("score", F.lit(prior)))
     says = F.when(F.col("score") > 0, "block").otherwise("allow")
-    return judged.select("page_id", "host", "path", "rule", F.coalesce("_rule_says", says).alias("verdict"), "words", "score")
+    judged = scored.select("host", "path", "rule", F.coalesce("_rule_says", says).alias("verdict"), "words", "score")
+    return split.join(judged, ["host", "path"]).select("page_id", "host", "path", "rule", "verdict", "words", "score")

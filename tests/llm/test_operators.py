@@ -145,6 +145,25 @@ def test_op8_splits_words():
     assert urls.Segmenter({"good": -1.0, "news": -1.0, "go": -3.0}).tokens("goodnews", "") == ["h:good", "h:news"]
 
 
+def test_op8_counts_every_word_and_token(llm_spark):
+    """More words than a fixed vocabulary holds, the telling ones the rarest."""
+    import itertools
+    import math
+
+    many = ["".join(x) for x in itertools.islice(itertools.product("bcdfghjklm", repeat=5), 25_000)]
+    path, text = "/".join(many[:500]), " ".join(many)
+    rows = [("http://a.net/es/" + path, text), ("http://b.net/es/" + path, text), ("http://zebrastripe.com/telling", "<p>zebra stripe telling</p>"), ("http://x.org/telling/telling", None), ("http://zebrastripe.org", ""), (None, None)]
+    got = {r["page_id"]: r for r in urls.judge_urls(llm_spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")).collect()}
+    words = Counter(w for _, t in rows for w in re.findall("[a-z]{2,24}", re.sub("<[^>]*>", " ", t or "").lower()))
+    cut = urls.Segmenter({w: math.log(n / words.total()) for w, n in words.items()})
+    want = {i: cut.tokens(*re.match(".*?://([^/?#]*)([^?#]*)", u or "://").groups()) for i, (u, _) in enumerate(rows)}
+    assert {i: r["words"] for i, r in got.items()} == want and want[4] == ["h:zebra", "h:stripe", "h:org"]
+    block, allow = Counter(want[0] + want[1]), Counter(want[2])
+    b, a, v = block.total(), allow.total(), len(block | allow)
+    odds = lambda w: math.log((block[w] + 1) / (b + v)) - math.log((allow[w] + 1) / (a + v)) if w in block or w in allow else 0
+    assert all(r["score"] == pytest.approx(math.log(2) + math.fsum(map(odds, want[i]))) for i, r in got.items())
+
+
 def test_op9_against_brute_force(llm_spark, sf, texts):
     words = {d: re.findall(WORD, t or "") for d, t in texts.items()}
     want = dict(zip(words, covered(list(words.values()), 35), strict=True))
