@@ -9,9 +9,11 @@ The classifier is fitted on at most ``SAMPLE`` labelled documents of each of at
 idf, centroids and rejection limits come from it. Prediction reads every whole text and is a
 map over partitions.
 
-Rejection: a text is rejected when its cosine is below ``SLACK`` times the lowest cosine that
-fitted documents of about its length (power of two of n-grams) or shorter reached, or when it
-has no letter.
+Rejection: a text is rejected when its cosine is below ``SLACK`` times the ``LOWEST`` quantile of
+the cosines of sampled documents of its own length (power of two of n-grams), or when it has no
+letter. The sample is halved for that, and each half scored by a model fitted on the other. A
+length with fewer than ``ENOUGH`` documents also takes the beginnings of longer ones, cut to it;
+one longer than all takes the limit of the longest.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; null languages
 aren't learned; with nothing to learn from every text is ``und``; repeated rows and null ids
@@ -30,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BINS, SAMPLE, MAX_LANGS, CENTROIDS, ROUNDS, SLACK, SEED = 4096, 400, 200, 3, 12, 0.25, 7
+BINS, SAMPLE, MAX_LANGS, CENTROIDS, ROUNDS, SEED = 4096, 400, 200, 3, 12, 7
+SLACK, LOWEST, ENOUGH = 0.85, 0.005, 200
 
 
 @cache
@@ -98,7 +101,8 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return c
 
 
-def fit_vectors(langs: list[str], counts: np.ndarray, sizes: np.ndarray) -> Model:
+def fit_vectors(langs: list[str], counts: np.ndarray) -> Model:
+    """Without limits."""
     if not langs:
         return Model([], np.zeros((0, BINS)), np.ones(BINS), np.zeros(64))
     idf = np.log((1 + len(langs)) / (1 + (counts > 0).sum(0))) + 1
@@ -111,12 +115,20 @@ def fit_vectors(langs: list[str], counts: np.ndarray, sizes: np.ndarray) -> Mode
         names += [lang] * len(c)
         centers.append(c)
     cents = np.concatenate(centers)
-    near = (x @ cents.T).max(1)
-    limits, low = np.zeros(64), near.min()
-    for b in range(64):  # documents of this length or shorter; none: the lowest of all
-        mine = near[np.array([int(s).bit_length() <= b for s in sizes])]
-        limits[b] = SLACK * (mine.min() if len(mine) else low)
-    return Model(names, cents, idf, limits)
+    return Model(names, cents, idf, np.zeros(64))
+
+
+def limits_of(bits: np.ndarray, whole: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    """Lowest allowed cosine by length, from documents (whole) and beginnings of documents."""
+    limits, last = np.zeros(64), 0.0
+    for b in range(64):
+        mine = cosines[(bits == b) & whole]
+        if len(mine) < ENOUGH:
+            mine = cosines[bits == b]
+        if len(mine):
+            last = SLACK * np.quantile(mine, LOWEST, method="lower")
+        limits[b] = last
+    return limits
 
 
 def held_out(doc_id: Column) -> Column:
@@ -144,7 +156,29 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     rows = drawn.mapInArrow(count, "lang string, draw double, counts binary, n long").where("n > 0").limit(2 * sample * MAX_LANGS).collect()
     rows.sort(key=lambda r: (r["lang"], r["draw"], r["counts"]))
     counts = np.array([np.frombuffer(r["counts"], np.float32) for r in rows]).reshape(len(rows), BINS)
-    return fit_vectors([r["lang"] for r in rows], counts, np.array([r["n"] for r in rows]))
+    langs, half = [r["lang"] for r in rows], np.array([_half(r["draw"]) for r in rows], int)
+    model = fit_vectors(langs, counts)
+    others = docs.sparkSession.sparkContext.broadcast([fit_vectors([x for x, h in zip(langs, half, strict=True) if h == k], counts[half == k]) for k in (1, 0)])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text, d in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                text, m = text.as_py(), others.value[_half(d)]
+                for cut in (None, *(1 << k for k in range(len(text).bit_length()) if 1 << k < len(text))):
+                    c, n = gram_counts(text[:cut])
+                    if n:
+                        found.append((n.bit_length(), cut is None, float((m.centroids @ m.vector(c)).max(initial=0.0))))
+            bits, whole, cos = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(bits, pa.int32()), pa.array(whole, pa.bool_()), pa.array(cos, pa.float64())], names=["bits", "whole", "cos"])
+
+    scores = drawn.select("text", "draw").mapInArrow(score, "bits int, whole boolean, cos double").collect()
+    model.limits = limits_of(*(np.array([r[c] for r in scores], t) for c, t in (("bits", int), ("whole", bool), ("cos", float))))
+    return model
+
+
+def _half(draw: float) -> int:
+    return int(draw * (1 << 53)) & 1
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -100,6 +100,28 @@ def test_op1_held_out_accuracy(llm_spark, sf):
     assert sum(r["lang"] == r["lang_pred"] for r in known) >= 0.95 * len(known) > 0
 
 
+def test_op1_rejects_what_is_no_known_language(llm_spark):
+    """At every length; clean held-out texts of every length stay."""
+    import random
+
+    rng = random.Random(5)
+    docs = llm_spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit(docs)
+    held = [r["text"] for r in docs.where(language.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 3)).collect()]
+    by = defaultdict(list)
+    for t in held:
+        for n in (None, 32, 64, 128, 256, 512, 1024, 2048, 4096):
+            if n is None or len(t) > n:
+                c, grams = language.gram_counts(t[:n])
+                by[grams.bit_length()].append(grams and model.predict(t[:n])[2])
+    assert sum(map(sum, by.values())) <= 0.01 * sum(map(len, by.values())) and all(sum(v) <= max(1, 0.02 * len(v)) for v in by.values())
+    for n in (64, 128, 256, 512, 1024, 4096, 16384):
+        junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for _ in range(40)]
+        assert sum(model.predict(t)[2] for t in junk) >= 38
+    for t in ("Съешь же ещё этих мягких французских булок, да выпей чаю. ", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. "):
+        assert model.predict(t * 3)[2]
+
+
 def test_op3_counts_whole_texts(llm_spark, sf, texts):
     encode = tokens.Encoder(tokens.read_ranks(tokens.VOCABULARY)).encode
     for r in queries.op3_token_counts(llm_spark, sf).collect():
