@@ -25,8 +25,10 @@ whole sequence is the one shingle). Two documents link when 100 * |A and B| >= 7
 Only the sketch (4 MB whatever the input) goes through the driver.
 
 Defined cases: null texts and texts without words have n_shingles 0 and are their own
-component; rows that share a doc_id are one node of the graph; null ids are never the
-smallest, and a component without any id has component_id null; a text of any length and any
+component; the nodes of the graph are the classes, so rows that share a doc_id or have none are
+linked by their texts alone; null ids are never the smallest, and a component without any id
+has component_id null; where ids repeat, two components may have one name (``keep_one`` goes by
+nodes, not by names); a text of any length and any
 number of copies is worked through; an empty table gives an empty result; other columns are
 ignored, or kept by ``keep_one``.
 """
@@ -48,7 +50,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import partitions, saved
+from barloom.llm.common import WORD, partitions, saved, text_key
 from barloom.llm.repeats import Rolling, mix, slices, split_words
 
 N, PERCENT = 5, 75
@@ -57,7 +59,8 @@ PAIRS, BLOCK, POSTINGS = 4, 256, 1_000_000
 #: Lists of a class up to which its rows carry them all.
 MANY = 512
 U = np.uint64
-NO_ID = 2**63 - 1
+#: What tells a row from others of its doc_id: 128 bits of the text, 64 of the row.
+KEYS = ("_k0", "_k1", "_k2")
 
 
 def overlap(a: int, b: int) -> int:
@@ -100,7 +103,7 @@ def class_of(s: np.ndarray) -> tuple[int, int]:
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents' classes and sizes, and the task's part of the sketch (rows with a block)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int64()), *((k, pa.int64()) for k in KEYS), ("block", pa.int32()), ("counts", pa.binary())])
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
         for a, b, data, offsets in slices(batch.column(1)):
@@ -109,13 +112,13 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = [class_of(s) if len(s) else (None, None) for s in sets]
             m = b - a
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[a:b], pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                [batch.column(0)[a:b], pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(batch.column(2 + k)[a:b] for k in range(len(KEYS))), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
                 schema=schema,
             )
     if sketch.any():
         parts = [zlib.compress(x.tobytes(), 1) for x in sketch.reshape(SKETCH_BLOCKS, -1)]
         none = pa.nulls(SKETCH_BLOCKS, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, *(none for _ in KEYS), pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,9 +453,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link_documents(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
+    rows = _linked(docs.select("doc_id", "text", *(F.lit(None).cast("long").alias(k) for k in KEYS)))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _linked(docs: DataFrame) -> DataFrame:
+    """doc_id, c1, c2, n, ``KEYS``, component (a node) and component_id (its least doc_id) of (doc_id, text, ``KEYS``)."""
     spark: SparkSession = docs.sparkSession
-    survey = saved(docs.select("doc_id", "text").mapInArrow(_survey, "doc_id long, c1 long, c2 long, n long, block int, counts binary"))
-    rows = survey.where("block IS NULL").select("doc_id", "c1", "c2", "n")
+    survey = saved(docs.mapInArrow(_survey, f"doc_id long, c1 long, c2 long, n long, {', '.join(f'{k} long' for k in KEYS)}, block int, counts binary"))
+    rows = survey.where("block IS NULL").select("doc_id", "c1", "c2", "n", *KEYS)
     parts = survey.where("block IS NOT NULL").select("block", "counts").repartition(SKETCH_BLOCKS, "block").mapInArrow(_add_up, "block int, counts binary").collect()
     sketch = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), np.int64)
     for r in parts:
@@ -468,8 +477,8 @@ def link_documents(docs: DataFrame) -> DataFrame:
     members = saved(members.join(lists.groupBy("c1", "c2").agg(F.sum("times").alias("shared")), ["c1", "c2"]))
     dealt = members.select("list", "c1", "c2", "n", "shared").repartition(shards, "list").sortWithinPartitions("list", F.desc("shared"), "c1", "c2")
     pairs = dealt.mapInArrow(_first_pairs, "x1 long, x2 long, y1 long, y2 long").distinct()
-    # a class is the node of its least doc_id
-    nodes = rows.where("n > 0").groupBy("c1", "c2").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("node"))
+    # a class is a node; numbers are given once, ids only name the components at the end
+    nodes = saved(rows.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
     named = lambda e: (
         e.join(nodes.select(F.col("c1").alias("x1"), F.col("c2").alias("x2"), F.col("node").alias("a")), ["x1", "x2"])
         .join(nodes.select(F.col("c1").alias("y1"), F.col("c2").alias("y2"), F.col("node").alias("b")), ["y1", "y2"])
@@ -477,25 +486,31 @@ def link_documents(docs: DataFrame) -> DataFrame:
     )
     edges = saved(named(_links(_pair_blocks(pairs), docs)))
     linked = components(edges)
-    in_lists = members.select("c1", "c2").distinct().join(nodes, ["c1", "c2"])
+    in_lists = members.select("c1", "c2").distinct().join(nodes.drop("least"), ["c1", "c2"])
     node_of = in_lists.join(linked, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component"))
     rest = saved(_rest(members, node_of))
     if not rest.isEmpty():
         more = saved(named(_links(_pair_blocks(rest), docs)))
         linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    of_class = nodes.join(linked, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component"))
-    out = rows.join(of_class, ["c1", "c2"], "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("component") != NO_ID, F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    of_class = nodes.join(linked, "node", "left").select("c1", "c2", "least", F.coalesce("component", "node").alias("component"))
+    names = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_class = of_class.join(names, "component").select("c1", "c2", "component", "component_id")
+    return rows.join(of_class, ["c1", "c2"], "left")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one whose id names it.
+    """``docs`` with one row of each component: of the least doc_id (nulls last), then by class, text and row.
 
-    Documents without words stay, and so do those of components without any id.
+    Rows without words stay.
     """
-    stay = link_documents(docs).where("n_shingles = 0 OR component_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(stay, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    if stay.where("_id IS NULL").isEmpty():
-        return named
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    text = F.coalesce("text", F.lit(""))
+    marks = (*text_key(F.col("text")), F.xxhash64(*(F.col(c) for c in docs.columns)))
+    keyed = docs.select("*", text.rlike(WORD).alias("_words"), *(m.alias(k) for m, k in zip(marks, KEYS, strict=True)))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "c1", "c2", *KEYS)
+    first = _linked(keyed.select("doc_id", "text", *KEYS)).where("n > 0").groupBy("component").agg(F.min(order).alias("o"))
+    first = first.select(F.col("o.doc_id").alias("_id"), *(F.col(f"o.{k}").alias(f"_o{k}") for k in KEYS))
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    for k in KEYS:
+        same = same & (F.col(k) == F.col(f"_o{k}"))
+    one = keyed.where("_words").join(first, same, "left_semi").dropDuplicates(["doc_id", *KEYS])
+    return one.unionByName(keyed.where("NOT _words")).select(*docs.columns)

@@ -215,6 +215,18 @@ def test_op10_near_copies_that_do_not_all_link(llm_spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
 
 
+def test_op10_null_and_repeated_ids(llm_spark):
+    """Clean rows stay whatever their ids, and of copies one stays."""
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(60))
+    rows = [(5, text(5)), (9, text(9)), (None, text(5) + " end"), (None, text(9) + " end"), (None, text(1)), (None, text(2)), (None, text(2)), (7, text(3)), (7, text(4)), (None, ""), (2, "")]
+    docs = llm_spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, k long")
+    kept = sorted((r["text"], r["doc_id"]) for r in jaccard.keep_one(docs).collect() if r["text"])
+    assert [t for t, _ in kept] == [text(k) for k in (1, 2, 3, 4, 5, 9)] and [d for _, d in kept] == [None, None, 7, 7, 5, 9]
+    assert jaccard.keep_one(docs).where("text = ''").count() == 2
+    named = {(r["doc_id"], r["component_id"]) for r in jaccard.link_documents(docs).where("n_shingles > 0").collect()}
+    assert named == {(5, 5), (9, 9), (None, 5), (None, 9), (None, None), (7, 7)}
+
+
 OPERATORS = {
     "language": lambda d, b: language.identify(d.select("doc_id", "text"), language.fit(d)),
     "decontaminate": lambda d, b: decontaminate.digests(decontaminate.flag(d, b)),
