@@ -11,10 +11,10 @@ favourable is up. Groups are independent, so a sweep is as parallel as it has pa
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,25 +172,30 @@ def simulate(rows: list[dict[str, Any]], p: Mapping[str, Any], capital: float, c
     return trades, curve
 
 
-def _events(frame: pd.DataFrame, params: Mapping[int, Mapping[str, Any]], costs: Mapping[int, tuple[float, float, float]], keep_equity: bool) -> Iterator[pd.DataFrame]:
-    frame = frame.sort_values("bar")
-    symbol, ident = frame["symbol"].iloc[0], int(frame["param_id"].iloc[0])
-    rows = frame.astype(object).where(frame.notna(), None).to_dict("records")
+_ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "timestamp_ntz": pa.timestamp("us")}
+_FIELDS = pa.schema([(n, _ARROW[t]) for n, t in map(str.split, EVENTS.split(", "))])
+
+
+def _table(n: int, **columns: Any) -> pa.Table:
+    """``n`` event rows; columns that aren't given are null."""
+    return pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _FIELDS], schema=_FIELDS)
+
+
+def _events(bars: pa.Table, params: Mapping[int, Mapping[str, Any]], costs: Mapping[int, tuple[float, float, float]], keep_equity: bool) -> pa.Table:
+    bars = bars.sort_by("bar")
+    symbol, ident, ts = bars.column("symbol")[0].as_py(), bars.column("param_id")[0].as_py(), bars.column("ts").combine_chunks()
+    names = [c for c in bars.column_names if c not in ("symbol", "param_id", "ts")]
+    rows = [dict(zip(names, v, strict=True)) for v in zip(*(bars.column(c).to_pylist() for c in names), strict=True)]
     trades, curve = simulate(rows, params[ident], *costs[ident])
-    ts = frame["ts"].tolist()
-    found = [t | {"kind": "trade", "entry_ts": ts[t["entry_idx"]], "exit_ts": ts[t["exit_idx"]]} for t in trades]
+    n, same = len(trades), {"symbol": symbol, "param_id": ident}
+    each = lambda n, kind: {k: [v] * n for k, v in (same | {"kind": kind}).items()}
+    columns = {k: [t[k] for t in trades] for k in trades[0]} if trades else {"entry_idx": [], "exit_idx": []}
+    times = {f"{k}_ts": ts.take(pa.array(columns[f"{k}_idx"], pa.int64())) for k in ("entry", "exit")}
+    out = [_table(n, **each(n, "trade"), **columns, **times)]
     if keep_equity:
-        found += [{"kind": "equity", "bar": i, "ts": ts[i], "mtm_equity": m, "realized_equity": r, "in_position": h} for i, (m, r, h) in enumerate(curve)]
-    names = [c.split()[0] for c in EVENTS.split(", ")]
-    out = pd.DataFrame(found, columns=names).assign(symbol=symbol, param_id=ident)
-    for c in ("trade_no", "entry_idx", "exit_idx", "bars_held", "bar"):
-        out[c] = out[c].astype("Int32")
-    out["in_position"] = out["in_position"].astype("boolean")
-    for c in ("direction", "exit_reason"):  # all null without trades
-        out[c] = out[c].astype(object).where(out[c].notna(), None)
-    for c in ("entry_ts", "exit_ts", "ts"):
-        out[c] = pd.to_datetime(out[c])
-    return out
+        marked, realized, held = zip(*curve, strict=True)
+        out.append(_table(len(ts), **each(len(ts), "equity"), bar=range(len(ts)), ts=ts, mtm_equity=marked, realized_equity=realized, in_position=held))
+    return pa.concat_tables(out)
 
 
 def run(signals: DataFrame, params: Mapping[int, Mapping[str, Any]], capital: float = CAPITAL, commission: float = COMMISSION, slippage: float = SLIPPAGE, costs: Mapping[int, tuple[float, float, float]] | None = None, keep_equity: bool = True) -> DataFrame:
@@ -202,7 +207,7 @@ def run(signals: DataFrame, params: Mapping[int, Mapping[str, Any]], capital: fl
     costs = costs or {k: (capital, commission, slippage) for k in params}
     wanted = [c for c in signals.columns if c in ("symbol", "param_id", "bar", "ts", "open", "high", "low", "close", "atr") or c.startswith(("entry_", "exit_"))]
     plain = {k: dict(v) for k, v in params.items()}
-    return signals.select(*wanted).groupBy("symbol", "param_id").applyInPandas(lambda f: _events(f, plain, costs, keep_equity), EVENTS)
+    return signals.select(*wanted).groupBy("symbol", "param_id").applyInArrow(lambda t: _events(t, plain, costs, keep_equity), EVENTS)
 
 
 def trades_of(events: DataFrame) -> DataFrame:
