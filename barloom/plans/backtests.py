@@ -25,14 +25,32 @@ BASE: dict[str, Any] = {
 }
 
 
+def _exits_sql(p: dict[str, Any]) -> list[tuple[str, str]]:
+    """(long, short) of each enabled exit."""
+    beyond = lambda op: f"coalesce({sma('close', p['ma_exit_fast'])} {op} {sma('close', p['ma_exit_slow'])}, false)"
+    found = [(beyond("<"), beyond(">"))]
+    if p["rsi_exit_enabled"]:
+        found.append(tuple(f"coalesce(rsi {op} {p[f'rsi_exit_{side}']}, false)" for op, side in ((">", "long"), ("<", "short"))))
+    return found
+
+
 def _signals_sql(p: dict[str, Any]) -> str:
-    """``sig``: bars with the bar before's signals, and the range mean."""
+    """``sig``: bars with the bar before's signals (of all exits, and of each), and the range mean."""
     sides = {"long": p["trade_direction"] in ("both", "long_only"), "short": p["trade_direction"] in ("both", "short_only")}
     edge = lambda x: f"{x} AND NOT coalesce({lag(x)}, false)"
-    return f"""m AS (SELECT symbol, bar, ts, open, high, low, close, coalesce({sma('close', 5)} > {sma('close', 20)}, false) AS up, coalesce({sma('close', 5)} < {sma('close', 20)}, false) AS dn,
-            coalesce({sma('close', 3)} < {sma('close', 10)}, false) AS xl, coalesce({sma('close', 3)} > {sma('close', 10)}, false) AS xs FROM bars),
+    exits, op = _exits_sql(p), f" {p['exit_operator']} "
+    each = ", ".join(f"{x} AS x{i}{side}" for i, pair in enumerate(exits) for side, x in zip("ls", pair, strict=True))
+    both = ", ".join(f"{op.join(f'x{i}{side}' for i in range(len(exits)))} AS x{side}" for side in "ls")
+    before = ", ".join(f"{lag(f'x{i}{side}')} AS p{i}{side}" for i in range(len(exits)) for side in "ls")
+    rsi, joined = "", ""
+    if p["rsi_exit_enabled"]:
+        n = p["rsi_exit_length"]
+        rsi = ewm("rf", "moves", {"g": ("gain", 1 / n), "l": ("loss", 1 / n)}) + ", rsi AS MATERIALIZED (SELECT symbol, bar, CASE WHEN l = 0 THEN NULL WHEN g = 0 THEN 0.0 ELSE 100 - 100 / (1 + g / l) END AS rsi FROM rf), "
+        joined = " JOIN rsi USING (symbol, bar)"
+    return f"""{rsi}m0 AS (SELECT symbol, bar, ts, open, high, low, close, coalesce({sma('close', p['ma_fast_length'])} > {sma('close', p['ma_slow_length'])}, false) AS up, coalesce({sma('close', p['ma_fast_length'])} < {sma('close', p['ma_slow_length'])}, false) AS dn, {each} FROM bars{joined}),
+        m AS (SELECT *, {both} FROM m0),
         e AS (SELECT *, {sides['long']} AND {edge('up')} AS el, {sides['short']} AND {edge('dn')} AS es FROM m),
-        sig AS MATERIALIZED (SELECT e.*, atr, {lag('el')} AS pel, {lag('es')} AS pes, {lag('xl')} AS pxl, {lag('xs')} AS pxs FROM e JOIN ra USING (symbol, bar))"""
+        sig AS MATERIALIZED (SELECT e.*, atr, {lag('el')} AS pel, {lag('es')} AS pes, {lag('xl')} AS pxl, {lag('xs')} AS pxs, {before} FROM e JOIN ra USING (symbol, bar))"""
 
 
 def _stops(p: dict[str, Any]) -> tuple[str, str]:
@@ -63,6 +81,13 @@ def engine_sql(p: dict[str, Any], capital: float = engine.CAPITAL, commission: f
     close_price = lambda r, x: f"CASE WHEN {r} IN ('stop_loss', 'take_profit', 'trailing_stop', 'atr_trailing') THEN {x} ELSE {x} * (1 - pos * {slip!r}) END"
     timed = f"WHEN pos = 1 AND age >= {p['time_exit_bars_long']} OR pos = -1 AND age >= {p['time_exit_bars_short']} THEN 'time_exit'" if p["time_exit_enabled"] else ""
     skip = p["entry_exit_conflict_mode"] == "skip"
+    # deferred: an exit that is on at the entry counts only once it has been off; b0, b1, ... are those still on since then
+    exits = range(len(_exits_sql(p))) if p["entry_exit_conflict_mode"] == "defer" else ()
+    of_side = lambda i, pos: f"CASE WHEN {pos} = 1 THEN p{i}l ELSE p{i}s END"
+    deep = "".join(f", s.p{i}l, s.p{i}s, r.b{i} AND CASE WHEN r.pos = 1 THEN s.p{i}l ELSE s.p{i}s END AS b{i}" for i in exits)
+    out = "pos <> 0 AND (" + f" {p['exit_operator']} ".join(f"({of_side(i, 'pos')} AND NOT b{i})" for i in exits) + ")" if exits else "pos = 1 AND pxl OR pos = -1 AND pxs"
+    held, none = "".join(f", b{i}" for i in exits), "".join(f", false AS b{i}" for i in exits)
+    entered = "".join(f", CASE WHEN go <> 0 THEN {of_side(i, 'go')} ELSE b{i} END AS b{i}" for i in exits)
     both = {"skip": "0", "prefer_long": "1", "prefer_short": "-1"}[p["entry_conflict_mode"]]
     loss_pct, win_pct = (p["stop_loss_pct_long"] if p["stop_loss_enabled"] else 3.0), (p["take_profit_pct_long"] if p["take_profit_enabled"] else 5.0)
     share = f"{p['position_size_pct']} / 100.0"
@@ -75,11 +100,11 @@ def engine_sql(p: dict[str, Any], capital: float = engine.CAPITAL, commission: f
         SELECT symbol, bar, ts, close, CAST({capital} AS DOUBLE) AS cash, 0 AS pos, 0.0::DOUBLE AS ep, 0.0::DOUBLE AS size, 0.0::DOUBLE AS hi, 0.0::DOUBLE AS lo, 0 AS age, 0::BIGINT AS eidx,
             0 AS nw, 0 AS nl, 0.0::DOUBLE AS sw_sum, 0.0::DOUBLE AS sl_sum, CAST({capital} AS DOUBLE) AS mtm, CAST({capital} AS DOUBLE) AS realized, false AS held,
             NULL::STRUCT(eidx BIGINT, ep DOUBLE, pos INT, size DOUBLE, price DOUBLE, reason VARCHAR, pnl DOUBLE, pct DOUBLE, age INT, mae DOUBLE, mfe DOUBLE) AS x1,
-            NULL::STRUCT(eidx BIGINT, ep DOUBLE, pos INT, size DOUBLE, price DOUBLE, reason VARCHAR, pnl DOUBLE, pct DOUBLE, age INT, mae DOUBLE, mfe DOUBLE) AS x2
+            NULL::STRUCT(eidx BIGINT, ep DOUBLE, pos INT, size DOUBLE, price DOUBLE, reason VARCHAR, pnl DOUBLE, pct DOUBLE, age INT, mae DOUBLE, mfe DOUBLE) AS x2{none}
         FROM sig WHERE bar = 0
         UNION ALL
         SELECT symbol, bar, ts, close, f_cash, f_pos, CASE WHEN f_pos <> 0 THEN f_ep ELSE 0.0 END, CASE WHEN f_pos <> 0 THEN f_size ELSE 0.0 END, hi, lo, CASE WHEN f_pos <> 0 THEN f_age ELSE 0 END, f_eidx,
-            nw, nl, sw_sum, sl_sum, f_cash + CASE WHEN f_pos <> 0 THEN f_size * (1 + f_pos * (close - f_ep) / f_ep) ELSE 0.0 END, f_cash + CASE WHEN f_pos <> 0 THEN f_size ELSE 0.0 END, was, x1, x2
+            nw, nl, sw_sum, sl_sum, f_cash + CASE WHEN f_pos <> 0 THEN f_size * (1 + f_pos * (close - f_ep) / f_ep) ELSE 0.0 END, f_cash + CASE WHEN f_pos <> 0 THEN f_size ELSE 0.0 END, was, x1, x2{held}
         FROM (
           SELECT *, CASE WHEN x2 IS NULL THEN pos ELSE 0 END AS f_pos, ep AS f_ep, size AS f_size, age AS f_age, eidx AS f_eidx,
             cash + coalesce(x2.size + x2.pnl, 0.0) AS f_cash
@@ -97,10 +122,10 @@ def engine_sql(p: dict[str, Any], capital: float = engine.CAPITAL, commission: f
                   FROM (
                     SELECT *, {prices}
                     FROM (
-                      SELECT * EXCLUDE (go, pos, ep, size, hi, lo, age, eidx, cash, sl_p, tp_p, tr_p, at_p), go <> 0 AS entered, was_in AS was,
+                      SELECT * EXCLUDE (go, pos, ep, size, hi, lo, age, eidx, cash, sl_p, tp_p, tr_p, at_p{held}), go <> 0 AS entered, was_in AS was,
                         CASE WHEN go <> 0 THEN go WHEN x1 IS NULL THEN pos ELSE 0 END AS pos, CASE WHEN go <> 0 THEN open * (1 + go * {slip!r}) ELSE ep END AS ep,
                         CASE WHEN go <> 0 THEN cash * least({share}, 1.0) ELSE size END AS size, CASE WHEN go <> 0 THEN high ELSE hi END AS hi, CASE WHEN go <> 0 THEN low ELSE lo END AS lo,
-                        CASE WHEN go <> 0 THEN 0 ELSE age END AS age, CASE WHEN go <> 0 THEN bar ELSE eidx END AS eidx, CASE WHEN go <> 0 THEN cash - cash * least({share}, 1.0) ELSE cash END AS cash
+                        CASE WHEN go <> 0 THEN 0 ELSE age END AS age, CASE WHEN go <> 0 THEN bar ELSE eidx END AS eidx, CASE WHEN go <> 0 THEN cash - cash * least({share}, 1.0) ELSE cash END AS cash{entered}
                       FROM (
                         SELECT *, CASE WHEN NOT free THEN 0 WHEN gl AND gs THEN {both} WHEN gl THEN 1 WHEN gs THEN -1 ELSE 0 END AS go
                         FROM (
@@ -115,11 +140,11 @@ def engine_sql(p: dict[str, Any], capital: float = engine.CAPITAL, commission: f
                             FROM (
                               SELECT *, {close_price('r1', f"({_STOP_PRICE.format(r='r1', other='open')})")} AS p1
                               FROM (
-                                SELECT *, CASE WHEN pos <> 0 THEN CASE WHEN {reason} IS NOT NULL THEN {reason} {timed} WHEN pos = 1 AND pxl OR pos = -1 AND pxs THEN 'signal' END END AS r1
+                                SELECT *, CASE WHEN pos <> 0 THEN CASE WHEN {reason} IS NOT NULL THEN {reason} {timed} WHEN {out} THEN 'signal' END END AS r1
                                 FROM (
                                   SELECT *, {prices}
                                   FROM (
-                                    SELECT s.symbol, s.bar, s.ts, s.open, s.high, s.low, s.close, s.atr, s.pel, s.pes, s.pxl, s.pxs, r.cash, r.pos, r.ep, r.size, r.eidx, r.nw, r.nl, r.sw_sum, r.sl_sum,
+                                    SELECT s.symbol, s.bar, s.ts, s.open, s.high, s.low, s.close, s.atr, s.pel, s.pes, s.pxl, s.pxs{deep}, r.cash, r.pos, r.ep, r.size, r.eidx, r.nw, r.nl, r.sw_sum, r.sl_sum,
                                       r.pos <> 0 AS was_in, CASE WHEN r.pos <> 0 THEN r.age + 1 ELSE 0 END AS age, CASE WHEN r.pos <> 0 THEN greatest(r.hi, s.high) ELSE 0.0 END AS hi, CASE WHEN r.pos <> 0 THEN least(r.lo, s.low) ELSE 0.0 END AS lo
                                     FROM run r JOIN sig s ON s.symbol = r.symbol AND s.bar = r.bar + 1))))))))))))))
     ),
@@ -169,12 +194,12 @@ BACKTESTS: dict[str, dict[str, Any]] = {
 }
 for _name, _more in BACKTESTS.items():
     _p = P.make(**{**BASE, **_more})
-    _deferred = _p["entry_exit_conflict_mode"] == "defer"
-    register(_name, _trades(_p), None if _deferred else f"WITH RECURSIVE {engine_sql(_p)} {TRADE_SHOW}")
+    register(_name, _trades(_p), f"WITH RECURSIVE {engine_sql(_p)} {TRADE_SHOW}")
 _STOPPED = P.make(**{**BASE, **BACKTESTS["bt_all_stops"]})
 register("bt_costs", _trades(_STOPPED, commission=0.25, slippage=0.25), f"WITH RECURSIVE {engine_sql(_STOPPED, commission=0.25, slippage=0.25)} {TRADE_SHOW}")
 register("bt_multi_asset", _trades(_STOPPED, B.by_priority), f"WITH RECURSIVE {engine_sql(_STOPPED, bars=B.PRIORITY_SQL)} {TRADE_SHOW}")
-register("bt_defer_mode", _trades(P.make(**{**BASE, "entry_exit_conflict_mode": "defer", "rsi_exit_enabled": True})))
+_DEFERRED = P.make(**{**BASE, "entry_exit_conflict_mode": "defer", "rsi_exit_enabled": True})
+register("bt_defer_mode", _trades(_DEFERRED), f"WITH RECURSIVE {engine_sql(_DEFERRED)} {TRADE_SHOW}")
 _KELLY = P.make(**{**BASE, "use_kelly": True, "take_profit_enabled": True, "stop_loss_enabled": True, "stop_loss_pct_long": 20.0, "stop_loss_pct_short": 20.0, "take_profit_pct_long": 30.0, "take_profit_pct_short": 30.0})
 
 
@@ -237,9 +262,10 @@ _METRICS = f"""{_PER_YEAR}, tr AS (SELECT symbol, count(*) AS num_trades, count(
 def metrics_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, t, e = _events(spark, sf_dir)
     m = metrics.metrics(t, e, metrics.bars_per_year(b), engine.CAPITAL)
-    m = rounded(m.select("symbol", "avg_winner", "avg_loser", "avg_trade", "expectancy"), 3).join(rounded(m.select("symbol", "total_return", "max_drawdown"), 2), "symbol").join(
-        rounded(m.select("symbol", "num_trades", "winners", "losers", "win_rate", "profit_factor", "avg_bars_held", "avg_mae", "avg_mfe", "payoff_ratio", "cagr", "max_drawdown_pct", "longest_drawdown_bars", "sharpe_ratio", "sortino_ratio", "calmar_ratio", "pct_time_in_market", "max_consecutive_wins", "max_consecutive_losses"), 4), "symbol")
-    return m
+    digits = {"avg_winner": 3, "avg_loser": 3, "avg_trade": 3, "expectancy": 3, "total_return": 2, "max_drawdown": 2}
+    counts = ("num_trades", "winners", "losers", "longest_drawdown_bars", "max_consecutive_wins", "max_consecutive_losses")
+    shares = ("win_rate", "profit_factor", "avg_bars_held", "avg_mae", "avg_mfe", "payoff_ratio", "cagr", "max_drawdown_pct", "sharpe_ratio", "sortino_ratio", "calmar_ratio", "pct_time_in_market")
+    return m.select("symbol", *counts, *[(F.round(c, digits.get(c, 4)) + F.lit(0.0)).alias(c) for c in (*digits, *shares)])
 
 
 @query(f"{_RUN}, sides AS (SELECT symbol, unnest(['long', 'short']) AS direction FROM (SELECT DISTINCT symbol FROM log)), f AS (SELECT symbol, direction, count(*) AS n, avg(CAST(pnl > 0 AS INT)) * 100 AS w, {_PF.format(**_PNL)} AS pf, avg(pnl_pct) AS a FROM log GROUP BY ALL) SELECT symbol, direction, coalesce(n, 0) AS n, round(coalesce(w, 0.0), 4) AS win_rate, round(coalesce(pf, 0.0), 4) AS profit_factor, round(coalesce(a, 0.0), 4) AS avg_pnl_pct FROM sides LEFT JOIN f USING (symbol, direction)")
@@ -307,9 +333,9 @@ def load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # sweeps: metrics of many parameter sets
 
 
-def _sweep_sql(sets: list[tuple[str, str]], metric: str) -> str:
+def _sweep_sql(sets: list[tuple[str, str]], metric: str, digits: int = 4) -> str:
     """UNION of one run for each (labels, CTEs)."""
-    one = f"SELECT symbol, {{labels}}, round({metric}, 4) AS value FROM al"
+    one = f"SELECT symbol, {{labels}}, round({metric}, {digits}) AS value FROM al"
     return " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {ctes}, {_METRICS} {one.format(labels=labels)})" for labels, ctes in sets)
 
 
@@ -330,6 +356,14 @@ def cost_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RISK = P.make(**{**BASE, "ma_trend_enabled": True, "stop_loss_enabled": True, "stop_loss_pct_long": 20.0, "stop_loss_pct_short": 20.0})
 
 
-@query()
+def _sensitivity_sql() -> str:
+    rows = search.variations(_RISK)
+    runs = _sweep_sql([(f"'{name}' AS param, CAST({base} AS DOUBLE) AS base, CAST({low} AS DOUBLE) AS low, CAST({high} AS DOUBLE) AS high, {j} AS j", engine_sql({**_RISK, name: (low, high)[j]})) for name, base, low, high in rows for j in (0, 1)], "profit_factor", 12)
+    value = "max(value) FILTER (j = {})".format
+    return f"""SELECT symbol, param, base, low, high, round({value(0)}, 4) AS low_value, round({value(1)}, 4) AS high_value, round(abs({value(1)} - {value(0)}), 4) AS sensitivity
+        FROM ({runs}) GROUP BY symbol, param, base, low, high"""
+
+
+@query(_sensitivity_sql())
 def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.sensitivity(B.daily(spark, sf_dir), _RISK), 4)

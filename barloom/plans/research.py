@@ -14,6 +14,7 @@ from barloom.operators import simulate as M
 from barloom.operators import params as P
 from barloom.plans.backtests import _STOPPED, BASE, _events, engine_sql
 from barloom.plans.catalogue import lag, over, query, register, rounded
+from barloom.plans.series import _ADX
 from barloom.sources import bars as B
 
 
@@ -51,9 +52,17 @@ _bucket("cal_dom", C.day_of_month, f"WITH {_returns_sql(base=B.DAILY_SQL)} {_buc
 _bucket("cal_hour", C.by_hour, f"WITH {_returns_sql('hour', B.HOURLY_SQL)} {_bucket_sql('hour(ts)')}", B.hourly)
 
 
-@query()
+#: Two-sided p of Student's t: its density over x = sqrt(v) tan(a) is a power of cos(a), summed by Simpson's rule from a0 to pi / 2.
+_T_TAIL = """(SELECT 2 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(pi()) * (pi() / 2 - a0) / 3000 * sum(CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(greatest(cos(a0 + (pi() / 2 - a0) * i / 1000), 0.0), v - 1))
+    FROM range(1001) AS steps(i))"""
+_DOW_P = f"""WITH {_returns_sql()}, b AS (SELECT symbol, isodow(ts) - 1 AS bucket, {_N} AS n, CASE WHEN {_N} > 1 AND stddev_samp(r) > 0 THEN avg(r) / stddev_samp(r) * sqrt({_N}) ELSE 0.0 END AS t FROM rets GROUP BY symbol, isodow(ts)),
+    a AS (SELECT *, n - 1.0 AS v, atan(abs(t) / sqrt(n - 1.0)) AS a0 FROM b), p AS (SELECT *, {_T_TAIL} AS p FROM a)
+    SELECT symbol, CAST(bucket AS BIGINT) AS bucket, n, round(t, 6) + 0.0 AS t_stat, round(p, 6) + 0.0 AS p_value, CASE WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars FROM p"""
+
+
+@query(_DOW_P)
 def cal_dow_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With p-values and stars; these come from the incomplete beta function."""
+    """With p-values and stars; the incomplete beta function here, an integral in the SQL."""
     return rounded(C.day_of_week(B.daily(spark, sf_dir)).select("symbol", "bucket", "n", "t_stat", "p_value", "stars"), 6)
 
 
@@ -296,7 +305,18 @@ def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.walk_forward(B.daily(spark, sf_dir), _RISK_ONLY, _FILTERS, trials=50, folds=3, batch=50)["folds"], 6)
 
 
-@query()
+_CHARACTER = f"""WITH RECURSIVE {B.PRIORITY_SQL}, {_ADX}, v AS (SELECT bars.symbol, bars.bar, close, a / nullif(close, 0) * 100 AS v, close / nullif({lag('close', by='bars.symbol', order='bars.bar')}, 0) - 1 AS r, adx, count(*) OVER (PARTITION BY bars.symbol) AS n
+        FROM bars JOIN f USING (symbol, bar) JOIN ad USING (symbol, bar)),
+    ends AS (SELECT symbol, arg_max(v, bar) AS atr_pct, arg_max(close, bar) AS close, arg_max(adx, bar) AS adx, max(n) AS n, stddev_samp(r) * sqrt(252) * 100 AS annual_vol, avg(r) / nullif(stddev_samp(r), 0) * sqrt(252) AS sharpe,
+        avg(close) FILTER (n - bar <= least(200, n // 2)) AS sma_long, avg(close) FILTER (n - bar <= least(50, n // 4)) AS sma_short FROM v GROUP BY symbol),
+    rk AS (SELECT v.symbol, avg(CAST(v.v < e.atr_pct AS INT)) * 100 AS atr_rank FROM v JOIN ends e USING (symbol) GROUP BY v.symbol),
+    o AS (SELECT *, (close / nullif(sma_long, 0) - 1) * 100 AS gap_pct FROM ends JOIN rk USING (symbol))
+    SELECT symbol, {', '.join(f'round({c}, 4) + 0.0 AS {c}' for c in ('atr_pct', 'close', 'adx', 'annual_vol', 'sharpe', 'atr_rank', 'sma_long', 'sma_short', 'gap_pct'))}, n,
+        CASE WHEN atr_rank < 33 THEN 'low' WHEN atr_rank > 66 THEN 'high' ELSE 'medium' END AS volatility, CASE WHEN gap_pct > 0 THEN 'up' ELSE 'down' END AS trend,
+        CASE WHEN abs(gap_pct) > 5 THEN 'strong' WHEN abs(gap_pct) > 2 THEN 'moderate' ELSE 'weak' END AS trend_strength, CASE WHEN adx < 20 THEN 'ranging' WHEN adx < 40 THEN 'trending' ELSE 'strong trend' END AS adx_regime FROM o"""
+
+
+@query(_CHARACTER)
 def market_characterization(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.session import characterize
 
