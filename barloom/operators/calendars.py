@@ -205,12 +205,12 @@ def trade_calendar(trades: DataFrame, bucket: Column) -> DataFrame:
 
 
 def analyze(bars: DataFrame) -> dict[str, DataFrame]:
-    """The whole bundle, over one cached frame of daily closes."""
+    """The whole bundle, over one cached frame of daily closes (``daily``: its unpersist() releases it)."""
     daily = last_per(bars, "day").persist()
     rs = returns(daily)
     acf = autocorrelation(rs)
     return {
-        "day_of_week": day_of_week(daily), "kruskal": kruskal(rs, F.weekday("ts")), "month": by_month(daily), "month_heatmap": month_heatmap(daily),
+        "daily": daily, "day_of_week": day_of_week(daily), "kruskal": kruskal(rs, F.weekday("ts")), "month": by_month(daily), "month_heatmap": month_heatmap(daily),
         "quarter": by_quarter(daily), "year": by_year(daily), "year_by_weekday": year_by_weekday(daily), "day_of_month": day_of_month(daily),
         "hour": by_hour(bars), "weekday_by_hour": weekday_by_hour(bars), "distribution": distribution(daily), "histogram": histogram(rs, "r", 40),
         "streaks": streaks(rs), "autocorrelation": acf, "ljung_box": ljung_box(acf), "summary": summary(day_of_week(daily, p_values=False), F.lit(252)),

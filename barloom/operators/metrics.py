@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,6 +145,16 @@ def curve_stats(curve: DataFrame, value: str = "value", by: tuple[str, ...] = ("
     )
 
 
+def check_aligned(*frames: DataFrame, on: tuple[str, ...] = ("symbol", "ts")) -> None:
+    """ValueError unless all frames have the same times (each as often): one job over their keys."""
+    marks = [f.select(*on, *[F.lit(int(i == k)).alias(f"_n{k}") for k in range(len(frames))]) for i, f in enumerate(frames)]
+    counts = reduce(DataFrame.unionByName, marks).groupBy(*on).agg(*[F.sum(f"_n{k}").alias(f"_n{k}") for k in range(len(frames))])
+    differs = reduce(lambda a, b: a | b, [F.col("_n0") != F.col(f"_n{k}") for k in range(1, len(frames))], F.lit(False))
+    sums = counts.agg(F.count_if(differs).alias("bad"), *[F.coalesce(F.sum(f"_n{k}"), F.lit(0)).alias(f"_n{k}") for k in range(len(frames))]).first()
+    if sums["bad"]:
+        raise ValueError(f"the series aren't on the same times: {[sums[f'_n{k}'] for k in range(len(frames))]} rows, {sums['bad']} times differ")
+
+
 def aligned(a: DataFrame, b: DataFrame, on: tuple[str, ...] = ("symbol", "ts")) -> DataFrame:
     """Inner join of two series on time, without nulls."""
     return a.join(b, list(on)).na.drop()

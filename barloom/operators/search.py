@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -30,8 +30,11 @@ FAILED = float("-inf")
 # many parameter sets over the same bars
 
 
-def with_many_signals(bars: DataFrame, sets: Mapping[int, Params]) -> DataFrame:
-    """Bars times parameter sets, each row with its set's signals (as ``with_signals``) and param_id."""
+def with_many_signals(bars: DataFrame, sets: Mapping[int, Params], owners: Mapping[int, Sequence[str]] | None = None) -> DataFrame:
+    """Bars times parameter sets, each row with its set's signals (as ``with_signals``) and param_id.
+
+    ``owners`` names the symbols that a set is for, where it isn't for all.
+    """
     plan, columns = Plan(), {}
     for ident, p in sets.items():
         columns[ident] = {s.key: s.compute(plan, p) for s in specs.enabled(p) if s.compute}
@@ -65,14 +68,16 @@ def with_many_signals(bars: DataFrame, sets: Mapping[int, Params]) -> DataFrame:
             fields.append(combine(mine, p["exit_operator"]).alias(f"exit_{side}_signal"))
             fields += [(F.col(names[k]) if k in names else F.lit(False)).alias(f"exit_{side}_{k}") for k in exits]
         atr = columns[ident].get("atr_trail")
-        each.append(F.struct(*fields, (F.col(atr[0]) if atr else F.lit(None).cast("double")).alias("atr")))
+        row = F.struct(*fields, (F.col(atr[0]) if atr else F.lit(None).cast("double")).alias("atr"))
+        each.append(row if owners is None else F.when(F.col("symbol").isin(*owners[ident]), row))
     plain = ["symbol", "ts", "bar", "open", "high", "low", "close"]
-    return bars.select(*plain, F.explode(F.array(*each)).alias("_s")).select(*plain, "_s.*")
+    rows = F.array(*each) if owners is None else F.array_compact(F.array(*each))
+    return bars.select(*plain, F.explode(rows).alias("_s")).select(*plain, "_s.*")
 
 
-def evaluate(bars: DataFrame, sets: Mapping[int, Params], capital: float = engine.CAPITAL, commission: float = engine.COMMISSION, slippage: float = engine.SLIPPAGE, costs: Mapping[int, tuple[float, float, float]] | None = None) -> DataFrame:
+def evaluate(bars: DataFrame, sets: Mapping[int, Params], capital: float = engine.CAPITAL, commission: float = engine.COMMISSION, slippage: float = engine.SLIPPAGE, costs: Mapping[int, tuple[float, float, float]] | None = None, owners: Mapping[int, Sequence[str]] | None = None) -> DataFrame:
     """Metrics of every (symbol, param_id)."""
-    events = engine.run(with_many_signals(bars, sets), sets, capital, commission, slippage, costs)
+    events = engine.run(with_many_signals(bars, sets, owners), sets, capital, commission, slippage, costs)
     return metrics.metrics(engine.trades_of(events), engine.equity_of(events), metrics.bars_per_year(bars), capital)
 
 
@@ -131,11 +136,11 @@ def stitch(equity: DataFrame, capital: float) -> DataFrame:
     return chained.withColumn("_n", first).where("_n = 1").select("symbol", "fold", "ts", "bar", "equity")
 
 
-def stability(values: DataFrame) -> DataFrame:
+def stability(values: DataFrame, by: tuple[str, ...] = ("param",)) -> DataFrame:
     """(param, cv) of (param, fold, value): population deviation over the mean's size, from two folds on."""
     sd, mean = F.stddev_pop("value"), F.avg("value")
     cv = F.when(F.abs(mean) > 1e-9, sd / F.nullif(F.abs(mean), F.lit(0.0))).otherwise(0.0)
-    return values.groupBy("param").agg(F.count("*").alias("n"), F.bround(cv, 4).alias("cv")).where("n >= 2").select("param", "cv")
+    return values.groupBy(*by).agg(F.count("*").alias("n"), F.bround(cv, 4).alias("cv")).where("n >= 2").select(*by, "cv")
 
 
 def efficiency(folds: DataFrame) -> DataFrame:
@@ -239,25 +244,80 @@ class Study:
     trials: list[tuple[Params, float]] = field(default_factory=list)
 
 
-def study(bars: DataFrame, base: Params, filters: Mapping[str, bool], metric: str = "sharpe_ratio", trials: int = 200, min_trades: int = 5, seed: int = 42, pinned: Mapping[str, Any] | None = None, batch: int = 25, compat_flags: bool = False, **costs: float) -> Study:
-    """The best parameters over one symbol's bars; each batch of trials is one job. Only a value a trial comes back."""
+#: Distinct parameter sets that one job evaluates.
+TOGETHER = 100
+
+
+def _jobs(wanted: Mapping[str, Sequence[Params]]) -> Iterator[tuple[dict[int, Params], dict[int, list[str]], dict[tuple[str, int], int]]]:
+    """Jobs of at most about ``TOGETHER`` sets, symbols kept whole: (sets, their symbols, set of each symbol's k-th trial)."""
+    sets: dict[int, Params] = {}
+    known: dict[tuple, int] = {}
+    owners: dict[int, list[str]] = {}
+    place: dict[tuple[str, int], int] = {}
+    for symbol, trials in wanted.items():
+        names = [tuple(sorted((k, repr(v)) for k, v in t.items())) for t in trials]
+        if sets and len(sets) + len({n for n in names if n not in known}) > TOGETHER:
+            yield sets, owners, place
+            sets, known, owners, place = {}, {}, {}, {}
+        for k, (name, t) in enumerate(zip(names, trials, strict=True)):
+            ident = known.setdefault(name, len(known))
+            sets.setdefault(ident, t)
+            place[symbol, k] = ident
+            if symbol not in owners.setdefault(ident, []):
+                owners[ident].append(symbol)
+    if sets:
+        yield sets, owners, place
+
+
+def metrics_of(bars: DataFrame, wanted: Mapping[str, Sequence[Params]], **costs: float) -> Iterator[tuple[DataFrame, dict[tuple[str, int], int]]]:
+    """Metrics (symbol, param_id, ...) of each symbol with its own parameter sets, a job at a time, and which set was whose."""
+    for sets, owners, place in _jobs(wanted):
+        used = sorted({x for o in owners.values() for x in o})
+        yield evaluate(bars.where(F.col("symbol").isin(*used)), sets, **costs, owners=owners), place
+
+
+def studies(bars: DataFrame, seeds: Mapping[str, int], base: Params, filters: Mapping[str, bool], metric: str = "sharpe_ratio", trials: int = 200, min_trades: int = 5, pinned: Mapping[str, Any] | None = None, batch: int = 25, compat_flags: bool = False, **costs: float) -> dict[str, Study]:
+    """A study of its own for every symbol in ``seeds``, all in the same jobs: each round takes ``batch`` more trials of each.
+
+    Trials are rows of a job; only their values come back. Symbols whose samplers ask for the same sets share them.
+    """
     flags = {s.flag: (s.params[0].default if compat_flags else bool(filters.get(s.flag, False))) for s in specs.all_specs()}
     fixed = {**base, **flags, **(pinned or {})}
-    sampler = Sampler(dimensions(filters, pinned, base["trade_direction"], compat_flags), seed)
-    done = lost = 0
+    space = dimensions(filters, pinned, base["trade_direction"], compat_flags)
+    samplers = {name: Sampler(space, seed) for name, seed in seeds.items()}
+    lost, done = dict.fromkeys(seeds, 0), 0
     while done < trials:
-        asked = sampler.batch(min(batch, trials - done))
-        sets = {i: P.make(**{k: v for k, v in {**fixed, **t}.items() if k in P.defaults()}) for i, t in enumerate(asked)}
-        found = {r["param_id"]: r["value"] for r in objective(evaluate(bars, sets, **costs), metric, min_trades).collect()}
-        lost += len(set(sets) - set(found))
-        sampler.tell(asked, [found.get(i, FAILED) for i in sets])
-        done += len(asked)
-    ranked = [t for t in sampler.seen if math.isfinite(t[1])]
-    failed = lost / max(1, done)
-    if not ranked:
-        return Study(None, FAILED, failed, sampler.seen)
-    top = max(ranked, key=lambda t: t[1])  # the first of equals
-    return Study({**fixed, **top[0]}, top[1], failed, sampler.seen)
+        asked = {name: s.batch(min(batch, trials - done)) for name, s in samplers.items()}
+        sets = {name: [P.make(**{k: v for k, v in {**fixed, **t}.items() if k in P.defaults()}) for t in ts] for name, ts in asked.items()}
+        for results, place in metrics_of(bars, sets, **costs):
+            found = {(r["symbol"], r["param_id"]): r["value"] for r in objective(results, metric, min_trades).collect()}
+            for name in {symbol for symbol, _ in place}:
+                values = [found.get((name, place[name, k])) for k in range(len(asked[name]))]
+                lost[name] += sum(v is None for v in values)
+                samplers[name].tell(asked[name], [FAILED if v is None else v for v in values])
+        done += batch
+    out = {}
+    for name, s in samplers.items():
+        top = max((t for t in s.seen if math.isfinite(t[1])), key=lambda t: t[1], default=None)  # the first of equals
+        out[name] = Study({**fixed, **top[0]} if top else None, top[1] if top else FAILED, lost[name] / max(1, trials), s.seen)
+    return out
+
+
+def symbols(bars: DataFrame) -> list[str]:
+    return sorted(r[0] for r in bars.select("symbol").distinct().collect())
+
+
+def _only(bars: DataFrame) -> str:
+    found = symbols(bars)
+    if len(found) != 1:
+        raise ValueError(f"one symbol is asked for, not {len(found)}; use studies for several")
+    return found[0]
+
+
+def study(bars: DataFrame, base: Params, filters: Mapping[str, bool], metric: str = "sharpe_ratio", trials: int = 200, min_trades: int = 5, seed: int = 42, **how: Any) -> Study:
+    """The best parameters over one symbol's bars."""
+    name = _only(bars)
+    return studies(bars, {name: seed}, base, filters, metric, trials, min_trades, **how)[name]
 
 
 def optimize(bars: DataFrame, base: Params, filters: Mapping[str, bool], metric: str = "sharpe_ratio", trials: int = 200, share: float = 0.7, min_trades: int = 5, **how: Any) -> tuple[Study, DataFrame]:
@@ -270,39 +330,47 @@ def optimize(bars: DataFrame, base: Params, filters: Mapping[str, bool], metric:
 
 
 def walk_forward(bars: DataFrame, base: Params, filters: Mapping[str, bool], metric: str = "sharpe_ratio", trials: int = 200, folds: int = 5, anchored: bool = False, share: float = 0.7, min_trades: int = 5, **how: Any) -> dict[str, Any]:
-    """Fit on each fold's train window, test on the next; the last fold's parameters are the candidate."""
-    table = fold_table(bars, folds, anchored, share).persist()
-    sizes = {(r["fold"], r["part"]): r["n"] for r in table.groupBy("fold", "part").agg(F.count("*").alias("n")).collect()}
-    rows, fitted, curves, failed = [], {}, None, []
-    symbol = bars.select("symbol").first()[0]
-    for k in range(1, folds):
-        if sizes.get((k, "train"), 0) < 50 or sizes.get((k, "test"), 0) < 20:
-            continue
-        part = {x: table.where((F.col("fold") == k) & (F.col("part") == x)).drop("fold", "part") for x in ("train", "test")}
-        s = study(part["train"], base, filters, metric, max(50, trials // max(folds - 1, 1)), min_trades, seed=42 + 7 * k, **how)
-        failed.append(s.failed)
-        if s.best is None:
-            continue
-        fitted[k] = P.make(**s.best)
-        value = {}
-        for x, b in part.items():
-            events = engine.run(with_many_signals(b, {0: fitted[k]}), {0: fitted[k]})
-            m = metrics.metrics(engine.trades_of(events), engine.equity_of(events), metrics.bars_per_year(b), engine.CAPITAL)
-            value[x] = objective(m, metric, min_trades).first()["value"]
-            if x == "test":
-                e = engine.equity_of(events).withColumn("fold", F.lit(k))
+    """Fit on each fold's train window, test on the next; the last fold's parameters are a symbol's candidate.
+
+    Folds of all symbols are studied in the same jobs; ``best``, ``stability``, ``efficiency`` and ``failed`` are by symbol.
+    """
+    table = fold_table(bars, folds, anchored, share)
+    sizes = {(r["symbol"], r["fold"], r["part"]): r["n"] for r in table.groupBy("symbol", "fold", "part").agg(F.count("*").alias("n")).collect()}
+    usable = sorted((x, k) for x, k, part in sizes if part == "train" and sizes[x, k, "train"] >= 50 and sizes.get((x, k, "test"), 0) >= 20)
+    name = lambda x, k: f"{x}#{k}"
+    parts = {x: table.where(F.col("part") == x).withColumn("symbol", F.concat_ws("#", "symbol", "fold")).drop("fold", "part") for x in ("train", "test")}
+    found = studies(parts["train"], {name(x, k): 42 + 7 * k for x, k in usable}, base, filters, metric, max(50, trials // max(folds - 1, 1)), min_trades, **how) if usable else {}
+    fitted = {(x, k): P.make(**found[name(x, k)].best) for x, k in usable if found[name(x, k)].best}
+    wanted = {name(x, k): [p] for (x, k), p in fitted.items()}
+    value: dict[tuple[str, str], float] = {}
+    curves = None
+    for part, b in parts.items():
+        for sets, owners, _ in _jobs(wanted):
+            mine = b.where(F.col("symbol").isin(*sorted({x for o in owners.values() for x in o})))
+            events = engine.run(with_many_signals(mine, sets, owners), sets)
+            m = metrics.metrics(engine.trades_of(events), engine.equity_of(events), metrics.bars_per_year(mine), engine.CAPITAL)
+            value |= {(r["symbol"], part): r["value"] for r in objective(m, metric, min_trades).collect()}
+            if part == "test":
+                e = engine.equity_of(events)
                 curves = e if curves is None else curves.unionByName(e)
-        rows.append((symbol, k, value["train"], value["test"]))
     spark = bars.sparkSession
+    rows = [(x, k, value[name(x, k), "train"], value[name(x, k), "test"]) for x, k in fitted]
     scores = spark.createDataFrame(rows, "symbol string, fold int, train_value double, test_value double")
     entry = {p.name for s in specs.all_specs() if s.role == "entry" for p in s.params}
-    numbers = [(n, k, float(v)) for k, p in fitted.items() for n, v in p.items() if n in entry and isinstance(v, int | float) and not isinstance(v, bool)]
-    cv = {r["param"]: r["cv"] for r in stability(spark.createDataFrame(numbers, "param string, fold int, value double")).collect()}
-    ratio_ = efficiency(scores).first()["efficiency"] if rows else 0.0
+    numbers = [(x, n, k, float(v)) for (x, k), p in fitted.items() for n, v in p.items() if n in entry and isinstance(v, int | float) and not isinstance(v, bool)]
+    names = sorted({x for x, _ in usable})
+    cv: dict[str, dict[str, float]] = {x: {} for x in names}
+    for r in stability(spark.createDataFrame(numbers, "symbol string, param string, fold int, value double"), ("symbol", "param")).collect():
+        cv[r["symbol"]][r["param"]] = r["cv"]
+    ratios = {r["symbol"]: r["efficiency"] for r in efficiency(scores).collect()}
+    failed = {x: float(np.mean([found[name(y, k)].failed for y, k in usable if y == x])) for x in names}
+    if curves is not None:
+        at = F.split("symbol", "#")
+        curves = stitch(curves.withColumn("fold", F.element_at(at, -1).cast("int")).withColumn("symbol", F.array_join(F.slice(at, 1, F.size(at) - 1), "#")), engine.CAPITAL)
     return {
-        "folds": scores, "params": fitted, "best": fitted[max(fitted)] if fitted else None, "equity": stitch(curves, engine.CAPITAL) if curves is not None else None,
-        "stability": cv, "efficiency": ratio_, "failed": float(np.mean(failed)) if failed else 0.0,
-        "warnings": budget_warnings(trials, filters, how.get("pinned")) + robustness_warnings(ratio_, cv, float(np.mean(failed)) if failed else 0.0, bool(rows)),
+        "folds": scores, "params": fitted, "best": {x: fitted[max(f for f in fitted if f[0] == x)] for x in {x for x, _ in fitted}}, "equity": curves,
+        "stability": cv, "efficiency": ratios, "failed": failed,
+        "warnings": {x: budget_warnings(trials, filters, how.get("pinned")) + robustness_warnings(ratios.get(x, 0.0), cv[x], failed[x], x in ratios) for x in names},
     }
 
 
@@ -356,22 +424,45 @@ def heatmap(bars: DataFrame, p: Params, x: tuple[str, Sequence[Any]], y: tuple[s
     return evaluate(bars, grid(x, y, p), **costs).join(labels, "param_id").select("symbol", "x", "y", F.coalesce(v, F.lit(0.0)).alias("value"))
 
 
-def permutation_test(bars: DataFrame, base: Params, filters: Mapping[str, bool], metric: str = "sharpe_ratio", permutations: int = 100, trials: int = 50, share: float = 0.7, min_trades: int = 5, seed: int = 42) -> DataFrame | None:
-    """(symbol, real, permuted) for every permutation of the train part; None under 50 bars.
-
-    The trials are drawn once and run on the real and all permuted bars in one job, a symbol
-    for each permutation; each takes its own best.
+@dataclass
+class Permutations:
+    scores: DataFrame  # symbol, perm_id, permuted, real
+    curves: DataFrame  # symbol, perm_id (null: the real bars), bar, mtm_equity
+
+    def shown(self, most: int = 200) -> DataFrame:
+        """Every k-th permuted curve, at most about ``most``, with the best one marked, and the real one."""
+        n = F.count("*").over(Window.partitionBy("symbol"))
+        rank = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("permuted"), "perm_id"))
+        each = self.scores.withColumn("_n", n).withColumn("best", rank == 1)
+        every = F.greatest(F.lit(1), F.floor(F.col("_n") / F.least(F.col("_n"), F.lit(most))))
+        picked = each.where(F.col("best") | (F.col("perm_id") % every == 0)).select("symbol", "perm_id", "best")
+        drawn = self.curves.join(picked, ["symbol", "perm_id"])
+        return drawn.unionByName(self.curves.where("perm_id IS NULL").withColumn("best", F.lit(False)))
+
+
+def permutation_test(bars: DataFrame, base: Params, filters: Mapping[str, bool], metric: str = "profit_factor", permutations: int = 100, trials: int = 50, share: float = 0.7, min_trades: int = 5, seed: int = 42, **how: Any) -> Permutations | None:
+    """The real history against permuted ones; None under 50 bars.
+
+    Each permutes the whole history, optimizes on its train part by a study of its own (the same seed for
+    each, so the random first trials are shared) and scores the full history with the parameters found.
     """
     from barloom.operators.simulate import permute_prices
 
-    train, _ = split(bars, share)
-    if len(train.limit(50).take(50)) < 50:
+    if any(r["n"] < 50 for r in bars.groupBy("symbol").agg(F.count("*").alias("n")).collect()):
         return None
-    many = permute_prices(train, permutations, seed).withColumn("symbol", F.concat_ws("#", "symbol", F.col("perm_id").cast("string"))).drop("perm_id")
-    sampler = Sampler(dimensions(filters, None, base["trade_direction"]), seed)
-    flags = {s.flag: bool(filters.get(s.flag, False)) for s in specs.all_specs()}
-    sets = {i: P.make(**{k: v for k, v in {**base, **flags, **t}.items() if k in P.defaults()}) for i, t in enumerate(sampler.batch(trials))}
-    values = best(objective(evaluate(train.select(*many.columns).unionByName(many), sets), metric, min_trades))
-    scored = values.select(F.get(F.split("symbol", "#"), F.lit(0)).alias("symbol"), F.get(F.split("symbol", "#"), F.lit(1)).alias("_k"), F.when(F.col("value") > FAILED, F.col("value")).otherwise(0.0).alias("value"))
-    real = scored.where("_k IS NULL").select("symbol", F.col("value").alias("real"))
-    return scored.where("_k IS NOT NULL").select("symbol", F.col("_k").cast("int").alias("perm_id"), F.col("value").alias("permuted")).join(real, "symbol")
+    real = bars.select("symbol", "ts", "bar", "open", "high", "low", "close", "volume")
+    permuted = permute_prices(real, permutations, seed).withColumn("symbol", F.concat_ws("#", "symbol", F.col("perm_id").cast("string"))).select(*real.columns)
+    many = real.unionByName(permuted)
+    names = [x if k is None else f"{x}#{k}" for x in symbols(real) for k in (None, *range(permutations))]
+    found = studies(split(many, share)[0], dict.fromkeys(names, seed), base, filters, metric, trials, min_trades, **how)
+    scores, curves = None, None
+    for sets, owners, _ in _jobs({n: [P.make(**(found[n].best or base))] for n in names}):
+        mine = many.where(F.col("symbol").isin(*sorted({x for o in owners.values() for x in o})))
+        events = engine.run(with_many_signals(mine, sets, owners), sets)
+        m = metrics.metrics(engine.trades_of(events), engine.equity_of(events), metrics.bars_per_year(mine), engine.CAPITAL)
+        m, e = m.select("symbol", F.coalesce(F.nanvl(F.col(metric).cast("double"), F.lit(None)), F.lit(0.0)).alias("value")), engine.equity_of(events).select("symbol", "bar", "mtm_equity")
+        scores, curves = (m, e) if scores is None else (scores.unionByName(m), curves.unionByName(e))
+    own = lambda df: df.withColumn("perm_id", F.expr("try_element_at(split(symbol, '#'), 2)").cast("int")).withColumn("symbol", F.split_part("symbol", F.lit("#"), F.lit(1)))
+    scores = own(scores)
+    truth = scores.where("perm_id IS NULL").select("symbol", F.col("value").alias("real"))
+    return Permutations(scores.where("perm_id IS NOT NULL").select("symbol", "perm_id", F.col("value").alias("permuted")).join(truth, "symbol"), own(curves))

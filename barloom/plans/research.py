@@ -288,10 +288,14 @@ _RISK_ONLY = P.make(**{**BASE, "stop_loss_enabled": True, "stop_loss_pct_long":
 _FILTERS = {"ma_trend_enabled": True, "ma_exit_enabled": True, "stop_loss_enabled": True}
 
 
+#: Smaller than the defaults (100 permutations of 50 trials are 5,050 backtests); see the README.
+PERMUTATIONS, TRIALS = 10, 20
+
+
 @query()
 def permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.permutation_test(B.daily(spark, sf_dir), _RISK_ONLY, _FILTERS, permutations=8, trials=4)
-    return rounded(M.p_value(found), 6)
+    found = search.permutation_test(B.daily(spark, sf_dir), _RISK_ONLY, _FILTERS, permutations=PERMUTATIONS, trials=TRIALS, batch=10)
+    return rounded(M.p_value(found.scores), 6)
 
 
 @query()
@@ -302,7 +306,7 @@ def optimize_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(search.walk_forward(B.daily(spark, sf_dir), _RISK_ONLY, _FILTERS, trials=50, folds=3, batch=50)["folds"], 6)
+    return rounded(search.walk_forward(B.daily(spark, sf_dir), _RISK_ONLY, _FILTERS, trials=200, folds=5, batch=25)["folds"], 6)
 
 
 _CHARACTER = f"""WITH RECURSIVE {B.PRIORITY_SQL}, {_ADX}, v AS (SELECT bars.symbol, bars.bar, close, a / nullif(close, 0) * 100 AS v, close / nullif({lag('close', by='bars.symbol', order='bars.bar')}, 0) - 1 AS r, adx, count(*) OVER (PARTITION BY bars.symbol) AS n

@@ -58,13 +58,19 @@ class Session:
         self.costs = {"capital": engine.CAPITAL, "commission": engine.COMMISSION, "slippage": engine.SLIPPAGE}
         self._events: DataFrame | None = None
 
+    def _forget(self) -> None:
+        if self._events is not None:
+            self._events.unpersist()
+        self._events = None
+
     def _have(self) -> DataFrame:
         if self.bars is None:
             raise RuntimeError("load bars first")
         return self.bars
 
     def load(self, bars: DataFrame) -> DataFrame:
-        self.bars, self._events = bars, None
+        self._forget()
+        self.bars = bars
         return summary(bars)
 
     def load_file(self, path: str, symbol: str = "ALL") -> DataFrame:
@@ -77,11 +83,12 @@ class Session:
         costs = {k: float(given[k]) for k in self.costs if k in given}
         self.params = P.from_dict({**{k: v for k, v in self.params.items() if k not in P.FOLLOWS or k in given}, **given})
         self.costs |= costs
-        self._events = None
+        self._forget()
         return self.params
 
     def run(self) -> DataFrame:
         """Metrics; trades and equity are then in ``trades`` and ``equity``."""
+        self._forget()
         self._events = engine.backtest(self._have(), self.params, **self.costs).persist()
         return metrics.metrics(self.trades, self.equity, metrics.bars_per_year(self._have()), self.costs["capital"])
 
@@ -103,11 +110,12 @@ class Session:
         return {s.flag: bool(self.params.get(s.flag)) for s in specs.all_specs()}
 
     def optimize(self, metric: str = "sharpe_ratio", trials: int = 200, walk_forward: bool = True, **how: Any):
-        """Walk-forward, or simple where no fold is long enough; the best parameters become the session's."""
+        """Walk-forward, or simple where no fold is long enough; the best parameters of one symbol become the session's."""
         if walk_forward:
             found = search.walk_forward(self._have(), self.params, self.filters(), metric, trials, **how)
             if found["best"]:
-                self.apply_best(found["best"])
+                if len(found["best"]) == 1:
+                    self.apply_best(next(iter(found["best"].values())))
                 return found
         study, parts = search.optimize(self._have(), self.params, self.filters(), metric, trials, **{k: v for k, v in how.items() if k in ("share", "min_trades", "pinned", "seed")})
         if study.best:
@@ -120,7 +128,7 @@ class Session:
 
     def permutation_test(self, **how: Any) -> DataFrame | None:
         found = search.permutation_test(self._have(), self.params, self.filters(), **how)
-        return None if found is None else simulate.p_value(found)
+        return None if found is None else simulate.p_value(found.scores)
 
     def monte_carlo(self, method: str = "trade_shuffle", **how: Any) -> DataFrame | None:
         paths = simulate.monte_carlo(method, self.trades, self.equity, capital=self.costs["capital"], **how)
@@ -147,6 +155,16 @@ class Session:
         t = t.where("pnl > 0") if which == "winners" else t.where("pnl <= 0") if which == "losers" else t
         (t.where(F.col("direction") == direction) if direction else t).write.mode("overwrite").csv(path, header=True)
 
+    def divergence(self, length: int = 14, left: int = 5, right: int = 5, **how: Any) -> DataFrame:
+        """Bars marked with hidden divergences (bull, bear); ValueError if a symbol has too few bars for any."""
+        need, plan = 2 * (left + right + length), Plan()
+        short = self._have().groupBy("symbol").count().where(F.col("count") < need).orderBy("symbol").collect()
+        if short:
+            raise ValueError(f"divergence needs {need} bars or more: " + ", ".join(f"{r['symbol']} has {r['count']}" for r in short))
+        bull, bear = plan.hidden_divergence(length, left, right, **how)
+        marked = plan.apply(self._have())
+        return marked.select("symbol", "ts", "bar", "close", F.col(bull).alias("bull"), F.col(bear).alias("bear"))
+
     def active(self) -> list[str]:
         return [s.key for s in specs.enabled(self.params)]
 
