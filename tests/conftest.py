@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path[:0] = [ROOT, os.path.dirname(os.path.abspath(__file__))]
-os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH", "")]))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [ROOT, HERE]
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, HERE, os.environ.get("PYTHONPATH", "")]))  # workers import the feed of the tests
 
 
 @pytest.fixture(scope="session")
