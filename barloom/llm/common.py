@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of decontamination: ASCII digits and lower-case letters, and everything beyond ASCII.
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -21,7 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package also when it isn't installed on them."""
+    """Let Python workers import this package also when it isn't installed on them; batches of at most 1,000 texts."""
+    if int(spark.conf.get(ARROW_ROWS)) > 1000:
+        spark.conf.set(ARROW_ROWS, "1000")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -30,9 +33,11 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set (tests, local mode)."""
+    """The cluster's shared folder; one of our own only where none is set and the executors are in this process (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="barloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -50,6 +55,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shards(df: DataFrame) -> int:
+    """Parts to deal rows of ``df`` to: the shuffle's partitions, or the splits of its files if they are more."""
+    return max(partitions(df.sparkSession), df.rdd.getNumPartitions())
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only; other letters stay as they are."""
     return F.translate(c, UPPER, UPPER.lower())

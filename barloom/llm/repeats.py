@@ -10,19 +10,24 @@ comparing contents; hashes only bring together what must be compared.
    on the window's content alone, so equal windows pick the same relative place. Neighbouring
    windows of one anchor form a *chunk* of at most ``chunk`` starts, keyed by the hash of the
    units which all of the chunk's possible windows share. There is about one chunk for every
-   80 bytes or 14 words, not one row for each position.
+   80 bytes or 14 words, not one row for each position. Texts are gone through in overlapping
+   segments of ``SEGMENT`` windows, so a long text costs no more than its own bytes.
 3. Chunks are dealt by key as sorted blocks of numbers, to find keys that occur at two places.
    A key that repeats already within a task's block sends one entry, so a key that holds a
-   third of all rows is not one task's load.
+   third of all rows is not one task's load. There are as many shards as the shuffle has
+   partitions or the input has splits, whichever is more, and a shard is worked off in ranges
+   of keys.
 4. Chunks whose key repeats are cut out of their texts (the chunk's windows, overlapping as one
-   string), equal ones are counted before and after the shuffle, and all with one key meet in
-   one task, where ``resolve`` (suffix sorting or automata) says which windows repeat. A key
-   with more than ``HOT`` different contents is dealt out anew by shorter chunks (``sub``
-   starts), whose keys cover nearly the whole window, so it splits by contents.
-5. The verdicts go back to the classes, which mark covered units.
-
-Nothing is collected to the driver or broadcast. The chunks with repeated keys are written to
-the shared folder; later work starts from there.
+   string), equal ones are counted before and after a shuffle by their contents and written. The
+   contents of a key meet in one task, where ``resolve`` (suffix sorting or automata) says which
+   windows repeat.
+5. A key with more than ``HOT`` different contents never meets in one task. Its contents become
+   shorter chunks (``sub`` starts), as hashes of what their windows share; those whose hash
+   occurs twice become single windows, counted by 128-bit digest with partial sums.
+6. The verdicts go back to the classes, which mark covered units.
+
+Nothing is collected to the driver or broadcast. The chunks with repeated keys, and their
+contents, are written to the shared folder; later work starts from there.
 """
 
 from __future__ import annotations
@@ -36,12 +41,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import partitions, saved, text_key
+from barloom.llm.common import saved, shards, text_key
 
 #: Different contents of one key that are resolved together.
-HOT = 4096
-#: Bytes of text that a task works on at once, unless one text is longer.
-SLICE = 2_000_000
+HOT = 512
+#: Bytes of text that a task works on at once (a longer text alone), and windows or bytes of a segment of it.
+SLICE, SEGMENT = 1_000_000, 1 << 16
 _B = 0x9E3779B97F4A7C15
 U = np.uint64
 
@@ -59,14 +64,14 @@ class Kind:
 
 @dataclass
 class Prepared:
-    units: np.ndarray  # uint64 each
+    units: np.ndarray  # the bytes, or a hash of each word
     offsets: np.ndarray  # first unit of each document, and the end
-    raw: bytes  # the documents' (normalised) bytes
-    begin: np.ndarray  # of each unit in raw
-    end: np.ndarray
+    raw: np.ndarray  # the documents' (normalised) bytes
+    begin: np.ndarray | None  # of each word in raw; a byte's place is its number
+    end: np.ndarray | None
 
     def cut(self, a: int, b: int) -> bytes:
-        return self.raw[self.begin[a] : self.end[b - 1]]
+        return (self.raw[a:b] if self.begin is None else self.raw[self.begin[a] : self.end[b - 1]]).tobytes()
 
 
 _POWERS: dict[int, np.ndarray] = {}
@@ -125,17 +130,30 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return begin, np.flatnonzero(last) + 1, np.searchsorted(begin, offsets)
 
 
-def prepare(kind: Kind, data: np.ndarray, offsets: np.ndarray) -> Prepared:
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, from its bytes alone; about ``SEGMENT`` bytes at once, a longer word by itself."""
+    out, a = np.empty(len(begin), U), 0
+    while a < len(begin):
+        first = int(begin[a])
+        b = int(np.searchsorted(end, first + SEGMENT, "right"))
+        if b <= a:
+            out[a] = np.frombuffer(hashlib.blake2b(data[first : end[a]], digest_size=8).digest(), U)[0]
+            b = a + 1
+        else:
+            out[a:b] = Rolling(data[first : end[b - 1]].astype(U)).of(begin[a:b] - first, end[a:b] - begin[a:b])
+        a = b
+    return out
+
+
+def prepare(kind: Kind, data: np.ndarray, offsets: np.ndarray, hashed: bool = True) -> Prepared:
     if not kind.words:
-        at = np.arange(len(data) + 1)
-        return Prepared(data.astype(U), offsets, data.tobytes(), at[:-1], at[1:])
+        return Prepared(data, offsets, data, None, None)
     begin, end, first = split_words(data, offsets)
-    units = Rolling(data.astype(U)).of(begin, end - begin)
     # the words joined by single spaces: offsets alone tell documents apart
     sizes = end - begin
     raw = np.insert(data[~_SPACE[data]], np.cumsum(sizes)[:-1], 32)
     new_begin = np.cumsum(sizes + 1) - sizes - 1
-    return Prepared(units, first, raw.tobytes(), new_begin, new_begin + sizes)
+    return Prepared(word_hashes(data, begin, end) if hashed else np.empty(0, U), first, raw, new_begin, new_begin + sizes)
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -146,25 +164,33 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
+#: Bits of a place within a segment; they replace the last bits of the hashes that are compared.
+_PLACE = U(20)
+
+
 def chunks(kind: Kind, p: Prepared) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, first window, windows, place of the first within its chunk) of every chunk."""
-    w, k, c, n = kind.width, kind.gram, kind.chunk, len(p.units)
-    if n < w:
-        return (np.empty(0, U), *(np.empty(0, np.int64),) * 3)
-    roll = Rolling(p.units)
-    grams = roll.of(np.arange(n - k + 1), k)
-    bits = U(int(n - k + 1).bit_length())
-    least = _sliding_min((grams >> bits << bits) | np.arange(n - k + 1, dtype=U), w - k + 1)
-    anchor = (least & ((U(1) << bits) - U(1))).astype(np.int64)
+    windows = len(p.units) - kind.width + 1
+    found = [_segment(kind, p, a, min(a + SEGMENT, windows)) for a in range(0, windows, SEGMENT)]
+    return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.empty(0, U), *(np.empty(0, np.int64),) * 3)
+
+
+def _segment(kind: Kind, p: Prepared, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``chunks`` of the windows that start from lo to hi."""
+    w, k, c = kind.width, kind.gram, kind.chunk
+    roll = Rolling(p.units[lo : hi + w - 1].astype(U))
+    at = np.arange(hi - lo + w - k)
+    least = _sliding_min((roll.of(at, k) >> _PLACE << _PLACE) | at.astype(U), w - k + 1)
+    anchor = (least & ((U(1) << _PLACE) - U(1))).astype(np.int64)
     back = anchor - np.arange(len(anchor))
     lot = back // c
-    doc_end = np.repeat(p.offsets[1:], np.diff(p.offsets))[: len(anchor)]
-    cut = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(lot) != 0) | (np.diff(doc_end) != 0)) + 1
-    a, b = np.concatenate([[0], cut]), np.concatenate([cut, [len(anchor)]])
-    count = np.minimum(b, doc_end[a] - w + 1) - a  # windows that end within the document
+    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (lot[1:] != lot[:-1])])
+    new[p.offsets[np.searchsorted(p.offsets, lo) : np.searchsorted(p.offsets, hi)] - lo] = True  # each document begins anew
+    a = np.flatnonzero(new)
+    ends = p.offsets[np.searchsorted(p.offsets, a + lo, "right")]
+    count = np.minimum(np.append(a[1:], len(anchor)), ends - lo - w + 1) - a  # windows that end within the document
     a, count = a[count > 0], count[count > 0]
-    place = c * lot[a] + c - 1 - back[a]
-    return roll.of(anchor[a] - c * lot[a], w - c + 1), a, count, place
+    return roll.of(anchor[a] - c * lot[a], w - c + 1), a + lo, count, c * lot[a] + c - 1 - back[a]
 
 
 def pack(at: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -193,24 +219,33 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         a = b
 
 
-#: Entries that a task holds before it sends them on.
-BLOCK = 1_000_000
+#: Entries that a task holds before it sends them on, and that it compares at once.
+BLOCK = 300_000
 _KNOWN = 1 << 62
 _ENTRY = np.dtype([("key", "<i8"), ("h1", "<i8"), ("at", "<i8")])
 
 
-def _anchor_blocks(kind: Kind, shards: int) -> Callable:
+def _runs(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct entries by key, which are a key's first, which have a key of several)."""
+    e = e[np.lexsort((e["at"], e["h1"], e["key"]))]
+    if not len(e):
+        return e, np.empty(0, bool), np.empty(0, bool)
+    first = np.concatenate([[True], e["key"][1:] != e["key"][:-1]])
+    e = e[np.concatenate([[True], first[1:] | (e["at"][1:] != e["at"][:-1]) | (e["h1"][1:] != e["h1"][:-1])])]
+    first = np.concatenate([[True], e["key"][1:] != e["key"][:-1]])
+    run = np.cumsum(first) - 1
+    return e, first, np.bincount(run)[run] > 1
+
+
+def _anchor_blocks(kind: Kind, n_shards: int) -> Callable:
     """(_h1, text) -> blocks of entries by shard of their key; entries of keys that repeat within
-    a block go to shards from ``shards`` on, and one entry of each, marked, to the key's shard."""
+    a block go to shards from ``n_shards`` on, and one entry of each, marked, to the key's shard."""
 
     def blocks(parts: list[np.ndarray]) -> pa.RecordBatch:
-        e = np.unique(np.concatenate(parts)) if parts else np.empty(0, _ENTRY)  # by key, then place
-        first = np.concatenate([[True], e["key"][1:] != e["key"][:-1]]) if len(e) else np.empty(0, bool)
-        run = np.cumsum(first) - 1
-        known = np.bincount(run, minlength=1)[run] > 1 if len(e) else first
+        e, first, known = _runs(np.concatenate(parts) if parts else np.empty(0, _ENTRY))
         sent = e[first].copy()
         sent["at"] |= np.where(known[first], _KNOWN, 0)
-        where = np.concatenate([sent["key"] % shards, shards + e["h1"][known] % shards])
+        where = np.concatenate([sent["key"] % n_shards, n_shards + e["h1"][known] % n_shards])
         e = np.concatenate([sent, e[known]])
         order = np.argsort(where, kind="stable")
         e, where = e[order], where[order]
@@ -238,35 +273,39 @@ def _anchor_blocks(kind: Kind, shards: int) -> Callable:
     return work
 
 
-def _repeated(shards: int) -> Callable:
+def _repeated(n_shards: int) -> Callable:
     """Blocks in order of shard -> entries (_h1, at, key) of repeated keys."""
 
     def rows(e: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(e["h1"]), pa.array(e["at"]), pa.array(e["key"])], names=["_h1", "at", "key"])
 
-    def of_shard(parts: list[np.ndarray]) -> pa.RecordBatch:
-        e = np.concatenate(parts)
-        known = np.unique(e["key"][(e["at"] & _KNOWN) != 0])
-        e["at"] &= ~_KNOWN
-        e = np.unique(e)
-        run = np.cumsum(np.concatenate([[True], e["key"][1:] != e["key"][:-1]])) - 1
-        return rows(e[(np.bincount(run)[run] > 1) | np.isin(e["key"], known)])
+    def of_shard(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Parts are sorted by key, and keys are hashes: equal ranges of keys have about as many entries."""
+        several = sum(map(len, parts)) // BLOCK + 1
+        edges = [(i << 64) // several - (1 << 63) for i in range(1, several)]
+        cuts = [[0, *(int(np.searchsorted(e["key"], np.int64(x))) for x in edges), len(e)] for e in parts]
+        for i in range(several):
+            e = np.concatenate([e[c[i] : c[i + 1]] for e, c in zip(parts, cuts, strict=True)])
+            known = np.unique(e["key"][(e["at"] & _KNOWN) != 0])
+            e["at"] &= ~_KNOWN
+            e, _, twice = _runs(e)
+            yield rows(e[twice | np.isin(e["key"], known)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
         for batch in batches:
             for shard, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 e = np.frombuffer(data.as_py(), _ENTRY)
-                if shard >= shards:
+                if shard >= n_shards:
                     yield rows(e)
                     continue
                 if shard != now and parts:
-                    yield of_shard(parts)
+                    yield from of_shard(parts)
                     parts = []
                 now = shard
                 parts.append(e)
         if parts:
-            yield of_shard(parts)
+            yield from of_shard(parts)
 
     return work
 
@@ -282,7 +321,7 @@ def _each_piece(kind: Kind, batch: pa.RecordBatch) -> Iterator[tuple[int, int, i
     starts = np.asarray(lists.offsets)
     ats, keys = (np.asarray(lists.values.field(i)) for i in (0, 1))
     for a, b, data, offsets in slices(batch.column(2)):
-        p = prepare(kind, data, offsets)
+        p = prepare(kind, data, offsets, hashed=False)
         for r in range(a, b):
             first, end = p.offsets[r - a], p.offsets[r - a + 1]
             mine = slice(starts[r], starts[r + 1])
@@ -339,33 +378,30 @@ def content_id(key: int, place: int, content: bytes) -> tuple[int, int]:
 
 #: key -> [(place, content, how often)] -> for each content, which of its windows repeat.
 Resolver = Callable[[Kind, list[list[tuple[int, bytes, int]]]], list[list[np.ndarray]]]
-#: Contents that a task resolves at once, in windows; a key's contents stay together.
-BATCH = 60_000
+#: Bytes of contents that a task resolves at once; a key's contents stay together.
+BATCH = 500_000
 
 
-def _groups(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple[int, list[tuple[int, bytes, int]], bool]]:
-    """(key, contents, whether there are more than ``most``) of rows in order of key; of larger keys, parts."""
-    now, group, large = None, [], False
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes, int]]]]:
+    """(key, contents) of rows in order of key."""
+    now, group = None, []
     for batch in batches:
         for key, place, content, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if key != now:
                 if group:
-                    yield now, group, large
-                now, group, large = key, [], False
+                    yield now, group
+                now, group = key, []
             group.append((place, content, n))
-            if most is not None and len(group) > most:
-                yield now, group, True
-                group, large = [], True
     if group:
-        yield now, group, large
+        yield now, group
 
 
 def _windows(kind: Kind, content: bytes) -> int:
     return (content.count(b" ") + 1 if kind.words else len(content)) - kind.width + 1
 
 
-def _resolved(kind: Kind, resolve: Resolver, most: int | None) -> Callable:
-    """Contents in order of key -> (c1, c2, ranges of windows that repeat); keys over ``most`` are left out."""
+def _resolved(kind: Kind, resolve: Resolver) -> Callable:
+    """Contents in order of key -> (c1, c2, ranges of windows that repeat)."""
 
     def out(keys: list[int], groups: list[list[tuple[int, bytes, int]]]) -> pa.RecordBatch:
         ids, ranges = [], []
@@ -380,12 +416,10 @@ def _resolved(kind: Kind, resolve: Resolver, most: int | None) -> Callable:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, groups, size = [], [], 0
-        for key, group, large in _groups(batches, most):
-            if large:
-                continue
+        for key, group in _groups(batches):
             keys.append(key)
             groups.append(group)
-            size += sum(_windows(kind, content) for _, content, _ in group)
+            size += sum(len(content) for _, content, _ in group)
             if size > BATCH:
                 yield out(keys, groups)
                 keys, groups, size = [], [], 0
@@ -394,33 +428,92 @@ def _resolved(kind: Kind, resolve: Resolver, most: int | None) -> Callable:
     return work
 
 
-def _shorter(kind: Kind, most: int) -> Callable:
-    """Contents of keys over ``most``, by sub-chunks: (key, place, content, n, s1, s2, c1, c2, shift)."""
-    fields = pa.schema([("key", pa.int64()), ("place", pa.int32()), ("content", pa.binary()), ("n", pa.int64()), *((c, pa.int64()) for c in ("s1", "s2", "c1", "c2")), ("shift", pa.int32())])
+def _cutter(kind: Kind, content: bytes) -> Callable[[int, int], bytes]:
+    """Units from a to b of a content."""
+    if not kind.words:
+        return lambda a, b: content[a:b]
+    words = content.split(b" ")
+    return lambda a, b: b" ".join(words[a:b])
+
+
+def _out(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else ((),) * len(fields), fields, strict=True)], schema=fields)
+
+
+_LONG = lambda *names: pa.schema([(n, pa.int64()) for n in names])
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, place, content, n) with the content's name (c1, c2)."""
+    for batch in batches:
+        names = [content_id(k, p, c) for k, p, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[i] for x in names], pa.int64()) for i in (0, 1))], names=["key", "place", "content", "n", "c1", "c2"])
 
-    def pieces(key: int, place: int, content: bytes, n: int) -> Iterator[tuple]:
-        words = content.split(b" ") if kind.words else None
-        cut = (lambda a, b: b" ".join(words[a:b])) if kind.words else (lambda a, b: content[a:b])
-        count, w, s = _windows(kind, content), kind.width, kind.sub
-        o = place
-        while o < place + count:
-            stop = min(place + count, (o // s + 1) * s)
-            a, zero = o - place, (o // s) * s - place  # zero: the sub-chunk's first possible window
-            sub = _digest(key.to_bytes(8, "little", signed=True), (o // s).to_bytes(2, "little"), cut(zero + s - 1, zero + w))[0]
-            part = cut(a, a + stop - o + w - 1)
-            yield (sub, o, part, n, *content_id(sub, o, part), *content_id(key, place, content), a)
-            o = stop
+
+def _shorter(kind: Kind) -> Callable:
+    """Named contents -> their sub-chunks (sub, c1, c2, n, first window, windows): equal windows have equal ``sub``."""
+    fields, w, s = _LONG("sub", "c1", "c2", "n", "a", "m"), kind.width, kind.sub
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for key, place, content, n, c1, c2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                cut, count, o = _cutter(kind, content), _windows(kind, content), place
+                while o < place + count:
+                    stop = min(place + count, (o // s + 1) * s)
+                    zero = (o // s) * s - place  # the sub-chunk's first possible window
+                    rows.append((_digest(key.to_bytes(8, "little", signed=True), (o // s).to_bytes(2, "little"), cut(zero + s - 1, zero + w))[0], c1, c2, n, o - place, stop - o))
+                    o = stop
+                if len(rows) >= 20_000:
+                    yield _out(rows, fields)
+                    rows = []
+            yield _out(rows, fields)
+
+    return work
+
+
+def _single(kind: Kind) -> Callable:
+    """(c1, c2, content, n, sub-chunks) -> their windows (w1, w2, c1, c2, window, n)."""
+    fields = _LONG("w1", "w2", "c1", "c2", "at", "n")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, group, large in _groups(batches, most):
-            if large:
-                for x in range(0, len(group), 256):
-                    rows = [r for g in group[x : x + 256] for r in pieces(key, *g)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
+        for batch in batches:
+            rows: list[tuple] = []
+            for c1, c2, content, n, subs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                cut = _cutter(kind, content)
+                rows += [(*_digest(cut(i, i + kind.width)), c1, c2, i, n) for x in subs for i in range(x["a"], x["a"] + x["m"])]
+                if len(rows) >= 20_000:
+                    yield _out(rows, fields)
+                    rows = []
+            yield _out(rows, fields)
 
     return work
 
 
+def _by_windows(kind: Kind, contents: DataFrame) -> DataFrame:
+    """Verdicts (c1, c2, ranges) on contents of hot keys: no two of them need to meet."""
+    named = saved(contents.mapInArrow(_named, "key long, place int, content binary, n long, c1 long, c2 long"))
+    subs = named.mapInArrow(_shorter(kind), "sub long, c1 long, c2 long, n long, a long, m long")
+    again = subs.groupBy("sub").agg(F.sum("n").alias("times")).where("times > 1").select("sub")
+    open_ = subs.join(again, "sub").groupBy("c1", "c2").agg(F.collect_list(F.struct("a", "m")).alias("subs"))
+    windows = saved(named.join(open_, ["c1", "c2"]).select("c1", "c2", "content", "n", "subs").mapInArrow(_single(kind), "w1 long, w2 long, c1 long, c2 long, at long, n long"))
+    twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("times")).where("times > 1").select("w1", "w2")
+    ats = windows.join(twice, ["w1", "w2"]).groupBy("c1", "c2").agg(F.collect_list(F.col("at").cast("int")).alias("ats"))
+    return ats.select("c1", "c2", F.flatten(F.transform("ats", lambda x: F.array(x, x + 1))).alias("ranges"))
+
+
+def _union(marks: pa.Scalar, width: int) -> np.ndarray:
+    """Edges of the maximal runs of units that the marked windows cover."""
+    if not marks.is_valid:
+        return np.empty(0, np.int64)
+    edges = np.concatenate([np.array(x["ranges"], np.int64) + x["at"] for x in marks.as_py()])
+    starts, ends = edges[::2], edges[1::2] + width - 1
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order])
+    new = np.concatenate([[True], starts[1:] > reach[:-1]])
+    return np.column_stack([starts[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]]).ravel()
+
+
 def _marked(kind: Kind, keep_text: bool) -> Callable:
     """Classes -> their sizes and what is left: (_h1, _h2, n_units, n_removed, n_spans, kept_sha256, kept)."""
 
@@ -428,23 +521,18 @@ def _marked(kind: Kind, keep_text: bool) -> Callable:
         for batch in batches:
             copies, lists = np.asarray(batch.column(3)), batch.column(4)
             for a, b, data, offsets in slices(batch.column(2)):
-                p = prepare(kind, data, offsets)
+                p = prepare(kind, data, offsets, hashed=False)
                 rows: list[list] = [[], [], [], [], []]
                 for r in range(a, b):
                     lo, hi = p.offsets[r - a], p.offsets[r - a + 1]
                     n = int(hi - lo)
-                    gone = np.full(n, bool(copies[r] > 1 and n >= kind.width))
-                    if lists[r].is_valid and not gone.all():
-                        delta = np.zeros(n + 1, np.int64)
-                        for x in lists[r].as_py():
-                            edges = np.array(x["ranges"], np.int64) + x["at"]
-                            np.add.at(delta, edges[::2], 1)
-                            np.add.at(delta, edges[1::2] + kind.width - 1, -1)
-                        gone = np.cumsum(delta[:-1]) > 0
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+                    if copies[r] > 1 and n >= kind.width:
+                        edge = np.array([0, n])
+                    else:
+                        edge = _union(lists[r], kind.width)
                     stay = np.concatenate([[0], edge, [n]]).reshape(-1, 2)
                     kept = (b" " if kind.words else b"").join(p.cut(lo + x, lo + y) for x, y in stay.tolist() if y > x)
-                    for column, value in zip(rows, (n, int(gone.sum()), len(edge) // 2, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None), strict=True):
+                    for column, value in zip(rows, (n, int((edge[1::2] - edge[::2]).sum()), len(edge) // 2, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None), strict=True):
                         column.append(value)
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays(
@@ -457,30 +545,24 @@ def _marked(kind: Kind, keep_text: bool) -> Callable:
 
 def remove_repeats(docs: DataFrame, kind: Kind, resolve: Resolver, keep_text: bool = False) -> DataFrame:
     """One row per distinct text: _h1, _h2 (``text_key``), n_units, n_removed, n_spans, kept_sha256, kept."""
-    spark = docs.sparkSession
-    n = partitions(spark)
+    n = shards(docs)
     keyed = docs.select(*text_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
     blocks = keyed.select("_h1", "text").mapInArrow(_anchor_blocks(kind, n), "shard int, data binary")
-    found = blocks.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_repeated(n), "_h1 long, at long, key long")
+    found = blocks.repartitionById(n, "shard").sortWithinPartitions("shard").mapInArrow(_repeated(n), "_h1 long, at long, key long")
     found = saved(found)
     classes = keyed.select("_h1", "_h2").distinct()
     of_class = found.join(classes, "_h1").groupBy("_h1", "_h2").agg(F.collect_set(F.struct("at", "key")).alias("chunks"))
     texts = keyed.groupBy("_h1", "_h2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     # all uses of the texts have the same columns, so that one exchange of texts serves all
     wanted = texts.join(of_class, ["_h1", "_h2"]).select("_h1", "_h2", "text", "chunks", "copies")
-    fields = "key long, place int, content binary, n long"
-
-    def by_key(contents: DataFrame) -> DataFrame:
-        counted = contents.groupBy("key", "place", "content").agg(F.sum("n").alias("n"))
-        return counted.repartition(n, "key").sortWithinPartitions("key", "place", "content")
-
-    contents = by_key(wanted.mapInArrow(_contents(kind), fields))
-    answer = "c1 long, c2 long, ranges array<int>"
-    verdicts = contents.mapInArrow(_resolved(kind, resolve, HOT), answer)
-    parts = contents.mapInArrow(_shorter(kind, HOT), f"{fields}, s1 long, s2 long, c1 long, c2 long, shift int")
-    said = by_key(parts.select("key", "place", "content", "n")).mapInArrow(_resolved(kind, resolve, None), answer)
-    of_parts = parts.select("s1", "s2", "c1", "c2", "shift").join(said.withColumnsRenamed({"c1": "s1", "c2": "s2"}), ["s1", "s2"])
-    verdicts = verdicts.unionByName(of_parts.select("c1", "c2", F.transform("ranges", lambda r: r + F.col("shift")).alias("ranges")))
+    contents = wanted.mapInArrow(_contents(kind), "key long, place int, content binary, n long")
+    contents = saved(contents.groupBy("key", "place", "content").agg(F.sum("n").alias("n")))
+    hot = saved(contents.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("key"))
+    some = not hot.isEmpty()
+    meet = (contents.join(hot, "key", "left_anti") if some else contents).repartition(n, "key").sortWithinPartitions("key", "place", "content")
+    verdicts = meet.mapInArrow(_resolved(kind, resolve), "c1 long, c2 long, ranges array<int>")
+    if some:
+        verdicts = verdicts.unionByName(_by_windows(kind, contents.join(hot, "key", "left_semi").select("key", "place", "content", "n")))
     places = wanted.mapInArrow(_places(kind), "_h1 long, _h2 long, at long, c1 long, c2 long")
     marks = places.join(verdicts, ["c1", "c2"]).groupBy("_h1", "_h2").agg(F.collect_list(F.struct("at", "ranges")).alias("marks"))
     marked = texts.join(marks, ["_h1", "_h2"], "left").select("_h1", "_h2", "text", "copies", "marks")
