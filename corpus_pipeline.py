@@ -17,7 +17,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; a missing language is filled in."""
+    """Documents that the classifier rejects go; a missing language is filled in.
+
+    Null texts and texts without a letter are rejected; repeated rows and rows without an id are judged
+    like any other; of an empty table nothing is left; columns beyond those of documents are dropped.
+    """
     docs = docs.select(*COLUMNS)
     ship(spark)
     said = language.identify(docs, language.fit(docs)).where(~F.col("rejected"))
@@ -25,24 +29,31 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays."""
+    """One document of each group of linked documents stays: the one of the least doc_id, null ids last.
+
+    Of rows that are alike in all columns one stays; rows that share a doc_id but not a text are told
+    apart. Texts without words, nulls among them, link with nothing and stay.
+    """
     ship(spark)
     return jaccard.keep_one(docs.select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of repeated 400-byte strings are taken out of the texts; every document stays."""
+    """Bytes of repeated 400-byte strings are taken out of the texts; every document stays, if only empty.
+
+    A null text stays null, with a null n_chars; rows of equal texts, whatever their ids, lose what is long enough.
+    """
     ship(spark)
     return suffix.dedup_texts(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
+    """Documents that hold a benchmark window go; null and empty texts hold none and stay, repeated rows alike."""
     return decontaminate.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the target weights take, with the number of times."""
+    """What the target weights take, with the number of times; ties in the draw go to the shorter text."""
     return mixing.mix(docs.select(*COLUMNS)).where("copies > 0")
 
 
