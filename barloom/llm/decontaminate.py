@@ -1,12 +1,14 @@
 """Benchmark decontamination in DataFrame functions only.
 
 Benchmark items become windows of ten normalised words (an item of fewer words is one
-window). Their 64-bit hashes form a broadcast hash set; every document's token windows are
-scanned against it in one generated stage (tokenise, explode positions, hash, probe), and
-what hits is verified by comparing the words themselves.
+window). Their 64-bit hashes form a broadcast hash set; every document's token windows, of all
+lengths that items have, are scanned against it once, in one generated stage (tokenise, explode
+positions and lengths, hash, probe), and what hits is verified by comparing the words themselves.
+The scan writes a row for each document and each hit; all else starts from there.
 
 The set is broadcast only while the benchmark has at most ``MAX_BROADCAST`` windows (about
-128 MB); beyond that the same joins run as shuffles.
+128 MB); beyond that the hashes of all windows are shuffled to it, without the words, and the
+words of what hits are read again.
 
 Defined cases: null and empty texts have no words; an item without words has no window;
 a null item id hits but isn't listed; null ids and repeated rows each get their own full
@@ -23,8 +25,6 @@ from barloom.llm.common import ALNUM_WORD, ascii_lower, saved
 
 SPAN = 10
 MAX_BROADCAST = 2_000_000
-#: The same words before lower-casing, to count them.
-_COUNTED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -40,25 +40,38 @@ def benchmark_windows(benchmark: DataFrame, span: int = SPAN) -> DataFrame:
     return at.select("item_id", "n", F.array_join(part, " ").alias("phrase"), F.xxhash64(part).alias("hash")).distinct()
 
 
+def _phrase(start: str = "start", n: str = "n") -> Column:
+    return F.array_join(F.slice("w", F.col(start), F.col(n)), " ")
+
+
+def scan(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """Rows (doc_id, _h, start, n, n_words, phrase): one of each document, with n 0, and those whose hash is in the set."""
+    sizes = windows.groupBy("n").count().collect()  # at most ``span`` rows
+    lengths = sorted(r["n"] for r in sizes)
+    keys = windows.select("n", "hash").distinct()
+    base = docs.select("doc_id", F.xxhash64("text").alias("_h"), words_of(F.col("text")).alias("w"))
+    each = base.select("doc_id", "_h", "w", F.explode(F.sequence(F.lit(0), F.size("w"))).alias("start"))
+    of = lambda n: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice("w", F.col("start"), F.lit(n))).alias("hash"))
+    none = F.array(F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("hash")))
+    each = each.select("*", F.explode(F.when(F.col("start") == 0, none).otherwise(F.array(*map(of, lengths)) if lengths else none)).alias("_x")).select("doc_id", "_h", "w", "start", "_x.*")
+    each = each.where("start + n - 1 <= size(w) AND (start = 0 OR n > 0)")
+    if sum(r["count"] for r in sizes) <= MAX_BROADCAST:
+        hit = each.join(F.broadcast(keys.withColumn("_in", F.lit(True))), ["n", "hash"], "left").where("n = 0 OR _in")
+        return hit.select("doc_id", "_h", "start", "n", F.when(F.col("n") == 0, F.size("w")).cast("long").alias("n_words"), F.when(F.col("n") > 0, _phrase()).alias("phrase"))
+    rows = base.select("doc_id", "_h", F.lit(0).alias("start"), F.lit(0).alias("n"), F.size("w").cast("long").alias("n_words"), F.lit(None).cast("string").alias("phrase"))
+    hit = each.where("n > 0").select("doc_id", "_h", "start", "n", "hash").join(keys, ["n", "hash"]).select("doc_id", "_h", "start", "n").distinct()
+    again = hit.alias("h").join(base.dropDuplicates(["doc_id", "_h"]).alias("b"), F.expr("h.doc_id <=> b.doc_id AND h._h = b._h")).select("h.*", "b.w")
+    return rows.unionByName(again.select("doc_id", "_h", "start", "n", F.lit(None).cast("long").alias("n_words"), _phrase().alias("phrase")))
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
     """(doc_id, _h, start, n, item_id): verified occurrences; ``_h`` is xxhash64(text)."""
     windows = benchmark_windows(benchmark, span)
-    sizes = windows.groupBy("n").count().collect()  # at most ``span`` rows
-    small = sum(r["count"] for r in sizes) <= MAX_BROADCAST
-    send = F.broadcast if small else lambda df: df
-    base = docs.select("doc_id", F.xxhash64("text").alias("_h"), words_of(F.col("text")).alias("w"))
-    found = None
-    for n in sorted(r["n"] for r in sizes):
-        mine = windows.where(F.col("n") == n)
-        at = base.where(F.size("w") >= n).select("doc_id", "_h", "w", F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)).alias("start"))
-        scanned = at.withColumn("hash", F.xxhash64(F.slice("w", F.col("start"), n)))
-        hit = scanned.join(send(mine.select("hash").distinct()), "hash")
-        hit = hit.select("doc_id", "_h", "start", F.lit(n).alias("n"), F.array_join(F.slice("w", F.col("start"), n), " ").alias("phrase"))
-        hit = hit.join(send(mine.select("phrase", "item_id")), "phrase").drop("phrase")
-        found = hit if found is None else found.unionByName(hit)
-    if found is None:
-        return base.where("false").select("doc_id", "_h", F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(None).cast("long").alias("item_id"))
-    return found
+    return _verified(scan(docs, windows), windows)
+
+
+def _verified(scanned: DataFrame, windows: DataFrame) -> DataFrame:
+    return scanned.where("n > 0").drop("n_words").join(windows.select("n", "phrase", "item_id"), ["n", "phrase"]).select("doc_id", "_h", "start", "n", "item_id").distinct()
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
@@ -66,7 +79,9 @@ def flag(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
 
     ``spans`` are the maximal runs of hit words, as (start, end) word numbers from 0.
     """
-    hits = saved(find_hits(docs, benchmark, span).distinct())  # used twice, and far smaller than the scan
+    windows = saved(benchmark_windows(benchmark, span))
+    scanned = saved(scan(docs, windows))
+    hits = _verified(scanned, windows)
     of_doc = Window.partitionBy("doc_id", "_h")
     runs = hits.groupBy("doc_id", "_h", "start").agg(F.max("n").alias("n"))
     reach = F.max(F.col("start") + F.col("n")).over(of_doc.orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
@@ -75,7 +90,7 @@ def flag(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
     runs = runs.groupBy("doc_id", "_h", "_run").agg((F.min("start") - 1).alias("start"), (F.max(F.col("start") + F.col("n")) - 1).alias("end"))
     spans = runs.groupBy("doc_id", "_h").agg(F.sum(F.col("end") - F.col("start")).alias("n_hit"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     items = hits.groupBy("doc_id", "_h").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    base = docs.select("doc_id", F.xxhash64("text").alias("_h"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_COUNTED)).cast("long").alias("n_words"))
+    base = scanned.where("n = 0").select("doc_id", "_h", "n_words")
     found = spans.alias("s").join(items.alias("i"), F.expr("s.doc_id <=> i.doc_id AND s._h = i._h")).select("s.*", "i.items")
     out = base.alias("b").join(found.alias("f"), F.expr("b.doc_id <=> f.doc_id AND b._h = f._h"), "left")
     return out.select(
