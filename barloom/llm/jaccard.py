@@ -12,17 +12,21 @@ whole sequence is the one shingle). Two documents link when 100 * |A and B| >= 7
    classes or more. A class's *shared* count is the number of its prefix shingles in any list.
 4. Lists of up to ``PAIRS`` classes give all their pairs, a longer one gives stars: each class
    against the first of the most connected ones that its size can link with. Pairs whose shared
-   counts can't reach ``shared_least`` are left out.
-5. The sets of each query class and of its candidates (at most about ``BLOCK``) meet in a task;
-   there DivideSkip finds the candidates with the required overlap: the short inverted lists are
-   heap-merged, the long ones probed by binary search, and the exact Jaccard test follows.
+   counts can't reach ``shared_least`` are left out. A list of more than ``LONG`` classes is dealt
+   to several tasks, its most connected class to each of them.
+5. The sets of each query class and of its candidates (about ``BLOCK`` shingles at once) meet in a
+   task; there DivideSkip finds the candidates with the required overlap: the short inverted lists
+   are heap-merged, the long ones probed by binary search, and the exact Jaccard test follows.
 6. Long lists whose classes are in several components after that are gone through once more,
    block by block: classes outside the list's largest component against all that are in other
-   components. Rows carry their class's lists (up to ``MANY``), so a pair is counted where it
-   first meets, and only pairs that reach ``shared_least`` leave the task and go through step 5. So no link is lost, and a hot group costs stars instead of all pairs.
+   components, each dealt to parts of ``LONG``; the others are copied only to the parts of those
+   that ask. Rows carry their class's lists (up to ``MANY``), so a pair is counted where it
+   first meets, and only pairs that reach ``shared_least`` leave the task and go through step 5.
+   So no link is lost, and a hot group costs stars instead of all pairs.
 7. Components: alternating large-star and small-star steps on the links.
 
-Only the sketch (4 MB whatever the input) goes through the driver.
+Texts are shingled twice (classes and sketch, then prefixes); those of classes in any list are
+written once for the comparisons. Only the sketch (8 MB whatever the input) goes through the driver.
 
 Defined cases: null texts and texts without words have n_shingles 0 and are their own
 component; the nodes of the graph are the classes, so rows that share a doc_id or have none are
@@ -47,15 +51,18 @@ from math import log2
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import WORD, partitions, saved, text_key
-from barloom.llm.repeats import Rolling, mix, slices, split_words
+from barloom.llm.common import WORD, saved, shards, text_key
+from barloom.llm.repeats import SEGMENT, Rolling, mix, slices, split_words, word_hashes
 
 N, PERCENT = 5, 75
 SKETCH_BITS, SKETCH_BLOCKS = 20, 16
-PAIRS, BLOCK, POSTINGS = 4, 256, 1_000_000
+PAIRS, LONG = 4, 1024
+#: Shingles that are compared in a block; postings that a task holds; parts of the sketch that are added up at once.
+BLOCK, POSTINGS, TOGETHER = 100_000, 500_000, 64
 #: Lists of a class up to which its rows carry them all.
 MANY = 512
 U = np.uint64
@@ -81,16 +88,17 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of every document."""
     data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     begin, end, first = split_words(data, offsets)
-    words = Rolling(data.astype(U)).of(begin, end - begin)
-    roll = Rolling(words)
-    at = np.arange(max(0, len(words) - N + 1))
-    grams = roll.of(at, N)
+    words = word_hashes(data, begin, end)
+    grams = np.empty(max(0, len(words) - N + 1), U)
+    for a in range(0, len(grams), SEGMENT):
+        part = words[a : a + SEGMENT + N - 1]
+        grams[a : a + SEGMENT] = Rolling(part).of(np.arange(len(part) - N + 1), N)
     out = []
     for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if hi - lo >= N:
             out.append(np.unique(grams[lo : hi - N + 1]))
         elif hi > lo:
-            out.append(mix(roll.of(np.array([lo]), hi - lo) + U(hi - lo)))
+            out.append(mix(Rolling(words[lo:hi]).of(np.array([0]), hi - lo) + U(hi - lo)))
         else:
             out.append(np.empty(0, U))
     return out
@@ -103,7 +111,7 @@ def class_of(s: np.ndarray) -> tuple[int, int]:
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents' classes and sizes, and the task's part of the sketch (rows with a block)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int64()), *((k, pa.int64()) for k in KEYS), ("block", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int64()), *((k, pa.int64()) for k in KEYS), ("lot", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
         for a, b, data, offsets in slices(batch.column(1)):
@@ -112,25 +120,53 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = [class_of(s) if len(s) else (None, None) for s in sets]
             m = b - a
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[a:b], pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(batch.column(2 + k)[a:b] for k in range(len(KEYS))), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                [batch.column(0)[a:b], pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(batch.column(2 + k)[a:b] for k in range(len(KEYS))), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
                 schema=schema,
             )
     if sketch.any():
         parts = [zlib.compress(x.tobytes(), 1) for x in sketch.reshape(SKETCH_BLOCKS, -1)]
         none = pa.nulls(SKETCH_BLOCKS, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, *(none for _ in KEYS), pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+        lot = pa.array([TaskContext.get().partitionId()] * SKETCH_BLOCKS, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, *(none for _ in KEYS), lot, pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
+    """(lot, block, counts) in order of lot and block -> their sums; ``TOGETHER`` lots become one."""
+
+    def out(key: tuple[int, int], total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["lot", "block", "counts"])
+
+    now, total = None, np.empty(0)
     for batch in batches:
-        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for lot, block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             part = np.frombuffer(zlib.decompress(counts.as_py()), np.int64)
-            total[block] = total[block] + part if block in total else part
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "counts"])
+            if now == (lot, block):
+                total = total + part
+                continue
+            if now is not None:
+                yield out(now, total)
+            now, total = (lot, block), part
+    if now is not None:
+        yield out(now, total)
+
+
+def _sketch(parts: DataFrame, lots: int) -> np.ndarray:
+    """Ranks of the shingles' bins by frequency, from parts (lot, block, counts): added up ``TOGETHER`` by ``TOGETHER``."""
+    while True:
+        lots = max(1, -(-lots // TOGETHER))
+        dealt = parts.select((F.col("lot") / TOGETHER).cast("long").alias("lot"), "block", "counts").repartition(min(lots * SKETCH_BLOCKS, shards(parts)), "lot", "block")
+        parts = dealt.sortWithinPartitions("lot", "block").mapInArrow(_add_up, "lot long, block int, counts binary")
+        if lots == 1:
+            break
+        parts = saved(parts)
+    sketch = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), np.int64)
+    for r in parts.collect():
+        sketch[r["block"]] += np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+    # ranks instead of counts: half the size, the same order
+    return np.unique(sketch.ravel(), return_inverse=True)[1].astype(np.int32)
 
 
-def _postings(sketch, shards: int):
+def _postings(sketch, n_shards: int):
     """Blocks (shard, data): the table of classes (c1, c2, size), then hash and class of each posting."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,12 +178,12 @@ def _postings(sketch, shards: int):
         def out() -> pa.RecordBatch:
             h = np.concatenate(hashes) if hashes else np.empty(0, U)
             of = np.repeat(np.arange(len(table)), [len(x) for x in hashes]).astype(np.int64)
-            shard = (h % U(shards)).astype(np.int64)
+            shard = (h % U(n_shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             h, of, shard = h[order], of[order], shard[order]
-            cuts = np.searchsorted(shard, np.arange(shards + 1))
+            cuts = np.searchsorted(shard, np.arange(n_shards + 1))
             classes, ids, blobs = np.array(table, np.int64).reshape(-1, 3), [], []
-            for s in range(shards):
+            for s in range(n_shards):
                 x, y = h[cuts[s] : cuts[s + 1]], of[cuts[s] : cuts[s + 1]]
                 if len(x):
                     used, local = np.unique(y, return_inverse=True)
@@ -155,6 +191,7 @@ def _postings(sketch, shards: int):
                     blobs.append(len(used).to_bytes(8, "little") + classes[used].tobytes() + x.tobytes() + local.astype(np.uint32).tobytes())
             table.clear()
             hashes.clear()
+            seen.clear()  # copies beyond a block become one again where lists are read off
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "data"])
 
         held = 0
@@ -184,9 +221,20 @@ def _read_block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return classes, np.frombuffer(data, U, m, 8 + 24 * k), np.frombuffer(data, np.uint32, m, 8 + 24 * k + 8 * m)
 
 
-def _lists_of(blocks: list[bytes]) -> tuple[np.ndarray, dict[bytes, int]]:
-    """(classes, inverted lists of two or more as bytes of sorted class numbers: how many shingles have each)."""
+def _ranges(blocks: list[bytes]) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """A shard's blocks in ranges of hashes, of about ``POSTINGS`` each."""
     parts = [_read_block(x) for x in blocks]
+    several = sum(len(h) for _, h, _ in parts) // POSTINGS + 1
+    for i in range(several):
+        if several == 1:
+            yield parts
+            return
+        mine = [(h >> U(32)) * U(several) >> U(32) == U(i) for _, h, _ in parts]
+        yield [(classes, h[m], of[m]) for (classes, h, of), m in zip(parts, mine, strict=True)]
+
+
+def _lists_of(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, dict[bytes, int]]:
+    """(classes, inverted lists of two or more as bytes of sorted class numbers: how many shingles have each)."""
     table = np.concatenate([p[0] for p in parts])
     base = np.cumsum([0, *(len(p[0]) for p in parts)])
     classes, number = np.unique(table, axis=0, return_inverse=True)
@@ -194,9 +242,9 @@ def _lists_of(blocks: list[bytes]) -> tuple[np.ndarray, dict[bytes, int]]:
     h = np.concatenate([p[1] for p in parts])
     order = np.lexsort((of, h))
     h, of = h[order], of[order]
-    fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])
+    fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])[: len(h)]
     h, of = h[fresh], of[fresh]
-    cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
+    cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])) if len(h) else np.zeros(1, int)
     lists: dict[bytes, int] = defaultdict(int)
     for i in np.flatnonzero(np.diff(cuts) > 1).tolist():
         lists[of[cuts[i] : cuts[i + 1]].tobytes()] += 1
@@ -210,8 +258,8 @@ def _close(a, b):
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks in order of shard -> members of inverted lists (list, c1, c2, n, times)."""
 
-    def out(blocks: list[bytes]) -> pa.RecordBatch:
-        classes, lists = _lists_of(blocks)
+    def out(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        classes, lists = _lists_of(parts)
         members = [np.frombuffer(x, np.int64) for x in lists]
         sizes = [len(m) for m in members]
         c = classes[np.concatenate(members)] if members else np.empty((0, 3), np.int64)
@@ -225,12 +273,12 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for shard, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if shard != now and blocks:
-                yield out(blocks)
+                yield from map(out, _ranges(blocks))
                 blocks = []
             now = shard
             blocks.append(data.as_py())
     if blocks:
-        yield out(blocks)
+        yield from map(out, _ranges(blocks))
 
 
 def _possible(x: tuple, y: tuple) -> bool:
@@ -239,22 +287,25 @@ def _possible(x: tuple, y: tuple) -> bool:
 
 
 def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members (list, c1, c2, n, shared) in order of list and falling shared -> pairs (x, y)."""
+    """Members (list, part, c1, c2, n, shared) in order of list, part and falling shared -> pairs (x, y, ny)."""
     pairs: set[tuple] = set()
 
     def out() -> pa.RecordBatch:
         rows = sorted(pairs)
         pairs.clear()
-        columns = zip(*rows, strict=True) if rows else ((),) * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["x1", "x2", "y1", "y2"])
+        columns = zip(*rows, strict=True) if rows else ((),) * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["x1", "x2", "y1", "y2", "ny"])
 
-    now, start, hubs = None, [], []
+    now, start, hubs, last = None, [], [], None
     for batch in batches:
-        for name, *member in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            if name != now:
-                now, start, hubs = name, [], []
+        for name, part, *member in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            if (name, part) != now:
+                now, start, hubs, last = (name, part), [], [], None
+            if member == last:  # the list's first class is in each of its parts
+                continue
+            last = member
             if len(start) < PAIRS:  # all pairs of the first ones
-                pairs.update((x[0], x[1], member[0], member[1]) for x in start if _possible(x, member))
+                pairs.update((x[0], x[1], *member[:3]) for x in start if _possible(x, member))
                 start.append(member)
                 hubs += [] if any(_close(h[2], member[2]) for h in hubs) else [member]
                 continue
@@ -262,9 +313,9 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if hub is None:
                 hubs.append(member)
             elif _possible(hub, member):
-                pairs.add((hub[0], hub[1], member[0], member[1]))
-        if len(pairs) > 200_000:
-            yield out()
+                pairs.add((hub[0], hub[1], *member[:3]))
+            if len(pairs) > 100_000:
+                yield out()
     yield out()
 
 
@@ -378,66 +429,74 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(block)
 
 
-def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[tuple[int, int]] = set()
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_k0, _k1, text) with the text compressed."""
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        for _, _, data, offsets in slices(batch.column(0)):
-            rows = []
-            for i, s in enumerate(shingle_sets(data, offsets)):
-                if len(s) and (key := class_of(s)) not in seen:
-                    seen.add(key)
-                    rows.append((*key, pack(data[offsets[i] : offsets[i + 1]].tobytes())))
-            c1, c2, z = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(z, pa.binary())], names=["c1", "c2", "z"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([pack(t.as_buffer()) if t.is_valid else None for t in batch.column(2)], pa.binary())], names=["_k0", "_k1", "z"])
 
 
-def _links(blocks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links found in blocks of (g1, g2, part, c1, c2, q, c)."""
-    spark = docs.sparkSession
-    wanted = blocks.select("c1", "c2").distinct()
-    texts = docs.select("text").mapInArrow(_pack_texts, "c1 long, c2 long, z binary").join(wanted, ["c1", "c2"]).groupBy("c1", "c2").agg(F.first("z").alias("z"))
+def _links(blocks: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """Links found in blocks of (g1, g2, part, c1, c2, q, c), with the classes' texts (c1, c2, z)."""
     full = blocks.join(texts, ["c1", "c2"]).select("g1", "g2", "part", "c1", "c2", "q", "c", "z")
-    full = full.repartition(partitions(spark), "g1", "g2", "part").sortWithinPartitions("g1", "g2", "part", "c1", "c2")
+    full = full.repartition(n, "g1", "g2", "part").sortWithinPartitions("g1", "g2", "part", "c1", "c2")
     return full.mapInArrow(_search, "x1 long, x2 long, y1 long, y2 long")
 
 
 def _pair_blocks(pairs: DataFrame) -> DataFrame:
-    """Each query with its candidates, dealt to parts of about ``BLOCK``."""
-    degree = pairs.groupBy("x1", "x2").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    """Each query with its candidates (x, y, ny), dealt to parts of about ``BLOCK`` shingles."""
+    degree = pairs.groupBy("x1", "x2").agg(F.ceil(F.sum("ny") / BLOCK).cast("int").alias("parts"))
     dealt = pairs.join(degree, ["x1", "x2"]).withColumn("part", F.pmod(F.hash("y1", "y2"), "parts"))
     names = lambda a, b, q: [F.col("x1").alias("g1"), F.col("x2").alias("g2"), "part", F.col(a).alias("c1"), F.col(b).alias("c2"), F.lit(q).alias("q"), F.lit(not q).alias("c")]
     asked = degree.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return dealt.select(*names("y1", "y2", False)).unionByName(asked.select(*names("x1", "x2", True)))
 
 
-def _rest(members: DataFrame, node_of: DataFrame) -> DataFrame:
-    """Pairs (x, y) that are still open: see step 6."""
-    spark = members.sparkSession
+def _dealt(members: DataFrame, n: int) -> DataFrame:
+    """Members in order of list and falling shared; long lists in parts, each with the list's first member."""
+    first = F.min(F.struct((-F.col("shared")).alias("o"), "c1", "c2", "n", "shared")).alias("first")
+    long = members.groupBy("list").agg(F.ceil(F.count("*") / LONG).cast("int").alias("parts"), first).where("parts > 1")
+    long = saved(long)
+    part = F.coalesce(F.pmod(F.hash("c1", "c2"), "parts"), F.lit(0)).alias("part")
+    each = members.join(long.select("list", "parts"), "list", "left").select("list", part, "c1", "c2", "n", "shared")
+    heads = long.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(f"first.{c}") for c in ("c1", "c2", "n", "shared")))
+    return each.unionByName(heads).repartition(n, "list", "part").sortWithinPartitions("list", "part", F.desc("shared"), "c1", "c2")
+
+
+def _rest(members: DataFrame, node_of: DataFrame, n: int) -> DataFrame:
+    """Pairs (x, y, ny) that are still open: see step 6."""
     named = members.join(node_of, ["c1", "c2"])
     per = named.groupBy("list", "component").agg(F.count("*").alias("m"))
     largest = per.groupBy("list").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"), F.count("*").alias("k")).where(f"k > 1 AND all > {PAIRS}")
+    largest = saved(largest)  # a table of its own, so that a long list can be split in the join
     open_ = named.join(largest, "list").withColumn("q", F.col("component") != F.col("top.component")).withColumn("id", F.xxhash64("list"))
     # a class's lists, the longest first: pairs in several are then counted where they first meet
     lists = open_.groupBy("c1", "c2").agg(F.sort_array(F.collect_list(F.struct((-F.col("all")).alias("o"), "id", "times"))).alias("l")).where(F.size("l") <= MANY)
-    cut = open_.join(lists, ["c1", "c2"], "left").withColumn("parts", F.ceil(F.col("all") / (8 * BLOCK)).cast("int")).withColumn("mine", F.pmod(F.hash("c1", "c2"), "parts"))
-    cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    parts = lambda of: F.ceil(of / LONG).cast("int")
+    cut = open_.join(lists, ["c1", "c2"], "left").withColumns({"_ask": parts(F.col("all") - F.col("top.m")), "_all": parts(F.col("all"))})
     plain = ["id", "c1", "c2", "n", "shared", "component", "times"]
     knows = [F.col("l.id").alias("ids"), F.col("l.times").alias("weights")]
-    asked = cells.where("q").select("list", F.concat_ws("/", "mine", "other").alias("cell"), *plain, F.lit(True).alias("a"), "q", *knows)
-    given = cells.select("list", F.concat_ws("/", "other", "mine").alias("cell"), *plain, F.lit(False).alias("a"), "q", *knows)
-    dealt = asked.unionByName(given).repartition(partitions(spark), "list", "cell").sortWithinPartitions("list", "cell")
+    mine = lambda of: F.pmod(F.hash("c1", "c2"), of)
+    other = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1)).alias("other")
+    asked = cut.where("q").select("*", other("_all")).select("list", F.concat_ws("/", mine("_ask"), "other").alias("cell"), *plain, F.lit(True).alias("a"), "q", *knows)
+    given = cut.select("*", other("_ask")).select("list", F.concat_ws("/", "other", mine("_all")).alias("cell"), *plain, F.lit(False).alias("a"), "q", *knows)
+    dealt = asked.unionByName(given).repartition(n, "list", "cell").sortWithinPartitions("list", "cell")
     pairs = dealt.mapInArrow(_open_pairs, "x1 long, x2 long, y1 long, y2 long, nx long, ny long, times long")
     counted = pairs.groupBy("x1", "x2", "y1", "y2", "nx", "ny").agg(F.sum("times").alias("times"))
     least = F.ceil(PERCENT * (F.col("nx") + F.col("ny")) / (100 + PERCENT)) - F.greatest(F.ceil(PERCENT * F.col("nx") / 100), F.ceil(PERCENT * F.col("ny") / 100)) + 1
-    return counted.where(F.col("times") >= least).select("x1", "x2", "y1", "y2")
+    return counted.where(F.col("times") >= least).select("x1", "x2", "y1", "y2", "ny")
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has at most one edge to a lesser node, and that one none."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up + down > 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable from every node of ``edges`` (a, b)."""
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    while True:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -445,38 +504,37 @@ def components(edges: DataFrame) -> DataFrame:
         root = low.groupBy("a").agg(F.min("b").alias("m"))
         small = low.join(root, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         now = saved(small.unionByName(root.select("a", F.col("m").alias("b"))).distinct())
-        size = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if size == state:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        state = size
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    rows = _linked(docs.select("doc_id", "text", *(F.lit(None).cast("long").alias(k) for k in KEYS)))
+    rows = _linked(docs.select("doc_id", "text", *(k.alias(n) for k, n in zip((*text_key(F.col("text")), F.lit(0).cast("long")), KEYS, strict=True))))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _texts(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(c1, c2, z): a text, compressed, of each of ``classes``."""
+    one = classes.join(rows.select("c1", "c2", "_k0", "_k1"), ["c1", "c2"]).groupBy("c1", "c2").agg(F.min(F.struct("_k0", "_k1")).alias("k"))
+    packed = docs.select("_k0", "_k1", "text").mapInArrow(_pack, "_k0 long, _k1 long, z binary")
+    by_key = packed.groupBy("_k0", "_k1").agg(F.first("z").alias("z"))
+    return by_key.join(one.select("c1", "c2", "k.*"), ["_k0", "_k1"]).select("c1", "c2", "z")
+
+
 def _linked(docs: DataFrame) -> DataFrame:
     """doc_id, c1, c2, n, ``KEYS``, component (a node) and component_id (its least doc_id) of (doc_id, text, ``KEYS``)."""
     spark: SparkSession = docs.sparkSession
-    survey = saved(docs.mapInArrow(_survey, f"doc_id long, c1 long, c2 long, n long, {', '.join(f'{k} long' for k in KEYS)}, block int, counts binary"))
+    n = shards(docs)
+    survey = saved(docs.mapInArrow(_survey, f"doc_id long, c1 long, c2 long, n long, {', '.join(f'{k} long' for k in KEYS)}, lot long, block int, counts binary"))
     rows = survey.where("block IS NULL").select("doc_id", "c1", "c2", "n", *KEYS)
-    parts = survey.where("block IS NOT NULL").select("block", "counts").repartition(SKETCH_BLOCKS, "block").mapInArrow(_add_up, "block int, counts binary").collect()
-    sketch = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), np.int64)
-    for r in parts:
-        sketch[r["block"]] = np.frombuffer(r["counts"], np.int64)
-    # ranks instead of counts: half the size, the same order
-    sketch = spark.sparkContext.broadcast(np.unique(sketch.ravel(), return_inverse=True)[1].astype(np.int32))
-    shards = partitions(spark)
-    postings = docs.select("text").mapInArrow(_postings(sketch, shards), "shard int, data binary")
-    postings = postings.repartition(shards, "shard").sortWithinPartitions("shard")
+    sketch = _sketch(survey.where("block IS NOT NULL").select("lot", "block", "counts"), docs.rdd.getNumPartitions())
+    postings = docs.select("text").mapInArrow(_postings(spark.sparkContext.broadcast(sketch), n), "shard int, data binary")
+    postings = postings.repartitionById(n, "shard").sortWithinPartitions("shard")
     lists = saved(postings.mapInArrow(_members, "list string, c1 long, c2 long, n long, times long"))
     # shards that have the same list count together
     members = lists.groupBy("list", "c1", "c2", "n").agg(F.sum("times").alias("times"))
     members = saved(members.join(lists.groupBy("c1", "c2").agg(F.sum("times").alias("shared")), ["c1", "c2"]))
-    dealt = members.select("list", "c1", "c2", "n", "shared").repartition(shards, "list").sortWithinPartitions("list", F.desc("shared"), "c1", "c2")
-    pairs = dealt.mapInArrow(_first_pairs, "x1 long, x2 long, y1 long, y2 long").distinct()
+    pairs = _dealt(members, n).mapInArrow(_first_pairs, "x1 long, x2 long, y1 long, y2 long, ny long").distinct()
     # a class is a node; numbers are given once, ids only name the components at the end
     nodes = saved(rows.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
     named = lambda e: (
@@ -484,13 +542,13 @@ def _linked(docs: DataFrame) -> DataFrame:
         .join(nodes.select(F.col("c1").alias("y1"), F.col("c2").alias("y2"), F.col("node").alias("b")), ["y1", "y2"])
         .select("a", "b")
     )
-    edges = saved(named(_links(_pair_blocks(pairs), docs)))
-    linked = components(edges)
-    in_lists = members.select("c1", "c2").distinct().join(nodes.drop("least"), ["c1", "c2"])
-    node_of = in_lists.join(linked, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component"))
-    rest = saved(_rest(members, node_of))
+    in_lists = members.select("c1", "c2").distinct()
+    texts = saved(_texts(docs, rows, in_lists))
+    linked = components(named(_links(_pair_blocks(pairs), texts, n)))
+    node_of = in_lists.join(nodes.drop("least"), ["c1", "c2"]).join(linked, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component"))
+    rest = saved(_rest(members, node_of, n))
     if not rest.isEmpty():
-        more = saved(named(_links(_pair_blocks(rest), docs)))
+        more = named(_links(_pair_blocks(rest), texts, n))
         linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     of_class = nodes.join(linked, "node", "left").select("c1", "c2", "least", F.coalesce("component", "node").alias("component"))
     names = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -508,9 +566,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     keyed = docs.select("*", text.rlike(WORD).alias("_words"), *(m.alias(k) for m, k in zip(marks, KEYS, strict=True)))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "c1", "c2", *KEYS)
     first = _linked(keyed.select("doc_id", "text", *KEYS)).where("n > 0").groupBy("component").agg(F.min(order).alias("o"))
-    first = first.select(F.col("o.doc_id").alias("_id"), *(F.col(f"o.{k}").alias(f"_o{k}") for k in KEYS))
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    for k in KEYS:
-        same = same & (F.col(k) == F.col(f"_o{k}"))
-    one = keyed.where("_words").join(first, same, "left_semi").dropDuplicates(["doc_id", *KEYS])
+    # the text's and the row's hash name a row; doc_id is one of its columns
+    one = keyed.where("_words").join(first.select("o.*").select(*KEYS), list(KEYS), "left_semi").dropDuplicates(list(KEYS))
     return one.unionByName(keyed.where("NOT _words")).select(*docs.columns)
