@@ -5,8 +5,9 @@ A conversation is rendered as ``<|chatL|>`` and, for each turn,
 again by splitting on the marks, the recovered turns are compared with the source, and the
 level rises until they are identical:
 
-* level 0: role and text as they are;
-* level 1: ``\`` becomes ``\\`` and ``<`` becomes ``\l``, so that no content holds a mark;
+* level 0: role and text as they are, if they hold none of the control strings ``CONTROL``;
+* level 1: ``\`` becomes ``\\``, ``<`` becomes ``\l`` and ``[`` becomes ``\b``, so that no content
+  holds a mark or another control string;
 * level 2: role and text in hexadecimal (any content round-trips).
 
 Defined cases: a null role or text counts as empty; turns sort by (turn, role, text), null
@@ -17,17 +18,24 @@ input are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
+#: What may steer a model: the marks of this template and of others. Contents that hold any are escaped.
+CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]")
 
 
 def _esc(c: Column, level: int) -> Column:
     if level == 0:
         return c
     if level == 1:
-        return F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("<"), F.lit("\\l"))
+        for what, by in (("\\", "\\\\"), ("<", "\\l"), ("[", "\\b")):
+            c = F.replace(c, F.lit(what), F.lit(by))
+        return c
     return F.hex(F.encode(c, "UTF-8"))
 
 
@@ -35,9 +43,10 @@ def _unesc(c: Column, level: int) -> Column:
     if level == 0:
         return c
     if level == 1:
-        # no "<" is left in escaped content, so it may stand for an escaped backslash
-        pairs = F.replace(F.replace(c, F.lit("\\\\"), F.lit("<")), F.lit("\\l"), F.lit("\\"))
-        return F.translate(pairs, "<\\", "\\<")
+        # no "<" or "[" is left in escaped content, so "<" may stand for an escaped backslash
+        for what, by in (("\\\\", "<"), ("\\b", "["), ("\\l", "\\")):
+            c = F.replace(c, F.lit(what), F.lit(by))
+        return F.translate(c, "<\\", "\\<")
     return F.decode(F.unhex(c), "UTF-8")
 
 
@@ -85,6 +94,8 @@ def format_chats(rows: DataFrame) -> DataFrame:
         chats = chats.withColumn(f"_f{level}", render(F.col("_source"), level))
         chats = chats.withColumn(f"_p{level}", parse(F.col(f"_f{level}"), level))
         chats = chats.withColumn(f"_ok{level}", _plain(F.col(f"_p{level}")).eqNullSafe(F.col("_source")))
+    held = lambda c: reduce(or_, (F.contains(c, F.lit(x)) for x in CONTROL))
+    chats = chats.withColumn("_ok0", F.col("_ok0") & ~F.exists("_source", lambda t: held(t["role"]) | held(t["text"])))
     safe = render(F.col("_source"), 2)
     choose = lambda a, b, c: F.when(F.col("_ok0"), a).when(F.col("_ok1"), b).otherwise(c)
     chats = chats.select(
