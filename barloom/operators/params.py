@@ -50,7 +50,7 @@ FOLLOWS: dict[str, str] = {
     "ma_exit_slow": "ma_slow_length",
     "ma_exit_type": "ma_type",
 }
-#: Old names -> the present ones, in the order in which they are resolved.
+#: Old names -> the present ones, in the order in which they are resolved.
 RENAMED: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("pamrp_length", ("pamrp_entry_length", "pamrp_exit_length")),
     ("pamrp_entry_length", ("pamrp_entry_ma_length",)),
