@@ -1,13 +1,15 @@
 """Language ID by nearest centroid over TF-IDF character n-grams.
 
 Whole texts become counts of hashed 1- to 3-grams of their letters (lower-cased, everything
-else one space); tf is log(1 + count), vectors have length 1. Each language has up to
-``CENTROIDS`` spherical k-means centroids; the nearest by cosine wins, equal ones by name.
+else one space; ``STEP`` characters at once); tf is log(1 + count), vectors have length 1. Each
+language has up to ``CENTROIDS`` spherical k-means centroids; the nearest by cosine wins, equal
+ones by name.
 
-The classifier is fitted on at most ``SAMPLE`` labelled documents of each of at most
-``MAX_LANGS`` languages (the sample is drawn by a hash of doc_id and text, over the whole table);
-idf, centroids and rejection limits come from it. Prediction reads every whole text and is a
-map over partitions.
+The classifier is fitted on about ``SAMPLE`` labelled documents of each language, of every
+language that there is (the sample is drawn by a hash of doc_id and text, over the whole table).
+Each language is clustered by itself, in a group of at most its sample; only document frequencies
+and centroids reach the driver. Prediction reads every whole text once, in one Python evaluation,
+and is a map over partitions.
 
 Rejection: a text is rejected when its cosine is below ``SLACK`` times the ``LOWEST`` quantile of
 the cosines of sampled documents of its own length (power of two of n-grams), or when it has no
@@ -32,8 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BINS, SAMPLE, MAX_LANGS, CENTROIDS, ROUNDS, SEED = 4096, 400, 200, 3, 12, 7
+from barloom.llm.common import saved
+
+BINS, SAMPLE, CENTROIDS, ROUNDS, SEED = 4096, 400, 3, 12, 7
 SLACK, LOWEST, ENOUGH = 0.85, 0.005, 200
+#: Characters that are counted at once.
+STEP = 1 << 18
 
 
 @cache
@@ -47,19 +53,36 @@ def _letters() -> np.ndarray:
 
 def gram_counts(text: str) -> tuple[np.ndarray, int]:
     """(counts in ``BINS`` hashed bins, number of n-grams); zero n-grams: no letter."""
-    c = _letters()[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
-    c = np.concatenate([[32], c, [32]]).astype(np.uint32)
-    c = c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]
-    if len(c) < 2:
-        return np.zeros(BINS, np.int64), 0
-    with np.errstate(over="ignore"):
-        one = c[c != 32] * np.uint32(2654435761)
-        two = c[:-1] * np.uint32(2246822519) + c[1:] * np.uint32(3266489917)
-        three = two[:-1] * np.uint32(668265263) + c[2:] * np.uint32(374761393)
-        grams = np.concatenate([one, two, three])
-        grams ^= grams >> np.uint32(15)
-        grams *= np.uint32(2146121005)
-    return np.bincount(grams >> np.uint32(32 - BINS.bit_length() + 1), minlength=BINS), len(grams)
+    counts, total = np.zeros(BINS, np.int64), 0
+    before = np.array([32], np.uint32)  # the last two characters that stand before
+    for a in range(0, len(text) + 1, STEP):
+        c = _letters()[np.frombuffer(text[a : a + STEP].lower().encode("utf-32-le", "replace"), np.uint32)]
+        if a + STEP > len(text):
+            c = np.append(c, np.uint32(32))
+        c = c[(c != 32) | (np.append(before[-1:], c[:-1]) != 32)]
+        if not len(c):
+            continue
+        s = np.concatenate([before, c])
+        with np.errstate(over="ignore"):
+            one = c[c != 32] * np.uint32(2654435761)
+            two = s[:-1] * np.uint32(2246822519) + s[1:] * np.uint32(3266489917)
+            three = two[:-1] * np.uint32(668265263) + s[2:] * np.uint32(374761393)
+            grams = np.concatenate([one, two[len(before) - 1 :], three])
+            grams ^= grams >> np.uint32(15)
+            grams *= np.uint32(2146121005)
+        counts += np.bincount(grams >> np.uint32(32 - BINS.bit_length() + 1), minlength=BINS)
+        total += len(grams)
+        before = s[-2:]
+    return counts, total
+
+
+def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    x = np.log1p(counts.astype(np.float32)) * idf
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.float32(1e-12))
+
+
+def inverse_frequency(documents: int, having: np.ndarray) -> np.ndarray:
+    return (np.log((1 + documents) / (1 + having)) + 1).astype(np.float32)
 
 
 @dataclass
@@ -70,8 +93,7 @@ class Model:
     limits: np.ndarray  # lowest allowed cosine by log2 of the number of n-grams
 
     def vector(self, counts: np.ndarray) -> np.ndarray:
-        v = np.log1p(counts) * self.idf
-        return v / max(np.sqrt(v @ v), 1e-12)
+        return vectors(counts[None], self.idf)[0]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         counts, n = gram_counts(text or "")
@@ -101,70 +123,56 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return c
 
 
-def fit_vectors(langs: list[str], counts: np.ndarray) -> Model:
-    """Without limits."""
-    if not langs:
-        return Model([], np.zeros((0, BINS)), np.ones(BINS), np.zeros(64))
-    idf = np.log((1 + len(langs)) / (1 + (counts > 0).sum(0))) + 1
-    x = np.log1p(counts) * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    rng, names, centers = np.random.default_rng(SEED), [], []
-    labels = np.array(langs)
-    for lang in sorted(set(langs)):
-        c = _kmeans(x[labels == lang], CENTROIDS, rng)
-        names += [lang] * len(c)
-        centers.append(c)
-    cents = np.concatenate(centers)
-    return Model(names, cents, idf, np.zeros(64))
-
-
-def limits_of(bits: np.ndarray, whole: np.ndarray, cosines: np.ndarray) -> np.ndarray:
-    """Lowest allowed cosine by length, from documents (whole) and beginnings of documents."""
-    limits, last = np.zeros(64), 0.0
-    for b in range(64):
-        mine = cosines[(bits == b) & whole]
-        if len(mine) < ENOUGH:
-            mine = cosines[bits == b]
-        if len(mine):
-            last = SLACK * np.quantile(mine, LOWEST, method="lower")
-        limits[b] = last
-    return limits
-
-
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """On a sample of the documents that aren't held out; only text and lang are used."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    rate = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    share = F.lit(0.0)
-    for r in rate:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, sample / r["count"])).otherwise(share)
-    draw = (F.xxhash64(F.lit(SEED), "doc_id", "text").bitwiseAND((1 << 53) - 1)) / float(1 << 53)
+def _half(draw: float) -> int:
+    return int(draw * (1 << 53)) & 1
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [gram_counts(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([c.astype(np.float32).tobytes() for c, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())],
-                names=["lang", "draw", "counts", "n"],
-            )
-
-    drawn = known.select("lang", "text", draw.alias("draw")).where(F.col("draw") < share)
-    rows = drawn.mapInArrow(count, "lang string, draw double, counts binary, n long").where("n > 0").limit(2 * sample * MAX_LANGS).collect()
-    rows.sort(key=lambda r: (r["lang"], r["draw"], r["counts"]))
-    counts = np.array([np.frombuffer(r["counts"], np.float32) for r in rows]).reshape(len(rows), BINS)
-    langs, half = [r["lang"] for r in rows], np.array([_half(r["draw"]) for r in rows], int)
-    model = fit_vectors(langs, counts)
-    others = docs.sparkSession.sparkContext.broadcast([fit_vectors([x for x, h in zip(langs, half, strict=True) if h == k], counts[half == k]) for k in (1, 0)])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, draw) -> a row for each half: documents with letters, and how many of them have each bin."""
+    documents, having = [0, 0], np.zeros((2, BINS), np.int64)
+    for batch in batches:
+        for text, draw in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            counts, n = gram_counts(text.as_py())
+            if n:
+                documents[_half(draw)] += 1
+                having[_half(draw)] += counts > 0
+    yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(documents, pa.int64()), pa.array([h.tobytes() for h in having], pa.binary())], names=["half", "n", "having"])
+
+
+#: Models of a fit: of the whole sample, and without its one and other half.
+WHOLE = 2
+
+
+def _clusters(idf: np.ndarray):
+    """A language's sampled (lang, text, draw) -> (model, lang, place, centroid)."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        found = sorted((d, t) for t, d in zip(rows.column("text").to_pylist(), rows.column("draw").to_pylist(), strict=True))
+        counted = [(_half(d), c.astype(np.float32)) for d, t in found for c, n in [gram_counts(t)] if n]
+        out: list[tuple] = []
+        for model in (WHOLE, 0, 1):
+            mine = [c for h, c in counted if h != model]
+            if mine:
+                centers = _kmeans(vectors(np.array(mine), idf[model]), CENTROIDS, np.random.default_rng(SEED))
+                out += [(model, i, c.astype(np.float32).tobytes()) for i, c in enumerate(centers)]
+        lang = rows.column("lang")[0].as_py()
+        return pa.table({"model": pa.array([o[0] for o in out], pa.int32()), "lang": pa.array([lang] * len(out), pa.string()), "place": pa.array([o[1] for o in out], pa.int32()), "centroid": pa.array([o[2] for o in out], pa.binary())})
+
+    return work
+
+
+def _cosines(models):
+    """(text, draw) -> n-gram length (power of two), whether of the whole text, cosine to the model without its half."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for text, d in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                text, m = text.as_py(), others.value[_half(d)]
+                text, m = text.as_py(), models.value[_half(d)]
                 for cut in (None, *(1 << k for k in range(len(text).bit_length()) if 1 << k < len(text))):
                     c, n = gram_counts(text[:cut])
                     if n:
@@ -172,13 +180,38 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
             bits, whole, cos = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(bits, pa.int32()), pa.array(whole, pa.bool_()), pa.array(cos, pa.float64())], names=["bits", "whole", "cos"])
 
-    scores = drawn.select("text", "draw").mapInArrow(score, "bits int, whole boolean, cos double").collect()
-    model.limits = limits_of(*(np.array([r[c] for r in scores], t) for c, t in (("bits", int), ("whole", bool), ("cos", float))))
-    return model
+    return work
 
 
-def _half(draw: float) -> int:
-    return int(draw * (1 << 53)) & 1
+def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
+    """On a sample of the documents that aren't held out; only text and lang are used."""
+    spark = docs.sparkSession
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
+    rate = saved(known.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share")))
+    draw = (F.xxhash64(F.lit(SEED), "doc_id", "text").bitwiseAND((1 << 53) - 1)) / float(1 << 53)
+    drawn = saved(known.join(rate, "lang").select("lang", "text", draw.alias("draw"), "share").where("draw < share").drop("share"))
+    n, having = np.zeros(3, np.int64), np.zeros((3, BINS), np.int64)
+    for r in drawn.select("text", "draw").mapInArrow(_frequencies, "half int, n long, having binary").collect():
+        for model in (1 - r["half"], WHOLE):  # the model without the other half
+            n[model] += r["n"]
+            having[model] += np.frombuffer(r["having"], np.int64)
+    idf = [inverse_frequency(int(k), h) for k, h in zip(n, having, strict=True)]
+    rows = drawn.groupBy("lang").applyInArrow(_clusters(idf), "model int, lang string, place int, centroid binary").collect()
+    rows.sort(key=lambda r: (r["lang"], r["place"]))
+    mine = [[r for r in rows if r["model"] == k] for k in range(3)]
+    models = [Model([r["lang"] for r in part], np.array([np.frombuffer(r["centroid"], np.float32) for r in part], np.float32).reshape(-1, BINS), idf[k], np.zeros(64)) for k, part in enumerate(mine)]
+    scores = drawn.select("text", "draw").mapInArrow(_cosines(spark.sparkContext.broadcast(models[:2])), "bits int, whole boolean, cos double")
+    lowest = scores.groupBy("bits").agg(F.count_if("whole").alias("n"), F.expr(f"percentile_disc({LOWEST}) WITHIN GROUP (ORDER BY cos) FILTER (WHERE whole)").alias("whole"), F.expr(f"percentile_disc({LOWEST}) WITHIN GROUP (ORDER BY cos)").alias("any"))
+    models[WHOLE].limits = limits_of({r["bits"]: r["whole"] if r["n"] >= ENOUGH else r["any"] for r in lowest.collect()})
+    return models[WHOLE]
+
+
+def limits_of(lowest: dict[int, float]) -> np.ndarray:
+    """Lowest allowed cosine of every length; a length without any takes that of the next shorter one."""
+    limits, last = np.zeros(64), 0.0
+    for b in range(64):
+        last = limits[b] = SLACK * lowest[b] if b in lowest else last
+    return limits
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -191,4 +224,5 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([m.predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
 
-    return docs.withColumn("_said", predict("text")).select(*docs.columns, "_said.*")
+    # else a filter on the answer would be pushed below it, with a second evaluation of its own
+    return docs.withColumn("_said", predict.asNondeterministic()("text")).select(*docs.columns, "_said.*")
