@@ -25,8 +25,9 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.count_tokens(table(ship(spark), sf_dir, "documents"))
     listed = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
     return counted.select(
-        "doc_id", "n_tokens", "n_sections", "n_crossing", F.coalesce(F.array_max("section_tokens"), F.lit(0)).alias("max_tokens"),
-        listed("section_starts").alias("starts_md5"), listed("section_tokens").alias("tokens_md5"),
+        "doc_id", "n_tokens", F.size("lines").cast("long").alias("n_sections"), F.col("lines_crossing").alias("n_crossing"), F.coalesce(F.array_max("lines.tokens"), F.lit(0)).alias("max_tokens"),
+        listed("lines.start").alias("starts_md5"), listed("lines.tokens").alias("tokens_md5"),
+        F.size("blocks").cast("long").alias("n_blocks"), F.col("blocks_crossing").alias("n_block_crossing"), listed("blocks.start").alias("block_starts_md5"), listed("blocks.tokens").alias("block_tokens_md5"),
     )
 
 
@@ -40,7 +41,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digests(media.audio_features(table(ship(spark), sf_dir, "documents"), keep_media=False))
+    return media.digests(media.load(media.store(table(ship(spark), sf_dir, "documents"), keep_media=False)))
 
 
 #: Conversation -1 of the contract: fixed values.
@@ -74,18 +75,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": decontaminate.ORACLE,
     "op4_mixing": mixing.oracle(),
-    # marks: 8 + 8 + 7 characters a turn, 9 before them; no content of the tables holds a mark
+    # marks: 8 + 8 + 7 characters a turn, 9 before them; where any content holds a control string, \\, < and [ take two
     "op7_chat_formatting": r"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
             UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), sizes AS (
+            SELECT *, len(regexp_extract_all(role || text, '[\\<\[]')) AS escaped,
+                regexp_matches(role, '<\||<s>|</s>|\[INST\]|\[/INST\]') OR regexp_matches(text, '<\||<s>|</s>|\[INST\]|\[/INST\]') AS held
+            FROM rows
         ), chats AS (
             SELECT conv_id, count(*) AS n_turns,
                 string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
                 coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
-                9 + sum(length(role) + length(text) + 23) AS formatted_chars
-            FROM rows GROUP BY conv_id
+                9 + sum(length(role) + length(text) + 23) + CASE WHEN bool_or(held) THEN sum(escaped) ELSE 0 END AS formatted_chars
+            FROM sizes GROUP BY conv_id
         )
         SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars,
             sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars

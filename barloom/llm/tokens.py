@@ -1,10 +1,10 @@
 """Token counts of a document's sections, by offsets.
 
-Each text is encoded once as a whole; the tokens' spans are interval-joined to the sections
-(here: lines, each with its line end) by binary search over both sorted lists. A token that
-crosses a boundary belongs to the section that holds its first character, and is counted in
-``n_crossing``. Byte-level tokens may start inside a character; sections start at characters,
-so byte spans and character spans give the same owner.
+Each text is encoded once as a whole; the tokens' spans are interval-joined to the sections by
+binary search over both sorted lists. Sections are lines (each with its line end), or blocks of a
+fixed number of characters. A token that crosses a boundary belongs to the section that holds its
+first character, and is counted in ``n_crossing``. Byte-level tokens may start inside a character;
+sections start at characters, so byte spans and character spans give the same owner.
 
 Defined cases: a null or empty text has no sections and no tokens; a text of any length is
 encoded whole; repeated rows and null ids pass through; an empty table gives an empty result;
@@ -14,7 +14,6 @@ other columns are ignored.
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,20 @@ from pyspark.sql import DataFrame
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SCHEMA = "doc_id long, n_tokens long, n_sections long, n_crossing long, section_starts array<long>, section_tokens array<long>"
+#: Characters of a block.
+BLOCK = 500
+_SECTIONS = "array<struct<start:long,tokens:long>>"
+SCHEMA = f"doc_id long, n_tokens long, lines {_SECTIONS}, lines_crossing long, blocks {_SECTIONS}, blocks_crossing long"
+
+
+def line_starts(raw: np.ndarray) -> np.ndarray:
+    """First byte of each line."""
+    return np.append(0, np.flatnonzero(raw[:-1] == 10) + 1)
+
+
+def block_starts(raw: np.ndarray, size: int) -> np.ndarray:
+    """First byte of each ``size`` characters; bytes 80 to BF (hex) go on with a character."""
+    return np.flatnonzero((raw & 0xC0) != 0x80)[::size]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,35 +53,49 @@ class Encoder:
         for token, at in ranks.items():
             self.sizes[at] = len(token)
 
-    def sections(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
-        """(first byte of each section, tokens owned by each, tokens that cross a boundary)."""
-        raw = np.frombuffer(text.encode(), np.uint8)
-        starts = np.concatenate([[0], np.flatnonzero(raw == 10) + 1])
-        starts = starts[starts < len(raw)]
+    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(first byte, end) of every token."""
         ends = np.cumsum(self.sizes[np.asarray(self.encode(text), np.int64)])
-        begins = np.concatenate([[0], ends[:-1]])
-        owner = np.searchsorted(starts, begins, "right") - 1
-        crossing = int((ends > np.append(starts[1:], len(raw))[owner]).sum())
-        return starts, np.bincount(owner, minlength=len(starts)), crossing
+        return np.append(0, ends)[:-1], ends
 
 
-def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """One row per document, with the sections' starts (bytes) and token counts as arrays.
+def attribute(begins: np.ndarray, ends: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    """(tokens owned by each section, tokens that cross a boundary) of tokens' and sections' bytes."""
+    owner = np.searchsorted(starts, begins, "right") - 1
+    return np.bincount(owner, minlength=len(starts)), int((ends > np.append(starts[1:], size)[owner]).sum())
+
+
+def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
+    """One row per document: its tokens, and those of its lines and blocks (start in bytes, tokens).
 
     A map over partitions, no shuffle. The vocabulary (a fixed file of about a megabyte) is
     read on the driver and broadcast, so executors need no copy of it.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
-    fields = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_sections", pa.int64()), ("n_crossing", pa.int64()), ("section_starts", pa.list_(pa.int64())), ("section_tokens", pa.list_(pa.int64()))])
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("tokens", pa.int64())]))
+
+    def listed(starts: list[np.ndarray], tokens: list[np.ndarray]) -> pa.Array:
+        offsets = np.cumsum([0, *map(len, starts)], dtype=np.int32)
+        flat = [pa.array(np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64)) for x in (starts, tokens)]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(flat, names=["start", "tokens"])).cast(kind)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                rows = []
-                for doc, text in zip(batch.column(0)[at : at + 1000], batch.column(1)[at : at + 1000], strict=True):
-                    starts, n, crossing = encoder.sections(text.as_py()) if text.is_valid and text.as_py() else (np.empty(0, int), np.empty(0, int), 0)
-                    rows.append({"doc_id": doc.as_py(), "n_tokens": int(n.sum()), "n_sections": len(n), "n_crossing": crossing, "section_starts": starts, "section_tokens": n})
-                yield pa.RecordBatch.from_pylist(rows, schema=fields)
+            for at in range(0, batch.num_rows, 200):
+                n: list[int] = []
+                found: list[tuple[list, list, list]] = [([], [], []), ([], [], [])]
+                for text in batch.column(1)[at : at + 200]:
+                    text = text.as_py() or ""
+                    raw = np.frombuffer(text.encode(), np.uint8)
+                    begins, ends = encoder.spans(text)
+                    n.append(len(begins))
+                    for (starts, tokens, crossing), mine in zip(found, (line_starts(raw), block_starts(raw, block)) if text else (np.empty(0, np.int64),) * 2, strict=True):
+                        owned, across = attribute(begins, ends, mine, len(raw))
+                        starts.append(mine)
+                        tokens.append(owned)
+                        crossing.append(across)
+                columns = [c for starts, tokens, crossing in found for c in (listed(starts, tokens), pa.array(crossing, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 200], pa.array(n, pa.int64()), *columns], names=["doc_id", "n_tokens", "lines", "lines_crossing", "blocks", "blocks_crossing"])
 
     return docs.select("doc_id", "text").mapInArrow(work, SCHEMA)

@@ -122,10 +122,35 @@ def test_op1_rejects_what_is_no_known_language(llm_spark):
         assert model.predict(t * 3)[2]
 
 
-def test_op3_counts_whole_texts(llm_spark, sf, texts):
-    encode = tokens.Encoder(tokens.read_ranks(tokens.VOCABULARY)).encode
-    for r in queries.op3_token_counts(llm_spark, sf).collect():
-        assert r["n_tokens"] == len(encode(texts[r["doc_id"]] or ""))
+def attributed(encoder, text, starts):
+    """(tokens by section, tokens over a boundary), character by character, of sections that start at these characters."""
+    section, at = [], -1
+    for i in range(len(text)):
+        at += i in starts
+        section += [at] * len(text[i].encode())
+    begins, ends = encoder.spans(text)
+    owned = Counter(section[b] for b in begins.tolist())
+    across = sum(section[b] != section[e - 1] for b, e in zip(begins.tolist(), ends.tolist(), strict=True))
+    return [owned[k] for k in range(len(starts))], across
+
+
+def test_op3_against_brute_force(llm_spark, sf, texts):
+    encoder = tokens.Encoder(tokens.read_ranks(tokens.VOCABULARY))
+    odd = {-1: "a\n\n\n b\n\n  \nünïcödé日本語 text\n\n", -2: "日本語" * 700, -3: "\n", -4: None, -5: "no line end " * 90}
+    more = llm_spark.createDataFrame(list(odd.items()), "doc_id long, text string")
+    docs = llm_spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(more)
+    crossing = Counter()
+    for r in tokens.count_tokens(docs).collect():
+        text = (texts | odd)[r["doc_id"]] or ""
+        assert r["n_tokens"] == len(encoder.encode(text))
+        lines = {0, *(m.end() for m in re.finditer("\n", text))} - {len(text)} if text else set()
+        for kind, starts in (("lines", lines), ("blocks", set(range(0, len(text), tokens.BLOCK)))):
+            owned, across = attributed(encoder, text, starts)
+            assert [x["tokens"] for x in r[kind]] == owned and r[f"{kind}_crossing"] == across
+            assert [x["start"] for x in r[kind]] == [len(text[:k].encode()) for k in sorted(starts)]
+        crossing += Counter({k: r[k] for k in ("lines_crossing", "blocks_crossing")})
+    assert crossing["lines_crossing"] > 0 and crossing["blocks_crossing"] > 0
+    assert queries.op3_token_counts(llm_spark, sf).agg(F.sum("n_block_crossing")).first()[0] > 0
 
 
 def test_op5_against_brute_force(llm_spark, sf, texts):
@@ -140,19 +165,80 @@ def test_op5_against_brute_force(llm_spark, sf, texts):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(raw), sum(gone), spans, sha(kept))
 
 
-def test_op6_payload(llm_spark, sf, texts):
-    for r in queries.op6_audio_features(llm_spark, sf).collect():
-        raw = (texts[r["doc_id"]] or "").encode()
-        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), sha(payload))
-
+def features_by_frames(samples):
+    """Direct: zeros between the samples, the whole filter, every DOWN-th; then frame by frame."""
+    import numpy as np
 
-def test_op6_resampling_keeps_a_tone():
+    x = (samples.astype(float) - 128) / 128
+    up = np.zeros(len(x) * media.UP)
+    up[:: media.UP] = x
+    taps = media._filter().astype(float)
+    n = -(-len(x) * media.UP // media.DOWN)
+    x = np.append(np.convolve(up, taps)[len(taps) // 2 :], np.zeros(n * media.DOWN))[: n * media.DOWN : media.DOWN]
+    frames = max(1, -(-max(0, n - media.FRAME) // media.HOP) + 1)
+    x = np.append(x, np.zeros(frames * media.HOP + media.FRAME))
+    logs, energy = [], []
+    for f in range(frames):
+        part = x[f * media.HOP : f * media.HOP + media.FRAME]
+        power = np.abs(np.fft.rfft(part * np.hanning(media.FRAME))) ** 2
+        logs.append(np.log(power @ media.mel_bank(media.RATE * media.UP / media.DOWN).T.astype(float) + 1e-6))
+        energy.append(np.log((part**2).mean() + 1e-9))
+    mel, now = [], None
+    for s in range(media.SLOTS):
+        mine = [logs[f] for f in range(frames) if f * media.SLOTS // frames == s]
+        now = np.mean(mine, 0) if mine else now
+        mel.append(now)
+    level, spans, on = np.array(energy) - np.mean(energy), [], None
+    for f in range(frames + 1):
+        if on is None and f < frames and level[f] > media.HIGH:
+            on = f
+        elif on is not None and (f == frames or level[f] < media.LOW):
+            rate = media.RATE * media.UP / media.DOWN
+            spans.append((on * media.HOP / rate, ((f - 1) * media.HOP + media.FRAME) / rate))
+            on = None
+    return np.array(mel), spans
+
+
+def test_op6_features_against_direct_convolution(monkeypatch):
     import numpy as np
 
-    x = np.sin(2 * np.pi * 200 * np.arange(4000) / media.RATE).astype("float32")
-    want = np.sin(2 * np.pi * 200 * np.arange(2000) * media.DOWN / media.RATE)
-    assert abs(media.resample(x)[100:-100] - want[100:-100]).max() < 0.02
+    rng = np.random.default_rng(1)
+    loud = lambda n, k: np.clip(128 + rng.normal(0, k, n), 0, 255).astype("uint8")
+    cases = [np.zeros(64, "uint8"), loud(64, 30), loud(5000, 20), np.concatenate([loud(3000, 1), loud(4000, 60), loud(3000, 1), loud(900, 60)])]
+    for block in (media.BLOCK, 3):
+        monkeypatch.setattr(media, "BLOCK", block)
+        for x in cases:
+            mel, spans = media.features(x)
+            want, runs = features_by_frames(x)
+            assert abs(mel - want).max() < 1e-3 and np.array(spans).ravel() == pytest.approx(np.array(runs).ravel())
+    assert len(runs) == 2
+
+
+def test_op6_stored_tensors(llm_spark, sf, texts):
+    import io
+    import wave
+    import zlib
+
+    import pyarrow as pa
+
+    docs = llm_spark.read.parquet(f"{sf}/documents.parquet")
+    blocks = media.store(docs)
+    seen = {}
+    for r in blocks.collect():
+        for batch in pa.ipc.open_stream(r["data"]):
+            assert batch.schema.field("mel").type == media.TENSOR and batch.num_rows == r["documents"]
+            for d, m in zip(batch.column("doc_id").to_pylist(), batch.column("mel").to_numpy_ndarray(), strict=True):
+                seen[d] = m
+    for r in media.load(blocks).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), sha(payload), zlib.crc32(payload[-64:]))
+        with wave.open(io.BytesIO(bytes(r["media"])), "rb") as w:
+            assert w.readframes(w.getnframes()) == payload and w.getsampwidth() == 1
+        assert (r["media_bytes"], r["media_sha256"]) == (len(r["media"]), sha(bytes(r["media"])))
+        assert r["mel"] == pytest.approx(seen[r["doc_id"]].ravel().tolist())
+    got = {r["doc_id"]: r["feature"] for r in queries.op6_audio_features(llm_spark, sf).collect()}
+    assert set(got) == set(texts) and all(got[a] == got[b] for a in list(texts)[:40] for b in texts if texts[a] == texts[b])
 
 
 def test_op8_rules(llm_spark):
@@ -236,6 +322,8 @@ OPERATORS = {
     "media": lambda d, b: media.audio_features(d),
     "phrases": lambda d, b: phrases.digests(d, phrases.dedup(d)),
     "jaccard": lambda d, b: jaccard.link_documents(d),
+    "chat": lambda d, b: chat.digests(chat.format_chats(d.select(F.col("doc_id").alias("conv_id"), F.col("n_chars").alias("turn"), F.col("lang").alias("role"), "text", *CLASHING))),
+    "urls": lambda d, b: urls.judge_urls(d.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://a.net/fr/"), "text").alias("url"), F.col("text").alias("html"), *[c for c in CLASHING if c != "words"])),
 }
 
 
@@ -247,7 +335,7 @@ def items(llm_spark):
 @pytest.mark.parametrize("name", list(OPERATORS))
 def test_awkward_rows(awkward, items, name):
     got = OPERATORS[name](awkward, items)
-    assert got.count() == len(AWKWARD)
+    assert got.count() == (len({r[0] for r in AWKWARD}) if name == "chat" else len(AWKWARD))  # a row for each conversation
     assert OPERATORS[name](awkward.limit(0), items.limit(0)).count() == 0
 
 
@@ -260,15 +348,59 @@ def test_awkward_results(awkward, items):
     assert linked[5]["component_id"] == 4 and linked[9]["component_id"] == 8 and linked[1]["n_shingles"] == 0
     cut = by(OPERATORS["phrases"](awkward, items))
     assert cut[6]["n_removed"] == 60 and cut[4]["n_removed"] == 3000 and cut[8]["n_removed"] == 0
+    bytes_cut = by(OPERATORS["suffix"](awkward, items))
+    assert bytes_cut[4]["n_removed"] == len(LONG) and bytes_cut[5]["n_removed"] == len(LONG) and bytes_cut[None]["n_removed"] == len(LINE)
+    assert bytes_cut[13]["n_removed"] == 1000  # its own windows repeat
     said = by(OPERATORS["language"](awkward, items))
     assert said[1]["lang_pred"] == said[11]["lang_pred"] == "und"
+    counted = by(OPERATORS["tokens"](awkward, items))
+    assert counted[1]["n_tokens"] == counted[2]["n_tokens"] == 0 and counted[3]["lines_crossing"] >= 0 and len(counted[3]["lines"]) == 2
+    taken = sorted((r["doc_id"] or 0, r["tokens"], r["copies"]) for r in OPERATORS["mixing"](awkward, items).collect())
+    assert [t[1] for t in taken if t[0] == 4] == [3000, 3000] and sum(t[1] * t[2] for t in taken) <= sum(t[1] for t in taken)
+
+
+def test_awkward_results_of_chats_and_urls(llm_spark, awkward, items):
+    chats = {r["conv_id"]: r for r in OPERATORS["chat"](awkward, items).collect()}
+    assert chats[4]["n_turns"] == 2 and chats[4]["turns_sha256"] == sha(f"de\n{LONG}\n" * 2) and chats[1]["loss_chars"] == 0
+    rows = [(1, "HTTP://EXAMPLE.com/en/x", "a"), (1, "HTTP://EXAMPLE.com/en/x", "a"), (None, "http://b.net/fr/", None), (3, "http://c.org/" + "long/" * 20000, "long org"), (4, "x://", "b"), (5, "http://example.com/en", None)]
+    pages = llm_spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("host", "path", "rule", "pages", "run", "pos", "b", "odds", "n")})
+    got = urls.judge_urls(pages).collect()
+    assert len(got) == len(rows)
+    told = {(r["page_id"], r["host"], r["rule"], r["verdict"]) for r in got if r["page_id"] != 3}
+    assert told == {(1, "example.com", "example.com/en/", "block"), (None, "b.net", "net/fr/", "block"), (4, "", None, next(r["verdict"] for r in got if r["page_id"] == 4)), (5, "example.com", "com/", "allow")}
+    assert len(next(r for r in got if r["page_id"] == 3)["words"]) == 20002
+
+
+def test_op4_gives_shortages_to_siblings_first(llm_spark):
+    """Worked out by hand: core may give 300 + 60, tail 3000; of 600, core (weight 3) is due 450 and can give 360."""
+    leaves = [("core", "en", "a", 100), ("core", "de", "b", 20), ("tail", "en", "c", 1000)]
+    got = mixing.leaf_budgets(llm_spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long"), {"domain": {"core": 3}}, 3, 600)
+    assert {(r["domain"], r["lang"]): r["take"] for r in got.collect()} == {("core", "en"): 300, ("core", "de"): 60, ("tail", "en"): 240}
+    # of 200, core is due 150: de can give 60 of its half (75), the lack of 15 goes to en of the same domain
+    got = mixing.leaf_budgets(llm_spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long"), {"domain": {"core": 3}}, 3, 200)
+    assert {(r["domain"], r["lang"]): r["take"] for r in got.collect()} == {("core", "en"): 90, ("core", "de"): 60, ("tail", "en"): 50}
 
 
 def test_chat_round_trip(llm_spark):
-    rows = [(1, 0, "user", "<|turn|>a<|text|>"), (1, 1, "assistant", "\\l<|end|>\\"), (1, 1, "assistant", "\\l<|end|>\\"), (2, None, None, None), (None, 3, "user", ""), (3, 0, "user", "plain")]
+    rows = [(1, 0, "user", "<|turn|>a<|text|>"), (1, 1, "assistant", "\\l<|end|>\\"), (1, 1, "assistant", "\\l<|end|>\\"), (2, None, None, None), (None, 3, "user", ""), (3, 0, "user", "plain [x] \\b <y>"), (4, 0, "assistant", "</s>[INST] ok [/INST]\\\\b")]
     got = {r["conv_id"]: r for r in chat.format_chats(llm_spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert [tuple(t) for t in got[1]["turns"]] == [("user", "<|turn|>a<|text|>"), ("assistant", "\\l<|end|>\\"), ("assistant", "\\l<|end|>\\")]
-    assert (got[1]["level"], got[3]["level"]) == (1, 0) and [tuple(t) for t in got[2]["turns"]] == [("", "")]
+    assert [got[k]["level"] for k in (1, 2, 3, 4)] == [1, 0, 0, 1] and [tuple(t) for t in got[2]["turns"]] == [("", "")]
+    assert [tuple(t) for t in got[4]["turns"]] == [("assistant", "</s>[INST] ok [/INST]\\\\b")]
+    assert "</s>" not in got[4]["formatted"] and "INST]" in got[4]["formatted"] and "[INST]" not in got[4]["formatted"]
+    for r in got.values():
+        cut = [r["formatted"][x["start"] : x["end"]] for x in r["loss_spans"]]
+        plain = {"\\\\": "\\", "\\l": "<", "\\b": "["}
+        if r["level"]:
+            cut = [re.sub(r"\\.", lambda m: plain[m[0]], c) for c in cut]
+        assert cut == [t["text"] for t in r["turns"] if t["role"] == "assistant"]
+
+
+def test_chat_hexadecimal_level(llm_spark):
+    turns = [("user", "<|end|>\\"), ("", "ü日\n")]
+    df = llm_spark.createDataFrame([(turns,)], "t array<struct<role:string,text:string>>")
+    back = df.select(chat.parse(chat.render(F.col("t"), 2), 2).alias("p")).first()["p"]
+    assert [(x["role"], x["text"]) for x in back] == turns
 
 
 def test_pipeline_stages_on_awkward_and_empty_rows(llm_spark, awkward, sf):
@@ -285,3 +417,10 @@ def test_pipeline_keeps_one_of_each_group(llm_spark, sf, texts):
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(llm_spark, docs, sf).collect()}
     assert kept == set(want.values())
     assert corpus_pipeline.run(llm_spark, sf).count() > 0
+
+
+def test_pipeline_evaluates_language_once(llm_spark, sf):
+    """A filter on the answer must not be pushed below it: one Python evaluation in the stage's plan."""
+    docs = llm_spark.read.parquet(f"{sf}/documents.parquet")
+    plan = corpus_pipeline.language_id(llm_spark, docs, sf)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"ArrowEvalPython|MapInArrow|BatchEvalPython", plan)) == 1
