@@ -494,10 +494,11 @@ def _by_windows(kind: Kind, contents: DataFrame) -> DataFrame:
     """Verdicts (c1, c2, ranges) on contents of hot keys: no two of them need to meet."""
     named = saved(contents.mapInArrow(_named, "key long, place int, content binary, n long, c1 long, c2 long"))
     subs = named.mapInArrow(_shorter(kind), "sub long, c1 long, c2 long, n long, a long, m long")
-    again = subs.groupBy("sub").agg(F.sum("n").alias("times")).where("times > 1").select("sub")
+    # what repeats is a table of its own: joins with it can split a key that very many rows have
+    again = saved(subs.groupBy("sub").agg(F.sum("n").alias("times")).where("times > 1").select("sub"))
     open_ = subs.join(again, "sub").groupBy("c1", "c2").agg(F.collect_list(F.struct("a", "m")).alias("subs"))
     windows = saved(named.join(open_, ["c1", "c2"]).select("c1", "c2", "content", "n", "subs").mapInArrow(_single(kind), "w1 long, w2 long, c1 long, c2 long, at long, n long"))
-    twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("times")).where("times > 1").select("w1", "w2")
+    twice = saved(windows.groupBy("w1", "w2").agg(F.sum("n").alias("times")).where("times > 1").select("w1", "w2"))
     ats = windows.join(twice, ["w1", "w2"]).groupBy("c1", "c2").agg(F.collect_list(F.col("at").cast("int")).alias("ats"))
     return ats.select("c1", "c2", F.flatten(F.transform("ats", lambda x: F.array(x, x + 1))).alias("ranges"))
 
