@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of decontamination: ASCII digits and lower-case letters, and everything beyond ASCII.
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_ROWS, ARROW_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -22,9 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package also when it isn't installed on them; batches of at most 1,000 texts."""
+    """Let Python workers import this package also when it isn't installed on them; batches of at most 1,000 texts and about 16 MB."""
     if int(spark.conf.get(ARROW_ROWS)) > 1000:
         spark.conf.set(ARROW_ROWS, "1000")
+        spark.conf.set(ARROW_BYTES, str(16 << 20))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
