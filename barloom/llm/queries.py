@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, decontaminate, jaccard, language, media, mixing, periodic, phrases, suffix, tokens, urls
-from barloom.llm.common import ship, table
+from barloom.llm import chat, decontaminate, jaccard, language, media, mixing, periodic, phrases, suffix, tokens, trie, urls
+from barloom.llm.common import saved, ship, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,13 +72,19 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.find_runs(table(ship(spark), sf_dir, "documents"), periodic.planted))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = saved(trie.turns_of(table(ship(spark), sf_dir, "conversations")))
+    return trie.prefix_trie(trie.rebuild(turns), trie.conversations_of(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_decontamination, op3_token_counts, op4_mixing, op5_suffix_dedup, op6_audio_features, op7_chat_formatting, op8_url_filter, op9_phrase_dedup, op10_jaccard_join, op12_periodic_runs)
+    f.__name__: f for f in (op1_language_id, op2_decontamination, op3_token_counts, op4_mixing, op5_suffix_dedup, op6_audio_features, op7_chat_formatting, op8_url_filter, op9_phrase_dedup, op10_jaccard_join, op12_periodic_runs, op13_prefix_trie)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": decontaminate.ORACLE,
     "op4_mixing": mixing.oracle(),
+    "op13_prefix_trie": trie.ORACLE,
     # marks: 8 + 8 + 7 characters a turn, 9 before them; where any content holds a control string, \\, < and [ take two
     "op7_chat_formatting": r"""
         WITH rows AS (
