@@ -84,19 +84,19 @@ def shared_least(a, b):
     return -(-PERCENT * (a + b) // (100 + PERCENT)) - np.maximum(-(-PERCENT * a // 100), -(-PERCENT * b // 100)) + 1
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of every document."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = N) -> list[np.ndarray]:
+    """The sorted distinct hashes of every document's shingles of ``size`` words."""
     data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     begin, end, first = split_words(data, offsets)
     words = word_hashes(data, begin, end)
-    grams = np.empty(max(0, len(words) - N + 1), U)
+    grams = np.empty(max(0, len(words) - size + 1), U)
     for a in range(0, len(grams), SEGMENT):
-        part = words[a : a + SEGMENT + N - 1]
-        grams[a : a + SEGMENT] = Rolling(part).of(np.arange(len(part) - N + 1), N)
+        part = words[a : a + SEGMENT + size - 1]
+        grams[a : a + SEGMENT] = Rolling(part).of(np.arange(len(part) - size + 1), size)
     out = []
     for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if hi - lo >= N:
-            out.append(np.unique(grams[lo : hi - N + 1]))
+        if hi - lo >= size:
+            out.append(np.unique(grams[lo : hi - size + 1]))
         elif hi > lo:
             out.append(mix(Rolling(words[lo:hi]).of(np.array([0]), hi - lo) + U(hi - lo)))
         else:

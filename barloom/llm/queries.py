@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, decontaminate, jaccard, language, media, mixing, periodic, phrases, suffix, tokens, trie, urls
+from barloom.llm import chat, chosen_path, decontaminate, jaccard, language, media, mixing, periodic, phrases, suffix, tokens, trie, urls
 from barloom.llm.common import saved, ship, table
 
 
@@ -68,6 +68,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(table(ship(spark), sf_dir, "documents"))
 
 
+def op11_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.link_documents(table(ship(spark), sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.find_runs(table(ship(spark), sf_dir, "documents"), periodic.planted))
 
@@ -78,7 +82,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_decontamination, op3_token_counts, op4_mixing, op5_suffix_dedup, op6_audio_features, op7_chat_formatting, op8_url_filter, op9_phrase_dedup, op10_jaccard_join, op12_periodic_runs, op13_prefix_trie)
+    f.__name__: f for f in (op1_language_id, op2_decontamination, op3_token_counts, op4_mixing, op5_suffix_dedup, op6_audio_features, op7_chat_formatting, op8_url_filter, op9_phrase_dedup, op10_jaccard_join, op11_chosen_path, op12_periodic_runs, op13_prefix_trie)
 }
 
 ORACLE_SQL: dict[str, str] = {
