@@ -1,11 +1,12 @@
 """Audio features of a media column.
 
-A payload is stored losslessly as a mono 8-bit PCM WAV; what is computed comes from the
-samples read back out of it: polyphase resampling by ``UP`` / ``DOWN``, overlapped log-mel
-filterbanks and hysteresis energy segmentation. Features have one fixed shape whatever the
-length (``SLOTS`` x ``MELS``: every frame is averaged into its slot). ``store`` writes them as
-Arrow record batches of about ``ROWS`` documents, in which a column of fixed-shape tensors stands
-beside the voiced time spans, as rows of a table in the shared folder; ``load`` reads them back.
+``store_media`` writes each payload losslessly as a mono 8-bit PCM WAV to a table in the shared
+folder. Sizes, digests and features come from the rows that are read back from there: polyphase
+resampling by ``UP`` / ``DOWN``, overlapped log-mel filterbanks and hysteresis energy segmentation.
+Features have one fixed shape whatever the length (``SLOTS`` x ``MELS``: every frame is averaged into
+its slot). ``store`` writes them as Arrow record batches of about ``ROWS`` documents, in which a column
+of fixed-shape tensors stands beside the voiced time spans, as rows of a second table; ``load`` reads
+them back.
 
 Defined cases: a null or empty text is 64 zero bytes (silence: no span); long texts are
 worked through in blocks of ``BLOCK`` frames, all of them; equal texts give equal bytes and
@@ -35,7 +36,7 @@ HIGH, LOW = 0.25, -0.25
 
 SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-    "media_sha256 string, media binary, mel array<float>, spans array<struct<start_s:double,end_s:double>>"
+    "media_sha256 string, mel array<float>, spans array<struct<start_s:double,end_s:double>>"
 )
 
 
@@ -137,36 +138,59 @@ def _segments(level: np.ndarray) -> list[tuple[float, float]]:
 
 _FIELDS = pa.schema([
     ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()),
-    ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("media", pa.binary()),
+    ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()),
     ("mel", pa.list_(pa.float32())), ("spans", pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))),
 ])
 TENSOR = pa.fixed_shape_tensor(pa.float32(), (SLOTS, MELS))
 
 
-def _encode(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
+def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> (doc_id, n_bytes, media), a few megabytes at once."""
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "n_bytes", "media"])
+
+    for batch in batches:
+        rows, size = [], 0
+        for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+            raw = b"" if not text.is_valid else text.as_buffer().to_pybytes()
+            rows.append((doc.as_py(), len(raw), to_wav(raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw)))))
+            size += len(raw)
+            if size > 4_000_000:
+                yield out(rows)
+                rows, size = [], 0
+        yield out(rows)
+
+
+def store_media(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media) of every document, written and read back."""
+    return saved(docs.select("doc_id", "text").mapInArrow(_payloads, "doc_id long, n_bytes long, media binary"), "zstd")
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stored (doc_id, n_bytes, media) -> sizes, digests and features of what the media hold."""
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             rows = []
-            for doc, text in zip(batch.column(0)[at : at + ROWS], batch.column(1)[at : at + ROWS], strict=True):
-                raw = b"" if not text.is_valid else text.as_buffer().to_pybytes()
-                payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
-                media = to_wav(payload)
-                back = from_wav(media)
-                mel, spans = features(np.frombuffer(back, np.uint8))
+            for doc, n, stored in zip(*(batch.column(i)[at : at + ROWS] for i in range(3)), strict=True):
+                media = stored.as_buffer().to_pybytes()
+                payload = from_wav(media)
+                mel, spans = features(np.frombuffer(payload, np.uint8))
                 rows.append({
-                    "doc_id": doc.as_py(), "n_bytes": len(raw), "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(),
-                    "tail_crc32": zlib.crc32(back[-64:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(),
-                    "media": media if keep else None, "mel": mel.ravel(), "spans": [{"start_s": a, "end_s": b} for a, b in spans],
+                    "doc_id": doc.as_py(), "n_bytes": n.as_py(), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(),
+                    "tail_crc32": zlib.crc32(payload[-64:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(),
+                    "mel": mel.ravel(), "spans": [{"start_s": a, "end_s": b} for a, b in spans],
                 })
             yield pa.RecordBatch.from_pylist(rows, schema=_FIELDS)
 
 
-def audio_features(docs: DataFrame, keep_media: bool = True) -> DataFrame:
-    """One row per document: sizes and digests of payload and media, the media, ``mel`` and ``spans``.
+def audio_features(media: DataFrame) -> DataFrame:
+    """One row per stored medium: sizes and digests of payload and medium, ``mel`` and ``spans``.
 
     A map over partitions: no shuffle, memory bounded by the longest text and ``ROWS`` rows.
     """
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _encode(it, keep_media), SCHEMA)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_features, SCHEMA)
 
 
 def to_tensors(mel: pa.Array) -> pa.Array:
@@ -184,11 +208,11 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([out.getvalue()], pa.binary())], names=["documents", "data"])
 
 
-def store(docs: DataFrame, keep_media: bool = True) -> DataFrame:
-    """The features of ``docs`` written as blocks (documents, data): each an Arrow IPC stream with the columns of
-    ``audio_features``, ``mel`` as fixed-shape tensors."""
-    work = lambda batches: _to_blocks(_encode(batches, keep_media))
-    return saved(docs.select("doc_id", "text").mapInArrow(work, "documents long, data binary"))
+def store(media: DataFrame) -> DataFrame:
+    """The features of stored media written as blocks (documents, data): each an Arrow IPC stream with the
+    columns of ``audio_features``, ``mel`` as fixed-shape tensors."""
+    work = lambda batches: _to_blocks(_features(batches))
+    return saved(media.select("doc_id", "n_bytes", "media").mapInArrow(work, "documents long, data binary"))
 
 
 def load(blocks: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digests(media.load(media.store(table(ship(spark), sf_dir, "documents"), keep_media=False)))
+    return media.digests(media.load(media.store(media.store_media(table(ship(spark), sf_dir, "documents")))))
 
 
 #: Conversation -1 of the contract: fixed values.
