@@ -18,10 +18,11 @@ input are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -77,19 +78,28 @@ def _plain(turns: Column) -> Column:
     return F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once even where ``use`` goes through an array."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _length(c: Column, level: int) -> Column:
+    return F.octet_length(c) * 2 if level == 2 else F.length(_esc(c, level))
+
+
 def format_chats(rows: DataFrame) -> DataFrame:
     """One row per conversation: conv_id, level, formatted, turns (read back), loss_spans.
 
     ``turns`` are what the parser recovers from ``formatted``. ``loss_spans`` lists, for each
-    assistant turn in order, the half-open character span of its content in ``formatted``.
+    assistant turn in order, the half-open character span of its content in ``formatted``; where a
+    turn starts is a running sum over the rows, so a conversation costs in proportion to its turns.
     """
-    one = F.struct(
-        F.col("turn").alias("turn"),
-        F.coalesce("role", F.lit("")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
-    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("_t"))
-    chats = chats.select("conv_id", _plain(F.col("_t")).alias("_source"))
+    rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    size = lambda level: _length(F.col("role"), level) + _length(F.col("text"), level) + len(TURN + TEXT + END)
+    rows = rows.withColumns({f"at{k}": F.coalesce(F.sum(size(k)).over(before), F.lit(0)) + len("<|chat0|>") for k in (0, 1, 2)})
+    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "at0", "at1", "at2"))).alias("_t"))
+    chats = chats.withColumn("_source", _plain(F.col("_t")))
     for level in (0, 1):
         chats = chats.withColumn(f"_f{level}", render(F.col("_source"), level))
         chats = chats.withColumn(f"_p{level}", parse(F.col(f"_f{level}"), level))
@@ -98,25 +108,20 @@ def format_chats(rows: DataFrame) -> DataFrame:
     chats = chats.withColumn("_ok0", F.col("_ok0") & ~F.exists("_source", lambda t: held(t["role"]) | held(t["text"])))
     safe = render(F.col("_source"), 2)
     choose = lambda a, b, c: F.when(F.col("_ok0"), a).when(F.col("_ok1"), b).otherwise(c)
+    at = lambda k: F.transform("_t", lambda t: t[f"at{k}"])
     chats = chats.select(
         "conv_id",
         choose(F.lit(0), F.lit(1), F.lit(2)).alias("level"),
         choose(F.col("_f0"), F.col("_f1"), safe).alias("formatted"),
         choose(F.col("_p0"), F.col("_p1"), parse(safe, 2)).alias("turns"),
+        choose(at(0), at(1), at(2)).alias("_at"),
     )
-    # where each turn's content starts: lengths of all that stands before it
-    size = lambda t: F.length(t["raw_role"]) + F.length(t["raw_text"]) + len(TURN) + len(TEXT) + len(END)
-    starts = F.aggregate(
+    spans = F.zip_with(
         F.col("turns"),
-        F.array(F.lit(len("<|chat0|>"))),
-        lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + size(t))),
-    )
-    chats = chats.withColumn("_at", starts)
-    spans = F.transform(
-        F.col("turns"),
-        lambda t, i: F.struct(
+        F.col("_at"),
+        lambda t, a: F.struct(
             t["role"].alias("role"),
-            (F.element_at(F.col("_at"), i + 1) + len(TURN) + F.length(t["raw_role"]) + len(TEXT)).alias("start"),
+            (a + len(TURN) + F.length(t["raw_role"]) + len(TEXT)).alias("start"),
             F.length(t["raw_text"]).alias("n"),
         ),
     )
@@ -128,10 +133,13 @@ def format_chats(rows: DataFrame) -> DataFrame:
 
 
 def digests(chats: DataFrame) -> DataFrame:
-    """The contract's columns, all derived from ``formatted``, ``turns`` and ``loss_spans``."""
-    cut = lambda s: F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"])
+    """The contract's columns, all derived from ``formatted``, ``turns`` and ``loss_spans``.
+
+    Spans are cut out of the string in UTF-32, where a character's place is known without counting.
+    """
+    cut = lambda wide, s: F.decode(F.substring(wide, (4 * s["start"] + 1).cast("int"), (4 * (s["end"] - s["start"])).cast("int")), "UTF-32")
     plain = lambda c: F.when(F.col("level") == 0, c).when(F.col("level") == 1, _unesc(c, 1)).otherwise(_unesc(c, 2))
-    loss = F.array_join(F.transform(F.col("loss_spans"), lambda s: plain(cut(s))), "")
+    loss = F.array_join(_with(F.encode("formatted", "UTF-32"), lambda wide: F.transform("loss_spans", lambda s: plain(cut(wide, s)))), "")
     said = F.array_join(F.transform(F.col("turns"), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return chats.select(
         "conv_id",
