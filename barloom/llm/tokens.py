@@ -6,14 +6,21 @@ fixed number of characters. A token that crosses a boundary belongs to the secti
 first character, and is counted in ``n_crossing``. Byte-level tokens may start inside a character;
 sections start at characters, so byte spans and character spans give the same owner.
 
+The split pattern's engine can't go through runs of about a million white-space characters. Such a
+run is one piece of the pattern, but for its last character where something follows (that one may
+belong to what follows, and the pattern looks no further back). So runs of more than ``RUN`` are merged
+as the piece that they are, and what stands before and behind them is encoded by itself: the tokens
+are those of the whole text.
+
 Defined cases: a null or empty text has no sections and no tokens; a text of any length is
-encoded whole; repeated rows and null ids pass through; an empty table gives an empty result;
+encoded whole, whatever its runs; repeated rows and null ids pass through; an empty table gives an empty result;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +30,10 @@ from pyspark.sql import DataFrame
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters of a block.
-BLOCK = 500
+#: Characters of a block, and of a run of white space that is merged apart.
+BLOCK, RUN = 500, 10_000
+#: Fixed value: what the pattern's engine takes for white space.
+SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _SECTIONS = "array<struct<start:long,tokens:long>>"
 SCHEMA = f"doc_id long, n_tokens long, lines {_SECTIONS}, lines_crossing long, blocks {_SECTIONS}, blocks_crossing long"
 
@@ -48,11 +57,21 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int]):
         import tiktoken
 
-        self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        known = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.split, self.merge = known.encode_ordinary, known._encode_single_piece
         self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, at in ranks.items():
             self.sizes[at] = len(token)
 
+    def encode(self, text: str) -> list[int]:
+        out: list[int] = []
+        done = 0
+        for run in re.finditer(f"{SPACE}{{{RUN + 1},}}", text):
+            end = run.end() - (run.end() < len(text))
+            out += self.split(text[done : run.start()]) + self.merge(text[run.start() : end].encode())
+            done = end
+        return out + self.split(text[done:])
+
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(first byte, end) of every token."""
         ends = np.cumsum(self.sizes[np.asarray(self.encode(text), np.int64)])
