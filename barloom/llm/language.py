@@ -7,8 +7,8 @@ ones by name.
 
 The classifier is fitted on about ``SAMPLE`` labelled documents of each language, of every
 language that there is (the sample is drawn by a hash of doc_id and text, over the whole table).
-Each language is clustered by itself, in a group of at most its sample; only document frequencies
-and centroids reach the driver. Prediction reads every whole text once, in one Python evaluation,
+Each language is clustered by itself, in a group of at most its sample's counts (16 KB a document);
+only document frequencies, summed before, and centroids reach the driver. Prediction reads every whole text once, in one Python evaluation,
 and is a map over partitions.
 
 Rejection: a text is rejected when its cosine is below ``SLACK`` times the ``LOWEST`` quantile of
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import saved
+from barloom.llm.common import fresh, saved
 
 BINS, SAMPLE, CENTROIDS, ROUNDS, SEED = 4096, 400, 3, 12, 7
 SLACK, LOWEST, ENOUGH = 0.85, 0.005, 200
@@ -131,16 +131,27 @@ def _half(draw: float) -> int:
     return int(draw * (1 << 53)) & 1
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, draw) -> a row for each half: documents with letters, and how many of them have each bin."""
-    documents, having = [0, 0], np.zeros((2, BINS), np.int64)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text, draw) -> (lang, draw, half, counts) of texts with letters."""
     for batch in batches:
-        for text, draw in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+        rows = []
+        for lang, text, draw in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             counts, n = gram_counts(text.as_py())
             if n:
-                documents[_half(draw)] += 1
-                having[_half(draw)] += counts > 0
-    yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(documents, pa.int64()), pa.array([h.tobytes() for h in having], pa.binary())], names=["half", "n", "having"])
+                rows.append((lang, draw, _half(draw), counts.astype(np.float32).tobytes()))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.int32(), pa.binary()), strict=True)], names=["lang", "draw", "half", "counts"])
+
+
+def _bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(half, counts) -> (half, bin, n): how many of the batch's documents have each bin; bin -1: all of them."""
+    for batch in batches:
+        half = np.asarray(batch.column(0))
+        has = np.array([np.frombuffer(c, np.float32) > 0 for c in batch.column(1).to_pylist()], bool).reshape(-1, BINS)
+        for h in (0, 1):
+            n = np.append(has[half == h].sum(0), (half == h).sum())
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), h, np.int32)), pa.array(np.where(at == BINS, -1, at).astype(np.int32)), pa.array(n[at].astype(np.int64))], names=["half", "bin", "n"])
 
 
 #: Models of a fit: of the whole sample, and without its one and other half.
@@ -148,11 +159,11 @@ WHOLE = 2
 
 
 def _clusters(idf: np.ndarray):
-    """A language's sampled (lang, text, draw) -> (model, lang, place, centroid)."""
+    """A language's sampled (lang, draw, half, counts) -> (model, lang, place, centroid)."""
 
     def work(rows: pa.Table) -> pa.Table:
-        found = sorted((d, t) for t, d in zip(rows.column("text").to_pylist(), rows.column("draw").to_pylist(), strict=True))
-        counted = [(_half(d), c.astype(np.float32)) for d, t in found for c, n in [gram_counts(t)] if n]
+        found = sorted(zip(*(rows.column(c).to_pylist() for c in ("draw", "half", "counts")), strict=True))
+        counted = [(h, np.frombuffer(c, np.float32)) for _, h, c in found]
         out: list[tuple] = []
         for model in (WHOLE, 0, 1):
             mine = [c for h, c in counted if h != model]
@@ -190,13 +201,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     rate = saved(known.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share")))
     draw = (F.xxhash64(F.lit(SEED), "doc_id", "text").bitwiseAND((1 << 53) - 1)) / float(1 << 53)
     drawn = saved(known.join(rate, "lang").select("lang", "text", draw.alias("draw"), "share").where("draw < share").drop("share"))
+    counted = saved(drawn.select("lang", "text", "draw").mapInArrow(_counted, "lang string, draw double, half int, counts binary"))
     n, having = np.zeros(3, np.int64), np.zeros((3, BINS), np.int64)
-    for r in drawn.select("text", "draw").mapInArrow(_frequencies, "half int, n long, having binary").collect():
+    for r in counted.select("half", "counts").mapInArrow(_bins, "half int, bin int, n long").groupBy("half", "bin").agg(F.sum("n").alias("n")).collect():  # at most 2 * (BINS + 1) rows
         for model in (1 - r["half"], WHOLE):  # the model without the other half
-            n[model] += r["n"]
-            having[model] += np.frombuffer(r["having"], np.int64)
+            if r["bin"] < 0:
+                n[model] += r["n"]
+            else:
+                having[model, r["bin"]] += r["n"]
     idf = [inverse_frequency(int(k), h) for k, h in zip(n, having, strict=True)]
-    rows = drawn.groupBy("lang").applyInArrow(_clusters(idf), "model int, lang string, place int, centroid binary").collect()
+    rows = counted.groupBy("lang").applyInArrow(_clusters(idf), "model int, lang string, place int, centroid binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["place"]))
     mine = [[r for r in rows if r["model"] == k] for k in range(3)]
     models = [Model([r["lang"] for r in part], np.array([np.frombuffer(r["centroid"], np.float32) for r in part], np.float32).reshape(-1, BINS), idf[k], np.zeros(64)) for k, part in enumerate(mine)]
@@ -215,7 +229,9 @@ def limits_of(lowest: dict[int, float]) -> np.ndarray:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred, score and rejected."""
+    """``docs`` with lang_pred, score and rejected, which take the place of columns of these names."""
+    docs = docs.drop("lang_pred", "score", "rejected")
+    said = fresh(docs, "_said")[0]
     send = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -225,4 +241,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame([m.predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
 
     # else a filter on the answer would be pushed below it, with a second evaluation of its own
-    return docs.withColumn("_said", predict.asNondeterministic()("text")).select(*docs.columns, "_said.*")
+    return docs.withColumn(said, predict.asNondeterministic()("text")).select(*(F.col(f"`{c}`") for c in docs.columns), f"{said}.*")
