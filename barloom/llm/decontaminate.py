@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import ALNUM_WORD, ascii_lower, saved
+from barloom.llm.common import ALNUM_WORD, ascii_lower, fresh, saved
 
 SPAN = 10
 MAX_BROADCAST = 2_000_000
@@ -114,12 +114,14 @@ def digests(flagged: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, remove: str = "documents") -> DataFrame:
     """``docs`` without contaminated documents, or (remove="spans") with the text of each
     contaminated one rebuilt from its remaining normalised words, joined by one space."""
-    hits = flag(docs, benchmark, span).where("n_hit > 0").select(F.col("doc_id").alias("_d"), F.col("_h").alias("_k"), F.col("spans").alias("_s")).dropDuplicates(["_d", "_k"])
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k"))
+    of, key, spans = fresh(docs, "_d", "_k", "_s")
+    hits = flag(docs, benchmark, span).where("n_hit > 0").select(F.col("doc_id").alias(of), F.col("_h").alias(key), F.col("spans").alias(spans)).dropDuplicates([of, key])
+    same = F.col("doc_id").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(key))
     if remove == "documents":
         return docs.join(hits, same, "left_anti")
-    clean = F.filter(words_of(F.col("text")), lambda w, i: ~F.exists("_s", lambda s: (s["start"] <= i) & (i < s["end"])))
-    return docs.join(hits, same, "left").withColumn("text", F.when(F.col("_s").isNull(), F.col("text")).otherwise(F.array_join(clean, " "))).select(*docs.columns)
+    clean = F.filter(words_of(F.col("text")), lambda w, i: ~F.exists(spans, lambda s: (s["start"] <= i) & (i < s["end"])))
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.array_join(clean, " ")).alias("text")
+    return docs.join(hits, same, "left").select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 #: The contract's rows in SQL: every window of every text, joined by its words.

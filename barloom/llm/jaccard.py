@@ -55,7 +55,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import WORD, saved, shards, text_key
+from barloom.llm.common import WORD, fresh, saved, shards, text_key
 from barloom.llm.repeats import SEGMENT, Rolling, mix, slices, split_words, word_hashes
 
 N, PERCENT = 5, 75
@@ -562,10 +562,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without words stay.
     """
     text = F.coalesce("text", F.lit(""))
-    marks = (*text_key(F.col("text")), F.xxhash64(*(F.col(c) for c in docs.columns)))
-    keyed = docs.select("*", text.rlike(WORD).alias("_words"), *(m.alias(k) for m, k in zip(marks, KEYS, strict=True)))
+    marks = (*text_key(F.col("text")), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    words, *keys = fresh(docs, "_words", *KEYS)
+    keyed = docs.select("*", text.rlike(WORD).alias(words), *(m.alias(k) for m, k in zip(marks, keys, strict=True)))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "c1", "c2", *KEYS)
-    first = _linked(keyed.select("doc_id", "text", *KEYS)).where("n > 0").groupBy("component").agg(F.min(order).alias("o"))
+    bare = keyed.select("doc_id", "text", *(F.col(k).alias(name) for k, name in zip(keys, KEYS, strict=True)))
+    first = _linked(bare).where("n > 0").groupBy("component").agg(F.min(order).alias("o"))
     # the text's and the row's hash name a row; doc_id is one of its columns
-    one = keyed.where("_words").join(first.select("o.*").select(*KEYS), list(KEYS), "left_semi").dropDuplicates(list(KEYS))
-    return one.unionByName(keyed.where("NOT _words")).select(*docs.columns)
+    chosen = first.select(*(F.col(f"o.{name}").alias(k) for k, name in zip(keys, KEYS, strict=True)))
+    one = keyed.where(F.col(words)).join(chosen, keys, "left_semi").dropDuplicates(keys)
+    return one.unionByName(keyed.where(~F.col(words))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.repeats import Kind, per_document, remove_repeats, text_key
+from barloom.llm.repeats import Kind, per_document, remove_repeats, texts_left
 
 PHRASE = Kind(words=True, width=35, gram=8, chunk=28, sub=4)
 _FIRST, _SURROGATES = 0x100, 0xD800
@@ -70,6 +70,4 @@ def digests(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def dedup_texts(docs: DataFrame, kind: Kind = PHRASE) -> DataFrame:
     """``docs`` with recurring phrases taken out of ``text``, words joined by one space; null texts stay null."""
-    kept = dedup(docs, kind, keep_text=True).select("_h1", "_h2", "kept")
-    rows = docs.select(*[c for c in docs.columns if c != "text"], F.col("text").isNull().alias("_null"), *text_key(F.col("text"))).join(kept, ["_h1", "_h2"])
-    return rows.select(*[F.when(~F.col("_null"), F.col("kept")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return texts_left(docs, dedup(docs, kind, keep_text=True))

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import saved, shards, text_key
+from barloom.llm.common import fresh, saved, shards, text_key
 
 #: Different contents of one key that are resolved together.
 HOT = 512
@@ -574,3 +574,12 @@ def per_document(docs: DataFrame, classes: DataFrame, *columns: str) -> DataFram
     """``columns`` of every row of ``docs`` with its text's row of ``classes``."""
     rows = docs.select(*columns, *text_key(F.col("text")))
     return rows.join(classes, ["_h1", "_h2"]).drop("_h1", "_h2")
+
+
+def texts_left(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``docs`` with what ``classes`` kept of each text; null texts stay null."""
+    h1, h2, none, kept = fresh(docs, "_h1", "_h2", "_null", "_kept")
+    key = [k.alias(n) for k, n in zip(text_key(F.col("text")), (h1, h2), strict=True)]
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.col("text").isNull().alias(none), *key)
+    rows = rows.join(classes.select(F.col("_h1").alias(h1), F.col("_h2").alias(h2), F.col("kept").alias(kept)), [h1, h2])
+    return rows.select(*[F.when(~F.col(none), F.col(kept)).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.repeats import Kind, per_document, remove_repeats, text_key
+from barloom.llm.repeats import Kind, per_document, remove_repeats, texts_left
 
 BYTES = Kind(words=False, width=400, gram=64, chunk=128, sub=8)
 SHALLOW = 64
@@ -143,7 +143,4 @@ def digests(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def dedup_texts(docs: DataFrame, kind: Kind = BYTES) -> DataFrame:
     """``docs`` with the repeated bytes taken out of ``text``; null texts stay null."""
-    kept = dedup(docs, kind, keep_text=True).select("_h1", "_h2", "kept")
-    others = [c for c in docs.columns if c != "text"]
-    rows = docs.select(*others, F.col("text").isNull().alias("_null"), *text_key(F.col("text"))).join(kept, ["_h1", "_h2"])
-    return rows.select(*[F.when(~F.col("_null"), F.col("kept")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return texts_left(docs, dedup(docs, kind, keep_text=True))
