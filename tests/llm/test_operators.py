@@ -153,6 +153,19 @@ def test_op3_against_brute_force(llm_spark, sf, texts):
     assert queries.op3_token_counts(llm_spark, sf).agg(F.sum("n_block_crossing")).first()[0] > 0
 
 
+@pytest.mark.parametrize("space", [" ", "\n", " \n", "\u2003"])
+def test_op3_runs_of_white_space(llm_spark, space):
+    encoder = tokens.Encoder(tokens.read_ranks(tokens.VOCABULARY))
+    run = space * 12_000
+    for text in (run, f"a{run}b", f"{run} b{run}", f"x {run}'s{run}é"):
+        assert encoder.encode(text) == encoder.split(text)
+    long = space * 2_000_000
+    docs = llm_spark.createDataFrame([(1, f"one{long}two"), (2, long), (3, "one two")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in tokens.count_tokens(docs).select("doc_id", "n_tokens", F.size("lines").alias("lines"), F.expr("aggregate(blocks.tokens, 0L, (a, x) -> a + x)").alias("shared")).collect()}
+    assert got[3]["n_tokens"] == 2 and got[2]["n_tokens"] > 0 and all(r["shared"] == r["n_tokens"] for r in got.values())
+    assert got[1]["n_tokens"] == len(encoder.split("one")) + len(encoder.merge(long[:-1].encode())) + len(encoder.split(long[-1] + "two"))
+
+
 def test_op5_against_brute_force(llm_spark, sf, texts):
     raws = {d: (t or "").encode() for d, t in texts.items()}
     want = dict(zip(raws, bytes_covered(list(raws.values()), 400), strict=True))
@@ -214,31 +227,52 @@ def test_op6_features_against_direct_convolution(monkeypatch):
     assert len(runs) == 2
 
 
-def test_op6_stored_tensors(llm_spark, sf, texts):
+def test_op6_against_brute_force(llm_spark, sf, texts):
+    """Media are stored, and every column of the query comes from what is read back."""
     import io
     import wave
     import zlib
 
+    import numpy as np
     import pyarrow as pa
 
-    docs = llm_spark.read.parquet(f"{sf}/documents.parquet")
-    blocks = media.store(docs)
+    stored = media.store_media(llm_spark.read.parquet(f"{sf}/documents.parquet"))
+    assert len(stored.inputFiles()) > 0
+    wavs = {r["doc_id"]: bytes(r["media"]) for r in stored.collect()}
     seen = {}
-    for r in blocks.collect():
+    for r in media.store(stored).collect():
         for batch in pa.ipc.open_stream(r["data"]):
             assert batch.schema.field("mel").type == media.TENSOR and batch.num_rows == r["documents"]
             for d, m in zip(batch.column("doc_id").to_pylist(), batch.column("mel").to_numpy_ndarray(), strict=True):
                 seen[d] = m
-    for r in media.load(blocks).collect():
-        raw = (texts[r["doc_id"]] or "").encode()
+    got = {r["doc_id"]: r for r in queries.op6_audio_features(llm_spark, sf).collect()}
+    assert set(got) == set(wavs) == set(texts)
+    for d, r in got.items():
+        raw = (texts[d] or "").encode()
         payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), sha(payload), zlib.crc32(payload[-64:]))
-        with wave.open(io.BytesIO(bytes(r["media"])), "rb") as w:
+        with wave.open(io.BytesIO(wavs[d]), "rb") as w:
             assert w.readframes(w.getnframes()) == payload and w.getsampwidth() == 1
-        assert (r["media_bytes"], r["media_sha256"]) == (len(r["media"]), sha(bytes(r["media"])))
-        assert r["mel"] == pytest.approx(seen[r["doc_id"]].ravel().tolist())
-    got = {r["doc_id"]: r["feature"] for r in queries.op6_audio_features(llm_spark, sf).collect()}
-    assert set(got) == set(texts) and all(got[a] == got[b] for a in list(texts)[:40] for b in texts if texts[a] == texts[b])
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), sha(payload), zlib.crc32(payload[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(wavs[d]), sha(wavs[d]))
+        mel, spans = media.features(np.frombuffer(payload, np.uint8))
+        assert seen[d] == pytest.approx(mel)
+        hundredths = ",".join(str(int(F_round(v))) for v in mel.ravel())
+        assert r["feature"] == f"mel{media.SLOTS}x{media.MELS}:{hashlib.md5(hundredths.encode()).hexdigest()}:{len(spans)}"
+    assert all(got[a]["feature"] == got[b]["feature"] for a in list(texts)[:40] for b in texts if texts[a] == texts[b])
+
+
+def F_round(v):
+    """Hundredths, halves away from zero."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    return Decimal(float(v) * 100).quantize(Decimal(1), ROUND_HALF_UP)
+
+
+def test_op6_very_long_text(llm_spark, monkeypatch):
+    """Longer than a batch of payloads and than many blocks of frames."""
+    docs = llm_spark.createDataFrame([(1, "abc de " * 900_000), (2, "x")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in media.digests(media.load(media.store(media.store_media(docs)))).collect()}
+    assert got[1]["payload_bytes"] == 6_300_032 and got[2]["payload_bytes"] == 64
 
 
 def test_op8_rules(llm_spark):
@@ -319,7 +353,7 @@ OPERATORS = {
     "tokens": lambda d, b: tokens.count_tokens(d),
     "mixing": lambda d, b: mixing.mix(d),
     "suffix": lambda d, b: suffix.digests(d, suffix.dedup(d)),
-    "media": lambda d, b: media.audio_features(d),
+    "media": lambda d, b: media.digests(media.load(media.store(media.store_media(d)))),
     "phrases": lambda d, b: phrases.digests(d, phrases.dedup(d)),
     "jaccard": lambda d, b: jaccard.link_documents(d),
     "chat": lambda d, b: chat.digests(chat.format_chats(d.select(F.col("doc_id").alias("conv_id"), F.col("n_chars").alias("turn"), F.col("lang").alias("role"), "text", *CLASHING))),
@@ -396,6 +430,46 @@ def test_chat_round_trip(llm_spark):
         assert cut == [t["text"] for t in r["turns"] if t["role"] == "assistant"]
 
 
+def test_chat_of_very_many_turns(llm_spark):
+    """20,000 turns in one conversation, in seconds, equal to a Python rendering; another at the escaped level."""
+    import time
+
+    say = lambda k: f"tür {k} 日本 " + "x" * (k % 50)
+    rows = [(c, k, "assistant" if k % 2 else "user", say(k) + ("<s>" if c and k == 777 else "")) for c in (0, 1) for k in range(20_000)]
+    df = llm_spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.count()
+    began = time.time()
+    got = {r["conv_id"]: r for r in chat.digests(chat.format_chats(df)).collect()}
+    assert time.time() - began < 20
+    esc = lambda t: t.replace("\\", "\\\\").replace("<", "\\l").replace("[", "\\b")
+    for c in (0, 1):
+        mine = [(role, text) for conv, _, role, text in rows if conv == c]
+        shown = "<|chat0|>" + "".join(f"<|turn|>{r}<|text|>{esc(t) if c else t}<|end|>" for r, t in mine)
+        loss = "".join(t for r, t in mine if r == "assistant")
+        assert got[c]["formatted_chars"] == len(shown) and (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), sha(loss))
+        assert (got[c]["n_turns"], got[c]["turns_sha256"]) == (20_000, sha("".join(f"{r}\n{t}\n" for r, t in mine)))
+
+
+def test_clashing_columns_are_kept(llm_spark, items):
+    """What keeps other columns keeps those that are named like its own working columns."""
+    names = ["kept", "_h1", "_h2", "_null", "_kept", "_k0", "_k1", "_k2", "_words", "_d", "_k", "_s", "c1", "n", "spans", "a.b"]
+    rows = [(1, LINE, *names), (1, LINE, *names), (2, f"{LINE} and more of this", *names), (3, None, *names), (4, "one two", *names), (None, "x" * 900, *names)]
+    docs = llm_spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"`{c}` string" for c in names)]))
+    plain = docs.select("doc_id", "text")
+    for run in (
+        suffix.dedup_texts, phrases.dedup_texts, jaccard.keep_one,
+        lambda d: decontaminate.decontaminate(d, items), lambda d: decontaminate.decontaminate(d, items, remove="spans"),
+    ):
+        got = run(docs).collect()
+        assert got and all(tuple(r)[2:] == tuple(names) for r in got)
+        assert sorted(map(repr, (tuple(r)[:2] for r in got))) == sorted(repr(tuple(r)) for r in run(plain).collect()) or run is jaccard.keep_one
+    spans = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, items, remove="spans").collect()}
+    assert spans[1] == " ".join(f"passage{i}" for i in range(12, 60)) and spans[2].endswith("passage59 and more of this") and spans[3] is None and spans[4] == "" and spans[None] == "x" * 900
+    named = docs.withColumnRenamed("c1", "score").withColumnRenamed("n", "rejected").withColumnRenamed("kept", "lang_pred").withColumnRenamed("_d", "_said").withColumn("lang", F.lit("en"))
+    said = language.identify(named, language.fit(named))
+    assert said.select("score", "rejected", "lang_pred", "_said", "`a.b`").where("rejected").count() >= 1 and len(said.columns) == len(set(said.columns))
+
+
 def test_chat_hexadecimal_level(llm_spark):
     turns = [("user", "<|end|>\\"), ("", "ü日\n")]
     df = llm_spark.createDataFrame([(turns,)], "t array<struct<role:string,text:string>>")
