@@ -13,17 +13,20 @@ is confirmed on full sets.
 3. In the nodes of the first level, members whose sketches agree are paired with the first such
    member, the *leader*; nodes beyond ``SMALL`` members are worked off in parts, each with the node's
    first member. These pairs are confirmed and give components.
-4. Only nodes with members of several components are still open. Small ones are compared
-   exhaustively, in one task, on the full sets of those whose sketches agree with one of another
-   component; a pair is skipped when links found before in the same node already join it. Large ones
-   branch again. At ``DEPTH`` they are compared in cells: members outside the largest component
-   against all, each dealt to parts.
-5. Components: the star steps of the Jaccard join.
+4. Only nodes with members of several components are open; the members outside a node's largest
+   component *ask*. A node with up to ``SMALL`` of them is compared exhaustively, in cells: those that
+   ask against all, in parts of ``SMALL``. A node with more branches again; at ``DEPTH`` it is compared
+   too, its asking members in parts.
+5. First each one's ``BEST`` candidates by sketch are confirmed and the components brought up to date.
+   In the cells that are still open all members whose sketches agree with one of another component
+   are then compared on their full sets; a pair is skipped when links found before in the same cell
+   already join it.
+6. Components: the star steps of the Jaccard join.
 
 So a hot group costs a star in each node that holds it, never its pairs; no link between components
 is left out of a node. What is missed are pairs that no tree keeps together (at 0.8 sharp under
 0.00001 for a pair that meets in first-level nodes, 0.003 at full depth) and pairs whose sketches agree
-in fewer than ``AGREE`` places (0.00003 at 0.8). Nothing but one number a level goes to the driver.
+in fewer than ``AGREE`` places (0.00003 at 0.8). Nothing goes to the driver but whether a table has rows.
 
 Defined cases: null texts and texts without words have n_shingles 0, are their own component and are
 kept; the vertices are sets, so rows that share a doc_id or have none are linked by their texts
@@ -35,6 +38,7 @@ through; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,14 +51,15 @@ from barloom.llm.jaccard import class_of, components, shingle_sets
 from barloom.llm.repeats import mix, slices
 
 WORDS, PERCENT = 4, 80
-COORDINATES, TREES, DEPTH, SMALL = 128, 8, 5, 256
+COORDINATES, TREES, DEPTH, SMALL = 128, 8, 5, 512
 #: Least number of equal bytes in the sketches of a pair that is confirmed.
 AGREE = 84
 #: One node in so many selects a second coordinate.
 SECOND = 4
-#: Shingles that are confirmed in a block, hashes that are minimised at once, a vertex's best candidates of a first round.
+#: Shingles that are confirmed in a block, hashes that are minimised at once, candidates of a vertex that are confirmed first.
 BLOCK, AT_ONCE, BEST = 100_000, 1 << 16, 4
 U = np.uint64
+_SEEN = ("v", "n", "component", "sketch")
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 _XOR, _TIMES = _SEEDS[:COORDINATES], _SEEDS[COORDINATES:] | U(1)
 
@@ -140,6 +145,12 @@ class _Group:
         near = 100 * np.minimum(self.n[others], self.n[i]) >= PERCENT * np.maximum(self.n[others], self.n[i])
         return np.where(near, (self.sketch[others] == self.sketch[i]).sum(1), 0)
 
+    def candidates(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Which of ``others``, of another component, agree with i; the most alike first."""
+        like = np.where(self.component[others] != self.component[i], self.agree(i, others), 0)
+        order = np.argsort(-like, kind="stable")
+        return order[like[order] >= AGREE]
+
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """(key, rows) of sorted batches whose first ``keys`` columns are the key."""
@@ -177,23 +188,29 @@ def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _pairs_out(pairs)
 
 
+_MEMBER = pa.schema([("node", pa.int64()), ("cell", pa.string()), ("asks", pa.bool_()), ("v", pa.int64()), ("n", pa.int64()), ("component", pa.int64()), ("sketch", pa.binary())])
+
+
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Small nodes' (node, v, n, component, sketch) in order -> the members that agree with one of another component."""
-    schema = pa.schema([("node", pa.int64()), ("v", pa.int64()), ("n", pa.int64()), ("component", pa.int64()), ("sketch", pa.binary())])
+    """Cells (node, cell, asks, v, n, component, sketch) in order -> the members that agree with one of another component."""
     out: list[tuple] = []
-    for (node,), rows in _grouped(batches, 1):
-        g = _Group(rows)
-        want = np.zeros(len(rows), bool)
-        for i in range(len(rows) - 1):
-            others = i + 1 + np.flatnonzero(g.component[i + 1 :] != g.component[i])
-            hit = others[g.agree(i, others) >= AGREE]
+
+    def sent() -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) if out else [()] * len(_MEMBER)
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MEMBER, strict=True)], schema=_MEMBER)
+
+    for key, rows in _grouped(batches, 2):
+        g, asks = _Group([r[1:] for r in rows]), np.array([r[0] for r in rows], bool)
+        want, given = np.zeros(len(rows), bool), np.flatnonzero(~asks)
+        for i in np.flatnonzero(asks).tolist():
+            hit = given[g.candidates(i, given)]
             want[hit] = True
-            want[i] |= len(hit) > 0
-        out += [(node, *rows[i]) for i in np.flatnonzero(want).tolist()]
+            want[i] = len(hit) > 0
+        out += [(*key, *rows[i]) for i in np.flatnonzero(want).tolist()]
         if len(out) > 20_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-            out = []
-    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * 5, schema, strict=True)], schema=schema)
+            yield sent()
+    yield sent()
 
 
 def _links_out(links: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -213,14 +230,12 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _exhaust(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Small nodes' wanted members with texts (node, v, n, component, sketch, z) -> links between components."""
-    for _, rows in _grouped(batches, 1):
-        g, sets = _Group([r[:4] for r in rows]), _sets([r[4] for r in rows])
-        found: list[tuple[int, int, int]] = []
-        for i in range(len(rows) - 1):
-            others = i + 1 + np.flatnonzero(g.component[i + 1 :] != g.component[i])
-            like = g.agree(i, others)
-            found += [(-int(k), i, int(j)) for k, j in zip(like, others, strict=True) if k >= AGREE]
+    """Wanted members of cells with texts (node, cell, asks, v, n, component, sketch, z) -> links between components."""
+    for _, rows in _grouped(batches, 2):
+        g, sets = _Group([r[1:5] for r in rows]), _sets([r[5] for r in rows])
+        asks = np.array([r[0] for r in rows], bool)
+        given = np.flatnonzero(~asks)
+        found = [(-int(g.agree(i, given[j : j + 1])[0]), i, int(given[j])) for i in np.flatnonzero(asks).tolist() for j in g.candidates(i, given).tolist()]
         into = {c: c for c in g.component.tolist()}
 
         def top(c: int) -> int:
@@ -237,24 +252,17 @@ def _exhaust(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _links_out(links)
 
 
-def _cells(most: int | None):
-    """(node, cell, asked, v, n, component, sketch) in order -> pairs (x, y, ny) of different components, ``most`` for each that asks."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: set[tuple[int, int, int]] = set()
-        for _, rows in _grouped(batches, 2):
-            g, asks = _Group([r[1:] for r in rows]), np.array([r[0] for r in rows], bool)
-            given = np.flatnonzero(~asks)
-            for i in np.flatnonzero(asks).tolist():
-                others = given[g.component[given] != g.component[i]]
-                like = g.agree(i, others)
-                hit = np.argsort(-like, kind="stable")[:most]
-                pairs.update((int(g.v[i]), int(g.v[j]), int(g.n[j])) for j in others[hit[like[hit] >= AGREE]].tolist())
-                if len(pairs) > 50_000:
-                    yield _pairs_out(pairs)
-        yield _pairs_out(pairs)
-
-    return work
+def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells in order -> pairs (x, y, ny): for each that asks its ``BEST`` candidates."""
+    pairs: set[tuple[int, int, int]] = set()
+    for _, rows in _grouped(batches, 2):
+        g, asks = _Group([r[1:] for r in rows]), np.array([r[0] for r in rows], bool)
+        given = np.flatnonzero(~asks)
+        for i in np.flatnonzero(asks).tolist():
+            pairs.update((int(g.v[i]), int(g.v[j]), int(g.n[j])) for j in given[g.candidates(i, given)[:BEST]].tolist())
+            if len(pairs) > 50_000:
+                yield _pairs_out(pairs)
+    yield _pairs_out(pairs)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,12 +273,13 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, v, sketch) -> (node, v) of the children."""
+    """(node, v, n, component, sketch) -> the same of the children."""
     for batch in batches:
         if batch.num_rows:
-            sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, COORDINATES)
             row, node = children(np.asarray(batch.column(0)).view(U), sketch)
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(np.asarray(batch.column(1))[row])], names=["node", "v"])
+            rest = pa.RecordBatch.from_arrays(batch.columns[1:], names=_SEEN).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *rest.columns], names=["node", *_SEEN])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,59 +288,62 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([pack(t.as_buffer()) if t.is_valid else pack(b"") for t in batch.column(2)], pa.binary())], names=["_h1", "_h2", "z"])
 
 
+def _with_texts(df: DataFrame, texts: DataFrame) -> DataFrame:
+    """``df`` with the text z of each v; texts that aren't asked for stay where they are while few are."""
+    return df.join(texts.join(saved(df.select("v").distinct()), "v", "left_semi"), "v")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """Links (a, b) among pairs (x, y, ny): x meets its candidates in blocks of about ``BLOCK`` shingles."""
+    pairs = saved(pairs)
     parts = saved(pairs.groupBy("x").agg(F.ceil(F.sum("ny") / BLOCK).cast("int").alias("parts")))
     given = pairs.join(parts, "x").select("x", F.pmod(F.hash("y"), "parts").alias("part"), F.lit(False).alias("asks"), F.col("y").alias("v"))
     asked = parts.select("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), F.col("x").alias("v"))
-    blocks = given.unionByName(asked).join(texts, "v").select("x", "part", "asks", "v", "z")
-    return blocks.repartition(n, "x", "part").sortWithinPartitions("x", "part", F.desc("asks")).mapInArrow(_confirm, "a long, b long")
+    blocks = _with_texts(saved(given.unionByName(asked)), texts).select("x", "part", "asks", "v", "z")
+    return saved(blocks.repartition(n, "x", "part").sortWithinPartitions("x", "part", F.desc("asks")).mapInArrow(_confirm, "a long, b long"))
 
 
-_SEEN = ("v", "n", "component", "sketch")
+def _first_pairs(live: DataFrame, n: int) -> DataFrame:
+    plain = ["v", "n", F.lit(0).cast("long").alias("component"), "sketch"]
+    parts = F.ceil(F.col("m") / SMALL).cast("int")
+    first = saved(live.where(F.col("m") > SMALL).groupBy("node").agg(F.min("v").alias("v")))
+    heads = live.join(first, ["node", "v"]).select("node", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *plain)
+    dealt = live.select("node", F.pmod(F.hash("v"), parts).alias("part"), *plain).unionByName(heads).repartition(n, "node", "part").sortWithinPartitions("node", "part", "v")
+    return dealt.mapInArrow(_leaders, "x long, y long, ny long").distinct()
 
 
-def _live(members: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Members (node, v) of nodes with several, with the node's size m and the vertex's n and sketch."""
-    sizes = saved(members.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"))
-    return saved(members.join(sizes, "node").join(vertices.select("v", "n", "sketch"), "v"))
+def _labelled(rows: DataFrame, now: DataFrame) -> DataFrame:
+    """``rows`` with the components of ``now``."""
+    told = rows.drop("component").join(now.select(F.col("node").alias("v"), "component"), "v", "left")
+    return told.withColumn("component", F.coalesce("component", "v")).select("node", *_SEEN)
 
 
-def _first_pairs(live: DataFrame, n: int) -> DataFrame:
-    each = live.select("node", F.pmod(F.hash("v"), F.ceil(F.col("m") / SMALL).cast("int")).alias("part"), "v", "n", F.lit(0).cast("long").alias("component"), "sketch", "m")
-    first = live.where(F.col("m") > SMALL).groupBy("node").agg(F.min("v").alias("v"), F.max("m").alias("m"))
-    heads = first.join(live.select("node", "v", "n", "sketch"), ["node", "v"]).select("node", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / SMALL).cast("int") - 1)).alias("part"), "v", "n", F.lit(0).cast("long").alias("component"), "sketch")
-    dealt = each.drop("m").unionByName(heads).repartition(n, "node", "part").sortWithinPartitions("node", "part", "v")
-    return dealt.mapInArrow(_leaders, "x long, y long, ny long").distinct()
+def _open(rows: DataFrame) -> DataFrame:
+    """Members (node, v, n, component, sketch) of nodes with several components, with all (m) and those outside the largest (k)."""
+    of = rows.groupBy("node", "component").agg(F.count("*").alias("c"))
+    stat = of.groupBy("node").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("m"), F.count("*").alias("several")).where("several > 1")
+    stat = saved(stat.select("node", "m", (F.col("m") - F.col("top.c")).alias("k"), F.col("top.component").alias("main")))
+    return saved(rows.join(stat, "node").select("node", "m", "k", "main", *_SEEN))
 
 
-def _open(live: DataFrame, now: DataFrame) -> DataFrame:
-    """Members of nodes with several components, and their components."""
-    told = live.join(now.select(F.col("node").alias("v"), "component"), "v", "left").withColumn("component", F.coalesce("component", "v"))
-    mixed = told.groupBy("node").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("node")
-    return saved(told.join(saved(mixed), "node").select("node", "m", *_SEEN))
+def _dealt(open_: DataFrame, n: int) -> DataFrame:
+    """Open nodes in cells (node, cell, asks, v, n, component, sketch): parts of those that ask against parts of all."""
+    parts = lambda of: F.greatest(F.lit(1), F.ceil(F.col(of) / SMALL)).cast("int")
+    mine = lambda of: F.pmod(F.hash("v"), parts(of))
+    every = lambda of: F.explode(F.sequence(F.lit(0), parts(of) - 1)).alias("other")
+    asked = open_.where("component <> main").select("*", every("m")).select("node", F.concat_ws("/", mine("k"), "other").alias("cell"), F.lit(True).alias("asks"), *_SEEN)
+    given = open_.select("*", every("k")).select("node", F.concat_ws("/", "other", mine("m")).alias("cell"), F.lit(False).alias("asks"), *_SEEN)
+    return asked.unionByName(given).repartition(n, "node", "cell").sortWithinPartitions("node", "cell", "v")
 
 
-def _small_links(open_: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    small = open_.where(F.col("m") <= SMALL).select("node", *_SEEN).repartition(n, "node").sortWithinPartitions("node", "v")
-    wanted = saved(small.mapInArrow(_wanted, "node long, v long, n long, component long, sketch binary"))
-    full = wanted.join(texts, "v").select("node", *_SEEN, "z").repartition(n, "node").sortWithinPartitions("node", "v")
-    return full.mapInArrow(_exhaust, "a long, b long")
+_CELL = "node long, cell string, asks boolean, v long, n long, component long, sketch binary"
 
 
-def _cell_pairs(large: DataFrame, now: DataFrame, n: int, most: int | None) -> DataFrame:
-    """Pairs of large nodes at the last level: members outside the largest component against all."""
-    told = large.drop("component").join(now.select(F.col("node").alias("v"), "component"), "v", "left").withColumn("component", F.coalesce("component", "v"))
-    most_of = told.groupBy("node", "component").agg(F.count("*").alias("k")).groupBy("node").agg(F.max(F.struct("k", "component")).alias("top"))
-    cut = told.join(saved(most_of.select("node", "top.*").withColumnRenamed("component", "main")), "node").where("m > k")
-    parts = lambda of: F.greatest(F.lit(1), F.ceil(of / SMALL)).cast("int")
-    ask, all_ = parts(F.col("m") - F.col("k")), parts(F.col("m"))
-    deal = lambda of: F.pmod(F.hash("v"), of)
-    every = lambda of: F.explode(F.sequence(F.lit(0), of - 1)).alias("other")
-    asked = cut.where("component <> main").select("*", every(all_)).select("node", F.concat_ws("/", deal(ask), "other").alias("cell"), F.lit(True).alias("asks"), *_SEEN)
-    given = cut.select("*", every(ask)).select("node", F.concat_ws("/", "other", deal(all_)).alias("cell"), F.lit(False).alias("asks"), *_SEEN)
-    dealt = asked.unionByName(given).repartition(n, "node", "cell").sortWithinPartitions("node", "cell", "v")
-    return dealt.mapInArrow(_cells(most), "x long, y long, ny long").distinct()
+def _joined(now: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of ``now`` after ``links``."""
+    if links.isEmpty():
+        return now
+    return components(now.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
@@ -341,27 +353,27 @@ def link_documents(docs: DataFrame) -> DataFrame:
     survey = saved(keyed.mapInArrow(_survey, "doc_id long, _h1 long, _h2 long, c1 long, c2 long, n long, sketch binary, nodes array<long>"))
     one = survey.where("n > 0").groupBy("c1", "c2").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes"), F.min("doc_id").alias("least"), F.min(F.struct("_h1", "_h2")).alias("key"))
     vertices = saved(one.withColumn("v", F.monotonically_increasing_id()))
-    live = _live(vertices.select(F.explode("nodes").alias("node"), "v"), vertices)
+    members = vertices.select(F.explode("nodes").alias("node"), "v")
+    sizes = saved(members.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"))
+    live = saved(members.join(sizes, "node").join(vertices.select("v", "n", "sketch"), "v"))
     needed = live.select("v").distinct().join(vertices.select("v", "key.*"), "v")
     packed = keyed.select("_h1", "_h2", "text").mapInArrow(_pack, "_h1 long, _h2 long, z binary").groupBy("_h1", "_h2").agg(F.first("z").alias("z"))
     texts = saved(packed.join(needed, ["_h1", "_h2"]).select("v", "z"))
-    joined = lambda now: now.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    now = components(_confirmed(saved(_first_pairs(live, n)), texts, n))
+    now = components(_confirmed(_first_pairs(live, n), texts, n))
+    ready, rows = [], _labelled(live, now)
     for level in range(1, DEPTH + 1):
-        open_ = _open(live, now)
-        large = open_.where(F.col("m") > SMALL)
-        links = saved(_small_links(open_, texts, n))
-        if not links.isEmpty():
-            now = components(joined(now).unionByName(links))
+        open_ = _open(rows)
+        closing = F.col("k") <= (SMALL if level < DEPTH else F.col("k"))
+        ready.append(open_.where(closing).select("node", *_SEEN))
+        large = open_.where(~closing).select("node", *_SEEN)
         if large.isEmpty():
             break
-        if level < DEPTH:
-            live = _live(large.select("node", "v", "sketch").mapInArrow(_branch, "node long, v long"), vertices)
-            continue
-        for most in (BEST, None):  # what the best candidates join needn't be compared in full
-            links = saved(_confirmed(saved(_cell_pairs(large, now, n, most)), texts, n))
-            if not links.isEmpty():
-                now = components(joined(now).unionByName(links))
+        rows = large.mapInArrow(_branch, "node long, v long, n long, component long, sketch binary")
+    ready = reduce(DataFrame.unionByName, ready)
+    now = _joined(now, _confirmed(_dealt(_open(ready), n).mapInArrow(_best, "x long, y long, ny long").distinct(), texts, n))
+    wanted = saved(_dealt(_open(_labelled(ready, now)), n).mapInArrow(_wanted, _CELL))
+    full = _with_texts(wanted, texts).select(*_MEMBER.names, "z").repartition(n, "node", "cell").sortWithinPartitions("node", "cell", "v")
+    now = _joined(now, saved(full.mapInArrow(_exhaust, "a long, b long")))
     told = vertices.select("c1", "c2", "v", "least").join(now.withColumnRenamed("node", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
     names = told.groupBy("component").agg(F.min("least").alias("component_id"))
     told = told.join(names, "component").select("c1", "c2", "component_id")
