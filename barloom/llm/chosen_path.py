@@ -368,7 +368,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
         large = open_.where(~closing).select("node", *_SEEN)
         if large.isEmpty():
             break
-        rows = large.mapInArrow(_branch, "node long, v long, n long, component long, sketch binary")
+        rows = saved(large.mapInArrow(_branch, "node long, v long, n long, component long, sketch binary"))
     ready = reduce(DataFrame.unionByName, ready)
     now = _joined(now, _confirmed(_dealt(_open(ready), n).mapInArrow(_best, "x long, y long, ny long").distinct(), texts, n))
     wanted = saved(_dealt(_open(_labelled(ready, now)), n).mapInArrow(_wanted, _CELL))
