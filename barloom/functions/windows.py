@@ -135,8 +135,10 @@ def range_bands(close: Name, lookback: int = 252, z: tuple[float, ...] = (0.5, 1
     The log return must be a column named ``log_return`` (windows don't nest).
     """
     x, w = _c(close), last(lookback)
-    out = {"center": full(x, lookback, F.percentile(x, 0.5).over(w)), "mu_return": sma("log_return", lookback), "sigma_return": rolling_std("log_return", lookback)}
-    for s in z:
-        for sign, name in ((1, "upper"), (-1, "lower")):
-            out[f"{name}_{s:.1f}"] = full(x, lookback, F.percentile(x, NormalDist().cdf(sign * s)).over(w))
-    return out
+    out = {"mu_return": sma("log_return", lookback), "sigma_return": rolling_std("log_return", lookback)}
+    return out | {name: full(x, lookback, F.percentile(x, share).over(w)) for name, share in band_shares(z).items()}
+
+
+def band_shares(z: tuple[float, ...]) -> dict[str, float]:
+    """The share of prices below the median and each band."""
+    return {"center": 0.5} | {f"{name}_{s:.1f}": NormalDist().cdf(sign * s) for s in z for sign, name in ((1, "upper"), (-1, "lower"))}

@@ -1,4 +1,4 @@
-"""The event-driven backtest: one state machine per (symbol, parameter set), in grouped passes.
+"""The event-driven backtest: one state machine per (symbol, parameter set), in one sorted pass.
 
 Each bar in turn: an open position ages and its extremes move; stop orders (loss, profit,
 trailing, range trailing), else the time limit, else the last bar's exit signal may close it;
@@ -7,11 +7,16 @@ may stop again. What is open at the end is closed at the last close.
 
 Both sides run the same rules on prices times ``s`` (+1 long, -1 short): adverse is down,
 favourable is up. Groups are independent, so a sweep is as parallel as it has parameter sets.
+
+Rows come sorted by group and bar, a batch at a time; a group's state (cash, position, record, the
+bar before) goes from batch to batch, so memory doesn't grow with the history. An exception in a
+group ends that group alone: it becomes an event of kind ``error`` (exit_reason: the message), and
+``sound`` leaves out whatever the group had given before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
 import pyarrow as pa
@@ -34,10 +39,10 @@ SIGNALS = ("entry_long", "entry_short", "exit_long_signal", "exit_short_signal")
 
 
 class Position:
-    __slots__ = ("age", "at", "blocked", "entry", "hi", "lo", "s", "size")
+    __slots__ = ("age", "at", "blocked", "entry", "hi", "lo", "s", "since", "size")
 
-    def __init__(self, at: int, entry: float, s: int, size: float, hi: float, lo: float, blocked: set[str]):
-        self.at, self.entry, self.s, self.size, self.hi, self.lo, self.blocked, self.age = at, entry, s, size, hi, lo, blocked, 0
+    def __init__(self, at: int, since: int | None, entry: float, s: int, size: float, hi: float, lo: float, blocked: set[str]):
+        self.at, self.since, self.entry, self.s, self.size, self.hi, self.lo, self.blocked, self.age = at, since, entry, s, size, hi, lo, blocked, 0
 
     @property
     def side(self) -> str:
@@ -49,10 +54,10 @@ class Position:
         return min(ends), max(ends)
 
 
-def stop_exit(pos: Position, bar: Mapping[str, float], p: Mapping[str, Any]) -> tuple[float, str] | None:
+def stop_exit(pos: Position, opened: float, high: float, low: float, atr: float | None, p: Mapping[str, Any]) -> tuple[float, str] | None:
     """The stop order that this bar's range fills, if any: (price, reason)."""
-    s, entry, opened = pos.s, pos.entry, bar["open"]
-    adverse, favourable = (bar["low"], bar["high"]) if s > 0 else (bar["high"], bar["low"])
+    s, entry = pos.s, pos.entry
+    adverse, favourable = (low, high) if s > 0 else (high, low)
     peak = pos.hi if s > 0 else pos.lo
 
     def hit(level: float) -> float | None:
@@ -72,8 +77,8 @@ def stop_exit(pos: Position, bar: Mapping[str, float], p: Mapping[str, Any]) ->
     if p["trailing_stop_enabled"] and s * peak >= s * (entry * (1 + s * p["trailing_stop_activation"] / 100)):
         if (fill := hit(peak * (1 - s * p["trailing_stop_pct"] / 100))) is not None:
             return fill, "trailing_stop"
-    if p["atr_trailing_enabled"] and bar.get("atr") is not None and bar["atr"] == bar["atr"]:
-        if (fill := hit(peak - s * (bar["atr"] * p["atr_multiplier"]))) is not None:
+    if p["atr_trailing_enabled"] and atr is not None and atr == atr:
+        if (fill := hit(peak - s * (atr * p["atr_multiplier"]))) is not None:
             return fill, "atr_trailing"
     return None
 
@@ -105,101 +110,181 @@ class Account:
         return self.cash * min(share, 1.0)
 
 
-def simulate(rows: list[dict[str, Any]], p: Mapping[str, Any], capital: float, commission: float, slippage: float) -> tuple[list[dict], list[tuple[float, float, bool]]]:
-    """(trades, (marked equity, realised equity, in position) of every bar) for one symbol's bars in order."""
-    account, pos, trades = Account(capital, p), None, []
-    curve = [(capital, capital, False)]
-    slip = slippage / 100
-    keys = {side: [c[len(f"exit_{side}_") :] for c in rows[0] if c.startswith(f"exit_{side}_") and c != f"exit_{side}_signal"] for side in ("long", "short")} if rows else {}
+class Machine:
+    """One group's account from bar to bar; what happens is added to ``trades`` and ``curve``, which may be emptied at any time."""
+
+    def __init__(self, p: Mapping[str, Any], costs: tuple[float, float, float], exits: Mapping[str, Sequence[str]]):
+        self.p, self.exits, self.defer = p, exits, p["entry_exit_conflict_mode"] == "defer"
+        capital, self.commission, slippage = costs
+        self.slip, self.account = slippage / 100, Account(capital, p)
+        self.pos: Position | None = None
+        self.i, self.n = -1, 0
+        self.before: tuple[dict[str, bool], dict[str, dict[str, bool]]] | None = None
+        self.last: tuple[int | None, float, tuple[float, float, bool]] = (None, 0.0, (capital, capital, False))
+        self.trades: list[dict[str, Any]] = []
+        self.curve: list[tuple] = []
 
-    def close(i: int, price: float, reason: str) -> None:
+    def _close(self, at: int | None, price: float, reason: str) -> None:
+        pos = self.pos
         if reason not in STOPS:
-            price *= 1 - pos.s * slip
-        pct = (pos.s * price - pos.s * pos.entry) / pos.entry * 100 - commission * 2
+            price *= 1 - pos.s * self.slip
+        pct = (pos.s * price - pos.s * pos.entry) / pos.entry * 100 - self.commission * 2
         pnl = pos.size * (pct / 100)
-        account.cash += pos.size + pnl
-        account.record(pnl, pct)
+        self.account.cash += pos.size + pnl
+        self.account.record(pnl, pct)
         mae, mfe = pos.excursion()
-        trades.append({
-            "trade_no": len(trades), "entry_idx": pos.at, "entry_price": pos.entry, "direction": pos.side, "size_dollars": pos.size, "exit_idx": i,
-            "exit_price": price, "exit_reason": reason, "pnl": pnl, "pnl_pct": pct, "bars_held": pos.age, "mae": mae, "mfe": mfe,
+        self.trades.append({
+            "trade_no": self.n, "entry_idx": pos.at, "entry_ts": pos.since, "entry_price": pos.entry, "direction": pos.side, "size_dollars": pos.size, "exit_idx": self.i,
+            "exit_ts": at, "exit_price": price, "exit_reason": reason, "pnl": pnl, "pnl_pct": pct, "bars_held": pos.age, "mae": mae, "mfe": mfe,
         })
-
-    def wants_out(before: dict) -> bool:
-        side = pos.side
-        if p["entry_exit_conflict_mode"] != "defer" or not pos.blocked:
-            return bool(before[f"exit_{side}_signal"])
-        pos.blocked = {k for k in pos.blocked if before[f"exit_{side}_{k}"]}
-        said = [bool(before[f"exit_{side}_{k}"]) and k not in pos.blocked for k in keys[side]]
-        return bool(said) and (any if p["exit_operator"] == "or" else all)(said)
-
-    for i in range(1, len(rows)):
-        bar, before = rows[i], rows[i - 1]
-        held, may_enter, closed = pos is not None, True, 0
+        self.n += 1
+        self.pos = None
+
+    def _wants_out(self, signals: Mapping[str, bool], each: Mapping[str, Mapping[str, bool]]) -> bool:
+        pos, side = self.pos, self.pos.side
+        if not self.defer or not pos.blocked:
+            return signals[f"exit_{side}_signal"]
+        pos.blocked = {k for k in pos.blocked if each[side][k]}
+        said = [each[side][k] and k not in pos.blocked for k in self.exits[side]]
+        return bool(said) and (any if self.p["exit_operator"] == "or" else all)(said)
+
+    def step(self, ts: int | None, opened: float, high: float, low: float, close: float, atr: float | None, signals: Mapping[str, bool], each: Mapping[str, Mapping[str, bool]]) -> None:
+        """The next bar; ``signals`` and ``each`` (exits by side and spec) are this bar's, and act on the next."""
+        if None in (opened, high, low, close):
+            raise ValueError("a price is missing")
+        self.i += 1
+        if self.i:
+            self.curve.append((self.i - 1, self.last[0], *self.last[2]))
+            self._bar(ts, opened, high, low, atr, *self.before)
+            pos, cash = self.pos, self.account.cash
+            size = pos.size if pos else 0.0
+            gain = size * ((pos.s * close - pos.s * pos.entry) / pos.entry) if pos else 0.0
+            self.last = ts, close, (cash + size + gain, cash + size, self.held)
+        else:
+            self.last = ts, close, self.last[2]
+        self.before = signals, each
+
+    def _bar(self, ts: int | None, opened: float, high: float, low: float, atr: float | None, before: Mapping[str, bool], each: Mapping[str, Mapping[str, bool]]) -> None:
+        p, pos = self.p, self.pos
+        self.held, may_enter, closed = pos is not None, True, 0
         if pos is not None:
             pos.age += 1
-            pos.hi, pos.lo = max(pos.hi, bar["high"]), min(pos.lo, bar["low"])
-            done = stop_exit(pos, bar, p)
+            pos.hi, pos.lo = max(pos.hi, high), min(pos.lo, low)
+            done = stop_exit(pos, opened, high, low, atr, p)
             if done is None and p["time_exit_enabled"] and pos.age >= p[f"time_exit_bars_{pos.side}"]:
-                done = bar["open"], "time_exit"
-            if done is None and wants_out(before):
-                done = bar["open"], "signal"
+                done = opened, "time_exit"
+            if done is None and self._wants_out(before, each):
+                done = opened, "signal"
             if done is not None:
-                close(i, *done)
+                self._close(ts, *done)
                 closed, may_enter = pos.s, done[1] not in STOPS and p["allow_same_bar_reversal"]
-                pos = None
-        if pos is None and may_enter:
-            go = {s: bool(before[f"entry_{side}"]) and closed != s for s, side in ((1, "long"), (-1, "short"))}
-            if p["entry_exit_conflict_mode"] == "skip":
-                go = {s: g and not before[f"exit_{'long' if s > 0 else 'short'}_signal"] for s, g in go.items()}
-            if go[1] and go[-1]:
-                go = {s: p["entry_conflict_mode"] == f"prefer_{'long' if s > 0 else 'short'}" for s in go}
-            s = 1 if go[1] else -1 if go[-1] else 0
-            if s:
-                side = "long" if s > 0 else "short"
-                blocked = {k for k in keys[side] if before[f"exit_{side}_{k}"]} if p["entry_exit_conflict_mode"] == "defer" else set()
-                pos = Position(i, bar["open"] * (1 + s * slip), s, account.stake(), bar["high"], bar["low"], blocked)
-                account.cash -= pos.size
-                if p["allow_same_bar_exit"] and (done := stop_exit(pos, bar, p)) is not None:
-                    close(i, *done)
-                    pos = None
-        size = pos.size if pos else 0.0
-        gain = size * ((pos.s * bar["close"] - pos.s * pos.entry) / pos.entry) if pos else 0.0
-        curve.append((account.cash + size + gain, account.cash + size, held))
-    if pos is not None:
-        close(len(rows) - 1, rows[-1]["close"], "end_of_data")
-        curve[-1] = (account.cash, account.cash, curve[-1][2])
-    return trades, curve
+        if self.pos is not None or not may_enter or not (before["entry_long"] or before["entry_short"]):
+            return
+        go = {s: before[f"entry_{side}"] and closed != s for s, side in ((1, "long"), (-1, "short"))}
+        if p["entry_exit_conflict_mode"] == "skip":
+            go = {s: g and not before[f"exit_{'long' if s > 0 else 'short'}_signal"] for s, g in go.items()}
+        if go[1] and go[-1]:
+            go = {s: p["entry_conflict_mode"] == f"prefer_{'long' if s > 0 else 'short'}" for s in go}
+        s = 1 if go[1] else -1 if go[-1] else 0
+        if s:
+            side = "long" if s > 0 else "short"
+            blocked = {k for k in self.exits[side] if each[side][k]} if self.defer else set()
+            self.pos = Position(self.i, ts, opened * (1 + s * self.slip), s, self.account.stake(), high, low, blocked)
+            self.account.cash -= self.pos.size
+            if p["allow_same_bar_exit"] and (done := stop_exit(self.pos, opened, high, low, atr, p)) is not None:
+                self._close(ts, *done)
+
+    def finish(self) -> None:
+        ts, close, marks = self.last
+        if self.pos is not None:
+            self._close(ts, close, "end_of_data")
+            marks = (self.account.cash, self.account.cash, marks[2])
+        self.curve.append((self.i, ts, *marks))
 
 
 _ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "timestamp_ntz": pa.timestamp("us")}
 _FIELDS = pa.schema([(n, _ARROW[t]) for n, t in map(str.split, EVENTS.split(", "))])
+#: Event rows that are sent on at once.
+ROWS = 20_000
 
 
-def _table(n: int, **columns: Any) -> pa.Table:
+def _table(n: int, **columns: Any) -> pa.RecordBatch:
     """``n`` event rows; columns that aren't given are null."""
-    return pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _FIELDS], schema=_FIELDS)
-
-
-def _events(bars: pa.Table, params: Mapping[int, Mapping[str, Any]], costs: Mapping[int, tuple[float, float, float]], keep_equity: bool) -> pa.Table:
-    bars = bars.sort_by("bar")
-    symbol, ident, ts = bars.column("symbol")[0].as_py(), bars.column("param_id")[0].as_py(), bars.column("ts").combine_chunks()
-    names = [c for c in bars.column_names if c not in ("symbol", "param_id", "ts")]
-    rows = [dict(zip(names, v, strict=True)) for v in zip(*(bars.column(c).to_pylist() for c in names), strict=True)]
-    trades, curve = simulate(rows, params[ident], *costs[ident])
-    n, same = len(trades), {"symbol": symbol, "param_id": ident}
-    each = lambda n, kind: {k: [v] * n for k, v in (same | {"kind": kind}).items()}
-    columns = {k: [t[k] for t in trades] for k in trades[0]} if trades else {"entry_idx": [], "exit_idx": []}
-    times = {f"{k}_ts": ts.take(pa.array(columns[f"{k}_idx"], pa.int64())) for k in ("entry", "exit")}
-    out = [_table(n, **each(n, "trade"), **columns, **times)]
-    if keep_equity:
-        marked, realized, held = zip(*curve, strict=True)
-        out.append(_table(len(ts), **each(len(ts), "equity"), bar=range(len(ts)), ts=ts, mtm_equity=marked, realized_equity=realized, in_position=held))
-    return pa.concat_tables(out)
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _FIELDS], schema=_FIELDS)
+
+
+class _Group:
+    """A group's machine, or what went wrong with it."""
+
+    def __init__(self, symbol: str | None, ident: int | None, make: Callable[[int | None], Machine]):
+        self.symbol, self.ident, self.error = symbol, ident, None
+        try:
+            self.machine: Machine | None = make(ident)
+        except Exception as e:
+            self.fail(e)
+
+    def fail(self, e: Exception) -> None:
+        self.machine, self.error = None, f"{type(e).__name__}: {e}"
+
+    def step(self, *bar: Any) -> None:
+        if self.machine is not None:
+            try:
+                self.machine.step(*bar)
+            except Exception as e:
+                self.fail(e)
+
+    def events(self, keep_equity: bool, end: bool) -> Iterator[pa.RecordBatch]:
+        same = lambda n, kind: {"symbol": [self.symbol] * n, "param_id": [self.ident] * n, "kind": [kind] * n}
+        m = self.machine
+        if m is None:
+            if end:
+                yield _table(1, **same(1, "error"), exit_reason=[self.error])
+            return
+        if end:
+            m.finish()
+        if m.trades:
+            yield _table(len(m.trades), **same(len(m.trades), "trade"), **{k: [t[k] for t in m.trades] for k in m.trades[0]})
+        if m.curve and keep_equity:
+            bar, ts, marked, realized, held = zip(*m.curve, strict=True)
+            yield _table(len(bar), **same(len(bar), "equity"), bar=bar, ts=ts, mtm_equity=marked, realized_equity=realized, in_position=held)
+        m.trades, m.curve = [], []
+
+
+def _events(names: Sequence[str], params: Mapping[int, Mapping[str, Any]], costs: Mapping[int, tuple[float, float, float]], keep_equity: bool) -> Callable:
+    """Rows in order of symbol, param_id and bar -> events."""
+    exits = {side: [c.removeprefix(f"exit_{side}_") for c in names if c.startswith(f"exit_{side}_") and c != f"exit_{side}_signal"] for side in ("long", "short")}
+    new = lambda ident: Machine(params[ident], costs[ident], exits)
+
+    def columns(batch: pa.RecordBatch) -> dict[str, list]:
+        at = {name: batch.column(i) for i, name in enumerate(names)}
+        return {n: (c.cast(pa.timestamp("us")).cast(pa.int64()) if n == "ts" else c).to_pylist() for n, c in at.items()}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: _Group | None = None
+        held = 0
+        for batch in batches:
+            c = columns(batch)
+            none = [None] * batch.num_rows
+            signals = [dict(zip(SIGNALS, map(bool, row), strict=True)) for row in zip(*(c[k] for k in SIGNALS), strict=True)]
+            each = [{side: {k: bool(c[f"exit_{side}_{k}"][r]) for k in ks} for side, ks in exits.items()} for r in range(batch.num_rows)] if any(p["entry_exit_conflict_mode"] == "defer" for p in params.values()) else [{}] * batch.num_rows
+            for symbol, ident, *bar in zip(c["symbol"], c["param_id"], c["ts"], c["open"], c["high"], c["low"], c["close"], c.get("atr", none), signals, each, strict=True):
+                if group is None or (symbol, ident) != (group.symbol, group.ident):
+                    if group is not None:
+                        yield from group.events(keep_equity, end=True)
+                    group, held = _Group(symbol, ident, new), 0
+                group.step(*bar)
+                held += 1
+                if held >= ROWS:
+                    yield from group.events(keep_equity, end=False)
+                    held = 0
+        if group is not None:
+            yield from group.events(keep_equity, end=True)
+
+    return work
 
 
 def run(signals: DataFrame, params: Mapping[int, Mapping[str, Any]], capital: float = CAPITAL, commission: float = COMMISSION, slippage: float = SLIPPAGE, costs: Mapping[int, tuple[float, float, float]] | None = None, keep_equity: bool = True) -> DataFrame:
-    """Event rows (kind trade or equity) for every (symbol, param_id) of ``signals``.
+    """Event rows (kind trade, equity or error) for every (symbol, param_id) of ``signals``.
 
     ``signals`` has bars, the signal columns and param_id; ``params`` maps param_id to its
     parameters; ``costs`` to (capital, commission, slippage) where they differ.
@@ -207,7 +292,19 @@ def run(signals: DataFrame, params: Mapping[int, Mapping[str, Any]], capital: fl
     costs = costs or {k: (capital, commission, slippage) for k in params}
     wanted = [c for c in signals.columns if c in ("symbol", "param_id", "bar", "ts", "open", "high", "low", "close", "atr") or c.startswith(("entry_", "exit_"))]
     plain = {k: dict(v) for k, v in params.items()}
-    return signals.select(*wanted).groupBy("symbol", "param_id").applyInArrow(lambda t: _events(t, plain, costs, keep_equity), EVENTS)
+    rows = signals.select(*wanted).repartition("symbol", "param_id").sortWithinPartitions("symbol", "param_id", "bar")
+    return rows.mapInArrow(_events(wanted, plain, costs, keep_equity), EVENTS)
+
+
+def errors_of(events: DataFrame) -> DataFrame:
+    """(symbol, param_id, message) of the groups that failed."""
+    return events.where("kind = 'error'").select("symbol", "param_id", F.col("exit_reason").alias("message"))
+
+
+def sound(events: DataFrame) -> DataFrame:
+    """``events`` (best a saved or cached table: they are read twice) without those of groups that failed."""
+    failed = errors_of(events).select(F.col("symbol").alias("_s"), F.col("param_id").alias("_p"))
+    return events.join(failed, F.col("symbol").eqNullSafe(F.col("_s")) & F.col("param_id").eqNullSafe(F.col("_p")), "left_anti")
 
 
 def trades_of(events: DataFrame) -> DataFrame:

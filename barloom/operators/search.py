@@ -2,26 +2,31 @@
 
 Trials, folds, costs and grids are parameter sets with a ``param_id``; indicators are computed
 once for each distinct request, whatever the number of sets, and the engine runs a group for
-each (symbol, param_id).
+each (symbol, param_id). An error of one of them is its own result: no value (-inf) for a trial,
+0 in a heat map, a cost level or a symbol that is left out.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+import threading
+import time
+import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import ratio
 from barloom.operators import engine, metrics, specs
 from barloom.operators import params as P
 from barloom.operators.indicators import Plan
-from barloom.operators.signals import SIDES, combine, edge, sure
+from barloom.operators.signals import SIDES, edge, sure
+from barloom.sources.shared import saved
 
 Params = dict[str, Any]
 FAILED = float("-inf")
@@ -30,55 +35,125 @@ FAILED = float("-inf")
 # many parameter sets over the same bars
 
 
+def _planned(plan: Plan, p: Params) -> tuple[dict[str, tuple[str, ...]], dict[tuple[str, str], Column]]:
+    """A set's indicator columns, added to ``plan``, and its masks by spec and side."""
+    columns = {s.key: s.compute(plan, p) for s in specs.enabled(p) if s.compute}
+    masks = {(s.key, side): sure(getattr(s, side)(p, columns[s.key])) for s in specs.enabled(p) if s.long for side in SIDES}
+    return columns, masks
+
+
+def unusable(sets: Mapping[int, Params]) -> dict[int, str]:
+    """What is wrong with the sets that no signals can be made of."""
+    out = {}
+    for ident, p in sets.items():
+        try:
+            _planned(Plan(), p)
+        except Exception as e:
+            out[ident] = f"{type(e).__name__}: {e}"
+    return out
+
+
+_SET = (
+    "param_id int, symbols array<string>, allowed_long boolean, allowed_short boolean, triggers_long array<int>, triggers_short array<int>, filters_long array<int>, filters_short array<int>, "
+    "exits_long array<int>, exits_short array<int>, all_filters boolean, all_exits boolean, atr int"
+)
+#: Sets that are sent to every executor; more are joined by a key. A set is a few hundred bytes.
+MANY_SETS = 10_000
+
+
 def with_many_signals(bars: DataFrame, sets: Mapping[int, Params], owners: Mapping[int, Sequence[str]] | None = None) -> DataFrame:
     """Bars times parameter sets, each row with its set's signals (as ``with_signals``) and param_id.
 
-    ``owners`` names the symbols that a set is for, where it isn't for all.
+    A bar carries its distinct masks as an array; a set is a row of numbers of masks, joined to the
+    bars. So the plan grows with the masks, not with the sets. ``owners`` names the symbols that a set is
+    for, where it isn't for all.
     """
-    plan, columns = Plan(), {}
-    for ident, p in sets.items():
-        columns[ident] = {s.key: s.compute(plan, p) for s in specs.enabled(p) if s.compute}
-    bars = plan.apply(bars)
-    masks: dict[tuple, tuple[str, Column]] = {}
-
-    def mask(ident: int, s: specs.Spec, side: str) -> str:
-        p = sets[ident]
-        key = (s.key, side, columns[ident][s.key], tuple(p[x.name] for x in s.params))
-        if key not in masks:
-            masks[key] = (f"_m{len(masks)}", sure(getattr(s, side)(p, columns[ident][s.key])))
-        return masks[key][0]
-
-    chosen: dict[int, dict[str, dict[str, str]]] = {}
-    for ident, p in sets.items():
-        chosen[ident] = {side: {s.key: mask(ident, s, side) for s in specs.enabled(p) if s.long} for side in SIDES}
-    bars = bars.withColumns(dict(masks.values()))
-    bars = bars.withColumns({f"{n}_edge": edge(F.col(n)) for n, _ in masks.values()})
+    plan, numbers, built, atrs, relation = Plan(), {}, [], {}, []
     exits = sorted({s.key for p in sets.values() for s in specs.enabled(p, "exit")})
-    each = []
     for ident, p in sets.items():
-        fields = [F.lit(ident).alias("param_id")]
+        columns, masks = _planned(plan, p)
+        values = {s.key: tuple(p[x.name] for x in s.params) for s in specs.enabled(p)}
+
+        def number(key: str, side: str, columns=columns, masks=masks, values=values) -> int:
+            name = (key, side, columns.get(key), values[key])
+            if name not in numbers:
+                numbers[name] = len(built)
+                built.append(masks[key, side])
+            return numbers[name]
+
+        row = {"param_id": ident, "symbols": None if owners is None else list(owners[ident]), "all_filters": p["entry_operator"] == "and", "all_exits": p["exit_operator"] == "and"}
+        row["atr"] = atrs.setdefault(columns["atr_trail"][0], len(atrs)) if "atr_trail" in columns else None
+        entries = [s for s in specs.enabled(p, "entry") if s.long]
+        is_filter = lambda s, p=p: bool(s.mode) and p[s.mode] == "filter"
+        mine = {s.key for s in specs.enabled(p, "exit")}
         for side in SIDES:
-            names = chosen[ident][side]
-            entries = [s for s in specs.enabled(p, "entry") if s.long]
-            filters = [F.col(names[s.key]) for s in entries if s.mode and p[s.mode] == "filter"]
-            triggers = [F.col(f"{names[s.key]}_edge") for s in entries if not (s.mode and p[s.mode] == "filter")]
-            fired = combine(triggers, "or") & (combine(filters, p["entry_operator"]) if filters else F.lit(True))
-            fields.append((F.lit(p["trade_direction"] in ("both", f"{side}_only")) & fired).alias(f"entry_{side}"))
-            mine = [F.col(names[s.key]) for s in specs.enabled(p, "exit")]
-            fields.append(combine(mine, p["exit_operator"]).alias(f"exit_{side}_signal"))
-            fields += [(F.col(names[k]) if k in names else F.lit(False)).alias(f"exit_{side}_{k}") for k in exits]
-        atr = columns[ident].get("atr_trail")
-        row = F.struct(*fields, (F.col(atr[0]) if atr else F.lit(None).cast("double")).alias("atr"))
-        each.append(row if owners is None else F.when(F.col("symbol").isin(*owners[ident]), row))
+            row[f"allowed_{side}"] = p["trade_direction"] in ("both", f"{side}_only")
+            row[f"triggers_{side}"] = [number(s.key, side) for s in entries if not is_filter(s)]
+            row[f"filters_{side}"] = [number(s.key, side) for s in entries if is_filter(s)]
+            row[f"exits_{side}"] = [number(k, side) if k in mine else None for k in exits]
+        relation.append(row)
+    names = [f"_m{i}" for i in range(len(built))]
+    bars = plan.apply(bars).withColumns(dict(zip(names, built, strict=True)))
+    array = lambda cs, kind: F.array(*cs).cast(f"array<{kind}>")
     plain = ["symbol", "ts", "bar", "open", "high", "low", "close"]
-    rows = F.array(*each) if owners is None else F.array_compact(F.array(*each))
-    return bars.select(*plain, F.explode(rows).alias("_s")).select(*plain, "_s.*")
+    bars = bars.select(*plain, array(map(F.col, names), "boolean").alias("_on"), array([edge(F.col(n)) for n in names], "boolean").alias("_edge"), array(map(F.col, atrs), "double").alias("_atr"))
+    bars = saved(bars)  # the sets meet a table of masks: indicators are worked out once, and the plan behind them ends here
+    order = [c.split()[0] for c in _SET.split(", ")]
+    known = bars.sparkSession.createDataFrame([tuple(r[c] for c in order) for r in relation], _SET)
+    known = F.broadcast(known) if len(relation) <= MANY_SETS else known
+    if owners is None:
+        each = bars.crossJoin(known)
+    else:
+        each = bars.join(known.withColumn("symbol", F.explode("symbols")), "symbol")
+    on, rises = lambda i: F.get("_on", i), lambda i: F.get("_edge", i)
+    either = lambda which, c: F.when(F.col(which), F.forall(c, on)).otherwise(F.exists(c, on))
+    signals: list[Column] = []
+    for side in SIDES:
+        filters, said = F.col(f"filters_{side}"), F.array_compact(f"exits_{side}")
+        kept = F.when(F.size(filters) == 0, F.lit(True)).otherwise(either("all_filters", filters))
+        signals.append((F.col(f"allowed_{side}") & F.exists(f"triggers_{side}", rises) & kept).alias(f"entry_{side}"))
+        signals.append(((F.size(said) > 0) & either("all_exits", said)).alias(f"exit_{side}_signal"))
+        signals += [F.coalesce(F.get("_on", F.get(f"exits_{side}", F.lit(i))), F.lit(False)).alias(f"exit_{side}_{k}") for i, k in enumerate(exits)]
+    return each.select("param_id", *plain, *signals, F.get("_atr", F.col("atr")).alias("atr"))
+
+
+@dataclass
+class Runs:
+    """What backtests of many sets gave: events of those that worked, errors (symbol, param_id, message) of the others."""
+
+    events: DataFrame
+    errors: DataFrame
+
+    def metrics(self, bars: DataFrame, capital: float = engine.CAPITAL) -> DataFrame:
+        return metrics.metrics(engine.trades_of(self.events), engine.equity_of(self.events), metrics.bars_per_year(bars), capital)
+
+
+def run_sets(bars: DataFrame, sets: Mapping[int, Params], capital: float = engine.CAPITAL, commission: float = engine.COMMISSION, slippage: float = engine.SLIPPAGE, costs: Mapping[int, tuple[float, float, float]] | None = None, owners: Mapping[int, Sequence[str]] | None = None) -> Runs:
+    """Backtests of every (symbol, param_id): the engine runs once, its events are written and read from there.
+
+    A set that no signals can be made of, or a group in which the engine fails, is an error row; the others aren't touched.
+    """
+    spark, bad = bars.sparkSession, unusable(sets)
+    good = {k: p for k, p in sets.items() if k not in bad}
+    lost = spark.createDataFrame(list(bad.items()), "param_id int, message string")
+    names = bars.select("symbol").distinct()
+    if owners is not None:
+        names = spark.createDataFrame([(x, k) for k in bad for x in owners[k]], "symbol string, param_id int")
+        lost = names.join(lost, "param_id").select("symbol", "param_id", "message")
+    else:
+        lost = names.crossJoin(lost).select("symbol", "param_id", "message")
+    if not good:
+        nothing = spark.createDataFrame([], engine.EVENTS)
+        return Runs(nothing, lost)
+    mine = None if owners is None else {k: owners[k] for k in good}
+    events = saved(engine.run(with_many_signals(bars, good, mine), good, capital, commission, slippage, costs))
+    errors = engine.errors_of(events)
+    return Runs(engine.sound(events), errors.unionByName(lost) if bad else errors)
 
 
 def evaluate(bars: DataFrame, sets: Mapping[int, Params], capital: float = engine.CAPITAL, commission: float = engine.COMMISSION, slippage: float = engine.SLIPPAGE, costs: Mapping[int, tuple[float, float, float]] | None = None, owners: Mapping[int, Sequence[str]] | None = None) -> DataFrame:
-    """Metrics of every (symbol, param_id)."""
-    events = engine.run(with_many_signals(bars, sets, owners), sets, capital, commission, slippage, costs)
-    return metrics.metrics(engine.trades_of(events), engine.equity_of(events), metrics.bars_per_year(bars), capital)
+    """Metrics of every (symbol, param_id) that could be run."""
+    return run_sets(bars, sets, capital, commission, slippage, costs, owners).metrics(bars, capital)
 
 
 def objective(results: DataFrame, metric: str, min_trades: int) -> DataFrame:
@@ -242,6 +317,41 @@ class Study:
     value: float
     failed: float
     trials: list[tuple[Params, float]] = field(default_factory=list)
+    stopped: bool = False  # at its deadline, before all trials were told
+
+
+class Deadline:
+    """Cancels the jobs that are started inside, by tag, once ``seconds`` have passed; ``over`` tells whether they have."""
+
+    def __init__(self, spark: SparkSession, seconds: float | None):
+        self.context, self.tag = spark.sparkContext, f"barloom-{uuid.uuid4().hex}"
+        self.at = None if seconds is None else time.monotonic() + seconds
+        self.timer: threading.Timer | None = None
+
+    @property
+    def over(self) -> bool:
+        return self.at is not None and time.monotonic() >= self.at
+
+    def _cancel(self) -> None:
+        self.context.cancelJobsWithTag(self.tag)
+        self.timer = threading.Timer(0.5, self._cancel)  # jobs that start between two cancellations
+        self.timer.daemon = True
+        self.timer.start()
+
+    def __enter__(self) -> Deadline:
+        if self.at is not None:
+            self.context.addJobTag(self.tag)
+            self.timer = threading.Timer(max(0.0, self.at - time.monotonic()), self._cancel)
+            self.timer.daemon = True
+            self.timer.start()
+        return self
+
+    def __exit__(self, *error: Any) -> None:
+        if self.at is not None:
+            self.context.removeJobTag(self.tag)
+            while self.timer is not None and self.timer.is_alive():
+                self.timer.cancel()
+                self.timer.join(1.0)
 
 
 #: Distinct parameter sets that one job evaluates.
@@ -276,30 +386,37 @@ def metrics_of(bars: DataFrame, wanted: Mapping[str, Sequence[Params]], **costs:
         yield evaluate(bars.where(F.col("symbol").isin(*used)), sets, **costs, owners=owners), place
 
 
-def studies(bars: DataFrame, seeds: Mapping[str, int], base: Params, filters: Mapping[str, bool], metric: str = "sharpe_ratio", trials: int = 200, min_trades: int = 5, pinned: Mapping[str, Any] | None = None, batch: int = 25, compat_flags: bool = False, **costs: float) -> dict[str, Study]:
+def studies(bars: DataFrame, seeds: Mapping[str, int], base: Params, filters: Mapping[str, bool], metric: str = "sharpe_ratio", trials: int = 200, min_trades: int = 5, pinned: Mapping[str, Any] | None = None, batch: int = 25, compat_flags: bool = False, timeout: float | None = None, **costs: float) -> dict[str, Study]:
     """A study of its own for every symbol in ``seeds``, all in the same jobs: each round takes ``batch`` more trials of each.
 
     Trials are rows of a job; only their values come back. Symbols whose samplers ask for the same sets share them.
+    After ``timeout`` seconds the running job is cancelled, and the studies are those of the trials told so far.
     """
     flags = {s.flag: (s.params[0].default if compat_flags else bool(filters.get(s.flag, False))) for s in specs.all_specs()}
     fixed = {**base, **flags, **(pinned or {})}
     space = dimensions(filters, pinned, base["trade_direction"], compat_flags)
     samplers = {name: Sampler(space, seed) for name, seed in seeds.items()}
-    lost, done = dict.fromkeys(seeds, 0), 0
-    while done < trials:
-        asked = {name: s.batch(min(batch, trials - done)) for name, s in samplers.items()}
-        sets = {name: [P.make(**{k: v for k, v in {**fixed, **t}.items() if k in P.defaults()}) for t in ts] for name, ts in asked.items()}
-        for results, place in metrics_of(bars, sets, **costs):
-            found = {(r["symbol"], r["param_id"]): r["value"] for r in objective(results, metric, min_trades).collect()}
-            for name in {symbol for symbol, _ in place}:
-                values = [found.get((name, place[name, k])) for k in range(len(asked[name]))]
-                lost[name] += sum(v is None for v in values)
-                samplers[name].tell(asked[name], [FAILED if v is None else v for v in values])
-        done += batch
+    lost, done, stopped = dict.fromkeys(seeds, 0), 0, False
+    with Deadline(bars.sparkSession, timeout) as deadline:
+        try:
+            while done < trials and not deadline.over:
+                asked = {name: s.batch(min(batch, trials - done)) for name, s in samplers.items()}
+                sets = {name: [P.make(**{k: v for k, v in {**fixed, **t}.items() if k in P.defaults()}) for t in ts] for name, ts in asked.items()}
+                for results, place in metrics_of(bars, sets, **costs):
+                    found = {(r["symbol"], r["param_id"]): r["value"] for r in objective(results, metric, min_trades).collect()}
+                    for name in {symbol for symbol, _ in place}:
+                        values = [found.get((name, place[name, k])) for k in range(len(asked[name]))]
+                        lost[name] += sum(v is None for v in values)
+                        samplers[name].tell(asked[name], [FAILED if v is None else v for v in values])
+                done += batch
+        except Exception:
+            if not deadline.over:  # else it is the cancelled job's
+                raise
+        stopped = done < trials
     out = {}
     for name, s in samplers.items():
         top = max((t for t in s.seen if math.isfinite(t[1])), key=lambda t: t[1], default=None)  # the first of equals
-        out[name] = Study({**fixed, **top[0]} if top else None, top[1] if top else FAILED, lost[name] / max(1, trials), s.seen)
+        out[name] = Study({**fixed, **top[0]} if top else None, top[1] if top else FAILED, lost[name] / max(1, len(s.seen)), s.seen, stopped)
     return out
 
 
@@ -347,14 +464,14 @@ def walk_forward(bars: DataFrame, base: Params, filters: Mapping[str, bool], met
     for part, b in parts.items():
         for sets, owners, _ in _jobs(wanted):
             mine = b.where(F.col("symbol").isin(*sorted({x for o in owners.values() for x in o})))
-            events = engine.run(with_many_signals(mine, sets, owners), sets)
-            m = metrics.metrics(engine.trades_of(events), engine.equity_of(events), metrics.bars_per_year(mine), engine.CAPITAL)
+            runs = run_sets(mine, sets, owners=owners)
+            m, events = runs.metrics(mine), runs.events
             value |= {(r["symbol"], part): r["value"] for r in objective(m, metric, min_trades).collect()}
             if part == "test":
                 e = engine.equity_of(events)
                 curves = e if curves is None else curves.unionByName(e)
     spark = bars.sparkSession
-    rows = [(x, k, value[name(x, k), "train"], value[name(x, k), "test"]) for x, k in fitted]
+    rows = [(x, k, value.get((name(x, k), "train"), FAILED), value.get((name(x, k), "test"), FAILED)) for x, k in fitted]
     scores = spark.createDataFrame(rows, "symbol string, fold int, train_value double, test_value double")
     entry = {p.name for s in specs.all_specs() if s.role == "entry" for p in s.params}
     numbers = [(x, n, k, float(v)) for (x, k), p in fitted.items() for n, v in p.items() if n in entry and isinstance(v, int | float) and not isinstance(v, bool)]
@@ -421,7 +538,8 @@ def heatmap(bars: DataFrame, p: Params, x: tuple[str, Sequence[Any]], y: tuple[s
     cells = list(itertools.product(x[1], y[1]))
     labels = bars.sparkSession.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(cells)], "param_id int, x double, y double")
     v = F.col(metric).cast("double")
-    return evaluate(bars, grid(x, y, p), **costs).join(labels, "param_id").select("symbol", "x", "y", F.coalesce(v, F.lit(0.0)).alias("value"))
+    every = bars.select("symbol").distinct().crossJoin(labels)  # a cell that couldn't be run is 0 too
+    return every.join(evaluate(bars, grid(x, y, p), **costs), ["symbol", "param_id"], "left").select("symbol", "x", "y", F.coalesce(v, F.lit(0.0)).alias("value"))
 
 
 @dataclass
@@ -458,8 +576,8 @@ def permutation_test(bars: DataFrame, base: Params, filters: Mapping[str, bool],
     scores, curves = None, None
     for sets, owners, _ in _jobs({n: [P.make(**(found[n].best or base))] for n in names}):
         mine = many.where(F.col("symbol").isin(*sorted({x for o in owners.values() for x in o})))
-        events = engine.run(with_many_signals(mine, sets, owners), sets)
-        m = metrics.metrics(engine.trades_of(events), engine.equity_of(events), metrics.bars_per_year(mine), engine.CAPITAL)
+        runs = run_sets(mine, sets, owners=owners)
+        m, events = runs.metrics(mine), runs.events
         m, e = m.select("symbol", F.coalesce(F.nanvl(F.col(metric).cast("double"), F.lit(None)), F.lit(0.0)).alias("value")), engine.equity_of(events).select("symbol", "bar", "mtm_equity")
         scores, curves = (m, e) if scores is None else (scores.unionByName(m), curves.unionByName(e))
     own = lambda df: df.withColumn("perm_id", F.expr("try_element_at(split(symbol, '#'), 2)").cast("int")).withColumn("symbol", F.split_part("symbol", F.lit("#"), F.lit(1)))

@@ -17,6 +17,7 @@ from barloom.operators import calendars, engine, metrics, search
 from barloom.operators import params as P
 from barloom.plans.catalogue import RANGE_SQL, ewm, lag, over, query, register, rounded, shown, sma
 from barloom.sources import bars as B
+from barloom.sources.shared import saved
 
 #: Entries where a 5-bar mean crosses a 20-bar mean, exits where a 3-bar mean is beyond a 10-bar mean.
 BASE: dict[str, Any] = {
@@ -218,7 +219,7 @@ register("trade_log_filter", lambda s, d: _sized(_STOPPED)(s, d).where("directio
 def _events(spark: SparkSession, sf_dir: str, p: dict[str, Any] = _STOPPED, bars: Callable = B.by_priority) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(bars, trades, equity), the engine run once."""
     b = bars(spark, sf_dir)
-    e = engine.backtest(b, p).persist()
+    e = saved(engine.backtest(b, p))
     return b, engine.trades_of(e), engine.equity_of(e)
 
 
@@ -339,18 +340,22 @@ def _sweep_sql(sets: list[tuple[str, str]], metric: str, digits: int = 4) -> str
     return " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {ctes}, {_METRICS} {one.format(labels=labels)})" for labels, ctes in sets)
 
 
-_GRID = [(x, y) for x in (10.0, 30.0) for y in (20.0, 40.0)]
+_GRID_X, _GRID_Y = [5.0 * k for k in range(1, 8)], [10.0 + 5 * k for k in range(9)]
+_GRID = [(x, y) for x in _GRID_X for y in _GRID_Y]
 _GRID_BASE = P.make(**{**BASE, "stop_loss_enabled": True, "take_profit_enabled": True})
 
 
 @query(_sweep_sql([(f"CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y", engine_sql({**_GRID_BASE, "stop_loss_pct_long": x, "take_profit_pct_long": y})) for x, y in _GRID], "profit_factor"))
 def grid_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(search.heatmap(B.daily(spark, sf_dir), _GRID_BASE, ("stop_loss_pct_long", (10.0, 30.0)), ("take_profit_pct_long", (20.0, 40.0)), "profit_factor"), 4)
+    return rounded(search.heatmap(B.daily(spark, sf_dir), _GRID_BASE, ("stop_loss_pct_long", _GRID_X), ("take_profit_pct_long", _GRID_Y), "profit_factor"), 4)
 
 
-@query(_sweep_sql([(f"CAST({rt} AS DOUBLE) AS round_trip_pct", engine_sql(_STOPPED, commission=rt / 4, slippage=rt / 4)) for rt in (0.3, 1.0, 3.0)], "profit_factor"))
+_ROUND_TRIPS = (0.3, 0.5, 1.0, 2.0, 3.0)
+
+
+@query(_sweep_sql([(f"CAST({rt} AS DOUBLE) AS round_trip_pct", engine_sql(_STOPPED, commission=rt / 4, slippage=rt / 4)) for rt in _ROUND_TRIPS], "profit_factor"))
 def cost_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(search.cost_sweep(B.daily(spark, sf_dir), _STOPPED, (0.3, 1.0, 3.0)).select("symbol", "round_trip_pct", F.col("profit_factor").alias("value")), 4)
+    return rounded(search.cost_sweep(B.daily(spark, sf_dir), _STOPPED).select("symbol", "round_trip_pct", F.col("profit_factor").alias("value")), 4)
 
 
 _RISK = P.make(**{**BASE, "ma_trend_enabled": True, "stop_loss_enabled": True, "stop_loss_pct_long": 20.0, "stop_loss_pct_short": 20.0})

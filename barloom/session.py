@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ast
-import datetime as dt
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -11,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions import windows as W
-from barloom.operators import calendars, engine, metrics, search, simulate, specs
+from barloom.operators import calendars, engine, metrics, restricted, search, simulate, specs
 from barloom.operators import params as P
 from barloom.operators.indicators import Plan
 from barloom.sources import clean, store, synthetic
@@ -44,12 +42,8 @@ def characterize(bars: DataFrame) -> DataFrame:
     })
 
 
-#: Modules that a registered indicator may import.
-ALLOWED = ("math", "pyspark.sql", "pyspark.sql.functions", "barloom.functions", "barloom.operators.indicators", "barloom.operators.specs")
-
-
 class Session:
-    """One analyst's state: bars, parameters, costs, and where strategies and notes are kept."""
+    """One analyst's state: bars, parameters, costs, and the folder (shared, as Spark names it) of strategies and notes."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark, self.folder = spark, folder
@@ -57,11 +51,17 @@ class Session:
         self.params = P.defaults()
         self.costs = {"capital": engine.CAPITAL, "commission": engine.COMMISSION, "slippage": engine.SLIPPAGE}
         self._events: DataFrame | None = None
+        self._held: DataFrame | None = None
 
     def _forget(self) -> None:
-        if self._events is not None:
-            self._events.unpersist()
-        self._events = None
+        if self._held is not None:
+            self._held.unpersist()
+        self._events = self._held = None
+
+    def _kept(self) -> str:
+        if self.folder is None:
+            raise RuntimeError("name a folder for strategies and notes first")
+        return self.folder
 
     def _have(self) -> DataFrame:
         if self.bars is None:
@@ -87,9 +87,10 @@ class Session:
         return self.params
 
     def run(self) -> DataFrame:
-        """Metrics; trades and equity are then in ``trades`` and ``equity``."""
+        """Metrics; trades and equity are then in ``trades`` and ``equity``. A symbol that fails is in ``errors`` alone."""
         self._forget()
-        self._events = engine.backtest(self._have(), self.params, **self.costs).persist()
+        self._held = engine.backtest(self._have(), self.params, **self.costs).persist()
+        self._events = engine.sound(self._held)
         return metrics.metrics(self.trades, self.equity, metrics.bars_per_year(self._have()), self.costs["capital"])
 
     @property
@@ -98,6 +99,11 @@ class Session:
             self.run()
         return self._events
 
+    @property
+    def errors(self) -> DataFrame:
+        """(symbol, param_id, message) of the symbols whose backtest failed."""
+        return engine.errors_of(self._held if self.events is not None else self.events)
+
     @property
     def trades(self) -> DataFrame:
         return engine.trades_of(self.events)
@@ -169,33 +175,32 @@ class Session:
         return [s.key for s in specs.enabled(self.params)]
 
     def save(self, name: str) -> str:
-        return store.save_strategy(self.folder or ".", name, self.params)
+        """Parameters and costs under a name."""
+        return store.save_strategy(self.spark, self._kept(), name, self.params, self.costs)
 
     def restore(self, name: str) -> dict[str, Any]:
-        return self.set_params({**P.defaults(), **store.load_strategy(self.folder or ".", name)["params"]})
+        found = store.load_strategy(self.spark, self._kept(), name)
+        return self.set_params({**P.defaults(), **found["params"], **found["execution"]})
+
+    def strategies(self) -> DataFrame:
+        return store.strategies(self.spark, self._kept())
 
     def note(self, **entry: Any) -> None:
-        store.append_note(self.folder or ".", {"at": dt.datetime.now(dt.UTC).isoformat(), **entry})
+        store.append_note(self.spark, self._kept(), entry)
 
     def notes(self, **how: Any) -> DataFrame:
-        return store.notes(self.spark, self.folder or ".", **how)
+        return store.notes(self.spark, self._kept(), **how)
 
     def indicators(self) -> list[dict[str, Any]]:
         return [{"key": s.key, "role": s.role, "flag": s.flag, "params": [p.name for p in s.params]} for s in specs.all_specs()]
 
     def register_indicator(self, source: str) -> str:
-        """Source that assigns ``SPEC``, run on the driver after checks of syntax and imports; then tried on 100 bars.
-
-        The checks keep mistakes out, not attackers: only register code you trust.
-        """
-        tree = ast.parse(source)
-        for node in ast.walk(tree):
-            names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
-            if bad := [n for n in names if n not in ALLOWED]:
-                raise ValueError(f"imports aren't allowed: {bad}")
-        space: dict[str, Any] = {"__name__": "registered"}
-        exec(compile(tree, "<indicator>", "exec"), space)
-        spec = specs.register(space["SPEC"])
+        """Source that assigns ``SPEC`` (or calls ``register`` with it), run as ``restricted`` allows; then tried on 100 bars."""
+        told: list[Any] = []
+        space = restricted.run(source, register=told.append)
+        if not told and "SPEC" not in space:
+            raise ValueError("the source must assign SPEC or call register")
+        spec = specs.register(told[0] if told else space["SPEC"])
         try:
             plan = Plan()
             columns = spec.compute(plan, {p.name: p.default for p in spec.params}) if spec.compute else ()
