@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import stats as S
@@ -149,17 +149,25 @@ def cal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(s).withColumns({c: F.round(c, 4) for c in ("best_year", "worst_year")})
 
 
-@query(f"WITH t AS (SELECT k, n FROM (VALUES (0, 5), (3, 7), (50, 100), (7, 7), (1, 1000)) AS v(k, n)) SELECT CAST(k AS BIGINT) AS k, CAST(n AS BIGINT) AS n, round(greatest(0.0, ({_SCORE.format(k='k', n='n', sign='-')}) * 100), 6) AS low, round(least(100.0, ({_SCORE.format(k='k', n='n', sign='+')}) * 100), 6) AS high FROM t")
+_MONTHS = f"WITH {_returns_sql(base=B.PRIORITY_SQL)}, t AS (SELECT symbol, CAST(month(ts) AS BIGINT) AS month, {_K} AS k, {_N} AS n FROM rets GROUP BY ALL)"
+
+
+@query(f"{_MONTHS} SELECT symbol, month, k, n, round(greatest(0.0, ({_SCORE.format(k='k', n='n', sign='-')}) * 100), 6) AS low, round(least(100.0, ({_SCORE.format(k='k', n='n', sign='+')}) * 100), 6) AS high FROM t")
 def wilson_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([(0, 5), (3, 7), (50, 100), (7, 7), (1, 1000)], "k long, n long")
+    """Of the share of days with a gain, by month."""
+    r = C.returns(B.by_priority(spark, sf_dir))
+    t = r.groupBy("symbol", F.month("ts").cast("long").alias("month")).agg(F.count_if(F.col("r") > 0).alias("k"), F.count("r").alias("n"))
     low, high = S.wilson(F.col("k"), F.col("n"))
-    return rounded(t.select("k", "n", low.alias("low"), high.alias("high")))
+    return rounded(t.select("symbol", "month", "k", "n", low.alias("low"), high.alias("high")))
 
 
-@query("SELECT p, CASE WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars, CASE WHEN p < 0.01 THEN 'p<0.01' WHEN p < 0.05 THEN 'p<0.05' WHEN p < 0.10 THEN 'p<0.10' ELSE 'none' END AS badge FROM (VALUES (0.001), (0.02), (0.07), (0.5)) AS v(q), LATERAL (SELECT CAST(q AS DOUBLE) AS p)")
+@query(f"""WITH {_returns_sql(base=B.PRIORITY_SQL)}, e AS (SELECT symbol, ts, cume_dist() OVER (PARTITION BY symbol ORDER BY round(abs(r), 9) DESC) AS p FROM rets)
+    SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(p, 9) AS p, CASE WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars, CASE WHEN p < 0.01 THEN 'p<0.01' WHEN p < 0.05 THEN 'p<0.05' WHEN p < 0.10 THEN 'p<0.10' ELSE 'none' END AS badge FROM e""")
 def significance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([(0.001,), (0.02,), (0.07,), (0.5,)], "p double")
-    return t.select("p", S.stars(F.col("p")).alias("stars"), S.badge(F.col("p")).alias("badge"))
+    """Of each day's move: the share of the symbol's days that moved as much or more."""
+    r = C.returns(B.by_priority(spark, sf_dir))
+    p = F.cume_dist().over(Window.partitionBy("symbol").orderBy(F.desc(F.round(F.abs("r"), 9))))
+    return rounded(r.select("symbol", "ts", p.alias("p")).select("symbol", "ts", "p", S.stars(F.col("p")).alias("stars"), S.badge(F.col("p")).alias("badge")), 9)
 
 
 # folds
@@ -194,27 +202,42 @@ def stitch_oos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.stitch(e, engine.CAPITAL).select("symbol", "fold", "bar", "equity"), 2)
 
 
-_FITS = [("rsi_length", 1, 10.0), ("rsi_length", 2, 14.0), ("rsi_length", 3, 30.0), ("ma_fast_length", 1, 50.0), ("ma_fast_length", 2, 50.0), ("alone", 1, 3.0)]
-_FITS_SQL = ", ".join(f"('{a}', {b}, {c})" for a, b, c in _FITS)
+def _fold_parts(start: str = "greatest(0, edge - CAST(floor(n * 0.7) AS BIGINT))") -> str:
+    """CTE ``f``: mean close, highest close and mean range of every fold's parts."""
+    return f"""WITH {B.PRIORITY_SQL}, n AS (SELECT symbol, count(*) AS n, count(*) // 5 AS size FROM bars GROUP BY symbol), k AS (SELECT symbol, n, size, fold, fold * size AS edge FROM n, (SELECT unnest(range(1, 5)) AS fold)),
+        w AS (SELECT symbol, fold, 'train' AS part, {start} AS a, edge AS b FROM k UNION ALL SELECT symbol, fold, 'test', edge, least(edge + size, n) FROM k),
+        f AS (SELECT symbol, CAST(fold AS BIGINT) AS fold, part, avg(close) AS mean_close, max(close) AS top_close, avg((high - low) / close) AS reach FROM bars JOIN w USING (symbol) WHERE bar >= a AND bar < b GROUP BY symbol, fold, part)"""
 
 
-@query(f"SELECT param, round_even(CAST(stddev_pop(v) / abs(avg(v)) AS DOUBLE), 4) AS cv FROM (VALUES {_FITS_SQL}) AS t(param, fold, v) GROUP BY param HAVING count(*) >= 2")
-def param_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.stability(spark.createDataFrame(_FITS, "param string, fold int, value double"))
+def _fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reach = F.avg((F.col("high") - F.col("low")) / F.col("close"))
+    return search.fold_table(B.by_priority(spark, sf_dir), 5).groupBy("symbol", "fold", "part").agg(F.avg("close").alias("mean_close"), F.max("close").alias("top_close"), reach.alias("reach"))
+
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(symbol, fold, train_value, test_value): mean ranges of a fold's parts."""
+    return _fitted(spark, sf_dir).groupBy("symbol", F.col("fold").cast("long").alias("fold")).agg(*[F.max(F.when(F.col("part") == x, F.col("reach"))).alias(f"{x}_value") for x in ("train", "test")])
 
-_SCORES = [("A", 1, 2.0, 1.0), ("A", 2, 1.0, float("-inf")), ("B", 1, -1.0, 0.5), ("C", 1, 0.0, 1.0)]
+
+_SCORED = "s AS (SELECT symbol, fold, max(reach) FILTER (part = 'train') AS train, max(reach) FILTER (part = 'test') AS test FROM f GROUP BY symbol, fold)"
+
+
+@query(f"""{_fold_parts()}, v AS (UNPIVOT (SELECT symbol, fold, mean_close, top_close FROM f WHERE part = 'train') ON mean_close, top_close INTO NAME param VALUE v)
+    SELECT symbol, param, round_even(stddev_pop(v) / abs(avg(v)), 4) AS cv FROM v GROUP BY symbol, param HAVING count(*) >= 2""")
+def param_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of what is fitted on the folds' train parts: the mean and the highest close."""
+    fits = _fitted(spark, sf_dir).where("part = 'train'").unpivot(["symbol", "fold"], ["mean_close", "top_close"], "param", "value")
+    return search.stability(fits, ("symbol", "param"))
 
 
-@query("SELECT * FROM (VALUES ('A', 0.666667::DOUBLE), ('B', -0.5), ('C', 0.0)) AS t(symbol, efficiency)")
+@query(f"{_fold_parts()}, {_SCORED} SELECT symbol, round(avg(test) / avg(train), 6) AS efficiency FROM s GROUP BY symbol")
 def efficiency_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(search.efficiency(spark.createDataFrame(_SCORES, "symbol string, fold int, train_value double, test_value double")))
+    return rounded(search.efficiency(_scored(spark, sf_dir)))
 
 
-@query("SELECT train, test, round(CASE WHEN train > 0 THEN (train - test) / train * 100 END, 4) AS loss FROM (VALUES (2.0::DOUBLE, 1.5::DOUBLE), (-1.0, 1.0), (0.5, 0.7)) AS t(train, test)")
+@query(f"{_fold_parts()}, {_SCORED} SELECT symbol, fold, round((train - test) / train * 100, 4) + 0.0 AS loss FROM s")
 def degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([(2.0, 1.5), (-1.0, 1.0), (0.5, 0.7)], "train double, test double")
-    return rounded(t.withColumn("loss", search.degradation(F.col("train"), F.col("test"))), 4)
+    return rounded(_scored(spark, sf_dir).select("symbol", "fold", search.degradation(F.col("train_value"), F.col("test_value")).alias("loss")), 4)
 
 
 # simulation

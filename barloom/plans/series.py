@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import windows as W
 from barloom.operators import params as P
-from barloom.operators import signals, specs
+from barloom.operators import ranges, signals, specs
 from barloom.operators.indicators import Plan
 from barloom.plans.catalogue import RANGE_SQL, ema_alpha, ewm, full, lag, over, query, rank_of, register, rounded, shown, sma, std
 from barloom.sources import bars as B
@@ -48,10 +48,18 @@ def validate_ohlcv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.violations(B.daily(spark, sf_dir).withColumn("high", F.when(F.col("bar") % 5 == 0, F.col("low")).otherwise(F.col("high"))))
 
 
-@query("""SELECT * FROM (VALUES ('1d', '2020-01-01', false), ('1h', '2022-06-02', true), ('1m', '2024-05-25', true), ('5m', '2024-05-20', false)) AS t(step, start, clamped)""")
+_OFFERED = " ".join(f"WHEN '{step}' THEN {days}" for step, days in C.MAX_DAYS.items())
+
+
+@query(f"""WITH {B.PRIORITY_SQL}, r AS (SELECT symbol, CAST(min(ts) AS DATE) AS a, CAST(max(ts) AS DATE) AS b FROM bars GROUP BY symbol), q AS (SELECT symbol, a, b, unnest({list(C.INTERVALS)}) AS step FROM r),
+    d AS (SELECT *, b - CAST(CASE step {_OFFERED} END AS INT) AS first FROM q)
+    SELECT symbol, step, CAST(CASE WHEN a < first THEN first ELSE a END AS VARCHAR) AS start, coalesce(a < first, false) AS clamped FROM d""")
 def clamp_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = (("1d", "2020-01-01"), ("1h", "2020-01-01"), ("1m", "2020-01-01"), ("5m", "2024-05-20"))
-    return spark.createDataFrame([(step, *C.clamp_range(start, "2024-06-01", step)) for step, start in asked], "step string, start string, clamped boolean")
+    """From where each interval is offered, for the range of every symbol's bars."""
+    r = B.by_priority(spark, sf_dir).groupBy("symbol").agg(F.to_date(F.min("ts")).alias("a"), F.to_date(F.max("ts")).alias("b"))
+    r = r.withColumn("step", F.explode(F.array(*map(F.lit, C.INTERVALS))))
+    start, moved = C.clamped_start(F.col("a"), F.col("b"), F.col("step"))
+    return r.select("symbol", "step", start.cast("string").alias("start"), moved.alias("clamped"))
 
 
 # indicators over daily bars
@@ -76,6 +84,7 @@ _plan("sma_sym", lambda g: {"v20": g.sma("close", 20)}, "", f"SELECT symbol, bar
 _plan("wma", lambda g: {"v10": g.wma("close", 10)}, "", "SELECT symbol, bar, CASE WHEN " + lag("close", 9) + " IS NOT NULL THEN (" + " + ".join(f"{10 - k} * {lag('close', k) if k else 'close'}" for k in range(10)) + ") / 55 END AS v10 FROM bars", "v10")
 _plan("vwma", lambda g: {"v20": g.vwma("close", 20)}, "pv AS (SELECT *, close * volume AS cv FROM bars)", f"SELECT symbol, bar, {full('cv', 20, f'sum(cv) {over(20)} / nullif(sum(volume) {over(20)}, 0)')} AS v20 FROM pv", "v20", 6)
 _plan("percentile_rank", lambda g: {"rank100": g.percentile_rank("close", 100)}, "", f"SELECT symbol, bar, {rank_of('close', 100)} AS rank100 FROM bars", "rank100")
+register("percentile_rank_join", lambda s, d: rounded(ranges.percentile_rank(B.by_priority(s, d), "close", 100), 4), f"WITH {B.PRIORITY_SQL}, q AS (SELECT symbol, bar, {rank_of('close', 100)} AS rank FROM bars) SELECT symbol, bar, round(rank, 4) + 0.0 AS rank FROM q")
 _plan("bollinger_width", lambda g: {"width": g.band_width(20)}, "", f"SELECT symbol, bar, 4.0 * {std('close', 20)} / nullif({sma('close', 20)}, 0) * 100 AS width FROM bars", "width")
 _BBWP = f"wid AS MATERIALIZED (SELECT symbol, bar, 4.0 * {std('close', 13)} / nullif({sma('close', 13)}, 0) * 100 AS width FROM bars), rk AS MATERIALIZED (SELECT symbol, bar, {rank_of('width', 252)} AS bbwp FROM wid)"
 _plan("bbwp", lambda g: {"bbwp": g.bbwp(13, 252)}, _BBWP, "SELECT * FROM rk", "bbwp")

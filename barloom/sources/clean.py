@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.sources.bars import OHLC, numbered
@@ -68,6 +68,14 @@ def clamp_range(start: str, end: str, interval: str = "1d") -> tuple[str, bool]:
     return (first.isoformat(), True) if dt.date.fromisoformat(start[:10]) < first else (start, False)
 
 
+def clamped_start(start: Column, end: Column, interval: Column) -> tuple[Column, Column]:
+    """``clamp_range`` for columns of dates: (start, whether it was moved)."""
+    offered = F.create_map(*[F.lit(x) for pair in MAX_DAYS.items() for x in pair])
+    first = F.date_sub(end, F.element_at(offered, interval))
+    moved = F.coalesce(start < first, F.lit(False))
+    return F.when(moved, first).otherwise(start), moved
+
+
 def load_csv(spark: SparkSession, path: str, symbol: str = "ALL") -> DataFrame:
     """First column the time, then named OHLCV columns; cleaned and validated."""
     raw = spark.read.csv(path, header=True, inferSchema=True)
