@@ -341,11 +341,20 @@ def _sweep_sql(sets: list[tuple[str, str]], metric: str, digits: int = 4) -> str
 
 
 _GRID_X, _GRID_Y = [5.0 * k for k in range(1, 8)], [10.0 + 5 * k for k in range(9)]
-_GRID = [(x, y) for x in _GRID_X for y in _GRID_Y]
 _GRID_BASE = P.make(**{**BASE, "stop_loss_enabled": True, "take_profit_enabled": True})
 
 
-@query(_sweep_sql([(f"CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y", engine_sql({**_GRID_BASE, "stop_loss_pct_long": x, "take_profit_pct_long": y})) for x, y in _GRID], "profit_factor"))
+def labelled_sql(symbol: str, more: str, base: str = B.DAILY_SQL) -> str:
+    """CTE ``bars``: those of ``base`` once for each row of ``more``, with a symbol made of its columns."""
+    return base.replace("bars AS MATERIALIZED", "one AS MATERIALIZED") + f", bars AS MATERIALIZED (SELECT one.* REPLACE ({symbol} AS symbol) FROM one, {more})"
+
+
+#: The sets of the grid are symbols, so one recursion runs them all; a limit is read off the symbol's name.
+_GRID_BARS = labelled_sql("x || '#' || y", f"(SELECT unnest({_GRID_X}) AS x), (SELECT unnest({_GRID_Y}) AS y)")
+_GRID_SET = {**_GRID_BASE, "stop_loss_pct_long": "CAST(split_part(symbol, '#', 1) AS DOUBLE)", "take_profit_pct_long": "CAST(split_part(symbol, '#', 2) AS DOUBLE)"}
+
+
+@query(f"WITH RECURSIVE {engine_sql(_GRID_SET, bars=_GRID_BARS)}, {_METRICS} SELECT 'ALL' AS symbol, CAST(split_part(symbol, '#', 1) AS DOUBLE) AS x, CAST(split_part(symbol, '#', 2) AS DOUBLE) AS y, round(profit_factor, 4) AS value FROM al")
 def grid_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.heatmap(B.daily(spark, sf_dir), _GRID_BASE, ("stop_loss_pct_long", _GRID_X), ("take_profit_pct_long", _GRID_Y), "profit_factor"), 4)
 

@@ -12,7 +12,7 @@ from barloom.operators import calendars as C
 from barloom.operators import engine, search
 from barloom.operators import simulate as M
 from barloom.operators import params as P
-from barloom.plans.backtests import _STOPPED, BASE, _events, engine_sql
+from barloom.plans.backtests import _METRICS, _STOPPED, BASE, _events, engine_sql
 from barloom.plans.catalogue import lag, over, query, register, rounded
 from barloom.plans.series import _ADX
 from barloom.sources import bars as B
@@ -327,6 +327,32 @@ def optimize_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(parts.select("symbol", "part", "num_trades", "profit_factor", "sharpe_ratio"), 6)
 
 
+#: Only the stops are searched, in one batch that nothing was told before: 20 random sets.
+_STOPS = {"ma_trend_enabled": True, "ma_exit_enabled": True, "stop_loss_enabled": True, "take_profit_enabled": True}
+_STOPS_BASE = P.make(**{**BASE, "stop_loss_enabled": True, "take_profit_enabled": True})
+_LIMITS = [f"{kind}_pct_{side}" for kind in ("stop_loss", "take_profit") for side in ("long", "short")]
+_PINNED = {d.name: _STOPS_BASE[d.name] for d in search.dimensions(_STOPS) if d.name not in _LIMITS}
+_DRAWN = search.Sampler(search.dimensions(_STOPS, _PINNED), 42).batch(20)
+
+
+def _optimized_sql() -> str:
+    """Every set over every part as a symbol of its own; the best of the train part is shown."""
+    parts = "train AS (SELECT count(*) AS n FROM one), parts AS (SELECT unnest(['train', 'test', 'full']) AS part), ids AS (SELECT unnest(range(20)) AS id)"
+    place = "CASE part WHEN 'test' THEN bar - CAST(floor(n * 0.7) AS BIGINT) ELSE bar END"
+    bars = B.DAILY_SQL.replace("bars AS MATERIALIZED", "one AS MATERIALIZED") + f""", {parts}, bars AS MATERIALIZED (SELECT one.* REPLACE (id || '#' || part AS symbol, {place} AS bar) FROM one, train, parts, ids
+        WHERE CASE part WHEN 'train' THEN bar < floor(n * 0.7) WHEN 'test' THEN bar >= floor(n * 0.7) ELSE true END)"""
+    limits = {k: f"({[t[k] for t in _DRAWN]})[CAST(split_part(symbol, '#', 1) AS INT) + 1]" for k in _LIMITS}
+    return f"""WITH RECURSIVE {engine_sql({**_STOPS_BASE, **limits}, bars=bars)}, {_METRICS}, r AS (SELECT CAST(split_part(symbol, '#', 1) AS INT) AS id, split_part(symbol, '#', 2) AS part, num_trades, profit_factor, sharpe FROM al),
+        b AS (SELECT arg_max(id, (CASE WHEN num_trades >= 5 THEN sharpe ELSE -1e300 END, -id)) AS id FROM r WHERE part = 'train')
+        SELECT 'ALL' AS symbol, part, num_trades, round(profit_factor, 4) AS profit_factor, round(sharpe, 4) AS sharpe_ratio FROM r JOIN b USING (id)"""
+
+
+@query(_optimized_sql())
+def optimize_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    study, parts = search.optimize(B.daily(spark, sf_dir), _STOPS_BASE, _STOPS, trials=20, batch=20, pinned=_PINNED)
+    return rounded(parts.select("symbol", "part", "num_trades", "profit_factor", "sharpe_ratio"), 4)
+
+
 @query()
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.walk_forward(B.daily(spark, sf_dir), _RISK_ONLY, _FILTERS, trials=200, folds=5, batch=25)["folds"], 6)
