@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.sources.shared import saved, shared_dir  # noqa: F401  (the operators take them from here)
+
 #: Words of the duplicate operators: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of decontamination: ASCII digits and lower-case letters, and everything beyond ASCII.
@@ -26,32 +28,19 @@ def ship(spark: SparkSession) -> SparkSession:
     if int(spark.conf.get(ARROW_ROWS)) > 1000:
         spark.conf.set(ARROW_ROWS, "1000")
         spark.conf.set(ARROW_BYTES, str(16 << 20))
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
+    root, context = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext
+    if not context.master.startswith("local"):
+        if not getattr(context, "_barloom_shipped", False):  # the driver's path isn't there on other machines
+            with tempfile.TemporaryDirectory() as here:
+                context.addPyFile(shutil.make_archive(f"{here}/barloom", "zip", root, "barloom"))
+            context._barloom_shipped = True
+        return spark
+    env = context.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set and the executors are in this process (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="barloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def saved(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """``df`` written to the shared folder and read back: later work starts from files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
