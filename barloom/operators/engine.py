@@ -255,9 +255,19 @@ def _events(names: Sequence[str], params: Mapping[int, Mapping[str, Any]], costs
     exits = {side: [c.removeprefix(f"exit_{side}_") for c in names if c.startswith(f"exit_{side}_") and c != f"exit_{side}_signal"] for side in ("long", "short")}
     new = lambda ident: Machine(params[ident], costs[ident], exits)
 
+    def values(c: pa.Array) -> list:
+        """By way of NumPy where nothing is missing, which is many times faster."""
+        if c.null_count or not len(c):
+            return c.to_pylist()
+        if pa.types.is_string(c.type):
+            c = c.dictionary_encode()
+            known = c.dictionary.to_pylist()
+            return [known[i] for i in c.indices.to_numpy().tolist()]
+        return c.to_numpy(zero_copy_only=False).tolist()
+
     def columns(batch: pa.RecordBatch) -> dict[str, list]:
         at = {name: batch.column(i) for i, name in enumerate(names)}
-        return {n: (c.cast(pa.timestamp("us")).cast(pa.int64()) if n == "ts" else c).to_pylist() for n, c in at.items()}
+        return {n: values(c.cast(pa.timestamp("us")).cast(pa.int64()) if n == "ts" else c) for n, c in at.items()}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: _Group | None = None

@@ -353,6 +353,30 @@ def optimize_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(parts.select("symbol", "part", "num_trades", "profit_factor", "sharpe_ratio"), 4)
 
 
+_FOLDS, _TRIALS = 5, 50
+#: The k-th fold's trials, all of them random.
+_FOLD_SETS = {k: search.Sampler(search.dimensions(_STOPS, _PINNED), 42 + 7 * k).batch(_TRIALS) for k in range(1, _FOLDS)}
+
+
+def _walked_sql() -> str:
+    """Every fold's sets over its train and test windows, as symbols; the set that is best in training is tested."""
+    base = B.DAILY_SQL.replace("bars AS MATERIALIZED", "one AS MATERIALIZED")
+    windows = f"""w AS (SELECT count(*) AS n, count(*) // {_FOLDS} AS size FROM one), k AS (SELECT n, size, unnest(range(1, {_FOLDS})) AS fold FROM w),
+        parts AS (SELECT fold, 'train' AS part, greatest(0, fold * size - CAST(floor(n * 0.7) AS BIGINT)) AS a, fold * size AS b FROM k UNION ALL SELECT fold, 'test', fold * size, least((fold + 1) * size, n) FROM k)"""
+    bars = f"{base}, {windows}, bars AS MATERIALIZED (SELECT one.* REPLACE (id || '#' || fold || '#' || part AS symbol, bar - a AS bar) FROM one, parts, (SELECT unnest(range({_TRIALS})) AS id) WHERE bar >= a AND bar < b)"
+    at = "(CAST(split_part(symbol, '#', 2) AS INT) - 1) * {} + CAST(split_part(symbol, '#', 1) AS INT) + 1".format(_TRIALS)
+    limits = {x: f"({[t[x] for ts in _FOLD_SETS.values() for t in ts]})[{at}]" for x in _LIMITS}
+    return f"""WITH RECURSIVE {engine_sql({**_STOPS_BASE, **limits}, bars=bars)}, {_METRICS},
+        v AS (SELECT CAST(split_part(symbol, '#', 1) AS INT) AS id, CAST(split_part(symbol, '#', 2) AS BIGINT) AS fold, split_part(symbol, '#', 3) AS part, CASE WHEN num_trades >= 5 AND isfinite(sharpe) THEN sharpe ELSE CAST('-inf' AS DOUBLE) END AS value FROM al),
+        best AS (SELECT fold, arg_max(id, (value, -id)) AS id, max(value) AS train_value FROM v WHERE part = 'train' AND isfinite(value) GROUP BY fold)
+        SELECT 'ALL' AS symbol, b.fold, round(train_value, 4) AS train_value, round(coalesce(t.value, CAST('-inf' AS DOUBLE)), 4) AS test_value FROM best b LEFT JOIN v t ON t.fold = b.fold AND t.id = b.id AND t.part = 'test'"""
+
+
+@query(_walked_sql())
+def walk_forward_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(search.walk_forward(B.daily(spark, sf_dir), _STOPS_BASE, _STOPS, trials=200, folds=_FOLDS, batch=_TRIALS, pinned=_PINNED)["folds"], 4)
+
+
 @query()
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(search.walk_forward(B.daily(spark, sf_dir), _RISK_ONLY, _FILTERS, trials=200, folds=5, batch=25)["folds"], 6)
