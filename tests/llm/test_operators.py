@@ -485,6 +485,23 @@ def test_pipeline_stages_on_awkward_and_empty_rows(llm_spark, awkward, sf):
             got.count()
 
 
+def test_pipeline_stages_decide_on_awkward_rows(llm_spark, awkward, sf):
+    """Nulls, ties and repeated rows: what each stage keeps of them."""
+    by = lambda df: sorted((r["doc_id"] or 0) for r in df.collect())
+    said = corpus_pipeline.language_id(llm_spark, awkward, sf).collect()
+    assert not {r["doc_id"] for r in said} & {1, 2, 3, 11} and all(r["lang"] for r in said)
+    assert by(corpus_pipeline.near_duplicates(llm_spark, awkward, sf)) == [1, 2, 3, 4, 6, 8, 10, 11, 12, 13]  # rows without words stay, of 4, 4, 5 and None, 6, 7 one each
+    cut = corpus_pipeline.repeated_passages(llm_spark, awkward, sf)
+    texts = [(r["doc_id"], r["text"], r["n_chars"]) for r in cut.collect()]
+    assert len(texts) == len(AWKWARD) and (1, None, None) in texts and texts.count((4, "", 0)) == 2 and (8, "one two", 7) in texts and (5, " tail", 5) in texts
+    leaks = llm_spark.createDataFrame([(1, LINE)], "item_id long, text string")
+    kept = decontaminate.decontaminate(awkward.select(*corpus_pipeline.COLUMNS), leaks)
+    assert by(kept) == sorted((d or 0) for d, t, *_ in AWKWARD if LINE not in (t or ""))
+    assert by(corpus_pipeline.benchmark_leaks(llm_spark, awkward, sf)) == sorted((d or 0) for d, *_ in AWKWARD)
+    taken = corpus_pipeline.mixture(llm_spark, awkward, sf).collect()
+    assert taken and all(r["copies"] > 0 for r in taken) and not {r["doc_id"] for r in taken} & {1, 2, 3}  # nothing to take of them
+
+
 def test_pipeline_keeps_one_of_each_group(llm_spark, sf, texts):
     docs = llm_spark.read.parquet(f"{sf}/documents.parquet")
     want = components({d: shingles(t) for d, t in texts.items()})
