@@ -42,15 +42,24 @@ def _planned(plan: Plan, p: Params) -> tuple[dict[str, tuple[str, ...]], dict[tu
     return columns, masks
 
 
+def _kinds(sets: Mapping[int, Params]) -> dict[int, tuple]:
+    """What each set's signals depend on: all but what only the engine reads. Sets of one kind have the same signals."""
+    engine_only = {x.name for s in specs.all_specs() if not s.compute and not s.long for x in s.params if x.name != s.flag}
+    return {ident: tuple((k, repr(v)) for k, v in sorted(p.items()) if k not in engine_only) for ident, p in sets.items()}
+
+
 def unusable(sets: Mapping[int, Params]) -> dict[int, str]:
     """What is wrong with the sets that no signals can be made of."""
-    out = {}
-    for ident, p in sets.items():
-        try:
-            _planned(Plan(), p)
-        except Exception as e:
-            out[ident] = f"{type(e).__name__}: {e}"
-    return out
+    wrong: dict[tuple, str | None] = {}
+    kinds = _kinds(sets)
+    for ident, kind in kinds.items():
+        if kind not in wrong:
+            try:
+                _planned(Plan(), sets[ident])
+                wrong[kind] = None
+            except Exception as e:
+                wrong[kind] = f"{type(e).__name__}: {e}"
+    return {ident: wrong[kind] for ident, kind in kinds.items() if wrong[kind] is not None}
 
 
 _SET = (
@@ -70,8 +79,11 @@ def with_many_signals(bars: DataFrame, sets: Mapping[int, Params], owners: Mappi
     """
     plan, numbers, built, atrs, relation = Plan(), {}, [], {}, []
     exits = sorted({s.key for p in sets.values() for s in specs.enabled(p, "exit")})
+    kinds, planned = _kinds(sets), {}
     for ident, p in sets.items():
-        columns, masks = _planned(plan, p)
+        if kinds[ident] not in planned:
+            planned[kinds[ident]] = _planned(plan, p)
+        columns, masks = planned[kinds[ident]]
         values = {s.key: tuple(p[x.name] for x in s.params) for s in specs.enabled(p)}
 
         def number(key: str, side: str, columns=columns, masks=masks, values=values) -> int:

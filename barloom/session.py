@@ -102,7 +102,9 @@ class Session:
     @property
     def errors(self) -> DataFrame:
         """(symbol, param_id, message) of the symbols whose backtest failed."""
-        return engine.errors_of(self._held if self.events is not None else self.events)
+        if self._held is None:
+            self.run()
+        return engine.errors_of(self._held)
 
     @property
     def trades(self) -> DataFrame:
