@@ -12,10 +12,10 @@ import json
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from barloom.sources.clean import clamp_range, clean, validate
+from barloom.sources.shared import saved
 
 SCHEMA = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double, seq long"
 
@@ -60,7 +60,7 @@ def load_feed(spark: SparkSession, fetcher: str, symbols: Sequence[str], start:
     first, clamped = clamp_range(start, end, interval)
     spark.dataSource.register(Feed)
     rows = spark.read.format(Feed.name()).options(fetcher=fetcher, symbols=json.dumps(list(symbols)), start=first, end=end, interval=interval, days=str(days)).load()
-    bars = validate(clean(rows, "seq"))
+    bars = validate(clean(saved(rows), "seq"))  # fetched once: checks and uses read what was written
     if missing := set(symbols) - {r[0] for r in bars.select("symbol").distinct().collect()}:
         raise ValueError(f"no bars for {', '.join(sorted(missing))} ({interval}, {first} to {end})")
-    return bars.orderBy("symbol", F.col("ts")), clamped
+    return bars, clamped
