@@ -25,8 +25,9 @@ whole sequence is the one shingle). Two documents link when 100 * |A and B| >= 7
    So no link is lost, and a hot group costs stars instead of all pairs.
 7. Components: alternating large-star and small-star steps on the links.
 
-Texts are shingled twice (classes and sketch, then prefixes); those of classes in any list are
-written once for the comparisons. Only the sketch (8 MB whatever the input) goes through the driver.
+Texts are shingled twice (classes and sketch, then prefixes); for the comparisons only those move
+whose class is in a pair: a bitmap of fixed size (4 MB, broadcast) keeps back most others where they
+are read. Only the sketch (8 MB whatever the input) goes through the driver.
 
 Defined cases: null texts and texts without words have n_shingles 0 and are their own
 component; the nodes of the graph are the classes, so rows that share a doc_id or have none are
@@ -65,6 +66,8 @@ PAIRS, LONG = 4, 1024
 BLOCK, POSTINGS, TOGETHER = 100_000, 500_000, 64
 #: Lists of a class up to which its rows carry them all.
 MANY = 512
+#: Bits of the bitmap that says which texts may be asked for (4 MB); if many are set it lets more pass, the result is the same.
+FILTER = 1 << 25
 U = np.uint64
 #: What tells a row from others of its doc_id: 128 bits of the text, 64 of the row.
 KEYS = ("_k0", "_k1", "_k2")
@@ -513,12 +516,22 @@ def link_documents(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _let_pass(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """All rows of ``docs`` whose _k0 is among ``keys``, and few others: a broadcast bitmap of ``FILTER`` bits tells before anything moves."""
+    at = F.pmod("_k0", F.lit(FILTER))
+    lot, place = F.bitmap_bucket_number(at), F.bitmap_bit_position(at)
+    bits = keys.select(lot.alias("_lot"), place.alias("_place")).repartition("_lot").groupBy("_lot").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+    byte = F.conv(F.hex(F.substr("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return docs.withColumn("_lot", lot).join(F.broadcast(bits), "_lot").where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*docs.columns)
+
+
 def _texts(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(c1, c2, z): a text, compressed, of each of ``classes``."""
     one = classes.join(rows.select("c1", "c2", "_k0", "_k1"), ["c1", "c2"]).groupBy("c1", "c2").agg(F.min(F.struct("_k0", "_k1")).alias("k"))
-    packed = docs.select("_k0", "_k1", "text").mapInArrow(_pack, "_k0 long, _k1 long, z binary")
+    one = saved(one.select("c1", "c2", "k.*"))
+    packed = _let_pass(docs.select("_k0", "_k1", "text"), one).mapInArrow(_pack, "_k0 long, _k1 long, z binary")
     by_key = packed.groupBy("_k0", "_k1").agg(F.first("z").alias("z"))
-    return by_key.join(one.select("c1", "c2", "k.*"), ["_k0", "_k1"]).select("c1", "c2", "z")
+    return by_key.join(one, ["_k0", "_k1"]).select("c1", "c2", "z")
 
 
 def _linked(docs: DataFrame) -> DataFrame:
@@ -542,13 +555,13 @@ def _linked(docs: DataFrame) -> DataFrame:
         .join(nodes.select(F.col("c1").alias("y1"), F.col("c2").alias("y2"), F.col("node").alias("b")), ["y1", "y2"])
         .select("a", "b")
     )
-    in_lists = members.select("c1", "c2").distinct()
-    texts = saved(_texts(docs, rows, in_lists))
-    linked = components(named(_links(_pair_blocks(pairs), texts, n)))
-    node_of = in_lists.join(nodes.drop("least"), ["c1", "c2"]).join(linked, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component"))
+    # only texts of classes in a pair are packed and move
+    found = lambda pairs: _links(b := saved(_pair_blocks(pairs)), _texts(docs, rows, b.select("c1", "c2").distinct()), n)
+    linked = components(named(found(saved(pairs))))
+    node_of = members.select("c1", "c2").distinct().join(nodes.drop("least"), ["c1", "c2"]).join(linked, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component"))
     rest = saved(_rest(members, node_of, n))
     if not rest.isEmpty():
-        more = named(_links(_pair_blocks(rest), texts, n))
+        more = named(found(rest))
         linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     of_class = nodes.join(linked, "node", "left").select("c1", "c2", "least", F.coalesce("component", "node").alias("component"))
     names = of_class.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -167,3 +167,34 @@ def test_long_runs_of_letters(llm_spark, low):
 
 def test_shards_follow_the_input(llm_spark):
     assert shards(llm_spark.range(10).repartition(37)) == 37 and shards(llm_spark.range(10).coalesce(1)) == int(llm_spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_only_texts_in_pairs_move(llm_spark, monkeypatch):
+    """Many documents share a passage, two of them are alike: texts of the others stay where they are read."""
+    shared = " ".join(f"s{i}" for i in range(6))
+    texts = [f"{shared} " + " ".join(f"w{k}x{i}" for i in range(40 + 15 * k)) for k in range(8)]
+    rows = [(k, t) for k, t in enumerate([*texts, texts[3] + " end", None, ""])]
+    docs, seen, real = llm_spark.createDataFrame(rows, "doc_id long, text string"), [], jaccard._links
+
+    def links(blocks, moved, n):
+        asked = {tuple(r) for r in blocks.select("c1", "c2").collect()}
+        seen.append((asked, {(r["c1"], r["c2"]) for r in moved.collect()}))
+        return real(blocks, moved, n)
+
+    monkeypatch.setattr(jaccard, "_links", links)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.link_documents(docs).collect()}
+    assert got == {k: 3 if k == 8 else k for k in range(11)}
+    assert seen and all(asked == moved for asked, moved in seen) and len(seen[0][0]) < 9
+
+
+@pytest.mark.parametrize("bits", [1 << 25, 64, 1])
+def test_the_bitmap_loses_no_key(llm_spark, monkeypatch, bits):
+    monkeypatch.setattr(jaccard, "FILTER", bits)
+    keys = llm_spark.range(3000).select(F.xxhash64("id").alias("_k0"), "id")
+    wanted = keys.where("id % 100 = 7")
+    passed = jaccard._let_pass(keys, wanted)
+    assert passed.columns == ["_k0", "id"]
+    ids = sorted(r["id"] for r in passed.collect())
+    assert ids == sorted(set(ids)) and {r["id"] for r in wanted.collect()} <= set(ids)
+    assert len(ids) < 40 if bits > 64 else len(ids) <= 3000
+    assert jaccard._let_pass(keys, wanted.where("false")).isEmpty()
