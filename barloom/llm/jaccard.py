@@ -7,9 +7,11 @@ whole sequence is the one shingle). Two documents link when 100 * |A and B| >= 7
 2. A count sketch of fixed size over all documents orders shingles from rare to frequent.
    Only the order comes from it: any order gives the same links.
 3. A set's prefix are its first |s| - ceil(0.75 |s|) + 1 shingles in that order. Sets that link
-   have ``shared_least`` shingles or more in both prefixes, which is at least one. Prefixes are
-   dealt to shards by hash, as sorted blocks; a shard reads off its inverted lists of two
-   classes or more. A class's *shared* count is the number of its prefix shingles in any list.
+   have ``shared_least`` shingles or more in both prefixes, which is at least one. Most prefix
+   shingles are one set's alone: four bytes of each go to shards first, and a bitmap of fixed size
+   (16 MB, broadcast) says which may occur twice. Those are dealt to shards by hash, as sorted
+   blocks; a shard reads off its inverted lists of two classes or more. A class's *shared* count
+   is the number of its prefix shingles in any list.
 4. Lists of up to ``PAIRS`` classes give all their pairs, a longer one gives stars: each class
    against the first of the most connected ones that its size can link with. Pairs whose shared
    counts can't reach ``shared_least`` are left out. A list of more than ``LONG`` classes is dealt
@@ -25,9 +27,10 @@ whole sequence is the one shingle). Two documents link when 100 * |A and B| >= 7
    So no link is lost, and a hot group costs stars instead of all pairs.
 7. Components: alternating large-star and small-star steps on the links.
 
-Texts are shingled twice (classes and sketch, then prefixes); for the comparisons only those move
-whose class is in a pair: a bitmap of fixed size (4 MB, broadcast) keeps back most others where they
-are read. Only the sketch (8 MB whatever the input) goes through the driver.
+Texts are shingled three times (classes and sketch, fingerprints, prefixes); for the comparisons only
+those move whose class is in a pair: a bitmap of fixed size (4 MB, broadcast) keeps back most others
+where they are read. Only the sketch (8 MB) and the bitmap of shingles (16 MB) go through the driver,
+whatever the input.
 
 Defined cases: null texts and texts without words have n_shingles 0 and are their own
 component; the nodes of the graph are the classes, so rows that share a doc_id or have none are
@@ -68,6 +71,8 @@ BLOCK, POSTINGS, TOGETHER = 100_000, 500_000, 64
 MANY = 512
 #: Bits of the bitmap that says which texts may be asked for (4 MB); if many are set it lets more pass, the result is the same.
 FILTER = 1 << 25
+#: Address bits of the bitmap that says which prefix shingles may occur twice (16 MB), the same holds; bits of a hash that the sketch leaves.
+TWICE_BITS, BELOW = 27, 44
 U = np.uint64
 #: What tells a row from others of its doc_id: 128 bits of the text, 64 of the row.
 KEYS = ("_k0", "_k1", "_k2")
@@ -169,11 +174,102 @@ def _sketch(parts: DataFrame, lots: int) -> np.ndarray:
     return np.unique(sketch.ravel(), return_inverse=True)[1].astype(np.int32)
 
 
-def _postings(sketch, n_shards: int):
-    """Blocks (shard, data): the table of classes (c1, c2, size), then hash and class of each posting."""
+def _prefixes(batches: Iterator[pa.RecordBatch], rank: np.ndarray, seen: set[tuple[int, int]]) -> Iterator[tuple[tuple[int, int], int, np.ndarray]]:
+    """(class, size, prefix) of the texts' sets that aren't ``seen``."""
+    for batch in batches:
+        for _, _, data, offsets in slices(batch.column(0)):
+            for s in shingle_sets(data, offsets):
+                if not len(s) or (key := class_of(s)) in seen:
+                    continue
+                seen.add(key)
+                m = len(s) - (-(-PERCENT * len(s) // 100)) + 1
+                order = np.lexsort((s, rank[s >> U(64 - SKETCH_BITS)]))
+                yield key, len(s), s[order[:m]]
+
+
+def _prints(h: np.ndarray, n_shards: int) -> np.ndarray:
+    """Fingerprints: 32 bits within each of ``n_shards`` shards. The sketch's bits, by which prefixes are chosen, aren't in it."""
+    return (h & U((1 << BELOW) - 1)) * U(n_shards) >> U(BELOW - 32)
+
+
+def _places(prints: np.ndarray, n_shards: int) -> np.ndarray:
+    """Bits of the bitmap, in order of fingerprints."""
+    return prints // U(n_shards) >> U(32 - TWICE_BITS)
+
+
+def _print_blocks(sketch, n_shards: int):
+    """Blocks (shard, once, twice): 32 bits of the fingerprints that a block of sets has once, and several times."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        hashes: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            prints, often = np.unique(_prints(np.concatenate(hashes) if hashes else np.empty(0, U), n_shards), return_counts=True)
+            shards, first = np.unique(prints >> U(32), return_index=True)
+            parts = np.split(prints.astype(np.uint32), first[1:]), np.split(often > 1, first[1:])
+            blobs = [[v[m == many].tobytes() for v, m in zip(*parts, strict=True)][: len(shards)] for many in (False, True)]
+            hashes.clear()
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), *(pa.array(x, pa.binary()) for x in blobs)], names=["shard", "once", "twice"])
+
+        held = 0
+        for _, _, prefix in _prefixes(batches, sketch.value, seen):
+            hashes.append(prefix)
+            held += len(prefix)
+            if held >= POSTINGS:
+                yield out()
+                held = 0
+        yield out()
+
+    return work
+
+
+def _repeated(n_shards: int):
+    """Blocks in order of shard -> parts of the bitmap (first byte, bits)."""
+
+    def out(shard: int, once: list[np.ndarray], twice: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        v = np.sort(np.concatenate(once))
+        again = np.concatenate([v[1:][v[1:] == v[:-1]], *twice]).astype(U)
+        if len(again):
+            at = np.unique(_places(again | U(shard << 32), n_shards)).astype(np.int64)
+            first = int(at[0]) >> 3
+            bits = np.zeros((int(at[-1]) >> 3) - first + 1, np.uint8)
+            np.bitwise_or.at(bits, (at >> 3) - first, (1 << (at & 7)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["first", "bits"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = sketch.value
+        now, once, twice = None, [], []
+        for batch in batches:
+            for shard, *values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if shard != now and once:
+                    yield from out(now, once, twice)
+                    once, twice = [], []
+                now = shard
+                for part, value in zip((once, twice), values, strict=True):
+                    part.append(np.frombuffer(value, np.uint32))
+        if once:
+            yield from out(now, once, twice)
+
+    return work
+
+
+def _twice(texts: DataFrame, sketch, n_shards: int) -> np.ndarray:
+    """The bitmap of prefix shingles: the bit of each that two classes have is set, and few others."""
+    blocks = texts.mapInArrow(_print_blocks(sketch, n_shards), "shard int, once binary, twice binary")
+    parts = blocks.repartitionById(n_shards, "shard").sortWithinPartitions("shard").mapInArrow(_repeated(n_shards), "first long, bits binary")
+    bits = np.zeros(max(1, 1 << TWICE_BITS >> 3), np.uint8)
+    for r in parts.collect():  # slices of one bitmap: 16 MB in all
+        part = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+        bits[r["first"] : r["first"] + len(part)] |= part
+    return bits
+
+
+def _postings(sketch, twice, n_shards: int):
+    """Blocks (shard, data): the table of classes (c1, c2, size), then hash and class of each posting that ``twice`` lets pass."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = twice.value
         seen: set[tuple[int, int]] = set()
         table: list[tuple[int, int, int]] = []
         hashes: list[np.ndarray] = []
@@ -181,6 +277,9 @@ def _postings(sketch, n_shards: int):
         def out() -> pa.RecordBatch:
             h = np.concatenate(hashes) if hashes else np.empty(0, U)
             of = np.repeat(np.arange(len(table)), [len(x) for x in hashes]).astype(np.int64)
+            at = _places(_prints(h, n_shards), n_shards)
+            may = bits[at >> U(3)] >> (at & U(7)).astype(np.uint8) & 1 == 1
+            h, of = h[may], of[may]
             shard = (h % U(n_shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             h, of, shard = h[order], of[order], shard[order]
@@ -198,20 +297,13 @@ def _postings(sketch, n_shards: int):
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "data"])
 
         held = 0
-        for batch in batches:
-            for _, _, data, offsets in slices(batch.column(0)):
-                for s in shingle_sets(data, offsets):
-                    if not len(s) or (key := class_of(s)) in seen:
-                        continue
-                    seen.add(key)
-                    m = len(s) - (-(-PERCENT * len(s) // 100)) + 1
-                    order = np.lexsort((s, rank[s >> U(64 - SKETCH_BITS)]))
-                    table.append((*key, len(s)))
-                    hashes.append(s[order[:m]])
-                    held += m
-                if held >= POSTINGS:
-                    yield out()
-                    held = 0
+        for key, size, prefix in _prefixes(batches, sketch.value, seen):
+            table.append((*key, size))
+            hashes.append(prefix)
+            held += len(prefix)
+            if held >= POSTINGS:
+                yield out()
+                held = 0
         yield out()
 
     return work
@@ -266,9 +358,9 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members = [np.frombuffer(x, np.int64) for x in lists]
         sizes = [len(m) for m in members]
         c = classes[np.concatenate(members)] if members else np.empty((0, 3), np.int64)
-        names = [hashlib.blake2b(classes[m].tobytes(), digest_size=16).hexdigest() for m in members]
+        names = [hashlib.blake2b(classes[m].tobytes(), digest_size=16).digest() for m in members]
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(np.array(names, object), sizes), pa.string()), *(pa.array(c[:, i]) for i in range(3)), pa.array(np.repeat(np.array(list(lists.values()), np.int64), sizes))],
+            [pa.array(np.repeat(np.array(names, object), sizes), pa.binary()), *(pa.array(c[:, i]) for i in range(3)), pa.array(np.repeat(np.array(list(lists.values()), np.int64), sizes))],
             names=["list", "c1", "c2", "n", "times"],
         )
 
@@ -541,9 +633,11 @@ def _linked(docs: DataFrame) -> DataFrame:
     survey = saved(docs.mapInArrow(_survey, f"doc_id long, c1 long, c2 long, n long, {', '.join(f'{k} long' for k in KEYS)}, lot long, block int, counts binary"))
     rows = survey.where("block IS NULL").select("doc_id", "c1", "c2", "n", *KEYS)
     sketch = _sketch(survey.where("block IS NOT NULL").select("lot", "block", "counts"), docs.rdd.getNumPartitions())
-    postings = docs.select("text").mapInArrow(_postings(spark.sparkContext.broadcast(sketch), n), "shard int, data binary")
+    rank, texts = spark.sparkContext.broadcast(sketch), docs.select("text")
+    twice = spark.sparkContext.broadcast(_twice(texts, rank, n))
+    postings = texts.mapInArrow(_postings(rank, twice, n), "shard int, data binary")
     postings = postings.repartitionById(n, "shard").sortWithinPartitions("shard")
-    lists = saved(postings.mapInArrow(_members, "list string, c1 long, c2 long, n long, times long"))
+    lists = saved(postings.mapInArrow(_members, "list binary, c1 long, c2 long, n long, times long"))
     # shards that have the same list count together
     members = lists.groupBy("list", "c1", "c2", "n").agg(F.sum("times").alias("times"))
     members = saved(members.join(lists.groupBy("c1", "c2").agg(F.sum("times").alias("shared")), ["c1", "c2"]))

@@ -1,7 +1,11 @@
 """What only large inputs reach, reached by setting the constants low: results stay those of brute force."""
 
 import random
+from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import test_operators as T
 from pyspark.sql import functions as F
@@ -187,6 +191,28 @@ def test_only_texts_in_pairs_move(llm_spark, monkeypatch):
     assert seen and all(asked == moved for asked, moved in seen) and len(seen[0][0]) < 9
 
 
+@pytest.mark.parametrize("values", [{}, {"POSTINGS": 200}, {"TWICE_BITS": 9}, {"TWICE_BITS": 0}])
+def test_only_shingles_of_several_sets_move(llm_spark, low, values):
+    """Of unrelated texts, copies and near copies: postings of a shingle that one set alone has stay where they are read."""
+    low(jaccard, **values)
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(1 << 40)}" for _ in range(n)]
+    texts = [" ".join(words(80)) for _ in range(60)]
+    near = [f"{texts[i]} end" for i in range(10)]
+    docs = llm_spark.createDataFrame([(t,) for t in [*texts, *near, *texts[:3], None, "", "one"]], "text string").repartition(4)
+    rank, n, batch = SimpleNamespace(value=np.zeros(1 << jaccard.SKETCH_BITS, np.int32)), 5, pa.record_batch([pa.array([*texts, *near])], names=["text"])
+    twice = SimpleNamespace(value=jaccard._twice(docs, llm_spark.sparkContext.broadcast(rank.value), n))
+    counts = Counter(x for _, _, prefix in jaccard._prefixes(iter([batch]), rank.value, set()) for x in prefix.tolist())
+    blocks = [b for r in jaccard._postings(rank, twice, n)(iter([batch])) for b in r.column(1).to_pylist()]
+    moved = Counter(x for b in blocks for x in jaccard._read_block(b)[1].tolist())
+    several = {x: k for x, k in counts.items() if k > 1}
+    assert len(several) > 100 and several.items() <= moved.items() <= counts.items()
+    if "TWICE_BITS" not in values:  # else the bitmap is too small to tell; all may pass then
+        assert sum(moved.values()) < sum(counts.values()) / 2
+    if values == {"TWICE_BITS": 0}:
+        assert moved == counts
+
+
 @pytest.mark.parametrize("bits", [1 << 25, 64, 1])
 def test_the_bitmap_loses_no_key(llm_spark, monkeypatch, bits):
     monkeypatch.setattr(jaccard, "FILTER", bits)
