@@ -145,11 +145,13 @@ class _Group:
         near = 100 * np.minimum(self.n[others], self.n[i]) >= PERCENT * np.maximum(self.n[others], self.n[i])
         return np.where(near, (self.sketch[others] == self.sketch[i]).sum(1), 0)
 
-    def candidates(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Which of ``others``, of another component, agree with i; the most alike first."""
-        like = np.where(self.component[others] != self.component[i], self.agree(i, others), 0)
+    def candidates(self, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of ``others``, of another component, that agree with i, the most alike first, and in how many places."""
+        others = others[self.component[others] != self.component[i]]
+        like = self.agree(i, others)
+        others, like = others[like >= AGREE], like[like >= AGREE]
         order = np.argsort(-like, kind="stable")
-        return order[like[order] >= AGREE]
+        return others[order], like[order]
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -204,7 +206,7 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, asks = _Group([r[1:] for r in rows]), np.array([r[0] for r in rows], bool)
         want, given = np.zeros(len(rows), bool), np.flatnonzero(~asks)
         for i in np.flatnonzero(asks).tolist():
-            hit = given[g.candidates(i, given)]
+            hit, _ = g.candidates(i, given)
             want[hit] = True
             want[i] = len(hit) > 0
         out += [(*key, *rows[i]) for i in np.flatnonzero(want).tolist()]
@@ -230,12 +232,13 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _exhaust(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Wanted members of cells with texts (node, cell, asks, v, n, component, sketch, z) -> links between components."""
+    """Wanted members of cells with texts (node, cell, asks, v, n, component, sketch, z) -> links (a, b) of components, which are nodes, too."""
     for _, rows in _grouped(batches, 2):
         g, sets = _Group([r[1:5] for r in rows]), _sets([r[5] for r in rows])
         asks = np.array([r[0] for r in rows], bool)
         given = np.flatnonzero(~asks)
-        found = [(-int(g.agree(i, given[j : j + 1])[0]), i, int(given[j])) for i in np.flatnonzero(asks).tolist() for j in g.candidates(i, given).tolist()]
+        found = [(-n, i, j) for i in np.flatnonzero(asks).tolist() for j, n in zip(*(x.tolist() for x in g.candidates(i, given)), strict=True)]
+        component = g.component.tolist()
         into = {c: c for c in g.component.tolist()}
 
         def top(c: int) -> int:
@@ -245,9 +248,9 @@ def _exhaust(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         links = []
         for _, i, j in sorted(found):  # the most alike first
-            a, b = top(int(g.component[i])), top(int(g.component[j]))
+            a, b = top(component[i]), top(component[j])
             if a != b and linked(sets[i], sets[j]):
-                links.append((int(g.v[i]), int(g.v[j])))
+                links.append((component[i], component[j]))
                 into[a] = b
         yield _links_out(links)
 
@@ -259,7 +262,7 @@ def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, asks = _Group([r[1:] for r in rows]), np.array([r[0] for r in rows], bool)
         given = np.flatnonzero(~asks)
         for i in np.flatnonzero(asks).tolist():
-            pairs.update((int(g.v[i]), int(g.v[j]), int(g.n[j])) for j in given[g.candidates(i, given)[:BEST]].tolist())
+            pairs.update((int(g.v[i]), int(g.v[j]), int(g.n[j])) for j in g.candidates(i, given)[0][:BEST].tolist())
             if len(pairs) > 50_000:
                 yield _pairs_out(pairs)
     yield _pairs_out(pairs)
@@ -306,8 +309,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
 def _first_pairs(live: DataFrame, n: int) -> DataFrame:
     plain = ["v", "n", F.lit(0).cast("long").alias("component"), "sketch"]
     parts = F.ceil(F.col("m") / SMALL).cast("int")
-    first = saved(live.where(F.col("m") > SMALL).groupBy("node").agg(F.min("v").alias("v")))
-    heads = live.join(first, ["node", "v"]).select("node", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *plain)
+    heads = live.where((F.col("m") > SMALL) & (F.col("v") == F.col("head"))).select("node", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *plain)
     dealt = live.select("node", F.pmod(F.hash("v"), parts).alias("part"), *plain).unionByName(heads).repartition(n, "node", "part").sortWithinPartitions("node", "part", "v")
     return dealt.mapInArrow(_leaders, "x long, y long, ny long").distinct()
 
@@ -354,7 +356,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     one = survey.where("n > 0").groupBy("c1", "c2").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes"), F.min("doc_id").alias("least"), F.min(F.struct("_h1", "_h2")).alias("key"))
     vertices = saved(one.withColumn("v", F.monotonically_increasing_id()))
     members = vertices.select(F.explode("nodes").alias("node"), "v")
-    sizes = saved(members.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"))
+    sizes = saved(members.groupBy("node").agg(F.count("*").alias("m"), F.min("v").alias("head")).where("m > 1"))
     live = saved(members.join(sizes, "node").join(vertices.select("v", "n", "sketch"), "v"))
     needed = live.select("v").distinct().join(vertices.select("v", "key.*"), "v")
     packed = keyed.select("_h1", "_h2", "text").mapInArrow(_pack, "_h1 long, _h2 long, z binary").groupBy("_h1", "_h2").agg(F.first("z").alias("z"))
@@ -364,13 +366,13 @@ def link_documents(docs: DataFrame) -> DataFrame:
     for level in range(1, DEPTH + 1):
         open_ = _open(rows)
         closing = F.col("k") <= (SMALL if level < DEPTH else F.col("k"))
-        ready.append(open_.where(closing).select("node", *_SEEN))
+        ready.append(open_.where(closing))
         large = open_.where(~closing).select("node", *_SEEN)
         if large.isEmpty():
             break
         rows = saved(large.mapInArrow(_branch, "node long, v long, n long, component long, sketch binary"))
     ready = reduce(DataFrame.unionByName, ready)
-    now = _joined(now, _confirmed(_dealt(_open(ready), n).mapInArrow(_best, "x long, y long, ny long").distinct(), texts, n))
+    now = _joined(now, _confirmed(_dealt(ready, n).mapInArrow(_best, "x long, y long, ny long").distinct(), texts, n))
     wanted = saved(_dealt(_open(_labelled(ready, now)), n).mapInArrow(_wanted, _CELL))
     full = _with_texts(wanted, texts).select(*_MEMBER.names, "z").repartition(n, "node", "cell").sortWithinPartitions("node", "cell", "v")
     now = _joined(now, saved(full.mapInArrow(_exhaust, "a long, b long")))

@@ -594,11 +594,11 @@ def components(edges: DataFrame) -> DataFrame:
     while not _stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         low = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         root = low.groupBy("a").agg(F.min("b").alias("m"))
-        small = low.join(root, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now = saved(small.unionByName(root.select("a", F.col("m").alias("b"))).distinct())
+        small = low.join(root, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b")
+        now = saved(small.distinct())
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 

@@ -5,7 +5,9 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from barloom.llm import chosen_path, queries
@@ -97,3 +99,21 @@ def test_trees_keep_pairs_together():
                 missed[level] += not now[0] & now[1]
     for level in (1, 2, 3):
         assert abs(missed[level] / 6000 - chosen_path.miss(210 / 270, level)) < 0.04
+
+
+def test_a_cell_counts_sketches_once(monkeypatch):
+    """All pairs of a cell are found by a call for each member that asks, and its links name components."""
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join([*words[:i], f"x{i}", *words[i + 1 :]]).encode() for i in range(0, 100, 2)]
+    sets = chosen_path.shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), chosen_path.WORDS)
+    sketch = [x.tobytes() for x in (chosen_path.mix(chosen_path.least_hashes(sets)) & np.uint64(255)).astype(np.uint8)]
+    pack = zstandard.ZstdCompressor().compress
+    rows = [(7, "0/0", asks, v, len(sets[v]), 500 + v, sketch[v], pack(t)) for asks in (True, False) for v, t in enumerate(texts)]
+    schema = pa.schema([*chosen_path._MEMBER, ("z", pa.binary())])
+    calls, real = [], chosen_path._Group.agree
+    monkeypatch.setattr(chosen_path._Group, "agree", lambda self, *a: calls.append(1) or real(self, *a))
+    links = pa.Table.from_batches(chosen_path._exhaust(iter(pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema).to_batches())))
+    linked = [[len(a & b) * 100 >= 80 * len(a | b) for b in map(shingles, map(bytes.decode, texts))] for a in map(shingles, map(bytes.decode, texts))]
+    assert all(map(all, linked)) and len(calls) <= len(texts)
+    ends = links.column("a").to_pylist() + links.column("b").to_pylist()
+    assert len(links) == len(texts) - 1 and set(ends) == {500 + v for v in range(len(texts))}
