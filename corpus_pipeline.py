@@ -39,12 +39,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of repeated 400-byte strings are taken out of the texts; every document stays, if only empty.
+    """Repeated 400-byte strings and repeated passages of over 50 words are taken out of the texts; every document stays, if only empty.
 
-    A null text stays null, with a null n_chars; rows of equal texts, whatever their ids, lose what is long enough.
+    Both are judged on the texts as they come in; what stays keeps its white space. A null text stays null, with a null n_chars; rows of equal texts, whatever their ids, lose what is long enough.
     """
     ship(spark)
-    return suffix.dedup_texts(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return suffix.cut_texts(docs.select(*COLUMNS), suffix.BYTES, suffix.PASSAGE).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -503,6 +503,17 @@ def test_pipeline_stages_decide_on_awkward_rows(llm_spark, awkward, sf):
     assert all(r["tokens"] == 0 for r in taken if r["doc_id"] in (1, 2, 3))
 
 
+def test_pipeline_removes_passages_of_over_50_words(llm_spark, sf):
+    """Also those of fewer than 400 bytes; 50 words stay, and so does the white space of what stays."""
+    line = lambda n, k: " ".join(f"{'abcdefgh'[i % 8]}{k}{i}" for i in range(n))
+    rows = [(1, f"first\n\n{line(52, 1)}\n1  end "), (2, f"second {line(52, 1)} 2 end"), (3, f"third  {line(50, 2)} 3 end"), (4, f"fourth {line(50, 2)} 4 end"), (5, " as\tit  is\n")]
+    assert len(line(52, 1)) < 400
+    docs = llm_spark.createDataFrame([(d, t, "en", "src0", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.repeated_passages(llm_spark, docs, sf).collect()}
+    want = dict(rows) | {1: "first\n\n\n1  end ", 2: "second  2 end"}
+    assert left == {d: (t, len(t)) for d, t in want.items()}
+
+
 def test_pipeline_keeps_one_of_each_group(llm_spark, sf, texts):
     docs = llm_spark.read.parquet(f"{sf}/documents.parquet")
     want = components({d: shingles(t) for d, t in texts.items()})

@@ -53,6 +53,28 @@ def test_repeats(llm_spark, passages, low, kind, names):
         assert (r["n_removed"], r["kept_sha256"]) == (sum(gone[d]), T.sha(kept(units[d], gone[d])))
 
 
+@pytest.mark.parametrize("names", [(), ("HOT",), tuple(LOW)])
+def test_passages_of_over_50_words_go_too(llm_spark, passages, low, names):
+    """The pipeline's stage: 400 bytes or 51 words repeat, both judged on the input; what stays keeps its white space."""
+    low(repeats, **{n: LOW[n] for n in names})
+    rng = random.Random(5)
+    short = [" ".join(f"{w}{rng.randint(0, 9)}" for w in ["ab", "cde"] * 26)[:-3] for _ in range(3)]  # 52 words, 233 bytes
+    loose = [f"\n one{i}  two\t{p if i % 2 else p.replace(' ', '  ', 5)}  é{i} \n" for i in range(6) for p in short]
+    docs = [*passages, *enumerate([*loose, *short, f"{short[0][:90]} alone"], len(passages))]
+    raws = [(t or "").encode() for _, t in docs]
+    words = [[m.span() for m in T.re.finditer(T.WORD.encode(), r)] for r in raws]
+    gone = T.bytes_covered(raws, 400)
+    for raw, spans, g, hit in zip(raws, words, gone, T.covered([[r[a:b] for a, b in s] for r, s in zip(raws, words, strict=True)], 51), strict=True):
+        for i, x in enumerate(hit):
+            if x:
+                a, b = spans[i][0], spans[i + 1][0] if hit[i + 1 : i + 2] == [True] else spans[i][1]
+                g[a:b] = [True] * (b - a)
+    got = {r["doc_id"]: r["text"] for r in suffix.cut_texts(llm_spark.createDataFrame(docs, "doc_id long, text string").repartition(3), suffix.BYTES, suffix.PASSAGE).collect()}
+    for (d, t), raw, g in zip(docs, raws, gone, strict=True):
+        assert got[d] == (None if t is None else bytes(b for b, x in zip(raw, g, strict=True) if not x).decode("utf-8", "ignore"))
+    assert [got[len(passages) + i] for i in (0, 18)] == ["\n one0    é0 \n", ""]  # "two" stands before every copy
+
+
 def test_low_constants_reach_the_workers(llm_spark, passages, low, monkeypatch):
     """Otherwise the tests above would prove nothing."""
     import pyarrow as pa
